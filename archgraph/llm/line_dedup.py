@@ -114,16 +114,26 @@ def banded_distance(x: str, y: str, max_edits: int) -> str:
     )
 
 
+def _bound(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with these columns, each worked out once for a row.
+
+    A generator of one row: the optimizer doesn't copy what stands below it into the
+    expressions above, as it does with plain columns under a filter.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
+
+
 def verified(pairs: DataFrame, max_edits: int) -> DataFrame:
     """The rows of ``pairs`` (with line_a, line_b) whose lines are within ``max_edits``."""
-    # Each step is a column of its own, used twice or more: kept apart so that it is worked out once.
-    x = pairs.withColumn("_most", F.expr("least(char_length(line_a), char_length(line_b))"))
-    x = x.withColumn("_front", F.expr(common_prefix("line_a", "line_b", "_most")))
-    x = x.withColumn("_back", F.expr(common_suffix("line_a", "line_b", "_most - _front")))
+    x = _bound(pairs, _most="least(char_length(line_a), char_length(line_b))")
+    x = _bound(x, _front=common_prefix("line_a", "line_b", "_most"))
+    x = _bound(x, _back=common_suffix("line_a", "line_b", "_most - _front"))
+    middle = {}
     for c in "ab":
-        middle = f"substring(line_{c}, _front + 1, char_length(line_{c}) - _front - _back)"
-        x = x.withColumn(f"_{c}", F.expr(f"if(char_length(line_{c}) = _front + _back, cast(array() as array<string>), split({middle}, ''))"))
-    x = x.withColumn("_distance", F.expr(banded_distance("_a", "_b", max_edits)))
+        rest = f"char_length(line_{c}) - _front - _back"
+        middle[f"_{c}"] = f"if({rest} = 0, cast(array() as array<string>), split(substring(line_{c}, _front + 1, {rest}), ''))"
+    x = _bound(x, **middle)
+    x = _bound(x, _distance=banded_distance("_a", "_b", max_edits))
     return x.where(F.col("_distance") <= max_edits).drop("_most", "_front", "_back", "_a", "_b", "_distance")
 
 
