@@ -32,7 +32,7 @@ def corpus(spark: SparkSession, n: int) -> DataFrame:
         f"if(id % 10 = 0 and id < {n - 7}, sequence(3L, 7L), cast(array() as array<bigint>)), "
         f"if(id % 1000 = 0 and id < {n - 158}, sequence(8L, 157L), cast(array() as array<bigint>)))"
     )
-    return i.select(F.col("id").alias("from_id"), (F.col("id") + F.explode(offsets)).alias("to_id")).where(F.col("to_id") < n)
+    return i.select("id", F.explode(offsets).alias("k")).select(F.col("id").alias("from_id"), (F.col("id") + F.col("k")).alias("to_id")).where(F.col("to_id") < n)
 
 
 def reach_counts(edges: DataFrame, root: int, depth: int) -> DataFrame:
