@@ -3,52 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize, shared_path, shared_root  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where a session names none (unit tests on one machine) a temporary folder
-    is made and set.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    root = tempfile.mkdtemp(prefix="archgraph-shared-")
-    sc.setCheckpointDir(root)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for one table in the shared folder."""
-    return f"{shared_root(spark)}/archgraph/{uuid.uuid4().hex}/{label}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet to the shared folder, and read it back.
-
-    The files survive lost executors, and a later step never repeats the work above it.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that start with ``names`` and clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -80,15 +48,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows handed to Python code at once; texts may be long, so this stays small.
-SLICE_ROWS = 512
+#: Rows and bytes handed to Python code at once: texts may be long, so both are bounded.
+SLICE_ROWS, SLICE_BYTES = 2048, 5_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that one slice of long texts fits in memory."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of rows and bytes (a single longer row is a slice of its own)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        lengths = np.zeros(batch.num_rows, dtype=np.int64)
+        for column_ in batch.columns:
+            if pa.types.is_string(column_.type) or pa.types.is_binary(column_.type):
+                lengths += pc.fill_null(pc.binary_length(column_), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            until = int(np.searchsorted(ends, before + size, side="right"))
+            until = min(max(until, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, until - at)
+            at = until
 
 
 def map_columns(make: Callable[[pa.RecordBatch], list[pa.Array]], schema: pa.Schema):

@@ -15,6 +15,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._common import tokenizer_path
 
@@ -40,59 +42,108 @@ class ChunkEncoder:
         #: Packed ids of chunks as they are, and of words that a space comes before.
         self.memo: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids start with a space, and which are a line feed.
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.feeds = self.starts.copy()
+        for token, i in vocabulary.items():
+            self.starts[i] = token.startswith("\u0120")
+            self.feeds[i] = token == "\u010a"
+        #: The ids of marks that stand alone after a letter.
+        self.marks = {x: self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,;:?!"}
         self.line_feed = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _find(self, memo: dict[str, bytes], chunks: list[str], prefix: str = "") -> list[bytes]:
+    def _learn(self, memo: dict[str, bytes], new: list[str], before: str) -> dict[str, bytes]:
+        """Encode chunks that come after ``before`` (a space, a line feed or nothing), many in one call, and remember them."""
+        learned: dict[str, bytes] = {}
+        for at in range(0, len(new), 16_384):
+            part = new[at : at + 16_384]
+            packed = None
+            if before:
+                # No chunk has white space inside, so each starts at a token that starts with ``before``.
+                (whole,) = self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)
+                ids = np.array(whole.ids, dtype=self.dtype)
+                starts = np.flatnonzero((self.starts if before == " " else self.feeds)[ids])
+                if len(starts) == len(part):
+                    size, raw = self.dtype.itemsize, ids.tobytes()
+                    # The line feed is a token of its own, and not the chunk's.
+                    skip = 0 if before == " " else 1
+                    ends = [*(starts[1:] * size).tolist(), len(raw)]
+                    packed = [raw[a:b] for a, b in zip(((starts + skip) * size).tolist(), ends)]
+            if packed is None:
+                lead = before if before == " " else ""
+                encoded = self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)
+                packed = [array(self.code, x.ids).tobytes() for x in encoded]
+            learned.update(zip(part, packed))
+        if len(memo) + len(learned) > self.memo_entries:
+            memo.clear()
+        memo.update(learned)
+        return learned
+
+    def _find(self, memo: dict[str, bytes], chunks: list[str], before: str = "") -> list[bytes]:
         """The packed ids of the chunks; those that the memo lacks are encoded together."""
         found = list(map(memo.get, chunks))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            new = list({chunks[i] for i in missing})
-            learned: dict[str, bytes] = {}
-            for at in range(0, len(new), 65_536):
-                part = new[at : at + 65_536]
-                encoded = self.tokenizer.encode_batch_fast([prefix + x for x in part] if prefix else part, add_special_tokens=False)
-                learned.update(zip(part, [array(self.code, x.ids).tobytes() for x in encoded]))
-            for i in missing:
-                found[i] = learned[chunks[i]]
-            if len(memo) + len(learned) > self.memo_entries:
-                memo.clear()
-            memo.update(learned)
+            marks = self.marks
+            # A mark after a letter is a token of its own: such words need their stems only.
+            wanted = [chunks[i] for i in missing]
+            stems = [x[:-1] if x[-1:] in marks and x[-2:-1].isalpha() else x for x in wanted] if before else wanted
+            known = {x: memo.get(x) for x in stems}
+            known.update(self._learn(memo, [x for x, ids in known.items() if ids is None], before))
+            for i, word, stem in zip(missing, wanted, stems):
+                found[i] = known[stem] if word is stem else known[stem] + marks[word[-1]]
         return found
 
+    def _even(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose words are apart by single spaces or line feeds.
+
+        Words are numbered by a dictionary over the slice, so Python sees each different one once.
+        """
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
+        offsets = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        # Words that lines start or end inside are looked up by their pieces.
+        broken = {i: x.split("\n") for i, x in enumerate(words) if "\n" in x}
+        firsts = [words[c].split("\n") for c in codes[offsets[:-1]].tolist()]
+        simple = [x if i not in broken else broken[i][0] for i, x in enumerate(words)]
+        packed = self._find(self.spaced, simple, " ")
+        plain = [y for x in broken.values() for y in x[1:]] + [y for x in firsts for y in x]
+        heads = iter(self._find(self.memo, plain, "\n"))
+        for i, pieces in broken.items():
+            packed[i] = self.line_feed.join([packed[i], *(next(heads) for _ in pieces[1:])])
+        packed += [self.line_feed.join([next(heads) for _ in pieces]) for pieces in firsts]
+        codes[offsets[:-1]] = len(words) + np.arange(len(texts))
+        size = self.dtype.itemsize
+        lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // size
+        starts = np.cumsum(lengths) - lengths
+        pool = np.frombuffer(b"".join(packed), dtype=self.dtype)
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[offsets]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
-        plans: list = []
-        plain: list[str] = []
-        spaced: list[str] = []
-        for text in texts:
+        out: list = [None] * len(texts)
+        even: list[int] = []
+        for i, text in enumerate(texts):
             if not text:
-                plans.append(b"")
+                out[i] = np.zeros(0, dtype=self.dtype)
             elif (other := OTHER.search(text)) and UNSURE.search(text):
-                plans.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
             elif other or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-                chunks = CHUNK.findall(text)
-                plans.append((len(plain), len(plain) + len(chunks)))
-                plain += chunks
+                out[i] = np.frombuffer(b"".join(self._find(self.memo, CHUNK.findall(text))), dtype=self.dtype)
             else:
-                lines = []
-                for line in text.split("\n"):
-                    first, *words = line.split(" ")
-                    lines.append((len(plain), len(spaced), len(spaced) + len(words)))
-                    plain.append(first)
-                    spaced += words
-                plans.append(lines)
-        chunk, word = self._find(self.memo, plain), self._find(self.spaced, spaced, " ")
-        out = []
-        for plan in plans:
-            if isinstance(plan, tuple):
-                plan = b"".join(chunk[plan[0] : plan[1]])
-            elif isinstance(plan, list):
-                plan = self.line_feed.join([chunk[k] + b"".join(word[a:b]) for k, a, b in plan])
-            out.append(np.frombuffer(plan, dtype=self.dtype))
+                even.append(i)
+        for i, ids in zip(even, self._even([texts[i] for i in even]) if even else ()):
+            out[i] = ids
         return out
 
 
