@@ -66,4 +66,5 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
             doc_id = max(doc_id) over (partition by text_sha256) as kept, text_sha256
         from t""",
+    "op7_url_reputation": url_filter.oracle_sql(),
 }

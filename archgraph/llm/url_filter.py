@@ -79,7 +79,7 @@ def _strength(level: DataFrame) -> DataFrame:
         "case when m > 1 and total > m and bad > 0 and bad < total then (between - cast(bad as double) * bad / total) / (m - 1) end as msb",
         "case when m > 1 and total > m then (bad - between) / (total - m) end as msw",
         "case when m > 1 then (total - squares / total) / (m - 1) end as n0",
-    ).selectExpr("(msb - msw) / (msb + (n0 - 1) * msw) as rho")
+    ).selectExpr("(msb - msw) / nullif(msb + (n0 - 1) * msw, 0) as rho")
     return known.selectExpr(
         f"case when rho is null or rho <= {1 / (1 + MOST_STRENGTH)} then {MOST_STRENGTH}D "
         f"when rho >= {1 / (1 + LEAST_STRENGTH)} then {LEAST_STRENGTH}D else (1 - rho) / rho end as strength"
@@ -127,3 +127,36 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, block_rate: flo
         "page_id", "host", "path", f"{name} as rule",
         f"coalesce({verdict}, if(bad_lower > {float(block_rate)}D, 'block', 'allow')) as verdict", "bad_rate", "bad_lower",
     )
+
+
+def oracle_sql(rules=RULES, block_rate: float = BLOCK_RATE) -> str:
+    """DuckDB SQL for page_id, host, path, rule and verdict of ``judge_urls``."""
+    pattern = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    ranked = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for h, p, _ in ranked]
+    name = "case " + " ".join(f"when {f} then '{h + p}'" for f, (h, p, _) in zip(fits, ranked)) + " end"
+    ruled = "case " + " ".join(f"when {f} then '{v}'" for f, (_, _, v) in zip(fits, ranked)) + " end"
+    two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
+    def strength(level: str) -> str:
+        return f"""(select case when rho is null or rho <= {1 / (1 + MOST_STRENGTH)} then {MOST_STRENGTH}::double when rho >= {1 / (1 + LEAST_STRENGTH)} then {LEAST_STRENGTH}::double else (1 - rho) / rho end
+            from (select (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) as rho from (select
+                case when m > 1 and total > m and bad > 0 and bad < total then (betw - bad::double * bad / total) / (m - 1) end as msb,
+                case when m > 1 and total > m then (bad - betw) / (total - m) end as msw, case when m > 1 then (total - squares / total) / (m - 1) end as n0
+                from (select count(*) as m, sum(n)::double as total, sum(k)::double as bad, sum(n::double * n) as squares, sum(k::double * k / n) as betw from {level} where n > 0))))"""
+
+    return f"""
+        with parsed as (select page_id, translate(regexp_extract(u, {pattern}, 1), '{UPPER}', '{LOWER}') as host, regexp_extract(u, {pattern}, 2) as path from (select page_id, coalesce(url, '') as u from pages)),
+        lab as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
+        hosts as (select host, count(bad) as n, coalesce(sum(bad), 0)::bigint as k, string_split(host, '.') as parts
+            from parsed left join lab on lab.doc_id = try_cast(regexp_extract(path, '^/[^/]*/([0-9]+)', 1) as bigint) group by host),
+        wide as (select *, case when len(parts) > 2 and array_to_string(parts[-2:], '.') in ({two}) then 2 else 1 end as width from hosts),
+        split_ as (select host, n, k, array_to_string(parts[-width:], '.') as suffix, array_to_string(parts[-(width + 1):], '.') as domain from wide),
+        domains as (select suffix, domain, sum(n)::bigint as n, sum(k)::bigint as k from split_ group by all),
+        suffixes as (select suffix, sum(n)::bigint as n, sum(k)::bigint as k from domains group by all),
+        s as (select suffix, (k + {strength("suffixes")} * (select (coalesce(sum(k), 0) + 1.0::double) / (coalesce(sum(n), 0) + 2.0::double) from suffixes)) / (n + {strength("suffixes")}) as rate from suffixes),
+        d as (select domain, (k + {strength("domains")} * s.rate) / (n + {strength("domains")}) as rate from domains join s using (suffix)),
+        h as (select host, k + {strength("split_")} * d.rate as a, n - k + {strength("split_")} * (1 - d.rate) as b from split_ join d using (domain))
+        select page_id, host, path, {name} as rule, coalesce({ruled},
+            case when a / (a + b) - {BOUND}::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {float(block_rate)}::double then 'block' else 'allow' end) as verdict
+        from parsed join h using (host)"""
