@@ -30,9 +30,18 @@ def session(app: str = "archgraph", cores: int = 8, shuffle_partitions: int = 8,
     return ship(spark)
 
 
+#: Rows of an Arrow batch between Spark and Python: whole texts are long, so fewer than Spark's default.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Add this package to the Python path of the executors, once for each application."""
+    """Add this package to the Python path of the executors, once for each application.
+
+    A session that still has Spark's default of rows for an Arrow batch gets ``BATCH_ROWS``.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         path = os.path.join(tempfile.mkdtemp(prefix="archgraph-"), "archgraph.zip")
