@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._common import tokenizer_path
+from ._common import MEMOS, tokenizer_path
 
 _SPACE = r" \t\n\x0b\x0c\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -26,7 +26,7 @@ CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Those, and white space other than spaces and line feeds.
 OTHER = re.compile(r"[\t\x0b\x0c\r\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85\u180e\ufeff]")
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 1_000_000
 
 
 class ChunkEncoder:
@@ -42,6 +42,7 @@ class ChunkEncoder:
         #: Packed ids of chunks as they are, and of words that a space comes before.
         self.memo: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        MEMOS.extend((self.memo, self.spaced))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Which ids start with a space, and which are a line feed.
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, map_columns, materialize
+from ._common import fresh, map_columns, materialize, slices
 
 COUNTERS = 1024
 
@@ -116,10 +116,8 @@ def keep_largest(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{sha}` binary"])
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                yield part.append_column(sha, pa.array([text_digest(x) for x in part.column(at).to_pylist()], pa.binary()))
+        for part in slices(batches):
+            yield part.append_column(sha, pa.array([text_digest(x) for x in part.column(at).to_pylist()], pa.binary()))
 
     winners = _winners(materialize(digests(docs), "digests"), counters).selectExpr(f"sha as `{sha}`", f"hot_keep as `{keep}`", f"hot_size as `{size}`")
     marked = docs.mapInArrow(run, schema).join(F.broadcast(winners), sha, "left")

@@ -53,7 +53,7 @@ def _tokenize(vocabulary: str, end_id: int):
         coder = encoder(vocabulary)
         size = max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         tail = np.array([end_id], dtype=coder.dtype)
-        for batch in slices(batches):
+        for batch in slices(batches, remember=True):
             ids = coder.encode(batch.column(1).to_pylist())
             keys = document_keys(ids, size)
             whole = [np.concatenate([x, tail]).astype(coder.dtype) for x in ids]

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, tokenizer_path
+from ._common import MEMOS, slices, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: How much worse than the worst piece a character without pieces is.
 UNKNOWN_PENALTY = 10.0
 
@@ -162,6 +162,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, memo_entries: int = MEMO_ENTRIES) -> None:
         self.vocabulary = vocabulary
         self.memo: dict[str, bytes] = {}
+        MEMOS.append(self.memo)
         self.memo_entries = memo_entries
         self.search = StreamingViterbi(vocabulary)
         self.surface = vocabulary.surfaces.__getitem__
@@ -205,7 +206,7 @@ def encoder(name: str) -> Encoder:
 def _encode_decode(name: str):
     def run(batches):
         coder = encoder(name)
-        for batch in slices(batches):
+        for batch in slices(batches, remember=True):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text)
