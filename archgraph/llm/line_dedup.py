@@ -4,14 +4,14 @@ Two lines are linked at an edit distance of at most ``max_edits`` (2) code point
 of under ``min_chars`` code points only when identical. A class of lines is what links
 reach, and of a class the first occurrence, by (doc_id, line number), stays.
 
-1. Lines are made distinct by hash, with a map-side part, into a table in the shared folder
-   that is bucketed by the hash. Later steps look lines up there without moving text.
+1. Lines are made distinct by hash, with a map-side part, into a table in the shared folder:
+   the one shuffle that moves all text.
 2. A line of length l is cut into ``max_edits + 1`` even segments; each is filed under
    (segment number, l, its hash). If two lines are within ``max_edits``, some segment of
    the shorter one stands unchanged in the longer one, at a place that few shifts allow
    (the multi-match-aware bounds of Li et al., "Pass-Join", 2011). So a line looks, for
    each length l up to ``max_edits`` below its own, under a few substrings of its own.
-3. Candidate pairs, made distinct, fetch their lines; common ends are stripped, and a banded
+3. Candidate pairs, made distinct, fetch their lines in one look at all; common ends are stripped, and a banded
    bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
    of the band is one step on two bit vectors of 2 * max_edits + 1 bits, and a pair that
    can't come back under the bound stops counting.
@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, shared_path, shuffle_partitions
+from ._common import fresh, materialize, shared_path, shuffle_partitions
 from .components import connected_components
 
 MAX_EDITS = 2
@@ -44,37 +44,57 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def segments(length: str, max_edits: int) -> list[tuple[str, str]]:
-    """SQL for (start from 1, length) of each even segment of a line of ``length`` (SQL too)."""
-    n = max_edits + 1
-    out = []
-    for i in range(1, n + 1):
-        # The last (length % n) segments are one longer.
-        longer_before = f"greatest({i - 1} - ({n} - ({length}) % {n}), 0)" if i > 1 else "0"
-        longer = f"if({i} > {n} - ({length}) % {n}, 1, 0)"
-        out.append((f"(1 + {i - 1} * (({length}) div {n}) + {longer_before})", f"((({length}) div {n}) + {longer})"))
-    return out
+#: Letters whose counts two near lines must nearly share. Any would do; frequent ones tell most lines apart.
+BAG = "etaoinsr"
+
+
+def letter_bag(line: str) -> str:
+    """SQL for the counts of ``BAG``'s letters, each up to 255, in the bytes of a long."""
+    counts = (f"cast(least(255, octet_length({line}) - octet_length(replace({line}, '{x}', ''))) as bigint)" for x in BAG)
+    return " | ".join(f"shiftleft({c}, {8 * k})" for k, c in enumerate(counts))
+
+
+def bags_near(a: str, b: str, max_edits: int) -> str:
+    """SQL that holds for any two lines within ``max_edits``: an edit changes two counts by one at most."""
+    return " + ".join(f"abs((shiftright({a}, {8 * k}) & 255) - (shiftright({b}, {8 * k}) & 255))" for k in range(len(BAG))) + f" <= {2 * max_edits}"
+
+
+#: A key that so many lines are filed under is hot.
+HOT_KEY = 32
 
 
-def filed_keys(max_edits: int) -> list[str]:
-    return [f"xxhash64({i}, n, substring(line, cast({p} as int), cast({q} as int)))" for i, (p, q) in enumerate(segments("n", max_edits), 1)]
+def placed(max_edits: int, delta: str, i: str) -> tuple[str, str]:
+    """SQL for (start from 1, length) of even segment ``i`` of a line ``delta`` shorter than ``n``; the last ones are one longer."""
+    parts = max_edits + 1
+    short = f"({parts} - (n - {delta}) % {parts})"  # so many segments have the lesser length
+    length = f"((n - {delta}) div {parts})"
+    return f"cast(1 + ({i} - 1) * {length} + greatest({i} - 1 - {short}, 0) as int)", f"cast({length} + if({i} > {short}, 1, 0) as int)"
 
 
-def sought_keys(max_edits: int, min_chars: int) -> list[str]:
-    """SQL for each key a line of length n looks under; null where it can't match."""
+def places(max_edits: int) -> list[tuple[int, int, int]]:
+    """(length below the own, segment, shift) of each substring that a line looks under."""
     out = []
     for delta in range(max_edits + 1):
-        length = f"(n - {delta})"
-        for i, (p, q) in enumerate(segments(length, max_edits), 1):
+        for i in range(1, max_edits + 2):
             low = max(-(i - 1), delta - (max_edits + 1 - i))
             high = min(i - 1, delta + (max_edits + 1 - i))
-            for shift in range(low, high + 1):
-                start = f"({p} + {shift})"
-                fits = f"{length} >= {min_chars} and {start} >= 1 and {start} + {q} - 1 <= n"
-                out.append(f"if({fits}, xxhash64({i}, cast({length} as int), substring(line, cast({start} as int), cast({q} as int))), null)")
+            out += [(delta, i, shift) for shift in range(low, high + 1)]
     return out
 
 
+def _keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """``h, filed, key``: what each line is filed under, and what it looks under.
+
+    One small expression over a generator of places, which compiles well.
+    """
+    rows = [(0, i, 0, True) for i in range(1, max_edits + 2)] + [(*p, False) for p in places(max_edits)]
+    table = ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()})" for d, i, s, f in rows)
+    begin, length = placed(max_edits, "delta", "i")
+    each = lines.select("h", "line", "n", F.expr(f"inline(array({table}))")).where(f"n - delta >= {min_chars}")
+    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"{begin} + shift as start", f"{length} as size").where("start >= 1 and start + size - 1 <= n")
+    return each.selectExpr("h", "filed", "xxhash64(i, n - delta, substring(line, start, size)) as key")
+
+
 #: Steps of the search for the length of common ends: lines of up to 2 ** 31 characters.
 _STEPS = "array(" + ", ".join(str(1 << b) for b in range(30, -1, -1)) + ")"
 
@@ -141,27 +161,40 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
     """``a, b``: the MD5 digests of each two different lines within ``max_edits``."""
     if min_chars <= max_edits:
         raise ValueError("lines that can be near need more characters than edits")
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     long_ = occurrences(docs).where(F.char_length("line") >= min_chars)
     hashed = long_.select(F.xxhash64("line").alias("h"), F.struct(F.unhex(F.md5("line")).alias("id"), F.col("line")).alias("x"))
     # Two lines with one 64-bit hash both stay.
     distinct = hashed.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     distinct = distinct.select("h", F.explode(F.expr("if(low.id = high.id, array(low), array(low, high))")).alias("x")).select("h", "x.id", "x.line", F.char_length("x.line").alias("n"))
+    # Bucketed by the hash as the shuffle left it, so that lines are looked up without moving them again.
     name = f"archgraph_lines_{uuid.uuid4().hex}"
-    distinct.write.bucketBy(buckets, "h").option("path", shared_path(spark, "lines")).option("compression", "zstd").saveAsTable(name)
+    distinct.write.bucketBy(shuffle_partitions(docs.sparkSession), "h").option("path", shared_path(docs.sparkSession, "lines")).option("compression", "zstd").saveAsTable(name)
     try:
-        lines = spark.table(name)
-        filed = lines.select(F.col("h").alias("ha"), F.explode(F.expr(f"array({', '.join(filed_keys(max_edits))})")).alias("key"))
-        sought = lines.select(F.col("h").alias("hb"), F.explode(F.expr(f"filter(array({', '.join(sought_keys(max_edits, min_chars))}), k -> k is not null)")).alias("key"))
-        pairs = filed.join(sought, "key").where("ha <> hb").selectExpr("least(ha, hb) as ha", "greatest(ha, hb) as hb").distinct()
-        pairs = materialize(pairs, "pairs")
-        a = lines.selectExpr("h as ha", "id as a", "line as line_a")
-        b = lines.selectExpr("h as hb", "id as b", "line as line_b")
-        found = pairs.hint("shuffle_hash").join(a, "ha").hint("shuffle_hash").join(b, "hb")
-        return materialize(verified(found, max_edits).select("a", "b"), "line-links")
+        return _links_of(docs.sparkSession.table(name), max_edits, min_chars)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay, as those of any table in the shared folder
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay, as those of any table in the shared folder
+
+
+def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    keys = materialize(_keys(lines, max_edits, min_chars), "keys")
+    filed, sought = keys.where("filed").selectExpr("key", "h as ha"), keys.where("not filed").selectExpr("key", "h as hb")
+    hot = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {HOT_KEY}").select("key"), "hot-keys")
+    ordered = "least(ha, hb) as ha", "greatest(ha, hb) as hb"
+    cold = materialize(filed.join(hot, "key", "left_anti").join(sought, "key").where("ha <> hb").selectExpr(*ordered).distinct(), "pairs")
+    hot_rows = materialize(keys.join(hot, "key", "left_semi"), "hot-rows")
+    # One look at all lines fetches the few whose text is compared.
+    asked = cold.selectExpr("ha as h").union(cold.select("hb")).union(hot_rows.select("h")).distinct()
+    texts = materialize(asked.hint("shuffle_hash").join(lines, "h").select("h", "id", "line"), "texts")
+    near = cold.union(_hot_pairs(hot_rows, texts, max_edits).selectExpr(*ordered)).distinct()
+    a, b = (texts.selectExpr(f"h as h{x}", f"id as {x}", f"line as line_{x}") for x in "ab")
+    return materialize(verified(near.join(a, "ha").join(b, "hb"), max_edits).select("a", "b"), "line-links")
+
+
+def _hot_pairs(rows: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """``ha, hb`` of the near lines that meet under hot keys; the join's own condition compares them."""
+    described = texts.select("h", "line", F.expr(letter_bag("line")).alias("bag"))
+    a, b = (rows.where(side).join(described, "h").selectExpr("key", f"h as h{x}", f"line as line_{x}", f"bag as bag_{x}") for side, x in (("filed", "a"), ("not filed", "b")))
+    return a.join(b, "key").where(f"ha <> hb and {bags_near('bag_a', 'bag_b', max_edits)} and levenshtein(line_a, line_b, {max_edits}) >= 0").select("ha", "hb")
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -201,8 +234,8 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
 
 def apply_removal(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` with the lines that ``decided`` (of deduplicate_lines) removes cut from each text."""
-    (gone,) = ("_removed",)
-    plan = decided.select(F.col("doc_id").alias("_id"), F.col("removed").alias(gone))
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    cut = F.expr(f"array_join(filter(split(text, '\n', -1), (line, i) -> not array_contains(coalesce({gone}, cast(array() as array<int>)), i)), '\n')")
+    key, gone = fresh(docs, "_id", "_removed")
+    plan = decided.select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
+    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[key]), "left")
+    cut = F.expr(f"array_join(filter(split(text, '\n', -1), (line, i) -> not array_contains(coalesce(`{gone}`, cast(array() as array<int>)), i)), '\n')")
     return joined.select(*((F.when(F.col("text").isNotNull(), cut).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns))
