@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import rules
-from ..plans.fixpoint import closure, least_path, levels, seeds
+from ..plans.fixpoint import MAX_ROUNDS, Levels, closure, least_path, levels, seeds
 from ..plans.shared import materialize
 from ..schema import DEFAULT_MAX_HOPS, EDGE_COLUMNS
 
@@ -99,22 +99,26 @@ def context(graph: Graph, root: str) -> Answer:
     return Answer(describe(nodes, merged, graph.entities), merged, nodes.where(F.col("node") != root).select(F.col("node").alias("entity"), F.lit(1).alias("hops")))
 
 
-def _answer(graph: Graph, start: str, edges: DataFrame, steps: DataFrame, max_hops: int) -> Answer:
+def _answer(graph: Graph, start: str, edges: DataFrame, found: Levels) -> Answer:
     merged = materialize(with_edge_ids(merge_edges(edges)), "merged")
-    found = levels(steps, seeds(edges.sparkSession, start), max_hops)
     inside = merged.join(found.reached.selectExpr("node as from_id"), "from_id", "left_semi").join(found.reached.selectExpr("node as to_id"), "to_id", "left_semi")
     entries = found.reached.where(F.col("node") != start).select(F.col("node").alias("entity"), "hops")
     return Answer(describe(found.reached, inside, graph.entities), inside, entries, found.truncated)
 
 
 def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
-    """What an entity depends on, with distances: the forward closure, then levels over its edges."""
+    """What an entity depends on, with distances.
+
+    One search: the whole forward closure by levels, of which the answer shows the first
+    ``max_hops``; edges are numbered over all of the closure.
+    """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
     direct = materialize(graph.direct(), "direct")
-    reached = closure(direct, seeds(direct.sparkSession, start))
-    edges = materialize(direct.join(reached.withColumnRenamed("node", "from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS), "edges")
-    return _answer(graph, start, edges, edges.select("from_id", "to_id").distinct(), max_hops)
+    whole = levels(direct, seeds(direct.sparkSession, start), MAX_ROUNDS)
+    edges = materialize(direct.join(whole.reached.selectExpr("node as from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS), "edges")
+    near = whole.reached.where(F.col("hops") <= max_hops)
+    return _answer(graph, start, edges, Levels(near, not whole.reached.where(F.col("hops") == max_hops + 1).isEmpty()))
 
 
 def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -136,7 +140,7 @@ def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer
     edges = materialize(taken, "edges")
     forward = "relation = 'implemented_by' and startswith(from_id, 'grpc://')"
     steps = edges.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id").distinct()
-    return _answer(graph, start, edges, steps, max_hops)
+    return _answer(graph, start, edges, levels(steps, seeds(spark, start), max_hops))
 
 
 def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:

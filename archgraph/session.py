@@ -31,7 +31,7 @@ def session(app: str = "archgraph", cores: int = 8, shuffle_partitions: int = 8,
 
 
 #: Rows of an Arrow batch between Spark and Python: whole texts are long, so fewer than Spark's default.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "2500"
 
 
 def ship(spark: SparkSession) -> SparkSession:
