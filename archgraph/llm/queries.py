@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, spm_stream, token_counts, token_output, url_filter
-from ._common import table
+from ._common import shared_path, table
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    # A cache of its own for each run: what is measured is the encoding, not what an earlier run left.
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), shared_path(spark, "token-counts"))
 
 
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
