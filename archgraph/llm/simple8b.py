@@ -30,6 +30,8 @@ _SMALL = np.array([x.bit_length() for x in range(1 << 16)], dtype=np.uint8)
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """The bits of each id."""
+    if ids.dtype == np.uint16:
+        return _SMALL[ids]
     out = np.zeros(len(ids), dtype=np.uint8)
     rest = ids
     for shift in range(0, 8 * ids.dtype.itemsize, 16):
@@ -47,46 +49,51 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, dtype="<u8"), np.zeros(1, dtype="<u8"), np.zeros(0, dtype="<u8")
-    padded = np.zeros(blocks * BLOCK, dtype=np.uint32 if ids.dtype.itemsize <= 4 else np.uint64)
+    kind = ids.dtype.type if ids.dtype in (np.uint16, np.uint32) else np.uint64
+    padded = np.zeros(blocks * BLOCK + 128, dtype=kind)
     padded[:n] = ids
-    # Bits of each id, and the selectors that fit from each place on: from few ids to many, the last that fits wins.
-    widths = _widths(padded)
-    step = np.ones(blocks * BLOCK, dtype=np.int16)
-    selector = np.full(blocks * BLOCK, 15, dtype=np.uint8)
-    selector[widths > 60] = 0
-    grid = np.zeros((blocks, BLOCK + 128), dtype=np.uint8)  # what follows a block's end is padding, and fits
-    grid[:, :BLOCK] = widths.reshape(blocks, BLOCK)
+    # Bits of each id; what follows a block's end is padding, and fits.
+    widths = np.zeros((blocks, BLOCK + 128), dtype=np.uint8)
+    widths[:, :BLOCK] = _widths(padded[: blocks * BLOCK]).reshape(blocks, BLOCK)
+    # The selectors that fit from each place on: from few ids to many, the last that fits wins.
+    selector = np.full((blocks, BLOCK), 15, dtype=np.uint8)
+    selector[widths[:, :BLOCK] > 60] = 0
     for s in range(14, 0, -1):
         count, bits = SELECTORS[s]
         # Whether all of the next ``count`` ids are narrow, by windows that double.
-        fits, size = grid <= bits, 1
+        fits, size = widths <= bits, 1
         while size < count and fits[:, :BLOCK].any():
             more = min(size, count - size)
-            fits[:, : fits.shape[1] - more] &= fits[:, more:]
+            fits = fits[:, : fits.shape[1] - more] & fits[:, more:]
             size += more
-        flat = fits[:, :BLOCK].ravel()
-        if size == count and flat.any():
-            np.copyto(step, count, where=flat)
-            np.copyto(selector, s, where=flat)
-    ends = np.minimum((np.arange(blocks, dtype=np.int64) + 1) * BLOCK, n)
-    following = np.minimum(np.arange(blocks * BLOCK) + step, np.repeat(ends, BLOCK)).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = following[at]
+        if size == count:
+            np.copyto(selector, s, where=fits[:, :BLOCK])
+    starts = []
+    flat, counts = selector.tobytes(), COUNTS.tolist()
+    add = starts.append
+    for block in range(blocks):
+        at, end = block * BLOCK, min((block + 1) * BLOCK, n)
+        while at < end:
+            add(at)
+            at += counts[flat[at]]
     starts = np.array(starts, dtype=np.int64)
-    chosen = selector[starts]
+    chosen = selector.ravel()[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     limit = (starts // BLOCK + 1) * BLOCK
-    for s in range(1, 16):
+    for s in range(2, 16):
         which = np.flatnonzero(chosen == s)
         count, bits = SELECTORS[s]
-        if not len(which) or not bits:
+        if not len(which):
             continue
-        at = starts[which][:, None] + np.arange(count)
-        inside = at < limit[which][:, None]
-        values = np.where(inside, padded[np.minimum(at, len(padded) - 1)], 0).astype(np.uint64)
-        words[which] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+        begin = starts[which]
+        word = padded[begin].astype(np.uint64)
+        for k in range(1, count):
+            word |= padded[begin + k].astype(np.uint64) << np.uint64(bits * k)
+        # A block's last word may reach into the next block's ids: it holds its own only.
+        for i in np.flatnonzero(begin + count > limit[which]).tolist():
+            own = padded[begin[i] : limit[which[i]]].tolist()
+            word[i] = sum(x << (bits * k) for k, x in enumerate(own))
+        words[which] |= word
     escapes = padded[starts[chosen == 0]]
     offsets = np.searchsorted(starts, np.arange(blocks + 1) * BLOCK)
     return words.astype("<u8"), offsets.astype("<u8"), escapes.astype("<u8")
