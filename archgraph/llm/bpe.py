@@ -26,6 +26,7 @@ CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Those, and white space other than spaces and line feeds.
 OTHER = re.compile(r"[\t\x0b\x0c\r\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85\u180e\ufeff]")
+MARKS = ".,;:?!"
 MEMO_ENTRIES = 1_000_000
 
 
@@ -51,7 +52,7 @@ class ChunkEncoder:
             self.starts[i] = token.startswith("\u0120")
             self.feeds[i] = token == "\u010a"
         #: The ids of marks that stand alone after a letter.
-        self.marks = {x: self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,;:?!"}
+        self.marks = {x: self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in MARKS}
         self.line_feed = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -87,18 +88,30 @@ class ChunkEncoder:
     def _find(self, memo: dict[str, bytes], chunks: list[str], before: str = "") -> list[bytes]:
         """The packed ids of the chunks; those that the memo lacks are encoded together."""
         found = list(map(memo.get, chunks))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            marks = self.marks
-            # A mark after a letter is a token of its own: such words need their stems only.
-            wanted = [chunks[i] for i in missing]
-            stems = [x[:-1] if x[-1:] in marks and x[-2:-1].isalpha() else x for x in wanted] if before else wanted
-            known = {x: memo.get(x) for x in stems}
-            known.update(self._learn(memo, [x for x, ids in known.items() if ids is None], before))
-            for i, word, stem in zip(missing, wanted, stems):
-                found[i] = known[stem] if word is stem else known[stem] + marks[word[-1]]
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            learned = self._learn(memo, list({chunks[i] for i in missing}), before)
+            for i in missing:
+                found[i] = learned[chunks[i]]
         return found
 
+    def _spaced(self, words: pa.Array) -> list[bytes]:
+        """The packed ids of different words, each after a space.
+
+        A mark after a letter is a token of its own, so such words share the ids of their stems.
+        """
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        last = pc.utf8_slice_codeunits(stems, start=-1)
+        apart = pc.and_(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stems)), 1), pc.utf8_is_alpha(last))
+        coded = pc.if_else(apart, stems, words).dictionary_encode()
+        ids = self._find(self.spaced, coded.dictionary.to_pylist(), " ")
+        packed = [ids[c] for c in coded.indices.to_pylist()]
+        which = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        marks = pc.utf8_slice_codeunits(words.take(pa.array(which)), start=-1).to_pylist()
+        for i, mark in zip(which.tolist(), marks):
+            packed[i] += self.marks[mark]
+        return packed
+
     def _even(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts whose words are apart by single spaces or line feeds.
 
@@ -108,17 +121,21 @@ class ChunkEncoder:
         offsets = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        # Words that lines start or end inside are looked up by their pieces.
-        broken = {i: x.split("\n") for i, x in enumerate(words) if "\n" in x}
-        firsts = [words[c].split("\n") for c in codes[offsets[:-1]].tolist()]
-        simple = [x if i not in broken else broken[i][0] for i, x in enumerate(words)]
-        packed = self._find(self.spaced, simple, " ")
-        plain = [y for x in broken.values() for y in x[1:]] + [y for x in firsts for y in x]
-        heads = iter(self._find(self.memo, plain, "\n"))
-        for i, pieces in broken.items():
-            packed[i] = self.line_feed.join([packed[i], *(next(heads) for _ in pieces[1:])])
-        packed += [self.line_feed.join([next(heads) for _ in pieces]) for pieces in firsts]
+        words = coded.dictionary
+        # Words that hold line feeds are looked up by their pieces: the first after a space, the others at a line's start.
+        at = np.flatnonzero(pc.match_substring(words, "\n").to_numpy(zero_copy_only=False))
+        broken = [x.split("\n") for x in words.take(pa.array(at)).to_pylist()]
+        firsts = [x.split("\n") for x in words.take(pa.array(codes[offsets[:-1]])).to_pylist()]
+        whole = np.ones(len(words), dtype=bool)
+        whole[at] = False
+        packed: list = [None] * len(words)
+        for i, ids in zip(np.flatnonzero(whole).tolist(), self._spaced(words.filter(pa.array(whole)))):
+            packed[i] = ids
+        heads = self._find(self.spaced, [x[0] for x in broken], " ")
+        rest = iter(self._find(self.memo, [y for x in broken for y in x[1:]] + [y for x in firsts for y in x], "\n"))
+        for i, head, pieces in zip(at.tolist(), heads, broken):
+            packed[i] = self.line_feed.join([head, *(next(rest) for _ in pieces[1:])])
+        packed += [self.line_feed.join([next(rest) for _ in pieces]) for pieces in firsts]
         codes[offsets[:-1]] = len(words) + np.arange(len(texts))
         size = self.dtype.itemsize
         lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // size

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, shuffle_partitions, slices
+from ._common import TOKEN_SLICE_BYTES, materialize, shuffle_partitions, slices
 from .bpe import encoder
 from .hilbert import hilbert_key
 
@@ -53,7 +53,7 @@ def _tokenize(vocabulary: str, end_id: int):
         coder = encoder(vocabulary)
         size = max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         tail = np.array([end_id], dtype=coder.dtype)
-        for batch in slices(batches, remember=True):
+        for batch in slices(batches, rows=1 << 14, size=TOKEN_SLICE_BYTES, remember=True):
             ids = coder.encode(batch.column(1).to_pylist())
             keys = document_keys(ids, size)
             whole = [np.concatenate([x, tail]).astype(coder.dtype) for x in ids]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_path, shuffle_partitions, slices
+from ._common import TOKEN_SLICE_BYTES, shared_path, shuffle_partitions, slices
 from .bpe import encoder
 from .simple8b import from_image, to_image
 
@@ -44,11 +44,12 @@ def _write_images(vocabulary: str, end_id: int | None):
                 schema=pa.schema([("part", pa.int32()), ("image_no", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]),
             )
 
-        tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
-        for batch in slices(batches):
+        kind = coder.dtype if end_id is None or end_id < 1 << 16 else np.dtype("<u4")
+        tail = np.zeros(0, kind) if end_id is None else np.array([end_id], kind)
+        for batch in slices(batches, rows=1 << 14, size=TOKEN_SLICE_BYTES, remember=True):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 doc_ids.append(doc_id)
-                held.append(np.concatenate([ids.astype(np.uint32), tail]))
+                held.append(np.concatenate([ids.astype(kind, copy=False), tail]))
                 size += len(held[-1])
                 if size >= IMAGE_IDS:
                     yield close()
@@ -64,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     """Write the ids of all documents under ``path``; returns the path."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = picked.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")).mapInArrow(_write_images(vocabulary, end_id), TABLE).write.parquet(path)
+    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")).mapInArrow(_write_images(vocabulary, end_id), TABLE).write.option("compression", "none").parquet(path)
     return path
 
 
