@@ -277,7 +277,7 @@ _TS_ITEM = re.compile(
     r"\b(class|interface|enum|namespace)\s+([A-Za-z_$][\w$]*)(?:\s*<[^{}]*?>)?(?:\s+extends\s+([\w$.]+))?|\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?=[<(])"
     r"|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;{}]+)?=\s*(?:async\s*)?(?=function\b|\([^()]*\)\s*(?::[^=;{}]+)?=>|[A-Za-z_$][\w$]*\s*=>)"
 )
-_TS_METHOD = re.compile(r"(?:^|[;{}\n])\s*(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^(){};]*>)?\(")
+_TS_METHOD = re.compile(r"(?:^|[;{}\n)])\s*(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^(){};]*>)?\(")
 _TS_CALL = re.compile(r"(?<![\w$.])(new\s+)?((?:[A-Za-z_$][\w$]*\.)*)([A-Za-z_$][\w$]*)\s*\(")
 _TS_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\*\s+as\s+([\w$]+)|\{([^}]*)\})?\s*from\s*(['\"])([^'\"]+)\4")
 _TS_WORDS = frozenset("if for while switch catch function return typeof await super constructor import new delete void in of class else do".split())
