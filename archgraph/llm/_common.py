@@ -52,7 +52,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 #: Rows and bytes handed to Python code at once: texts may be long, so both are bounded.
 SLICE_ROWS, SLICE_BYTES = 2048, 3_000_000
 #: Tokenizing gains by larger slices: a word is looked up once in each.
-TOKEN_SLICE_BYTES = 8_000_000
+TOKEN_SLICE_BYTES = 6_000_000
 
 
 def _release() -> None:
