@@ -3,9 +3,10 @@
 The standard library's streaming parser turns a page into *lines*, one for each block of
 text. Each line has a text-to-tag ratio (its characters over the tags inside it, with
 linked text discounted). The ratios, smoothed by a Gaussian along the page, are clustered
-by a threshold; the clusters vote for the page's content region (its ``article`` or
-``main``, else the smallest container that holds most of the voted text). The region's
-lines are the main text, short ones too, but for those inside boilerplate elements.
+by a threshold; the clusters vote for the page's content region: the smallest container
+that holds most of the voted text, widened to the ``article`` around it and that one's
+sibling articles, else to the ``main`` around it. The region's lines are the main text,
+short ones too, but for those inside boilerplate elements.
 
 Defined cases: a null or empty page gives the empty text; a page that is cut off keeps the
 text before the cut, without the unfinished tag; a page of one short line keeps it;
@@ -180,22 +181,25 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, window, mode="full")[radius:-radius] / weight
 
 
-def _region(node: _Node, tags: frozenset[str]) -> _Node | None:
-    while node is not None and node.tag not in tags:
+def _outermost(node: _Node, tag: str) -> _Node | None:
+    found = None
+    while node is not None:
+        if node.tag == tag:
+            found = node
         node = node.parent
-    return node
+    return found
 
 
-def _within(node: _Node, region: _Node) -> bool:
+def _within(node: _Node, regions: list[_Node]) -> bool:
     while node is not None:
-        if node is region:
+        if any(node is x for x in regions):
             return True
         node = node.parent
     return False
 
 
-ARTICLE = frozenset(("article",))
-MAIN = frozenset(("main",))
+#: A container holds most of the voted text from this share on.
+MOST = 0.7
 
 
 def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> str:
@@ -221,45 +225,41 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
     voters = smoothed > min(strength * float(smoothed.std()), 0.999 * float(smoothed.max()))
     if not voters.any():
         voters[:] = True
-    region = _vote(lines, voters)
+    regions = _vote(lines, voters)
+    semantic = regions[0].tag in ("article", "main")
     kept = []
     for text, _, linked, node in lines:
-        if not _within(node, region):
+        if not _within(node, regions):
             continue
         if node.header and not node.heading:
             continue  # an article's own header keeps its headings only
-        if node.header and region.tag not in ("article", "main"):
+        if node.header and not semantic:
             continue
-        if region.tag not in ("article", "main") and linked > 0.6 * len(text):
+        if not semantic and linked > 0.6 * len(text):
             continue
         kept.append(text)
     return "\n".join(kept)
 
 
-def _vote(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> _Node:
+def _vote(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
+    """The content region: articles beside each other, or else one element."""
     total = sum(len(x[0]) for x, voted in zip(lines, voters) if voted)
-    for tags in (ARTICLE, MAIN):
-        weights: dict[int, list] = {}
-        for (text, _, linked, node), voted in zip(lines, voters):
-            if (found := _region(node, tags)) is not None:
-                while (outer := _region(found.parent, tags)) is not None:
-                    found = outer
-                weights.setdefault(id(found), [0, 0, found])
-                weights[id(found)][0] += voted * max(0, len(text) - linked)
-                weights[id(found)][1] += len(text)
-        if weights and (best := max(weights.values(), key=lambda x: (x[0], x[1])))[0] >= 0.2 * total:
-            return best[2]
-    # The smallest container that holds most of the text of the voted lines.
     held: dict[int, list] = {}
     for (text, _, _, node), voted in zip(lines, voters):
-        depth, chain = 0, []
+        chain = []
         while node is not None:
             if node.tag in REGION or node.tag == "#root":
                 chain.append(node)
             node = node.parent
         for depth, found in enumerate(reversed(chain)):
             held.setdefault(id(found), [0, depth, found])[0] += voted * len(text)
-    return max((x for x in held.values() if x[0] >= 0.7 * total), key=lambda x: (x[1], x[0]))[2]
+    smallest = max((x for x in held.values() if x[0] >= MOST * total), key=lambda x: (x[1], x[0]))[2]
+    if (article := _outermost(smallest, "article")) is not None:
+        # Its siblings are parts of the same text: those in its main element, else in its parent.
+        scope = [_outermost(article, "main") or article.parent]
+        found = {id(x): x for _, _, _, node in lines if (x := _outermost(node, "article")) is not None and _within(x, scope)}
+        return list(found.values())
+    return [_outermost(smallest, "main") or smallest]
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -47,3 +47,24 @@ def test_table(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "z", 1), (1, "é", 1), (2, "", 0), (2, "", 0)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def paragraphs(name, count):
+    return "".join(f"<p>Paragraph {i} of {name} has enough words to look like text, and then some more.</p>" for i in range(count))
+
+
+def test_sibling_articles_all_stay():
+    for first, second in ((5, 5), (8, 2), (2, 8)):
+        for wrap in ("<main>{}</main>", "<body><div>{}</div></body>", "<main><section>{}</section></main>"):
+            got = main_text(wrap.format(f"<article>{paragraphs('one', first)}</article><article>{paragraphs('two', second)}</article>"))
+            assert got.count("of one") == first and got.count("of two") == second
+    got = main_text(f"<main><section><article>{paragraphs('one', 9)}</article></section><section><article>{paragraphs('two', 1)}</article></section></main>")
+    assert got.count("of one") == 9 and got.count("of two") == 1
+
+
+def test_teaser_article_does_not_take_the_page():
+    for text, teaser in ((9, 1), (8, 2), (15, 5), (7, 3), (6, 4)):
+        got = main_text(f"<body><div><h1>Title</h1>{paragraphs('text', text)}</div><article>{paragraphs('teaser', teaser)}</article></body>")
+        assert got.count("of text") == text
+    got = main_text(f"<main><h1>Title</h1><div>{paragraphs('text', 8)}</div><article>{paragraphs('teaser', 2)}</article></main>")
+    assert got.startswith("Title") and got.count("of text") == 8
