@@ -58,17 +58,27 @@ NOISE_WORDS = frozenset(
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations widget"
     " widgets pagination pager skip copyright disclaimer hidden complementary contentinfo".split()
 )
+#: Those whose elements may hold most of a page's text and still be none of its main text.
+DISCUSSION_WORDS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
+#: Words that an article or main is marked by.
+ARTICLE_NOISE_WORDS = frozenset("comment comments ad ads advert related".split())
+#: Words that turn the next one into a statement on the layout, as in "has-sidebar".
+LAYOUT_WORDS = frozenset("has no with without".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
+WORD = re.compile("[a-z0-9]+")
+NO_MARKS: frozenset[str] = frozenset()
 UNFINISHED = re.compile(r"<(?=[A-Za-z/!?])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "noise", "header", "heading", "link")
+    __slots__ = ("tag", "parent", "noise", "marks", "marked", "header", "heading", "link")
 
-    def __init__(self, tag: str, parent: "_Node | None", noise: bool, header: bool) -> None:
+    def __init__(self, tag: str, parent: "_Node | None", noise: bool, marks: frozenset[str], header: bool) -> None:
         self.tag, self.parent, self.noise, self.header = tag, parent, noise, header
+        #: Its own noise words, and whether it or an element around it has some.
+        self.marks, self.marked = marks, bool(marks) or (parent is not None and parent.marked)
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
         self.link = tag == "a" or (parent is not None and parent.link)
 
@@ -78,7 +88,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [_Node("#root", None, False, False)]
+        self.stack = [_Node("#root", None, False, frozenset(), False)]
         self.lines: list[tuple[str, int, int, _Node]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -109,11 +119,21 @@ class _Lines(HTMLParser):
         style = attrs.get("style", "").replace(" ", "").lower()
         if "display:none" in style or "visibility:hidden" in style:
             return True
+        return False
+
+    def marks(self, tag: str, attrs: dict[str, str]) -> frozenset[str]:
+        """The noise words of an element's class and id."""
+        if tag in ("html", "body") or not ("class" in attrs or "id" in attrs):
+            return NO_MARKS
         if tag in ("article", "main"):
-            words = attrs.get("class", "").lower().replace("-", " ").replace("_", " ").split()
-            return any(w in ("comment", "comments", "ad", "ads", "advert", "related") for w in words)
-        marks = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        return any(w in NOISE_WORDS for w in re.split(r"[^a-z0-9]+", marks))
+            names, noise = attrs.get("class", ""), ARTICLE_NOISE_WORDS
+        else:
+            names, noise = f"{attrs.get('class', '')} {attrs.get('id', '')}", NOISE_WORDS
+        found = set()
+        for name in names.lower().split():
+            words = WORD.findall(name)
+            found.update(w for before, w in zip(["", *words], words) if w in noise and before not in LAYOUT_WORDS)
+        return frozenset(found) if found else NO_MARKS
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -134,7 +154,7 @@ class _Lines(HTMLParser):
         top = self.stack[-1]
         known = {k: v or "" for k, v in attrs}
         noise = top.noise or tag in NOT_CONTENT or self.noisy(tag, known)
-        self.stack.append(_Node(tag, top, noise, top.header or tag == "header"))
+        self.stack.append(_Node(tag, top, noise, self.marks(tag, known), top.header or tag == "header"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,7 +174,7 @@ class _Lines(HTMLParser):
         top = self.stack[-1]
         if self.at is None and not data.isspace():
             self.at = top
-        elif self.at is not None and self.at.noise != top.noise and not data.isspace():
+        elif self.at is not None and (self.at.noise, self.at.marked) != (top.noise, top.marked) and not data.isspace():
             self.flush()  # an inline element such as a label or button is its own line
             self.at = top
         self.parts.append(data)
@@ -220,11 +240,12 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
     lines = [x for x in parser.lines if not x[3].noise]
     if not lines:
         return ""
-    ratios = np.array([max(0, len(text) - 2 * linked) / max(1, tags) for text, tags, linked, _ in lines])
-    smoothed = smooth(ratios, sigma)
-    voters = smoothed > min(strength * float(smoothed.std()), 0.999 * float(smoothed.max()))
-    if not voters.any():
-        voters[:] = True
+    voters = _voters(lines, sigma, strength)
+    if any(x[3].marked for x in lines):
+        lines = _unmarked(lines, voters)
+        if not lines:
+            return ""
+        voters = _voters(lines, sigma, strength)
     regions = _vote(lines, voters)
     semantic = regions[0].tag in ("article", "main")
     kept = []
@@ -241,6 +262,65 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
     return "\n".join(kept)
 
 
+def _voters(lines: list[tuple[str, int, int, _Node]], sigma: float, strength: float) -> np.ndarray:
+    """Which lines are in a cluster of high smoothed ratios."""
+    ratios = np.array([max(0, len(text) - 2 * linked) / max(1, tags) for text, tags, linked, _ in lines])
+    smoothed = smooth(ratios, sigma)
+    voters = smoothed > min(strength * float(smoothed.std()), 0.999 * float(smoothed.max()))
+    if not voters.any():
+        voters[:] = True
+    return voters
+
+
+def _unmarked(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[tuple[str, int, int, _Node]]:
+    """The lines without those in elements that class or id mark as boilerplate.
+
+    A mark counts for nothing on an element that wraps the page: one with at least half of
+    the text in articles and mains, or of the voted text. With an article outside, it must
+    hold most of the voted text and several blocks: an advertisement may outweigh a short
+    article. A comment thread may be as long as any, and wraps the page only if no article
+    and nearly nothing else is outside. A word whose elements hold half of the
+    text in articles together (or of the voted text, without any), as a page builder's blocks
+    do, marks no boilerplate on that page.
+    """
+    total = in_articles = 0
+    held: dict[int, list] = {}  # marked element: voted text, voted lines, text in articles, element
+    paths, of_voters, of_article = [], [], []
+    for (text, _, linked, node), voted in zip(lines, voters):
+        path, article, weight = [], False, int(voted) * len(text)
+        while node is not None:
+            article = article or (node.tag in ("article", "main") and not node.marks)
+            if node.marks:
+                path.append(node)
+            node = node.parent
+        paths.append(path)
+        of_voters.append(weight)
+        of_article.append(article * max(0, len(text) - linked))
+        total += weight
+        in_articles += of_article[-1]
+        for x in path:
+            entry = held.setdefault(id(x), [0, 0, 0, x])
+            entry[0] += weight
+            entry[1] += int(voted)
+            entry[2] += of_article[-1]
+    lifted = set()
+    for key, (all_, blocks, of_articles, x) in held.items():
+        if in_articles and of_articles >= 0.5 * in_articles:
+            lifted.add(key)
+        elif x.marks & DISCUSSION_WORDS:
+            if not in_articles and all_ >= 0.9 * total:
+                lifted.add(key)
+        elif all_ >= 0.5 * total if not in_articles else all_ >= MOST * total and blocks > 2:
+            lifted.add(key)
+    shares: dict[str, int] = {}
+    for path, weight in zip(paths, of_article if in_articles else of_voters):
+        if weight:
+            for word in {w for x in path if id(x) not in lifted for w in x.marks}:
+                shares[word] = shares.get(word, 0) + weight
+    layout = {w for w, share in shares.items() if w not in DISCUSSION_WORDS and share >= 0.5 * (in_articles or total)}
+    return [line for line, path in zip(lines, paths) if all(id(x) in lifted or x.marks <= layout for x in path)]
+
+
 def _vote(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
     """The content region: articles beside each other, or else one element."""
     total = sum(len(x[0]) for x, voted in zip(lines, voters) if voted)

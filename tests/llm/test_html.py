@@ -68,3 +68,29 @@ def test_teaser_article_does_not_take_the_page():
         assert got.count("of text") == text
     got = main_text(f"<main><h1>Title</h1><div>{paragraphs('text', 8)}</div><article>{paragraphs('teaser', 2)}</article></main>")
     assert got.startswith("Title") and got.count("of text") == 8
+
+
+def test_layout_wrappers_are_no_boilerplate():
+    menu = "<div class=sidebar>Popular today: many things to read.</div>"
+    for mark in ("content has-sidebar", "no-sidebar", "with-menu", "hidden-print", "elementor-widget-container", "widget"):
+        for text in (BODY, f"<article>{BODY}</article>", f"<main>{BODY}</main>"):
+            assert main_text(f"<body><div class='{mark}'>{text}</div>{menu}</body>") == expected(), mark
+            assert main_text(f"<body><div id='page' class='{mark}'><div>{text}</div>{menu}</div></body>") == expected(), mark
+    blocks = "".join(f"<div class='elementor-widget'><div class='elementor-widget-container'>{paragraphs(x, 2)}</div></div>" for x in ("one", "two", "three", "four"))
+    for tag in ("div", "article", "main"):
+        assert main_text(f"<body><{tag}>{blocks}</{tag}></body>").count("Paragraph") == 8
+
+
+def test_marked_elements_beside_the_text_go():
+    thread = f"<div id=comments>{paragraphs('a comment', 20)}</div>"
+    assert main_text(f"<body><article>{BODY}</article>{thread}</body>") == expected()
+    assert main_text(f"<body><div>{BODY}</div>{thread}</body>") == expected()
+    cards = "".join(f"<article><p>{x} is a card of some words that leads elsewhere.</p></article>" for x in ("One", "Two"))
+    assert main_text(f"<body><article>{BODY}</article><div class=related-posts>{cards}</div></body>") == expected()
+    ad = "<div class=ad>Buy this thing, which has a text that is longer than the article.</div>"
+    assert main_text(f"<body>{ad}<article><h1>A title.</h1><p>A short text.</p></article></body>") == "A title.\nA short text."
+
+
+def test_wrapped_page_with_a_teaser_article_outside():
+    got = main_text(f"<body><article>{paragraphs('teaser', 1)}</article><div class='content widget'><div>{paragraphs('text', 9)}</div></div></body>")
+    assert got.count("of text") == 9
