@@ -1,12 +1,19 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation of a text under a vocabulary's piece scores (the unigram objective)
+For a unigram model, the best segmentation of a text under a vocabulary's piece scores (the unigram objective)
 is found from left to right. A piece has at most ``max_len`` characters, so only the last
 ``max_len`` places can still be extended; they and their backpointer paths are the window.
 As soon as the paths of all of them run through one boundary, what lies before it can
 never change: its ids are committed and forgotten. Ties go to the path whose last piece
 starts first.
 
+For a BPE model, whose scores order merges, the search has the same window, paths and
+commits, but a place is reached in one way only: by the piece that ends the merged prefix.
+That is the one piece which, merged together with the last piece before it, stays apart
+from it: merges across no boundary of a segmentation leave each side to itself, so a
+segmentation is the library's if each two neighbours in it are. Short words are merged
+directly, which is the same.
+
 Text is normalised as the vocabulary says: a space in front, spaces as U+2581. Characters
 that no piece holds become the pieces of their UTF-8 bytes.
 
@@ -38,6 +45,43 @@ CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 MEMO_ENTRIES = 500_000
 #: How much worse than the worst piece a character without pieces is.
 UNKNOWN_PENALTY = 10.0
+#: Longer texts are merged as a stream.
+DIRECT = 64
+NEVER = float("-inf")
+
+
+def _fields(data: bytes):
+    """``number, value`` of each field of a protobuf message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        key, at = varint(at)
+        if key & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def is_bpe(path: str) -> bool:
+    """Whether a .model file is a BPE model (unigram is the format's default)."""
+    with open(path, "rb") as f:
+        message = list(_fields(f.read()))
+    kind = next((v for spec in (v for k, v in message if k == 2) for k, v in _fields(spec) if k == 3), 1)
+    if kind not in (1, 2):
+        raise ValueError("neither a unigram nor a BPE model")
+    if kind == 2 and any(k == 3 and v in (4, 5) for piece in (v for k, v in message if k == 1) for k, v in _fields(piece)):
+        raise ValueError("user-defined and unused pieces of a BPE model are not searched")
+    return kind == 2
 
 
 class Vocabulary:
@@ -147,27 +191,94 @@ class StreamingViterbi:
         if shared == 0:
             return []
         out = self._path(shared)
+        self._rebase(shared)
+        return out
+
+    def _rebase(self, shared: int) -> None:
         score = self.best[shared][0]
         self.text = self.text[shared:]
         self.best = [(s - score, max(0, start - shared) if start >= 0 else -1, ids) for s, start, ids in self.best[shared:]]
         self.best[0] = (0.0, 0, None)
         self.base += shared
         self.scanned -= shared
+
+
+def merged(scores: dict[str, float], text: str) -> list[str]:
+    """The pieces of a short text: the best scored neighbours merge first, of equal ones the leftmost."""
+    parts = list(text)
+    order = [scores.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+    while order and (best := max(order)) != NEVER:
+        i = order.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del order[i]
+        if i:
+            order[i - 1] = scores.get(parts[i - 1] + parts[i], NEVER)
+        if i < len(order):
+            order[i] = scores.get(parts[i] + parts[i + 1], NEVER)
+    return parts
+
+
+class StreamingMerges(StreamingViterbi):
+    """The same for a BPE model."""
+
+    def __init__(self, vocabulary: Vocabulary, scores: dict[str, float] | None = None) -> None:
+        super().__init__(vocabulary)
+        self.scores = scores if scores is not None else {p: s for p, (_, s) in vocabulary.pieces.items()}
+        self.last = ""  # the piece that ends at base
+
+    def finish(self) -> list[int]:
+        scores, out = self.scores, super().finish()
+        self.__init__(self.vocabulary, scores)
         return out
 
+    def direct(self, text: str) -> list[int]:
+        v, out = self.vocabulary, []
+        for piece in merged(self.scores, text):
+            if (found := v.pieces.get(piece)) is not None:
+                out.append(found[0])
+            else:
+                out += v.unknown(piece)
+        return out
+
+    def _piece(self, end: int) -> str:
+        return self.text[self.best[end][1] : end] if end else self.last
+
+    def _start(self, at: int) -> None:
+        v, text = self.vocabulary, self.text
+        before = self._piece(at)
+        end = at + 1
+        while end <= len(text):
+            piece = text[at:end]
+            found = v.pieces.get(piece)
+            if found is not None or end == at + 1:
+                taken = end < len(self.best) and self.best[end][1] >= 0
+                if not taken and (not before or merged(self.scores, before + piece) == [before, piece]):
+                    self._reach(end, 0.0, at, [found[0]] if found is not None else v.unknown(piece))
+            if piece not in v.prefixes:
+                break
+            end += 1
+        self.scanned = at + 1
+
+    def _rebase(self, shared: int) -> None:
+        self.last = self._piece(shared)
+        super()._rebase(shared)
+
 
 class Encoder:
     """Encoding with a bounded memo of words."""
 
-    def __init__(self, vocabulary: Vocabulary, memo_entries: int = MEMO_ENTRIES) -> None:
+    def __init__(self, vocabulary: Vocabulary, memo_entries: int = MEMO_ENTRIES, merges: bool = False) -> None:
         self.vocabulary = vocabulary
         self.memo: dict[str, bytes] = {}
         MEMOS.append(self.memo)
         self.memo_entries = memo_entries
-        self.search = StreamingViterbi(vocabulary)
+        self.search = StreamingMerges(vocabulary) if merges else StreamingViterbi(vocabulary)
+        self.merges = merges
         self.surface = vocabulary.surfaces.__getitem__
 
     def _search(self, text: str) -> bytes:
+        if self.merges and len(text) <= DIRECT:
+            return array("i", self.search.direct(text)).tobytes()
         return array("i", self.search.feed(text) + self.search.finish()).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -200,7 +311,8 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    return Encoder(Vocabulary.load(tokenizer_path(name)))
+    path = tokenizer_path(name)
+    return Encoder(Vocabulary.load(path), merges=is_bpe(path))
 
 
 def _encode_decode(name: str):

@@ -69,3 +69,40 @@ def test_equals_the_library_on_words(vocabulary):
     coder = Encoder(vocabulary)
     for word in "the then there information streaming Viterbi boundary converge unbelievable sentence piece Überraschung été".split():
         assert coder.encode(word).tolist() == library.encode(word)
+
+
+def test_query_gives_the_library_s_ids_of_a_bpe_model():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from archgraph.llm.spm_stream import encoder
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    coder, rnd = encoder("piece_bpe_32k.model"), random.Random(3)
+    assert coder.encode("und").tolist() == library.encode("und")
+    words = ["a", "b", " ", "th", "e", "é", "\n", "漢", "😀", "  ", "aaaa", "tion", "und", " the", "     ", "Überraschung", "\t", "1999", "ing"]
+    for _ in range(600):
+        text = "".join(rnd.choice(words) for _ in range(rnd.randint(0, 40)))
+        assert coder.encode(text).tolist() == library.encode(text)
+        assert coder.decode(coder.encode(text)) == text
+    for length in (65, 300, 3000):
+        for letters in ("ab", "etaoinsr", "the", " ", "ißé漢x", "etaoinsrhdlu"):
+            text = "".join(rnd.choice(letters) for _ in range(length))
+            assert coder.encode(text).tolist() == library.encode(text)
+
+
+def test_streaming_merges_equal_direct_ones_and_commit():
+    from archgraph.llm.spm_stream import StreamingMerges, merged
+
+    rnd = random.Random(7)
+    names = ["ab", "aba", "bab", "aab", "bb", "abab", "ba", "aa", "bbb"]
+    for _ in range(200):
+        scores = dict(zip(names, (-float(x) for x in rnd.sample(range(20), len(names)))))
+        vocabulary = Vocabulary({p: (i, scores.get(p, -99.0)) for i, p in enumerate(["a", "b", *names])}, list(range(100, 356)), [])
+        text = "".join(rnd.choice("abbax" if rnd.random() < 0.1 else "ab") for _ in range(rnd.randint(0, 300)))
+        stream, got, at = StreamingMerges(vocabulary), [], 0
+        while at < len(text):
+            n = rnd.randint(1, 7)
+            got += stream.feed(text[at : at + n])
+            at += n
+        got += stream.finish()
+        expected = [i for p in merged(scores, text) for i in ([vocabulary.pieces[p][0]] if p in vocabulary.pieces else vocabulary.unknown(p))]
+        assert got == expected
