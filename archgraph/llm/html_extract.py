@@ -69,6 +69,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile("[a-z0-9]+")
 NO_MARKS: frozenset[str] = frozenset()
+SHORT_COMMENT = re.compile("<!--+>")
+COMMENT_END = re.compile(r"--!?\s*>")
 UNFINISHED = re.compile(r"<(?=[A-Za-z/!?])")
 
 
@@ -135,6 +137,19 @@ class _Lines(HTMLParser):
             found.update(w for before, w in zip(["", *words], words) if w in noise and before not in LAYOUT_WORDS)
         return frozenset(found) if found else NO_MARKS
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of a CDATA section, or else of a bogus comment, which any other ``<![`` is."""
+        if self.rawdata.startswith("CDATA[", i + 3) and (end := self.rawdata.find("]]>", i + 9)) >= 0:
+            return end + 3
+        return self.parse_bogus_comment(i, 0)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The end of a comment; one without an end takes the rest, as the page is fed whole."""
+        if short := SHORT_COMMENT.match(self.rawdata, i):
+            return short.end()
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
@@ -183,10 +198,7 @@ class _Lines(HTMLParser):
 
 
 def complete(html: str) -> str:
-    """The page without a tag or comment that its end cuts off."""
-    at = html.rfind("<!--")
-    if at >= 0 and html.find("-->", at) < 0:
-        html = html[:at]
+    """The page without a tag that its end cuts off."""
     at = html.rfind("<")
     if at >= 0 and html.find(">", at) < 0 and UNFINISHED.match(html, at):
         html = html[:at]
@@ -231,11 +243,8 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(complete(html))
-        parser.close()
-    except AssertionError:  # the parser's answer to some malformed declarations
-        pass
+    parser.feed(complete(html))
+    parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[3].noise]
     if not lines:

@@ -94,3 +94,14 @@ def test_marked_elements_beside_the_text_go():
 def test_wrapped_page_with_a_teaser_article_outside():
     got = main_text(f"<body><article>{paragraphs('teaser', 1)}</article><div class='content widget'><div>{paragraphs('text', 9)}</div></div></body>")
     assert got.count("of text") == 9
+
+
+def test_declarations_and_comments_do_not_cut_the_page():
+    article = f"<article>{BODY}</article>"
+    for odd in ("<![foo[x]]>", "<![ x ]>", "<![>", "<![]>", "<![if !IE]>", "<![endif]>", "<![CDATA[a > b]]>", "<!-->", "<!--->", "<!---->", "<!-- a -- >", "<!-- a --!>", "<!-- a -->", "<!x>", "<!>"):
+        assert main_text(f"<body>{odd}{article}</body>") == expected(), odd
+        assert main_text(f"<body><div>{odd}{BODY}</div></body>") == expected(), odd
+    assert main_text(f"<body><script>var a = '<!--';</script>{article}</body>") == expected()
+    assert main_text(f"<body><div title='<!-- x'>{article}</div></body>") == expected()
+    assert main_text(f"<body>{article}<!-- <p>open comment") == expected()
+    assert main_text(f"<body>{article}<!-- <p>open</p> comment with <b>tags</b> in it") == expected()
