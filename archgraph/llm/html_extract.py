@@ -257,16 +257,16 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
         voters = _voters(lines, sigma, strength)
     regions = _vote(lines, voters)
     semantic = regions[0].tag in ("article", "main")
+    inside = [_within(x[3], regions) for x in lines]
+    content = [i for i, x in enumerate(inside) if x and voters[i]]
     kept = []
-    for text, _, linked, node in lines:
-        if not _within(node, regions):
-            continue
-        if node.header and not node.heading:
-            continue  # an article's own header keeps its headings only
-        if node.header and not semantic:
-            continue
-        if not semantic and linked > 0.6 * len(text):
+    for i, (text, _, linked, node) in enumerate(lines):
+        if not inside[i]:
             continue
+        if node.header and not node.heading and not regions[0].header:
+            continue  # a header inside the region keeps its headings only
+        if not semantic and linked > 0.6 * len(text) and not node.heading and not content[0] <= i <= content[-1]:
+            continue  # a menu before or after the content
         kept.append(text)
     return "\n".join(kept)
 

@@ -105,3 +105,14 @@ def test_declarations_and_comments_do_not_cut_the_page():
     assert main_text(f"<body><div title='<!-- x'>{article}</div></body>") == expected()
     assert main_text(f"<body>{article}<!-- <p>open comment") == expected()
     assert main_text(f"<body>{article}<!-- <p>open</p> comment with <b>tags</b> in it") == expected()
+
+
+def test_linked_headings_and_lines_between_content_stay():
+    link = "<p><a href=x>A paragraph of the text that is a link from its start to its end</a></p>"
+    items = "<ul><li><a href=x>first item</a></li><li><a href=y>second item</a></li></ul>"
+    text = f"<div class=entry><h2 class='entry-title'><a href=x>The title</a></h2>{BODY}{link}{items}{BODY}</div>"
+    got = main_text(f"<body><div class=site><a href=/>Site</a></div>{text}</body>")
+    assert got == "The title\n" + expected() + "\nA paragraph of the text that is a link from its start to its end\nfirst item\nsecond item\n" + expected()
+    got = main_text(f"<body><div class=entry><header><h1>The title</h1><div>By someone</div></header>{BODY}</div></body>")
+    assert got == "The title\n" + expected()
+    assert main_text(f"<body><div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><h1>Title</h1>{BODY}</div></body>") == "Title\n" + expected()
