@@ -1,7 +1,8 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame and SQL functions only.
 
-Two lines are linked at an edit distance of at most ``max_edits`` (2) code points; lines
-of under ``min_chars`` code points only when identical. A class of lines is what links
+Two lines are linked at an edit distance of at most ``max_edits`` (2) code points, or of
+``SHORT_EDITS`` (1) where the shorter one has under ``min_chars`` (20); lines of under
+``SHORT_CHARS`` (10) code points only when identical: one edit in ten is the most. A class of lines is what links
 reach, and of a class the first occurrence, by (doc_id, line number), stays.
 
 1. Lines are made distinct by hash, with a map-side part, into a table in the shared folder:
@@ -35,6 +36,8 @@ from .components import connected_components
 
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: Lines from so many code points on are near at so many edits, if shorter than ``min_chars``.
+SHORT_CHARS, SHORT_EDITS = 10, 1
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -85,16 +88,31 @@ def places(max_edits: int) -> list[tuple[int, int, int]]:
 def _keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """``h, filed, key``: what each line is filed under, and what it looks under.
 
-    One small expression over a generator of places, which compiles well.
+    One small expression over a generator of places, which compiles well. Lines of under
+    ``min_chars`` are cut into fewer segments; one that is a little longer looks among them.
     """
-    rows = [(0, i, 0, True) for i in range(1, max_edits + 2)] + [(*p, False) for p in places(max_edits)]
-    table = ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()})" for d, i, s, f in rows)
-    begin, length = placed(max_edits, "delta", "i")
-    each = lines.select("h", "line", "n", F.expr(f"inline(array({table}))")).where(f"n - delta >= {min_chars}")
-    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"{begin} + shift as start", f"{length} as size").where("start >= 1 and start + size - 1 <= n")
+
+    def table(edits: int) -> str:
+        rows = [(0, i, 0, True) for i in range(1, edits + 2)] + [(*p, False) for p in places(edits)]
+        return "array(" + ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()}, 'edits', {edits})" for d, i, s, f in rows) + ")"
+
+    short_edits = min(SHORT_EDITS, max_edits)
+    short, long_ = table(short_edits), table(max_edits)
+    rows = f"if(n < {min_chars}, {short}, if(n >= {min_chars + short_edits}, {long_}, concat({short}, {long_})))"
+    each = lines.select("h", "line", "n", F.expr(f"inline({rows})"))
+    each = each.where(f"if(n - delta >= {min_chars}, edits = {max_edits}, edits = {short_edits} and n - delta >= {SHORT_CHARS})" if short_edits < max_edits else f"n - delta >= {min(SHORT_CHARS, min_chars)}")
+    (begin, length), (short_begin, short_length) = (placed(x, "delta", "i") for x in (max_edits, short_edits))
+    is_short = f"n - delta < {min_chars}"
+    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
+    each = each.where("start >= 1 and start + size - 1 <= n")
     return each.selectExpr("h", "filed", "xxhash64(i, n - delta, substring(line, start, size)) as key")
 
 
+def allowed(a: str, b: str, max_edits: int, min_chars: int) -> str:
+    """SQL for the edits at which two lines are near."""
+    return f"if(least(char_length({a}), char_length({b})) < {min_chars}, {min(SHORT_EDITS, max_edits)}, {max_edits})"
+
+
 #: Steps of the search for the length of common ends: lines of up to 2 ** 31 characters.
 _STEPS = "array(" + ", ".join(str(1 << b) for b in range(30, -1, -1)) + ")"
 
@@ -143,8 +161,8 @@ def _bound(df: DataFrame, **columns: str) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
 
 
-def verified(pairs: DataFrame, max_edits: int) -> DataFrame:
-    """The rows of ``pairs`` (with line_a, line_b) whose lines are within ``max_edits``."""
+def verified(pairs: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
+    """The rows of ``pairs`` (with line_a, line_b) whose lines are within ``max_edits``, or what is allowed to those of under ``min_chars``."""
     x = _bound(pairs, _most="least(char_length(line_a), char_length(line_b))")
     x = _bound(x, _front=common_prefix("line_a", "line_b", "_most"))
     x = _bound(x, _back=common_suffix("line_a", "line_b", "_most - _front"))
@@ -154,14 +172,14 @@ def verified(pairs: DataFrame, max_edits: int) -> DataFrame:
         middle[f"_{c}"] = f"if({rest} = 0, cast(array() as array<string>), split(substring(line_{c}, _front + 1, {rest}), ''))"
     x = _bound(x, **middle)
     x = _bound(x, _distance=banded_distance("_a", "_b", max_edits))
-    return x.where(F.col("_distance") <= max_edits).drop("_most", "_front", "_back", "_a", "_b", "_distance")
+    return x.where(f"_distance <= {allowed('line_a', 'line_b', max_edits, min_chars)}").drop("_most", "_front", "_back", "_a", "_b", "_distance")
 
 
 def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b``: the MD5 digests of each two different lines within ``max_edits``."""
+    """``a, b``: the MD5 digests of each two different lines that are near."""
     if min_chars <= max_edits:
         raise ValueError("lines that can be near need more characters than edits")
-    long_ = occurrences(docs).where(F.char_length("line") >= min_chars)
+    long_ = occurrences(docs).where(F.char_length("line") >= min(SHORT_CHARS, min_chars))
     hashed = long_.select(F.xxhash64("line").alias("h"), F.struct(F.unhex(F.md5("line")).alias("id"), F.col("line")).alias("x"))
     # Two lines with one 64-bit hash both stay.
     distinct = hashed.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -185,16 +203,16 @@ def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     # One look at all lines fetches the few whose text is compared.
     asked = cold.selectExpr("ha as h").union(cold.select("hb")).union(hot_rows.select("h")).distinct()
     texts = materialize(asked.hint("shuffle_hash").join(lines, "h").select("h", "id", "line"), "texts")
-    near = cold.union(_hot_pairs(hot_rows, texts, max_edits).selectExpr(*ordered)).distinct()
+    near = cold.union(_hot_pairs(hot_rows, texts, max_edits, min_chars).selectExpr(*ordered)).distinct()
     a, b = (texts.selectExpr(f"h as h{x}", f"id as {x}", f"line as line_{x}") for x in "ab")
-    return materialize(verified(near.join(a, "ha").join(b, "hb"), max_edits).select("a", "b"), "line-links")
+    return materialize(verified(near.join(a, "ha").join(b, "hb"), max_edits, min_chars).select("a", "b"), "line-links")
 
 
-def _hot_pairs(rows: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+def _hot_pairs(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """``ha, hb`` of the near lines that meet under hot keys; the join's own condition compares them."""
     described = texts.select("h", "line", F.expr(letter_bag("line")).alias("bag"))
     a, b = (rows.where(side).join(described, "h").selectExpr("key", f"h as h{x}", f"line as line_{x}", f"bag as bag_{x}") for side, x in (("filed", "a"), ("not filed", "b")))
-    return a.join(b, "key").where(f"ha <> hb and {bags_near('bag_a', 'bag_b', max_edits)} and levenshtein(line_a, line_b, {max_edits}) >= 0").select("ha", "hb")
+    return a.join(b, "key").where(f"ha <> hb and {bags_near('bag_a', 'bag_b', max_edits)} and levenshtein(line_a, line_b, {max_edits}) between 0 and {allowed('line_a', 'line_b', max_edits, min_chars)}").select("ha", "hb")
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -207,6 +207,34 @@ def test_lines(spark):
     assert cut == {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
 
 
+def test_short_lines_are_near_at_one_edit(spark):
+    rnd = random.Random(11)
+    lines = ["Heti eror anesti.", "Heti, eror anesti.", "Read more", "Read mure", "Read more >", "Read more >>"]
+    for n in (8, 9, 10, 11, 15, 18, 19, 20, 21, 22):
+        for _ in range(4):
+            line = "".join(rnd.choice("abcdefgh ") for _ in range(n - 1)) + "."
+            lines.append(line)
+            for _ in range(5):
+                near = list(line)
+                for _ in range(rnd.choice([1, 1, 2])):
+                    at = rnd.randrange(len(near))
+                    near[at : at + 1] = rnd.choice([[], ["x"], [near[at], "y"]])
+                lines.append("".join(near))
+    many = ["menu entry %s%s" % (a, b) for a in "abcdefgh" for b in "abcdefgh"]  # hot keys
+    lines = sorted({x for x in lines + many if x.strip()})
+
+    def bound(a, b):
+        shorter = min(len(a), len(b))
+        return 2 if shorter >= 20 else 1 if shorter >= 10 else 0
+
+    want = {(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= bound(a, b)}
+    docs = make(spark, list(enumerate(lines)))
+    digests = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = [tuple(sorted((digests[bytes(r.a)], digests[bytes(r.b)]))) for r in line_dedup.line_links(docs).collect()]
+    assert set(got) == want and ("Heti eror anesti.", "Heti, eror anesti.") in want
+    assert any(len(a) < 20 <= len(b) or len(b) < 20 <= len(a) for a, b in want)
+
+
 def test_rule_statistics():
     text = "a b c d e f g\na b c d e x # $\n\na b c d e x # $"
     base, _ = quality.rule_statistics(text)
