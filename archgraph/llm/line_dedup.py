@@ -20,8 +20,9 @@ reach, and of a class the first occurrence, by (doc_id, line number), stays.
    first are to be removed.
 
 Defined cases: null texts are one empty line; lines without a character other than white
-space are never judged, and stay; rows that share a doc_id are one document; null ids sort
-first; an empty table gives no rows; other columns pass through no further.
+space are never judged, and stay; rows with one doc_id and different texts are different
+documents, told apart by the text's hash, and rows that are alike in both are one; null ids sort
+first; an empty table gives no rows; other columns pass through no further, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ SHORT_CHARS, SHORT_EDITS = 10, 1
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line`` of each line with a character other than white space."""
+    """``doc_id, version, line_no, line`` of each line with a character other than white space; ``version`` tells the texts of one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -216,34 +217,39 @@ def _hot_pairs(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, line_no, keep_doc_id, keep_line_no, exact`` of each line that an earlier one of its class makes needless.
+    """``doc_id, version, line_no, exact`` of each line that an earlier one of its class makes needless.
 
     ``exact`` is whether the line equals the one that stays.
     """
     links = line_links(docs, max_edits, min_chars)
     roots = connected_components(links).withColumnRenamed("node", "id")
-    found = materialize(occurrences(docs).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("id")), "occurrences")
-    classed = found.join(roots, "id", "left").select("doc_id", "line_no", "id", F.coalesce("root", "id").alias("class"))
-    first = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", "id")).alias("first")).where("n > 1")
-    joined = classed.join(first.select("class", "first"), "class")
-    later = joined.where("not (doc_id <=> first.doc_id and line_no = first.line_no)")
-    return later.select("doc_id", "line_no", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), F.expr("id = first.id").alias("exact"))
+    found = materialize(occurrences(docs).select("doc_id", "version", "line_no", F.unhex(F.md5("line")).alias("id")).distinct(), "occurrences")
+    # Copies are counted before classes are looked at, so that a common line is one row there.
+    place = F.struct("doc_id", "version", "line_no")
+    each = materialize(found.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first")), "lines-once")
+    linked = each.join(roots, "id")
+    class_ = linked.groupBy("root").agg(F.min(F.struct("first", "id")).alias("x"))
+    stays = linked.select("id", "root").join(class_, "root").selectExpr("id", "x.first as first", "id = x.id as exact")
+    stays = stays.union(each.join(roots, "id", "left_anti").where("n > 1").selectExpr("id", "first", "true as exact"))
+    later = found.join(materialize(stays, "stays"), "id").where("not (doc_id <=> first.doc_id and version = first.version and line_no = first.line_no)")
+    return later.select("doc_id", "version", "line_no", "exact")
 
 
 def deduplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, n_lines, n_exact, n_near, n_kept, removed`` for each document.
+    """``doc_id, version, n_lines, n_exact, n_near, n_kept, removed`` for each row of ``docs``.
 
-    ``removed`` lists the numbers (from 0) of the lines that go, in order.
+    ``version`` is the text's XXH64, which tells the texts of one doc_id apart. ``removed``
+    lists the numbers (from 0) of the lines that go, in order.
     """
     removed = removed_lines(docs, max_edits, min_chars)
-    gone = removed.groupBy("doc_id").agg(
+    gone = removed.groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).agg(
         F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.sort_array(F.collect_list("line_no")).alias("removed")
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
-    every = every.groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
-    return every.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
-        "doc_id", "n_lines",
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), n_lines.cast("long").alias("n_lines"))
+    return every.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left").select(
+        "doc_id", "version", "n_lines",
         F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.expr("n_lines - coalesce(n_exact, 0) - coalesce(n_near, 0)").alias("n_kept"),
         F.expr("coalesce(removed, cast(array() as array<int>))").alias("removed"),
@@ -251,9 +257,13 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
 
 
 def apply_removal(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` with the lines that ``decided`` (of deduplicate_lines) removes cut from each text."""
-    key, gone = fresh(docs, "_id", "_removed")
-    plan = decided.select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[key]), "left")
+    """``docs`` with the lines that ``decided`` (of deduplicate_lines) removes cut from each text.
+
+    A text's lines go by its doc_id and its own hash, so that rows with one id lose their own lines only.
+    """
+    key, version, gone = fresh(docs, "_id", "_version", "_removed")
+    plan = decided.where(F.size("removed") > 0).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("removed").alias(gone)).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[key]) & (F.xxhash64(text) == plan[version]), "left")
     cut = F.expr(f"array_join(filter(split(text, '\n', -1), (line, i) -> not array_contains(coalesce(`{gone}`, cast(array() as array<int>)), i)), '\n')")
     return joined.select(*((F.when(F.col("text").isNotNull(), cut).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns))

@@ -235,6 +235,16 @@ def test_short_lines_are_near_at_one_edit(spark):
     assert any(len(a) < 20 <= len(b) or len(b) < 20 <= len(a) for a, b in want)
 
 
+def test_lines_of_rows_with_one_id(spark):
+    rows = [(1, "the very first line of them all\nand this other unrelated line too"), (1, "a line that stands nowhere else\nthe very first line of them all"), (None, "the very first line of them all\nwhat a null id holds"), (2, "what a null id holds!"), (2, "what a null id holds!")]
+    docs = make(spark, rows)
+    decided = line_dedup.deduplicate_lines(docs)
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near, tuple(r.removed)) for r in decided.collect()) == [(0, 2, 0, 0, ()), (1, 2, 1, 0, (0,)), (1, 2, 1, 0, (1,)), (2, 1, 0, 1, (0,)), (2, 1, 0, 1, (0,))]
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.apply_removal(docs, decided).collect()) == [
+        (0, rows[2][1]), (1, "a line that stands nowhere else"), (1, "and this other unrelated line too"), (2, ""), (2, ""),
+    ]
+
+
 def test_rule_statistics():
     text = "a b c d e f g\na b c d e x # $\n\na b c d e x # $"
     base, _ = quality.rule_statistics(text)
