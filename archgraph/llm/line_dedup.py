@@ -3,7 +3,7 @@
 Two lines are linked at an edit distance of at most ``max_edits`` (2) code points, or of
 ``SHORT_EDITS`` (1) where the shorter one has under ``min_chars`` (20); lines of under
 ``SHORT_CHARS`` (10) code points only when identical: one edit in ten is the most. A class of lines is what links
-reach, and of a class the first occurrence, by (doc_id, line number), stays.
+reach, and of a class the first occurrence, by (doc_id, text, line number), stays.
 
 1. Lines are made distinct by hash, with a map-side part, into a table in the shared folder:
    the one shuffle that moves all text.
@@ -12,11 +12,18 @@ reach, and of a class the first occurrence, by (doc_id, line number), stays.
    the shorter one stands unchanged in the longer one, at a place that few shifts allow
    (the multi-match-aware bounds of Li et al., "Pass-Join", 2011). So a line looks, for
    each length l up to ``max_edits`` below its own, under a few substrings of its own.
-3. Candidate pairs, made distinct, fetch their lines in one look at all; common ends are stripped, and a banded
-   bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
-   of the band is one step on two bit vectors of 2 * max_edits + 1 bits, and a pair that
-   can't come back under the bound stops counting.
-4. Links become classes (components.py); occurrences join their class, and all but the
+3. Each key's filed lines are tied to the key's smallest line where that is a verified link:
+   one aggregate and one join. Lines tied to one leader are linked already, and never meet
+   again, so a dense group of near copies costs a star and not all its pairs.
+4. What is left meets under its keys. Where several lines are filed under a key, the lines
+   of its most frequent leader meet only the others', filed lines are dealt out by salts,
+   and the join itself compares them. Other pairs, made distinct, fetch their lines in one
+   look at all.
+5. Pairs are compared by the counts of letters, which an edit hardly changes; then common
+   ends are stripped, and a banded bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
+   of the band is one step on two bit vectors of 2 * max_edits + 1 bits. The first columns
+   are run alone, and few pairs come through them.
+6. Links become classes (components.py); occurrences join their class, and all but the
    first are to be removed.
 
 Defined cases: null texts are one empty line; lines without a character other than white
@@ -48,23 +55,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-#: Letters whose counts two near lines must nearly share. Any would do; frequent ones tell most lines apart.
-BAG = "etaoinsr"
+#: Characters whose counts two near lines must nearly share. Any would do; these tell most lines apart.
+BAG = "etaoinsrhldcumfpgwybvkxjqz012345"
 
 
 def letter_bag(line: str) -> str:
-    """SQL for the counts of ``BAG``'s letters, each up to 255, in the bytes of a long."""
-    counts = (f"cast(least(255, octet_length({line}) - octet_length(replace({line}, '{x}', ''))) as bigint)" for x in BAG)
-    return " | ".join(f"shiftleft({c}, {8 * k})" for k, c in enumerate(counts))
+    """SQL for the counts of the characters of ``BAG`` modulo 4, each in Gray code, in the bits of a long: as many bits differ as counts do."""
+    counts = (f"(octet_length({line}) - octet_length(replace({line}, '{x}', '')) & 3)" for x in BAG)
+    return " | ".join(f"shiftleft(cast({c} ^ {c} div 2 as bigint), {2 * k})" for k, c in enumerate(counts))
 
 
 def bags_near(a: str, b: str, max_edits: int) -> str:
     """SQL that holds for any two lines within ``max_edits``: an edit changes two counts by one at most."""
-    return " + ".join(f"abs((shiftright({a}, {8 * k}) & 255) - (shiftright({b}, {8 * k}) & 255))" for k in range(len(BAG))) + f" <= {2 * max_edits}"
+    return f"bit_count({a} ^ {b}) <= {2 * max_edits}"
 
 
-#: A key that so many lines are filed under is hot.
-HOT_KEY = 32
+#: Lines that are filed under one key are dealt out in parts of about this size.
+PART = 64
 
 
 def placed(max_edits: int, delta: str, i: str) -> tuple[str, str]:
@@ -86,27 +93,29 @@ def places(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """``h, filed, key``: what each line is filed under, and what it looks under.
+def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -> DataFrame:
+    """``h, leader, filed, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
 
-    One small expression over a generator of places, which compiles well. Lines of under
-    ``min_chars`` are cut into fewer segments; one that is a little longer looks among them.
+    A line looks under the keys it is filed under too. One small expression over a generator
+    of places, which compiles well. Lines of under ``min_chars`` are cut into fewer segments;
+    one that is a little longer looks among them.
     """
 
     def table(edits: int) -> str:
-        rows = [(0, i, 0, True) for i in range(1, edits + 2)] + [(*p, False) for p in places(edits)]
+        filed = [(0, i, 0) for i in range(1, edits + 2)]
+        rows = [(*p, True) for p in filed] + [(*p, False) for p in places(edits) if all_ and p not in filed]
         return "array(" + ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()}, 'edits', {edits})" for d, i, s, f in rows) + ")"
 
     short_edits = min(SHORT_EDITS, max_edits)
     short, long_ = table(short_edits), table(max_edits)
     rows = f"if(n < {min_chars}, {short}, if(n >= {min_chars + short_edits}, {long_}, concat({short}, {long_})))"
-    each = lines.select("h", "line", "n", F.expr(f"inline({rows})"))
+    each = lines.select("h", "leader", "line", "n", F.expr(f"inline({rows})"))
     each = each.where(f"if(n - delta >= {min_chars}, edits = {max_edits}, edits = {short_edits} and n - delta >= {SHORT_CHARS})" if short_edits < max_edits else f"n - delta >= {min(SHORT_CHARS, min_chars)}")
     (begin, length), (short_begin, short_length) = (placed(x, "delta", "i") for x in (max_edits, short_edits))
     is_short = f"n - delta < {min_chars}"
-    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
+    each = each.selectExpr("h", "leader", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
     each = each.where("start >= 1 and start + size - 1 <= n")
-    return each.selectExpr("h", "filed", "xxhash64(i, n - delta, substring(line, start, size)) as key")
+    return each.selectExpr("h", "leader", "filed", "xxhash64(i, n - delta, substring(line, start, size)) as key")
 
 
 def allowed(a: str, b: str, max_edits: int, min_chars: int) -> str:
@@ -126,11 +135,17 @@ def common_suffix(a: str, b: str, most: str) -> str:
     return f"aggregate({_STEPS}, 0, (t, s) -> if(s <= ({most}) - t and substring({a}, char_length({a}) - t - s + 1, s) = substring({b}, char_length({b}) - t - s + 1, s), t + s, t))"
 
 
-def banded_distance(x: str, y: str, max_edits: int) -> str:
+#: Columns that are run alone first.
+FIRST_COLUMNS = 16
+
+
+def banded_distance(x: str, y: str, max_edits: int, columns: str | None = None) -> str:
     """SQL for the edit distance of two character arrays if it is at most ``max_edits``, else for some larger number.
 
     In column j (of y), bit k stands for row j - max_edits + k (of x). ``d`` is the distance
-    along the band's lower edge until that meets the last row, and along that row from then on.
+    along the band's lower edge until that meets the last row, and along that row from then
+    on. With ``columns`` only that many are run, and the result is no distance, but still
+    larger than ``hopeless_from`` where the arrays aren't within ``max_edits``, if that shows.
     """
     t = max_edits
     width = 2 * t + 1
@@ -146,38 +161,42 @@ def banded_distance(x: str, y: str, max_edits: int) -> str:
             'd', s.d + if(j + {t} <= size({x}), if(q.z & {1 << (width - 1)}L = 0, 1, 0),
                 cast(shiftright(q.hp, {row}) & 1 as int) - cast(shiftright(q.hn, {row}) & 1 as int))))[0]"""
     start = f"named_struct('vp', {mask ^ ((1 << t) - 1)}L, 'vn', 0L, 'd', least(size({x}), {t}))"
-    hopeless = f"s.d > {2 * t} + abs(size({x}) - size({y}))"
+    upto = f"size({y})" if columns is None else f"least(size({y}), {columns})"
     return (
-        f"case when abs(size({x}) - size({y})) > {t} then {t + 1} when size({x}) = 0 or size({y}) = 0 then greatest(size({x}), size({y})) "
-        f"else aggregate(sequence(1, size({y})), {start}, (s, j) -> if({hopeless}, s, {step}), s -> s.d) end"
+        f"case when abs(size({x}) - size({y})) > {t} then {hopeless_from(x, y, t)} + 1 when size({x}) = 0 or size({y}) = 0 then greatest(size({x}), size({y})) "
+        f"else aggregate(sequence(1, {upto}), {start}, (s, j) -> if(s.d > {hopeless_from(x, y, t)}, s, {step}), s -> s.d) end"
     )
 
 
-def _bound(df: DataFrame, **columns: str) -> DataFrame:
-    """``df`` with these columns, each worked out once for a row.
+def hopeless_from(x: str, y: str, max_edits: int) -> str:
+    """SQL for the number above which ``d`` can't come back under ``max_edits``."""
+    return f"({2 * max_edits} + abs(size({x}) - size({y})))"
+
+
+def within(a: str, b: str, max_edits: int, min_chars: int = 0) -> str:
+    """SQL that holds where lines are within ``max_edits``, or what is allowed to those of under ``min_chars``.
 
-    A generator of one row: the optimizer doesn't copy what stands below it into the
-    expressions above, as it does with plain columns under a filter.
+    Common ends are stripped; transforms of one element name what stands more than once below.
     """
-    return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
+    most = f"least(char_length({a}), char_length({b}))"
+
+    def middle(c: str) -> str:
+        rest = f"char_length({c}) - f - g"
+        return f"if({rest} = 0, cast(array() as array<string>), split(substring({c}, f + 1, {rest}), ''))"
+
+    early = f"{banded_distance('e.x', 'e.y', max_edits, str(FIRST_COLUMNS))} <= {hopeless_from('e.x', 'e.y', max_edits)}"
+    whole = f"{banded_distance('e.x', 'e.y', max_edits)} <= {allowed(a, b, max_edits, min_chars)}"
+    near = f"transform(array(named_struct('x', {middle(a)}, 'y', {middle(b)})), e -> {early} and {whole})[0]"
+    return f"transform(array({common_prefix(a, b, most)}), f -> transform(array({common_suffix(a, b, f'{most} - f')}), g -> {near})[0])[0]"
 
 
 def verified(pairs: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
-    """The rows of ``pairs`` (with line_a, line_b) whose lines are within ``max_edits``, or what is allowed to those of under ``min_chars``."""
-    x = _bound(pairs, _most="least(char_length(line_a), char_length(line_b))")
-    x = _bound(x, _front=common_prefix("line_a", "line_b", "_most"))
-    x = _bound(x, _back=common_suffix("line_a", "line_b", "_most - _front"))
-    middle = {}
-    for c in "ab":
-        rest = f"char_length(line_{c}) - _front - _back"
-        middle[f"_{c}"] = f"if({rest} = 0, cast(array() as array<string>), split(substring(line_{c}, _front + 1, {rest}), ''))"
-    x = _bound(x, **middle)
-    x = _bound(x, _distance=banded_distance("_a", "_b", max_edits))
-    return x.where(f"_distance <= {allowed('line_a', 'line_b', max_edits, min_chars)}").drop("_most", "_front", "_back", "_a", "_b", "_distance")
+    """The rows of ``pairs`` (with line_a, line_b) whose lines are near."""
+    return pairs.where(within("line_a", "line_b", max_edits, min_chars))
 
 
 def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b``: the MD5 digests of each two different lines that are near."""
+    """``a, b``: the MD5 digests of different lines that are near; they connect whatever all such pairs connect."""
     if min_chars <= max_edits:
         raise ValueError("lines that can be near need more characters than edits")
     long_ = occurrences(docs).where(F.char_length("line") >= min(SHORT_CHARS, min_chars))
@@ -194,26 +213,58 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay, as those of any table in the shared folder
 
 
+def _texts(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """``h, id, line, bag`` of the lines with a hash ``h`` in ``asked``, in one look at all."""
+    return materialize(asked.distinct().hint("shuffle_hash").join(lines, "h").select("h", "id", "line", F.expr(letter_bag("line")).alias("bag")), "texts")
+
+
+def _near(pairs: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """The pairs (ha, hb) that are near, with their lines' digests a and b."""
+    a, b = (texts.selectExpr(f"h as h{x}", f"id as {x}", f"line as line_{x}", f"bag as bag_{x}") for x in "ab")
+    like = pairs.join(a, "ha").join(b, "hb").where(bags_near("bag_a", "bag_b", max_edits))
+    return verified(like, max_edits, min_chars).select("ha", "hb", "a", "b")
+
+
 def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    keys = materialize(_keys(lines, max_edits, min_chars), "keys")
-    filed, sought = keys.where("filed").selectExpr("key", "h as ha"), keys.where("not filed").selectExpr("key", "h as hb")
-    hot = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {HOT_KEY}").select("key"), "hot-keys")
+    # Each key's filed lines are tied to its leader, the one with the smallest hash.
+    own = _keys(lines.withColumn("leader", F.expr("cast(null as bigint)")), max_edits, min_chars, all_=False).select("key", "h")
+    shared = materialize(own.groupBy("key").agg(F.min("h").alias("hb"), F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    ties = materialize(own.join(shared, "key").where("h <> hb").selectExpr("h as ha", "hb").distinct(), "ties")
+    stars = materialize(_near(ties, _texts(lines, ties.selectExpr("ha as h").union(ties.select("hb"))), max_edits, min_chars), "stars")
+    # A leader tied to a smaller one keeps that tie: it and its members then differ in their
+    # leader, which costs a pair that meets again, and loses none.
+    tied = stars.groupBy("ha").agg(F.min("hb").alias("leader"))
+    led = lines.join(tied, F.col("h") == F.col("ha"), "left").select("h", "leader", "line", "n")
+    keys = materialize(_keys(led, max_edits, min_chars), "keys")
+    # A null leader is the line itself, and most are.
+    a, b = ((f"h as h{x}", f"coalesce(leader, h) as l{x}") for x in "ab")
     ordered = "least(ha, hb) as ha", "greatest(ha, hb) as hb"
-    cold = materialize(filed.join(hot, "key", "left_anti").join(sought, "key").where("ha <> hb").selectExpr(*ordered).distinct(), "pairs")
-    hot_rows = materialize(keys.join(hot, "key", "left_semi"), "hot-rows")
-    # One look at all lines fetches the few whose text is compared.
-    asked = cold.selectExpr("ha as h").union(cold.select("hb")).union(hot_rows.select("h")).distinct()
-    texts = materialize(asked.hint("shuffle_hash").join(lines, "h").select("h", "id", "line"), "texts")
-    near = cold.union(_hot_pairs(hot_rows, texts, max_edits, min_chars).selectExpr(*ordered)).distinct()
-    a, b = (texts.selectExpr(f"h as h{x}", f"id as {x}", f"line as line_{x}") for x in "ab")
-    return materialize(verified(near.join(a, "ha").join(b, "hb"), max_edits, min_chars).select("a", "b"), "line-links")
-
-
-def _hot_pairs(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """``ha, hb`` of the near lines that meet under hot keys; the join's own condition compares them."""
-    described = texts.select("h", "line", F.expr(letter_bag("line")).alias("bag"))
-    a, b = (rows.where(side).join(described, "h").selectExpr("key", f"h as h{x}", f"line as line_{x}", f"bag as bag_{x}") for side, x in (("filed", "a"), ("not filed", "b")))
-    return a.join(b, "key").where(f"ha <> hb and {bags_near('bag_a', 'bag_b', max_edits)} and levenshtein(line_a, line_b, {max_edits}) between 0 and {allowed('line_a', 'line_b', max_edits, min_chars)}").select("ha", "hb")
+    single = keys.where("filed").join(shared, "key", "left_anti").selectExpr("key", *a)
+    met = materialize(single.join(keys.selectExpr("key", *b), "key").where("la <> lb and ha <> hb").selectExpr(*ordered).distinct(), "met")
+    rows = materialize(keys.join(shared, "key").selectExpr("key", "n", "h", "coalesce(leader, h) as leader", "filed"), "shared-rows")
+    texts = _texts(lines, met.selectExpr("ha as h").union(met.select("hb")).union(rows.select("h")))
+    near = _near(met, texts, max_edits, min_chars).select("a", "b").union(_near_under_shared(rows, texts, max_edits, min_chars))
+    return materialize(stars.select("a", "b").union(near), "line-links")
+
+
+def _near_under_shared(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """``a, b`` of the near lines that meet under keys with several filed lines, by different leaders.
+
+    The join's own condition compares them: first letters, then by edit distance, so that
+    pairs which are many and not near are neither written nor moved.
+    """
+    counts = rows.groupBy("key", "leader").agg(F.count("*").alias("m"))
+    most = counts.groupBy("key").agg(F.max_by("leader", "m").alias("most"))
+    known = rows.join(texts, "h").join(most, "key")
+    known = materialize(known.selectExpr("key", "h", "id", "line", "bag", "leader", "filed", "leader <> most as rare", f"cast(ceil(n / {PART}) as int) as salts"), "described")
+    a, b = (tuple(f"{c} as {c}_{x}" for c in ("h", "id", "line", "bag", "leader", "rare")) for x in "ab")
+    filed = known.where("filed").selectExpr("key", "cast(pmod(h, salts) as int) as salt", *a)
+    sought = known.selectExpr("key", "explode(sequence(0, salts - 1)) as salt", *b)
+    near = f"leader_a <> leader_b and h_a <> h_b and {bags_near('bag_a', 'bag_b', max_edits)} and {within('line_a', 'line_b', max_edits, min_chars)}"
+    # Two lines of the most frequent leader never need to meet: one of a pair is rare.
+    one = filed.where("rare_a").join(sought, ["key", "salt"]).where(near)
+    other = filed.where("not rare_a").join(sought.where("rare_b"), ["key", "salt"]).where(near)
+    return one.union(other).selectExpr("id_a as a", "id_b as b")
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

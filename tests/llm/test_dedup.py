@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -149,6 +150,23 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def classes(members, links):
+    """The members that links reach, as a set of sets."""
+    root = {x: x for x in members}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    out = {}
+    for x in members:
+        out.setdefault(find(x), set()).add(x)
+    return {frozenset(x) for x in out.values()}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
     rnd, rows = random.Random(edits), []
@@ -173,7 +191,8 @@ def test_lines(spark):
         for _ in range(rnd.randint(0, 5)):
             line = list(rnd.choice(base))
             for _ in range(rnd.choice([0, 0, 1, 2, 3])):
-                line[rnd.randrange(len(line))] = rnd.choice("xyz")
+                at = rnd.randrange(len(line))
+                line[at : at + 1] = rnd.choice([[], ["x"], ["y"], [line[at], "z"]])
             lines.append("".join(line))
         rows.append((i, "\n".join(lines + [""] * (i % 3))))
     rows += [(50, None), (51, " \n\t\n")]
@@ -231,10 +250,33 @@ def test_short_lines_are_near_at_one_edit(spark):
     docs = make(spark, list(enumerate(lines)))
     digests = {hashlib.md5(x.encode()).digest(): x for x in lines}
     got = [tuple(sorted((digests[bytes(r.a)], digests[bytes(r.b)]))) for r in line_dedup.line_links(docs).collect()]
-    assert set(got) == want and ("Heti eror anesti.", "Heti, eror anesti.") in want
+    assert set(got) <= want and ("Heti eror anesti.", "Heti, eror anesti.") in want
+    assert classes(lines, got) == classes(lines, want)
     assert any(len(a) < 20 <= len(b) or len(b) < 20 <= len(a) for a, b in want)
 
 
+def test_lines_under_hot_keys(spark):
+    """Keys of over a thousand lines: near copies of one line, lines of one template that aren't near, and edits of all kinds."""
+    rnd, lines = random.Random(12), set()
+    head = "all of these lines begin with the same two parts "
+    for _ in range(900):
+        lines.add(head + "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(16, 18))))
+    for base in (head + "and end alike, too", head + "but end otherwise."):
+        for _ in range(150):
+            near = list(base)
+            for _ in range(rnd.choice([1, 1, 2])):
+                at = rnd.randrange(30, len(near))
+                near[at : at + 1] = rnd.choice([[], ["x"], [near[at], rnd.choice("yz")]])
+            lines.add("".join(near))
+    lines |= {x[:-1] for x in list(lines)[:60]} | {x[:50] + "q" + x[50:] for x in list(lines)[60:120]}
+    lines = sorted(lines)
+    want = duckdb.sql("with t as (select unnest(?) as x) select a.x, b.x from t a join t b on a.x < b.x and abs(length(a.x) - length(b.x)) <= 2 and levenshtein(a.x, b.x) <= 2", params=[lines]).fetchall()
+    digests = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = [tuple(sorted((digests[bytes(r.a)], digests[bytes(r.b)]))) for r in line_dedup.line_links(make(spark, list(enumerate(lines)))).collect()]
+    assert set(got) <= set(want) and len(set(got)) < len(set(want))
+    assert classes(lines, got) == classes(lines, want)
+
+
 def test_lines_of_rows_with_one_id(spark):
     rows = [(1, "the very first line of them all\nand this other unrelated line too"), (1, "a line that stands nowhere else\nthe very first line of them all"), (None, "the very first line of them all\nwhat a null id holds"), (2, "what a null id holds!"), (2, "what a null id holds!")]
     docs = make(spark, rows)
