@@ -8,43 +8,43 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, render, resolve
+from .operators import graph, render
 from .operators.publish import Store
+from .plans.shared import materialize
+from .plugins import Active, builtin
 from .schema import DEFAULT_MAX_HOPS
 from .sources import files as source_files
-from .sources import graphql, languages, protobuf
 
 
 class Workspace:
     """Repositories indexed into a store, and the five queries over a view of it."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, plugins: Active | None = None) -> None:
         self.spark, self.store = spark, Store(spark, root)
+        self.plugins = plugins or builtin().activate(["baseline"])
 
     def index(self, repositories: dict[str, str], view: str = "main") -> dict:
-        """Scan, analyze and publish {repository: directory}; unchanged input is skipped."""
-        files, prints = None, {}
+        """Scan, analyze, resolve and publish {repository: directory}; unchanged input under unchanged plugins is skipped."""
+        files = None
         for repository, directory in repositories.items():
             found = source_files.scan(self.spark, directory, repository)
-            prints[repository] = (source_files.state_fingerprint(found).collect() or [(repository, "empty")])[0][1]
             files = found if files is None else files.unionByName(found)
+        names, identity = list(repositories), self.plugins.identity()[:16]
+        known = {r.repository: r.fingerprint for r in source_files.state_fingerprint(files).collect()}  # one row a repository
+        prints = {r: f"{known.get(r, 'empty')}-{identity}" for r in names}
         at = self.store.pointer(view)
         if at["inputs"] == prints and at["revision"]:
             return {"revision": at["revision"], "skipped": True}
-        code, schema, proto = languages.analyze(files), graphql.analyze(files), protobuf.proto_sources(files)
-        edges = languages.edges(code).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto))
-        entities = languages.entities(code).unionByName(graphql.entities(schema)).unionByName(protobuf.entities(proto))
-        edges, entities = edges.cache(), entities.cache()
-        definitions = entities.where("kind = 'callable'").select(_owner(F.col("id"), list(repositories)).alias("repository"), "id")
-        overrides = resolve.unique_name_overrides(edges, definitions)
-        facts = {}
-        first = next(iter(repositories))
-        for repository in repositories:
-            # Facts that name no repository (schemas, contracts) belong to the first one.
-            own = lambda c: F.coalesce(_owner(c, list(repositories)), F.lit(first)) == repository  # noqa: B023, E731
-            ranked = edges.where(own(F.col("from_id"))).withColumn("ordinal", F.col("evidence"))
-            facts[repository] = (prints[repository], ranked, entities.where(own(F.col("id"))))
-        return self.store.publish(view, facts, overrides)
+        found = self.plugins.analyze(files)
+        # Facts that name no repository (schemas, contracts) belong to the first one.
+        owned = lambda rows, c: materialize(rows.withColumn("_owner", F.coalesce(_owner(F.col(c), names), F.lit(names[0]))), "owned")
+        edges, entities = owned(found.edges.withColumn("ordinal", F.col("evidence")), "from_id"), owned(found.entities, "id")
+        facts = {r: (prints[r], edges.where(F.col("_owner") == r).drop("_owner"), entities.where(F.col("_owner") == r).drop("_owner")) for r in names}
+        return self.store.publish(view, facts, found.overrides, found.bound, found.diagnostics)
+
+    def diagnostics(self, view: str = "main", limit: int | None = None) -> DataFrame:
+        """What the analysis of the view's sources couldn't tell."""
+        return self.store.diagnostics(view, limit)
 
     def graph(self, view: str = "main") -> graph.Graph:
         return self.store.graph(view)
@@ -96,6 +96,7 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument("--view", default="main")
         one.add_argument("--max-hops", type=int, default=DEFAULT_MAX_HOPS)
         one.add_argument("--include-tests", action="store_true")
+        one.add_argument("--verbose", action="store_true", help="list the view's diagnostics after the answer")
         form = one.add_mutually_exclusive_group()
         for flag in ("--json", "--json-pretty", "--raw"):
             form.add_argument(flag, action="store_true")
@@ -121,6 +122,9 @@ def main(argv: list[str] | None = None) -> int:
         print(render.raw_text(args.command, args.entity, answer))
     else:
         print(render.compact_text(args.command, args.entity, answer, args.include_tests))
+    if args.verbose:
+        for r in workspace.diagnostics(args.view).toLocalIterator():
+            print(f"{r.severity} {r.code} {r.repository} {r.path or ''}{f':{r.line}' if r.line is not None else ''}{f' ({r.detail})' if r.detail else ''}")
     return 0
 
 

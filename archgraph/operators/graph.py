@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import rules
-from ..plans.fixpoint import MAX_ROUNDS, Levels, closure, least_path, levels, seeds
+from ..plans.fixpoint import Levels, closure, least_path, levels, seeds
 from ..plans.shared import materialize
 from ..schema import DEFAULT_MAX_HOPS, EDGE_COLUMNS
 
@@ -22,22 +24,39 @@ class Graph:
     overrides: DataFrame | None = None
     revision: DataFrame | None = None
     entities: DataFrame | None = None
+    _direct: DataFrame | None = None
 
     def direct(self) -> DataFrame:
         return rules.direct_edges(self.states, self.overrides, self.revision)
 
+    def direct_table(self) -> DataFrame:
+        """The direct edges as a table in the shared folder, made once for a graph: its revision never changes."""
+        if self._direct is None:
+            self._direct = materialize(self.direct(), "direct")
+        return self._direct
+
     def effective(self) -> DataFrame:
         return rules.effective_edges(self.states, self.overrides, self.revision)
 
 
-@dataclass
 class Answer:
-    """``entries``: entity, hops. ``edges``: merged edges among the nodes. ``nodes``: described entities."""
+    """``entries``: entity, hops. ``edges``: merged edges among the nodes. ``nodes``: described entities.
+
+    Edges and nodes are worked out when first asked for: who reads distances alone doesn't
+    pay for the numbering of edges.
+    """
 
-    nodes: DataFrame
-    edges: DataFrame
-    entries: DataFrame
-    truncated: bool = False
+    def __init__(self, entries: DataFrame, edges: Callable[[], DataFrame], nodes: Callable[[DataFrame], DataFrame], truncated: bool = False) -> None:
+        self.entries, self.truncated = entries, truncated
+        self._edges, self._nodes = edges, nodes
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._nodes(self.edges)
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -49,10 +68,21 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 def with_edge_ids(merged: DataFrame) -> DataFrame:
     """Ids e1, e2, ... by (from_id, to_id, relation order).
 
-    A whole-graph order: for the edges of one answer, not for a corpus of them.
+    Ranges of that order are sorted apart, and each is numbered on from the rows of those
+    before it: no task sees all edges. One row for each range is what the offsets are summed over.
     """
-    order = Window.orderBy("from_id", "to_id", ids.relation_rank(F.col("relation")))
-    return merged.withColumn("edge_id", F.concat(F.lit("e"), F.row_number().over(order)))
+    order = ("from_id", "to_id", ids.relation_rank(F.col("relation")))
+    spark = merged.sparkSession
+    ranges = merged.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    # The id's upper bits are the range, and its lower 33 the place in it.
+    placed = materialize(ranges.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    range_ = F.shiftright("_place", 33)
+    sizes = placed.groupBy(range_.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), range_ == F.col("_range"))  # one row for each range
+    place = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return numbered.select(*merged.columns, F.concat(F.lit("e"), place).alias("edge_id"))
 
 
 def describe(nodes: DataFrame, edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -93,32 +123,44 @@ def result_kind(kind, metadata):
 def context(graph: Graph, root: str) -> Answer:
     """All edges at an entity, structural ones too."""
     edges = graph.effective().where((F.col("from_id") == root) | (F.col("to_id") == root))
-    merged = with_edge_ids(merge_edges(edges))
     spark = edges.sparkSession
-    nodes = merged.select(F.col("from_id").alias("node")).union(merged.select("to_id")).union(seeds(spark, root)).distinct()
-    return Answer(describe(nodes, merged, graph.entities), merged, nodes.where(F.col("node") != root).select(F.col("node").alias("entity"), F.lit(1).alias("hops")))
+    ends = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
+
+    def nodes(merged: DataFrame) -> DataFrame:
+        found = merged.select(F.col("from_id").alias("node")).union(merged.select("to_id")).union(seeds(spark, root)).distinct()
+        return describe(found, merged, graph.entities)
+
+    return Answer(ends.where(F.col("node") != root).select(F.col("node").alias("entity"), F.lit(1).alias("hops")), lambda: with_edge_ids(merge_edges(edges)), nodes)
 
 
-def _answer(graph: Graph, start: str, edges: DataFrame, found: Levels) -> Answer:
-    merged = materialize(with_edge_ids(merge_edges(edges)), "merged")
-    inside = merged.join(found.reached.selectExpr("node as from_id"), "from_id", "left_semi").join(found.reached.selectExpr("node as to_id"), "to_id", "left_semi")
+def _answer(graph: Graph, start: str, edges: Callable[[], DataFrame], found: Levels) -> Answer:
+    """An answer whose edges are numbered over all of ``edges()``, and then kept where both ends are reached."""
+
+    def inside() -> DataFrame:
+        merged = with_edge_ids(merge_edges(edges()))
+        return merged.join(found.reached.selectExpr("node as from_id"), "from_id", "left_semi").join(found.reached.selectExpr("node as to_id"), "to_id", "left_semi")
+
     entries = found.reached.where(F.col("node") != start).select(F.col("node").alias("entity"), "hops")
-    return Answer(describe(found.reached, inside, graph.entities), inside, entries, found.truncated)
+    return Answer(entries, inside, lambda merged: describe(found.reached, merged, graph.entities), found.truncated)
+
+
+def _leaving(direct: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges that start at a reached node."""
+    return direct.join(reached.selectExpr("node as from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS)
 
 
 def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
     """What an entity depends on, with distances.
 
-    One search: the whole forward closure by levels, of which the answer shows the first
-    ``max_hops``; edges are numbered over all of the closure.
+    The distances are a search of ``max_hops`` levels, and one look beyond the last. Edges are
+    numbered over the whole forward closure, which is searched when they are asked for.
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = materialize(graph.direct(), "direct")
-    whole = levels(direct, seeds(direct.sparkSession, start), MAX_ROUNDS)
-    edges = materialize(direct.join(whole.reached.selectExpr("node as from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS), "edges")
-    near = whole.reached.where(F.col("hops") <= max_hops)
-    return _answer(graph, start, edges, Levels(near, not whole.reached.where(F.col("hops") == max_hops + 1).isEmpty()))
+    direct = graph.direct_table()
+    start_ = seeds(direct.sparkSession, start)
+    found = levels(direct, start_, max_hops)
+    return _answer(graph, start, lambda: _leaving(direct, closure(direct, start_) if found.truncated else found.reached), found)
 
 
 def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -130,17 +172,17 @@ def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = materialize(graph.direct(), "direct")
+    direct = graph.direct_table()
     spark = direct.sparkSession
     reached = closure(direct.selectExpr("to_id as from_id", "from_id as to_id"), seeds(spark, start))
     taken = direct.join(reached.withColumnRenamed("node", "to_id"), "to_id", "left_semi").select(*EDGE_COLUMNS)
-    if graph.revision is not None:
-        rpc = graph.revision.where("relation = 'implemented_by' and startswith(from_id, 'grpc://')")
-        taken = taken.union(rpc.join(reached.withColumnRenamed("node", "from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS)).distinct()
-    edges = materialize(taken, "edges")
     forward = "relation = 'implemented_by' and startswith(from_id, 'grpc://')"
-    steps = edges.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id").distinct()
-    return _answer(graph, start, edges, levels(steps, seeds(spark, start), max_hops))
+    if graph.revision is not None:
+        rpc = graph.revision.where(forward)
+        taken = taken.union(_leaving(rpc, reached)).distinct()
+    steps = taken.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id")
+    steps = materialize(steps.distinct(), "steps")
+    return _answer(graph, start, lambda: taken, levels(steps, seeds(spark, start), max_hops))
 
 
 def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -151,23 +193,25 @@ def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HO
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = materialize(graph.direct(), "direct")
+    direct = graph.direct_table()
     spark = direct.sparkSession
     if source == target:
-        none = with_edge_ids(merge_edges(direct.where("false"))).withColumn("step", F.lit(0))
         nodes = seeds(spark, source)
-        return Answer(describe(nodes, none, graph.entities), none, nodes.select(F.col("node").alias("entity"), F.lit(0).alias("hops")))
-    reached = closure(direct, seeds(spark, source))
-    edges = materialize(direct.join(reached.withColumnRenamed("node", "from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS), "edges")
-    merged = materialize(with_edge_ids(merge_edges(edges)), "merged")
-    found = least_path(edges, source, target, max_hops)
+        none = lambda: merge_edges(direct.where("false")).withColumn("edge_id", F.lit("")).withColumn("step", F.lit(0))
+        return Answer(nodes.select(F.col("node").alias("entity"), F.lit(0).alias("hops")), none, lambda merged: describe(nodes, merged, graph.entities))
+    found = least_path(direct, source, target, max_hops)
     steps = found.path.select(F.posexplode("nodes").alias("hops", "entity"))
-    hops = steps.withColumn("next", F.lead("entity").over(Window.orderBy("hops"))).where("next is not null")
-    joined = merged.join(hops, (merged.from_id == hops.entity) & (merged.to_id == hops.next))
-    first = Window.partitionBy("from_id", "to_id").orderBy(ids.relation_rank(F.col("relation")))
-    path = joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*merged.columns, (F.col("hops") + 1).alias("step"))
+
+    def edges() -> DataFrame:
+        merged = with_edge_ids(merge_edges(_leaving(direct, closure(direct, seeds(spark, source)))))
+        # A path has at most max_hops steps.
+        hops = steps.withColumn("next", F.lead("entity").over(Window.orderBy("hops"))).where("next is not null")
+        joined = merged.join(hops, (merged.from_id == hops.entity) & (merged.to_id == hops.next))
+        first = Window.partitionBy("from_id", "to_id").orderBy(ids.relation_rank(F.col("relation")))
+        return joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*merged.columns, (F.col("hops") + 1).alias("step"))
+
     nodes = steps.select(F.col("entity").alias("node")).union(seeds(spark, source, target)).distinct()
-    return Answer(describe(nodes, path, graph.entities), path, steps.select("entity", "hops"), found.truncated)
+    return Answer(steps.select("entity", "hops"), edges, lambda path: describe(nodes, path, graph.entities), found.truncated)
 
 
 #: A trace that is read for its evidence.

@@ -12,11 +12,11 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import identity_text
-from ..schema import EDGE, EDGE_COLUMNS, ENTITY, OVERRIDE
+from ..schema import DIAGNOSTIC, EDGE, EDGE_COLUMNS, ENTITY, OVERRIDE
 
 
 def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -29,6 +29,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def extend_unique(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``first``, and those of ``then`` with keys that it lacks."""
+    return first.unionByName(then.join(first.select(*keys), keys, "left_anti"))
+
+
 def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone.select(*keys), keys, "left_anti")
 
@@ -90,8 +95,10 @@ def missing_enrichments(expected: DataFrame, present: DataFrame) -> DataFrame:
 
 def grpc_statuses(candidates: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Candidates with their diagnostic's code, or ``resolved``."""
-    keys = ["local_symbol", "role", "service", "method", "evidence"]
-    return candidates.join(diagnostics.select(*keys, "code"), keys, "left").withColumn("status", F.coalesce("code", F.lit("resolved"))).drop("code")
+    # A candidate that also comes in another cardinality has a diagnostic for one of the two.
+    keys = ["local_symbol", "role", "service", "method", "evidence", "_unary"]
+    found = diagnostics.withColumn("_unary", F.col("code") != "grpc.cardinality_unsupported").select(*keys, "code")
+    return candidates.withColumn("_unary", F.col("cardinality") == "unary").join(found, keys, "left").select(*candidates.columns, F.coalesce("code", F.lit("resolved")).alias("status"))
 
 
 def validate_entities(entities: DataFrame) -> DataFrame:
@@ -151,7 +158,7 @@ class Store:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
         context.rename(temporary, self._path(f"{self.root}/views/{view}.json"), options)
 
-    def publish(self, view: str, facts: dict[str, tuple[str, DataFrame, DataFrame]], overrides: DataFrame | None = None, extra: DataFrame | None = None) -> dict:
+    def publish(self, view: str, facts: dict[str, tuple[str, DataFrame, DataFrame]], overrides: DataFrame | None = None, extra: DataFrame | None = None, diagnostics: DataFrame | None = None) -> dict:
         """Publish a revision from {repository: (input fingerprint, edges with ordinal, entities)}; returns the counts of changed facts.
 
         A state is its facts' digest; an existing one is reused. With the same states and no
@@ -161,6 +168,9 @@ class Store:
         old = self.observations(before)
         states, inputs = {}, {}
         for repository, (fingerprint_, edges, entities) in facts.items():
+            bad = validate_entities(entities).limit(1).collect()
+            if bad:
+                raise ValueError(f"{bad[0].id} has the kind {bad[0].kind!r} with the metadata {bad[0].metadata!r}")
             if "ordinal" in edges.columns:
                 edges = last_wins(edges, ["from_id", "relation", "to_id"], "ordinal")
             edges = edges.select(*EDGE_COLUMNS)
@@ -175,10 +185,11 @@ class Store:
         after = before | {"revision": revision, "states": states, "inputs": inputs}
         # Enrichments whose input is unchanged are carried forward as they are.
         after["enrichments"] = {k: v for k, v in before["enrichments"].items() if inputs.get(v["repository"]) == v["input"]}
-        for name, frame, schema in (("override", overrides, OVERRIDE), ("extra", extra, EDGE)):
+        folder = f"{self.root}/revisions/{view}/{revision}-{uuid.uuid4().hex}"
+        for name, frame, schema in (("override", overrides, OVERRIDE), ("extra", extra, EDGE), ("diagnostic", diagnostics, DIAGNOSTIC)):
             after[name] = None
             if frame is not None:
-                after[name] = f"{self.root}/revisions/{view}/{revision}-{uuid.uuid4().hex}/{name}"
+                after[name] = f"{folder}/{name}"
                 frame.select(*schema.names).write.parquet(after[name])
         new = self.observations(after)
         counts = diff(old, new, ["from_id", "relation", "to_id"], ["evidence", "confidence", "provenance"]).first().asDict()
@@ -190,6 +201,11 @@ class Store:
 
         The analyzer's earlier facts for the repository are replaced; all others stay.
         """
+        from .resolve import escapes_target
+
+        for made in (overrides, edges):
+            if made is not None and (out := escapes_target(made, repository).limit(1).collect()):
+                raise ValueError(f"{out[0].from_id} is not of {repository}")
         before = self.pointer(view)
         if before["inputs"].get(repository) != input_fingerprint:
             raise Stale(f"{repository} is no longer at {input_fingerprint}")
@@ -221,6 +237,12 @@ class Store:
         edges = [x["edge"] for x in at["enrichments"].values() if x["edge"]] + ([at["extra"]] if at.get("extra") else [])
         return Graph(self.observations(at), self._read(overrides, OVERRIDE) if overrides else None, self._read(edges, EDGE) if edges else None, self.entities(at))
 
+    def diagnostics(self, view: str, limit: int | None = None) -> DataFrame:
+        """The diagnostics of the view's current revision, in order; at most ``limit``."""
+        at = self.pointer(view).get("diagnostic")
+        found = self._read([at] if at else [], DIAGNOSTIC).orderBy("repository", "path", "line", "code", "detail")
+        return found if limit is None else found.limit(limit)
+
     def collect_garbage(self, views: list[str], keep: Callable[[str], bool] = lambda s: False) -> list[str]:
         """Delete the states that no view's pointer names; returns their names."""
         live = {s for v in views for s in self.pointer(v)["states"].values()}
@@ -229,7 +251,21 @@ class Store:
         gone = sorted(s for s in found if s not in live and not keep(s))
         for state in gone:
             self.fs.delete(self._path(f"{self.root}/states/{state}"), True)
-        return gone
+        return gone + self._sweep_revisions(views)
+
+    def _sweep_revisions(self, views: list[str]) -> list[str]:
+        """Delete the folders of revisions that no view's pointer names; returns their names."""
+        gone = []
+        for view in views:
+            at = self.pointer(view)
+            named = [at.get(k) for k in ("override", "extra", "diagnostic")] + [x[k] for x in at["enrichments"].values() for k in ("override", "edge")]
+            live = {self._path(x).getParent().getName() for x in named if x}
+            folder = self._path(f"{self.root}/revisions/{view}")
+            for x in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
+                if x.getPath().getName() not in live:
+                    self.fs.delete(x.getPath(), True)
+                    gone.append(f"{view}/{x.getPath().getName()}")
+        return sorted(gone)
 
 
 def next_revision(revisions: DataFrame) -> DataFrame:
@@ -239,5 +275,5 @@ def next_revision(revisions: DataFrame) -> DataFrame:
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:
     """Of jobs with one (workspace, repository, analyzer) the latest by ``requested``; identical ones count once."""
-    order = Window.partitionBy("workspace", "repository", "analyzer").orderBy(F.desc("requested"), F.desc("fingerprint"))
-    return jobs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    keys = ["workspace", "repository", "analyzer"]
+    return last_wins(jobs.withColumn("_at", F.struct("requested", "fingerprint")), keys, "_at").select(*jobs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans.fixpoint import all_pairs_closure, fixpoint
-from ..schema import EDGE_COLUMNS, EXACT, INFERRED
+from ..schema import EXACT, INFERRED
 
 
 def only_value(rows: DataFrame, keys: list[str], value: str, alias: str = "only") -> DataFrame:
@@ -88,17 +88,34 @@ def entity_owner(ids_: DataFrame, facts: DataFrame, repositories: DataFrame) ->
     return found.select("id", F.coalesce("fact_repository", F.regexp_replace("owner", "^repo://", "")).alias("repository"))
 
 
+#: So many pieces of evidence stand beside a pair of repositories; ``repository_evidence`` has all.
+EVIDENCE_SHOWN = 20
+
+
 def repository_graph(edges: DataFrame, owners: DataFrame, analyzer: str = "baseline") -> DataFrame:
-    """``from_repository, to_repository`` with the sorted sets of analyzers, kinds and evidence; edges inside one are skipped.
+    """``from_repository, to_repository`` with the sorted sets of analyzers and kinds, the number of pieces of evidence and the first of them; edges inside one are skipped.
 
     ``owners``: id, repository. An edge's kind is a resolution override where its provenance is heuristic or compiled.
     """
     kind = F.when(F.col("provenance").isin("unique_name_heuristic", "compiler"), "resolution_override").otherwise("semantic_observation")
     tied = edges.join(owners.selectExpr("id as from_id", "repository as from_repository"), "from_id").join(owners.selectExpr("id as to_id", "repository as to_repository"), "to_id")
     tied = tied.where("from_repository <> to_repository").withColumn("kind", kind)
-    return tied.groupBy("from_repository", "to_repository").agg(
-        F.array(F.lit(analyzer)).alias("analyzers"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.collect_set("evidence")).alias("evidence")
+    each = tied.select("from_repository", "to_repository", "kind", "evidence").distinct()
+    # Two steps, the first over parts of a pair's evidence: no task gathers all evidence of two large repositories.
+    pair = ["from_repository", "to_repository"]
+    parts = each.groupBy(*pair, F.pmod(F.xxhash64("evidence"), F.lit(1024)).alias("_part")).agg(
+        F.collect_set("kind").alias("kinds"), F.count_distinct("evidence").alias("n"), F.slice(F.sort_array(F.collect_set("evidence")), 1, EVIDENCE_SHOWN).alias("evidence")
     )
+    return parts.groupBy(*pair).agg(
+        F.array(F.lit(analyzer)).alias("analyzers"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.sum("n").alias("n_evidence"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("evidence"))), 1, EVIDENCE_SHOWN).alias("evidence"),
+    )
+
+
+def repository_evidence(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """``from_repository, to_repository, evidence``: each piece of evidence between two repositories, as rows."""
+    tied = edges.join(owners.selectExpr("id as from_id", "repository as from_repository"), "from_id").join(owners.selectExpr("id as to_id", "repository as to_repository"), "to_id")
+    return tied.where("from_repository <> to_repository").select("from_repository", "to_repository", "evidence").distinct()
 
 
 def neighbours(repo_graph: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +131,22 @@ def first_existing(imports: DataFrame, files: DataFrame) -> DataFrame:
     return tried.join(files.select("path").distinct(), "path").groupBy("key").agg(F.min_by("path", "at").alias("path"))
 
 
-def import_candidates(base: Column, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx")) -> Column:
-    """Paths that an import of ``base`` may mean: itself, with each extension, and an index file inside."""
-    return F.array(base, *(F.concat(base, F.lit(e)) for e in extensions), *(F.concat(base, F.lit(f"/index{e}")) for e in extensions))
+# Endings of an imported module's file, in the order they are tried.
+IMPORT_ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx")
+
+
+def import_candidates(base: Column, endings: tuple[str, ...] = IMPORT_ENDINGS) -> Column:
+    """Paths that an import of ``base`` may mean: a source file itself, else with each ending, or an index file inside."""
+    tried = F.array(*(F.concat(base, F.lit(e)) for e in endings), *(F.concat(base, F.lit(f"/index{e}")) for e in endings))
+    return F.when(base.rlike(r"\.(js|jsx|ts|tsx)$"), F.array(base)).otherwise(tried)
+
+
+def expand_aliases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``key, path``: a specifier with its longest fitting alias replaced. ``imports``: key, specifier; ``aliases``: prefix (up to a slash), target."""
+    parts = F.split("specifier", "/")
+    tried = imports.where("instr(specifier, '/') > 0").select("key", "specifier", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))).alias("prefix"))
+    rest = F.expr("substring(specifier, length(prefix) + 1)")
+    return tried.join(aliases, "prefix").groupBy("key").agg(F.max_by(F.concat("target", rest), F.length("prefix")).alias("path"))
 
 
 def best_overloads(calls: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -207,6 +237,19 @@ def register_services(registrations: DataFrame, types: DataFrame) -> DataFrame:
     return made.select(F.col("service_id").alias("from_id"), F.lit("implemented_by").alias("relation"), F.col("implementation_id").alias("to_id"), "evidence", F.lit(EXACT).alias("confidence"), F.lit("ast").alias("provenance")).distinct()
 
 
+def lifecycle_edges(methods: DataFrame, bases: DataFrame) -> DataFrame:
+    """``implemented_by`` edges from an engine's messages to the methods of its behaviours, subclasses of subclasses too.
+
+    ``methods``: repository, type (simple name), message, method, evidence. ``bases``:
+    repository, type, base (simple names).
+    """
+    seed = methods.select("repository").distinct().selectExpr("repository", "'MonoBehaviour' as type")
+    inherits = bases.selectExpr("repository", "type as sub", "base as type").distinct()
+    behaviours = fixpoint(seed, lambda new: new.join(inherits, ["repository", "type"]).selectExpr("repository", "sub as type"), ["repository", "type"], "behaviours")
+    hit = methods.join(behaviours, ["repository", "type"], "left_semi")
+    return hit.select(F.concat(F.lit("unity://UnityEngine.MonoBehaviour/"), "message").alias("from_id"), F.lit("implemented_by").alias("relation"), F.col("method").alias("to_id"), "evidence", F.lit(EXACT).alias("confidence"), F.lit("ast").alias("provenance")).distinct()
+
+
 def prefab_scripts(references: DataFrame, metas: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``uses`` edges, unresolved references) of prefabs by script guid.
 
@@ -245,4 +288,4 @@ def receiver_diagnostics(calls: DataFrame, code: str) -> DataFrame:
 
 def escapes_target(edges: DataFrame, target: str) -> DataFrame:
     """Edges of an enrichment that start in a repository other than its target: those it must not publish."""
-    return edges.where(F.col("from_id").startswith("repo://") & ~F.col("from_id").startswith(f"repo://{target}/")).select(*EDGE_COLUMNS)
+    return edges.where(F.col("from_id").startswith("repo://") & ~F.col("from_id").startswith(f"repo://{target}/"))

@@ -1,15 +1,16 @@
 """Recursion over DataFrames: semi-naive closures, breadth-first levels and least paths.
 
 Each round is one join of the frontier with the edges and one anti-join with what is
-already known. The frontier and the known rows are tables in the shared folder, so plans
-stay short and the planner sees their sizes: a small frontier is broadcast, a large one is
-shuffled.
+already known. A search of few nodes holds them on the driver, by a fixed bound; else the
+frontier and the known rows are tables in the shared folder, so plans stay short and the
+planner sees their sizes: a small frontier is broadcast, a large one is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ def fixpoint(seed: DataFrame, step, keys: list[str], label: str = "fixpoint", ma
     raise RuntimeError(f"{label} did not settle in {max_rounds} rounds")
 
 
+#: So many nodes a search holds on the driver at most; beyond, its levels are tables in the shared folder.
+HELD = 10_000
+
+
 @dataclass
 class Levels:
     """``reached``: node, hops. ``truncated``: a node at the last level has a neighbour beyond it."""
@@ -53,32 +58,93 @@ class Levels:
     truncated: bool
 
 
+def small(spark: SparkSession, type_: str, **columns: list) -> DataFrame:
+    """A frame of at most some thousand rows, whose size the planner knows; a column ``node`` has the type ``type_``."""
+    kinds = {"node": pa.int64() if type_ == "bigint" else pa.string(), "nodes": pa.list_(pa.string())}
+    return spark.createDataFrame(pa.table({k: pa.array(v, kinds.get(k, pa.int32())) for k, v in columns.items()}))
+
+
+class Search:
+    """Breadth-first levels along ``pairs`` (from_id, to_id) from ``start`` (node).
+
+    Up to ``HELD`` nodes, a level is one job that returns its new nodes, and nothing is
+    written. A larger search goes on over tables in the shared folder.
+    """
+
+    def __init__(self, pairs: DataFrame, start: DataFrame) -> None:
+        self.pairs = pairs.select("from_id", "to_id")
+        self.spark, self.type = pairs.sparkSession, dict(start.dtypes)["node"]
+        self.hop = 0
+        first = start.select("node").distinct().limit(HELD + 1).collect()
+        self.held: dict | None = {r.node: 0 for r in first}
+        self.last: list = list(self.held)
+        self.known: list[DataFrame] = []
+        self.frontier: DataFrame | None = None
+        if len(first) > HELD:
+            self._spill(start.select("node").distinct())
+
+    def _spill(self, frontier: DataFrame, *known: DataFrame) -> None:
+        self.frontier = materialize(frontier, "level")
+        self.known = [*known, self.frontier.withColumn("hops", F.lit(self.hop))]
+        self.held = None
+
+    def _frame(self, nodes: list) -> DataFrame:
+        return F.broadcast(small(self.spark, self.type, node=nodes))  # of at most HELD rows
+
+    def _beyond(self) -> DataFrame:
+        """What the last level leads to; in a large search without what is known."""
+        last = self._frame(self.last) if self.held is not None else self.frontier
+        found = self.pairs.join(last, self.pairs.from_id == last.node, "left_semi").select(F.col("to_id").alias("node")).distinct()
+        return found if self.held is not None else found.join(union_all([x.select("node") for x in self.known]), "node", "left_anti")
+
+    def step(self) -> bool:
+        """Go one level on; whether there was any new node."""
+        found = self._beyond()
+        self.hop += 1
+        if self.held is not None:
+            rows = found.limit(HELD + 1).collect()
+            new = [r.node for r in rows if r.node not in self.held]
+            if len(rows) <= HELD and len(self.held) + len(new) <= HELD:
+                self.held |= dict.fromkeys(new, self.hop)
+                self.last = new
+                return bool(new)
+            before = materialize(self.reached(), "levels")
+            self._spill(found.join(before.select("node"), "node", "left_anti"), before)
+        else:
+            self.frontier = materialize(found, "level")
+            self.known.append(self.frontier.withColumn("hops", F.lit(self.hop)))
+            if len(self.known) >= 16:  # keep the union short
+                self.known = [materialize(union_all(self.known), "levels")]
+        return not self.frontier.isEmpty()
+
+    def more(self) -> bool:
+        """Whether a node of the last level has a neighbour that isn't reached."""
+        if self.held is None:
+            return not self._beyond().isEmpty()
+        rows = self._beyond().limit(len(self.held) + 1).collect()
+        return any(r.node not in self.held for r in rows)
+
+    def reached(self) -> DataFrame:
+        """``node, hops``."""
+        if self.held is None:
+            return union_all(self.known)
+        return small(self.spark, self.type, node=list(self.held), hops=list(self.held.values()))
+
+
 def levels(pairs: DataFrame, start: DataFrame, max_hops: int) -> Levels:
     """Breadth-first distances along ``pairs`` (from_id, to_id) from ``start`` (node), up to ``max_hops``."""
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    pairs = pairs.select("from_id", "to_id")
-    frontier = materialize(start.select("node").distinct(), "level")
-    known = [frontier.withColumn("hops", F.lit(0))]
-
-    def beyond() -> DataFrame:
-        found = pairs.join(frontier, pairs.from_id == frontier.node, "left_semi").select(F.col("to_id").alias("node")).distinct()
-        return found.join(union_all([x.select("node") for x in known]), "node", "left_anti")
-
-    for hop in range(1, max_hops + 1):
-        frontier = materialize(beyond(), "level")
-        if frontier.isEmpty():
-            return Levels(union_all(known), False)
-        known.append(frontier.withColumn("hops", F.lit(hop)))
-        if len(known) >= 16:
-            known = [materialize(union_all(known), "levels")]
-    return Levels(union_all(known), not beyond().isEmpty())
+    search = Search(pairs, start)
+    for _ in range(max_hops):
+        if not search.step():
+            return Levels(search.reached(), False)
+    return Levels(search.reached(), search.more())
 
 
 def closure(pairs: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reachable along ``pairs`` from ``start``, itself included."""
-    pairs = pairs.select("from_id", "to_id")
-    return fixpoint(start.select("node"), lambda new: pairs.join(new, pairs.from_id == new.node, "left_semi").select(F.col("to_id").alias("node")), ["node"], "closure")
+    return levels(pairs, start, MAX_ROUNDS).reached.select("node")
 
 
 def all_pairs_closure(pairs: DataFrame, reflexive: bool = False) -> DataFrame:
@@ -107,15 +173,35 @@ def least_path(pairs: DataFrame, source: str, target: str, max_hops: int) -> Pat
     parent's smallest path, so no other is ever needed.
     """
     spark = pairs.sparkSession
-    pairs = pairs.select("from_id", "to_id").distinct()
-    frontier = spark.createDataFrame([(source, [source])], "node string, nodes array<string>")
-    known = [frontier.select("node")]
+    pairs = pairs.select("from_id", "to_id")
+    none = small(spark, "string", nodes=[])
+    last, known_names, hop = {source: [source]}, {source}, 0
+    while hop < max_hops:
+        at = F.broadcast(small(spark, "string", node=list(last)))  # of at most HELD rows
+        steps = pairs.join(at, pairs.from_id == at.node).select("from_id", "to_id").distinct().limit(HELD + 1).collect()
+        if len(steps) > HELD or len(known_names) + len(steps) > HELD:
+            break
+        found: dict[str, list[str]] = {}
+        for r in steps:
+            if r.to_id not in known_names:
+                path = [*last[r.from_id], r.to_id]
+                if r.to_id not in found or path < found[r.to_id]:
+                    found[r.to_id] = path
+        hop += 1
+        if target in found:
+            return Path(small(spark, "string", nodes=[found[target]]), False)
+        if not found:
+            return Path(none, False)
+        last = found
+        known_names |= set(found)
+    frontier = small(spark, "string", node=list(last), nodes=list(last.values()))
+    known = [small(spark, "string", node=list(known_names))]
 
     def beyond() -> DataFrame:
         found = frontier.join(pairs, frontier.node == pairs.from_id).select(F.col("to_id").alias("node"), F.concat("nodes", F.array("to_id")).alias("nodes"))
         return found.groupBy("node").agg(F.min("nodes").alias("nodes")).join(union_all(known), "node", "left_anti")
 
-    for _ in range(max_hops):
+    for _ in range(hop, max_hops):
         frontier = materialize(beyond(), "paths")
         found = frontier.where(F.col("node") == target).select("nodes")
         if not found.isEmpty():

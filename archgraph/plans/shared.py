@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (unit tests on one machine) a temporary folder
-    is made and set.
+    Only where a session of one machine names none, as in unit tests, a temporary folder is
+    made and set; executors of a cluster would not share it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="archgraph-shared-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

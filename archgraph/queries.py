@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import testgraph as G
@@ -12,22 +10,9 @@ from .functions import ids
 from .operators import bench_graphs, graph, publish, resolve
 from .plans import rules
 from .plans.fixpoint import all_pairs_closure
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = G.duck(sql)
-        return f
-
-    return register
-
-
 def supply(spark: SparkSession, sf_dir: str, overridden: bool = False, rpc: bool = False) -> graph.Graph:
     return graph.Graph(
         G.frame(spark, sf_dir, G.SUPPLY), G.frame(spark, sf_dir, G.OVERRIDES) if overridden else None, G.frame(spark, sf_dir, G.RPC) if rpc else None
@@ -272,10 +257,10 @@ _OWNERS = "select concat('supplier/', s_suppkey) as id, concat('repo', s_nationk
 
 @query(f"""with s as ({G.SUPPLY}), o as ({_OWNERS}) select a.repository as from_repository, b.repository as to_repository, 'baseline' as analyzers,
     string_agg(distinct case when provenance = 'unique_name_heuristic' then 'resolution_override' else 'semantic_observation' end, ',' order by case when provenance = 'unique_name_heuristic' then 'resolution_override' else 'semantic_observation' end) as kinds,
-    string_agg(distinct evidence, ',' order by evidence) as evidence from s join o a on a.id = from_id join o b on b.id = to_id where a.repository <> b.repository group by all""")
+    count(distinct evidence) as n_evidence, array_to_string(list_sort(list(distinct evidence))[1:20], ',') as evidence from s join o a on a.id = from_id join o b on b.id = to_id where a.repository <> b.repository group by all""")
 def repo_dependency_graph(spark, sf_dir):
     found = resolve.repository_graph(G.frame(spark, sf_dir, G.SUPPLY), G.frame(spark, sf_dir, _OWNERS))
-    return found.select("from_repository", "to_repository", *(F.array_join(c, ",").alias(c) for c in ("analyzers", "kinds", "evidence")))
+    return found.select("from_repository", "to_repository", "n_evidence", *(F.array_join(c, ",").alias(c) for c in ("analyzers", "kinds", "evidence")))
 
 
 _NOW = "select concat('o', l_orderkey) as from_id, l_returnflag as relation, concat('p', l_partkey) as to_id, max(l_quantity) as evidence from {lineitem} where l_linenumber <= 4 group by 1, 2, 3"
@@ -357,9 +342,9 @@ def impact_groups(spark, sf_dir):
     return graph.impact_groups(graph.impact(supply(spark, sf_dir, True, True), "supplier/5"))
 
 
-@query(f"with s as ({G.CHAIN}) select regexp_extract(from_id, '^([a-z]+)/', 1) as grp, sha256(string_agg(concat_ws(chr(9), from_id, to_id, evidence), chr(10) order by concat_ws(chr(9), from_id, to_id, evidence))) as fingerprint from s group by 1")
+@query(f"with s as ({G.CHAIN}) select cast(regexp_extract(from_id, '([0-9]+)$', 1) as bigint) % 997 as grp, sha256(string_agg(concat_ws(chr(9), from_id, to_id, evidence), chr(10) order by concat_ws(chr(9), from_id, to_id, evidence))) as fingerprint from s group by 1")
 def fingerprint_state(spark, sf_dir):
-    rows = G.frame(spark, sf_dir, G.CHAIN).withColumn("grp", F.regexp_extract("from_id", "^([a-z]+)/", 1))
+    rows = G.frame(spark, sf_dir, G.CHAIN).withColumn("grp", F.expr("cast(regexp_extract(from_id, '([0-9]+)$', 1) as bigint) % 997"))
     return publish.ordered_fingerprint(rows, ["from_id", "to_id", "evidence"], ["grp"])
 
 
@@ -439,10 +424,10 @@ def href_counts(spark, sf_dir):
 
 
 _IMPORTS = "select concat('k', o_orderkey) as k, concat('src/m', o_custkey % 300) as base from {orders}"
-_FILES = "select distinct concat('src/m', p_partkey % 400, case p_size % 4 when 0 then '.ts' when 1 then '.tsx' when 2 then '/index.ts' else '.js' end) as path from {part} where p_size < 20"
+_FILES = "select distinct concat('src/m', p_partkey % 400, case p_size % 4 when 0 then '.ts' when 1 then '.tsx' when 2 then '/index.ts' else '.d.ts' end) as path from {part} where p_size < 20"
 
 
-@query(f"""with i as ({_IMPORTS}), f as ({_FILES}), x as (select unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) as e, generate_subscripts(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'], 1) as n)
+@query(f"""with i as ({_IMPORTS}), f as ({_FILES}), x as (select unnest(['.ts', '.tsx', '.d.ts', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx']) as e, generate_subscripts(['.ts', '.tsx', '.d.ts', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx'], 1) as n)
     select k as key, arg_min(path, n) as path from i, x join f on true where f.path = base || e group by k""")
 def import_first_existing(spark, sf_dir):
     imports = G.frame(spark, sf_dir, _IMPORTS).select(F.col("k").alias("key"), resolve.import_candidates(F.col("base")).alias("candidates"))
@@ -468,3 +453,6 @@ def receiver_diagnostics(spark, sf_dir):
 @query("select distinct concat('c', c_nationkey) as from_id, concat('c', n_regionkey) as to_id from customer join nation on n_nationkey = c_nationkey union select distinct concat('c', c_nationkey), concat('c', r.n_regionkey) from customer join nation a on a.n_nationkey = c_nationkey join nation r on r.n_nationkey = a.n_regionkey union select distinct concat('c', n_nationkey), concat('c', n_regionkey) from nation")
 def region_closure(spark, sf_dir):
     return all_pairs_closure(G.frame(spark, sf_dir, "select concat('c', n_nationkey) as from_id, concat('c', n_regionkey) as to_id from {nation}"))
+
+
+from . import queries_resolve, queries_sources  # noqa: E402, F401 (they register theirs)

@@ -9,15 +9,16 @@ from ..functions.ids import identity_text
 
 # Directories that a scan skips.
 IGNORED_DIRECTORIES = (
-    ".git", ".hg", ".svn", "node_modules", "target", "_build", "deps", "dist", "build", "vendor", ".venv", "__pycache__", "bin", "obj", "Library",
+    ".git", ".next", ".next-server", ".terraform", ".turbo", "_build", "bin", "build", "coverage", "deps", "dist", "node_modules", "obj",
+    "storybook-static", "target",
 )
 # File names and endings by analyzer.
 ACCEPTED = {
-    "rust": (r"\.rs$", r"(^|/)Cargo\.toml$"),
+    "rust": (r"\.rs$",),
     "elixir": (r"\.exs?$",),
-    "typescript": (r"\.(ts|tsx|js|jsx)$", r"(^|/)package\.json$", r"(^|/)tsconfig[^/]*\.json$"),
-    "csharp": (r"\.cs$", r"\.csproj$", r"\.asmdef$", r"\.prefab$", r"\.meta$"),
-    "graphql": (r"\.(graphql|gql|graphqls)$",),
+    "typescript": (r"\.(js|jsx|ts|tsx)$", r"(^|/)package\.json$", r"(^|/)(tsconfig|jsconfig)\.([^/]*\.)?json$"),
+    "csharp": (r"\.cs$", r"\.csproj$", r"\.asmdef$", r"\.prefab$", r"\.cs\.meta$", r"\.prefab\.meta$"),
+    "graphql": (r"\.(graphql|gql)$",),
     "protobuf": (r"\.proto$", r"(^|/)buf\.(yaml|lock)$"),
 }
 
@@ -28,6 +29,28 @@ def accepted(path: Column, analyzer: str | None = None) -> Column:
     return path.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def taken(path: Column) -> Column:
+    """Whether a scan takes a file of that relative path: some analyzer reads it, and no directory above it is skipped."""
+    return ~F.exists(F.split(path, "/"), lambda x: x.isin(*IGNORED_DIRECTORIES)) & accepted(path)
+
+
+# Endings of generated files' names, and what their first lines hold, by language.
+GENERATED = {
+    r"\.exs?$": (r"\.pb\.ex$", "Autogenerated by"),
+    r"\.cs$": (r"\.(generated|g)\.cs$", "(?i)<auto-generated|generated by"),
+    r"\.(js|jsx|ts|tsx)$": (r"\.(generated|gen)\.\w+$", "(?i)@generated|generated by|do not edit"),
+}
+
+
+def generated(path: Column, text: Column) -> Column:
+    """Whether a source was generated, by its name or its first 20 lines."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 20), "\n")
+    out = F.lit(False)
+    for language, (name, marker) in GENERATED.items():
+        out = out | (path.rlike(language) & (path.rlike(name) | head.rlike(marker)))
+    return out
+
+
 def scan(spark: SparkSession, root: str, repository: str) -> DataFrame:
     """``repository, path, content, length, modified`` of each accepted file below ``root``, by relative path.
 
@@ -39,8 +62,7 @@ def scan(spark: SparkSession, root: str, repository: str) -> DataFrame:
     base = qualified.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(qualified).toString().rstrip("/") + "/"
     relative = F.expr(f"substring(replace(path, 'file:///', 'file:/'), {len(base.replace('file:///', 'file:/')) + 1})")
     rows = files.select(F.lit(repository).alias("repository"), relative.alias("path"), "content", F.col("length"), F.col("modificationTime").alias("modified"))
-    ignored = F.exists(F.split("path", "/"), lambda x: x.isin(*IGNORED_DIRECTORIES))
-    return rows.where(~ignored & accepted(F.col("path")))
+    return rows.where(taken(F.col("path")))
 
 
 def inventory(files: DataFrame) -> DataFrame:

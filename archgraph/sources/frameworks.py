@@ -5,7 +5,7 @@ Each reads one file and yields rows for a resolver of ``operators/resolve.py``:
 - ``grpc``: local symbol, role, service, method (resolve_grpc, once joined to the contracts' cardinalities)
 - ``resolver``: field, parent, resolver (bind_graphql)
 - ``registration``: service, implementation (register_services)
-- ``edge``: a ready edge
+- ``lifecycle`` and ``base``: methods by message, and types' bases (lifecycle_edges)
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ FACTS = "repository string, path string, sort string, local_symbol string, role
 _NAMES = [x.split()[0] for x in FACTS.split(", ")]
 _ARROW = pa.schema([(n, pa.float64() if n == "confidence" else pa.string()) for n in _NAMES])
 
-# Messages that the engine sends to behaviours.
-LIFECYCLE = ("Awake", "FixedUpdate", "LateUpdate", "OnApplicationPause", "OnApplicationQuit", "OnCollisionEnter", "OnDestroy", "OnDisable", "OnEnable", "OnTriggerEnter", "Start", "Update")
+# Messages that the engine sends to behaviours, all without parameters, and what their methods return.
+LIFECYCLE = {
+    "Awake": ("void",), "Start": ("void", "IEnumerator"), "FixedUpdate": ("void",), "Update": ("void",), "LateUpdate": ("void",), "OnEnable": ("void",), "OnDisable": ("void",),
+    "OnDestroy": ("void",), "OnGUI": ("void",), "OnValidate": ("void",), "OnDrawGizmos": ("void",), "OnDrawGizmosSelected": ("void",),
+}
 
 
 def pascal(name: str) -> str:
@@ -159,15 +162,17 @@ def dotnet_di(text: str, repository: str, path: str) -> list[dict]:
 
 
 def unity_lifecycle(text: str, repository: str, path: str) -> list[dict]:
-    """``implemented_by`` edges from lifecycle messages to the methods of direct behaviours."""
-    rows = languages.csharp_facts(text, repository, path)
-    behaviours = {r["id"] for r in rows if r["sort"] == "base" and r["to_id"] == "MonoBehaviour"}
-    out = []
+    """Methods that an engine's message may mean, by name, return type and no parameters; and bases, for resolve.lifecycle_edges."""
+    rows, lines, out = languages.csharp_facts(text, repository, path), blank_cs(text).split("\n"), []
+    simple = lambda id_: id_.rsplit("/", 1)[1].rsplit(".", 1)[-1]
     for r in rows:
-        if r["sort"] == "edge" and r["relation"] == "defines" and r["from_id"] in behaviours:
-            name = re.sub(r"\(.*", "", r["to_id"].rsplit("/", 1)[1])
-            if name in LIFECYCLE:
-                out.append({"sort": "edge", "local_symbol": f"unity://UnityEngine.MonoBehaviour/{name}", "role": "implemented_by", "target": r["to_id"], "evidence": r["evidence"], "confidence": 1.0})
+        if r["sort"] == "base":
+            out.append({"sort": "base", "parent": simple(r["id"]), "target": r["to_id"], "evidence": r["evidence"]})
+        elif r["sort"] == "edge" and r["relation"] == "defines" and r["to_id"].endswith("()"):
+            name = r["to_id"].rsplit("/", 1)[1][:-2]
+            line = lines[int(r["evidence"].rsplit(":", 1)[1]) - 1]
+            if re.search(rf"\b(?:{'|'.join(LIFECYCLE.get(name, ('$.',)))})\s+{name}\s*\(", line):
+                out.append({"sort": "lifecycle", "parent": simple(r["from_id"]), "method": name, "target": r["to_id"], "evidence": r["evidence"], "confidence": 1.0})
     return out
 
 

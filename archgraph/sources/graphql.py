@@ -306,22 +306,23 @@ def _run(batches):
 
 def analyze(files: DataFrame) -> DataFrame:
     """Facts (``FACTS``) of the GraphQL files among rows repository, path, content."""
-    return files.where(F.col("path").rlike(r"\.(graphql|gql|graphqls)$")).select("repository", "path", "content").mapInArrow(_run, FACTS)
+    return files.where(F.col("path").rlike(r"\.(graphql|gql)$")).select("repository", "path", "content").mapInArrow(_run, FACTS)
 
 
 def expand_fragments(facts: DataFrame) -> DataFrame:
     """``facts``' selections with those that fragment spreads bring in; each fragment counts once an operation."""
     from ..plans.fixpoint import fixpoint
 
-    spreads = facts.where("sort = 'spread'").select("from_id", F.col("id").alias("fragment"), F.col("to_id").alias("prefix"), "evidence")
-    bodies = facts.where("sort = 'fragment'").select(F.col("id").alias("fragment"), F.col("kind").alias("on_type"), "metadata").dropDuplicates(["fragment"])
-    inner = bodies.select("fragment", F.explode(F.regexp_extract_all("metadata", F.lit(r"\.\.\. (\w+)"), 1)).alias("inner")).where("inner <> 'on'")
+    # A fragment's name holds within its repository.
+    spreads = facts.where("sort = 'spread'").select("repository", "from_id", F.col("id").alias("fragment"), F.col("to_id").alias("prefix"), "evidence")
+    bodies = facts.where("sort = 'fragment'").groupBy("repository", F.col("id").alias("fragment")).agg(F.min_by(F.struct(F.col("kind").alias("on_type"), "metadata"), "evidence").alias("body")).select("repository", "fragment", "body.*")
+    inner = bodies.select("repository", "fragment", F.explode(F.regexp_extract_all("metadata", F.lit(r"\.\.\. (\w+)"), 1)).alias("inner")).where("inner <> 'on'")
     reached = fixpoint(
-        spreads.select("from_id", "fragment", "evidence"),
-        lambda new: new.join(inner, "fragment").select("from_id", F.col("inner").alias("fragment"), "evidence"), ["from_id", "fragment"], "fragments",
+        spreads.select("repository", "from_id", "fragment", "evidence"),
+        lambda new: new.join(inner, ["repository", "fragment"]).select("repository", "from_id", F.col("inner").alias("fragment"), "evidence"), ["repository", "from_id", "fragment"], "fragments",
     )
-    names = bodies.select("fragment", F.col("on_type"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.regexp_replace("metadata", r"\([^()]*\)", ""), r"\.\.\. (on )?\w+|\w+ :|@ \w+", ""), F.lit(r"(?<!\w)(\w+)"), 1))).alias("id"))
-    extra = reached.join(names, "fragment").select(F.col("id"), "from_id", F.concat(F.lit("<"), "on_type", F.lit(">")).alias("to_id"), "evidence")
+    names = bodies.select("repository", "fragment", F.col("on_type"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.regexp_replace("metadata", r"\([^()]*\)", ""), r"\.\.\. (on )?\w+|\w+ :|@ \w+", ""), F.lit(r"(?<!\w)(\w+)"), 1))).alias("id"))
+    extra = reached.join(names, ["repository", "fragment"]).select(F.col("id"), "from_id", F.concat(F.lit("<"), "on_type", F.lit(">")).alias("to_id"), "evidence")
     return facts.where("sort = 'select'").select("id", "from_id", "to_id", "evidence").unionByName(extra).distinct()
 
 

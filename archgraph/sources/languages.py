@@ -422,14 +422,29 @@ FRONTENDS: dict[str, tuple[str, Callable[[str, str, str], list[dict]]]] = {
 }
 
 
+def decode(content: bytes) -> tuple[str, bool]:
+    """(text, whether bytes were lost) by the byte order mark: UTF-8, or UTF-16 of either order."""
+    for mark, encoding in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"", "utf-8")):
+        if content.startswith(mark):
+            body = content[len(mark) :]
+            try:
+                return body.decode(encoding), False
+            except UnicodeDecodeError:
+                return body.decode(encoding, "replace"), True
+    raise AssertionError("the empty mark fits any content")
+
+
 def _run(frontends: list[tuple[re.Pattern, Callable]]):
     def run(batches):
         for batch in batches:
             for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = bytes(content or b"").decode("utf-8", "replace").removeprefix("﻿")
+                text, lossy = decode(bytes(content or b""))
                 for pattern, parse in frontends:
                     if pattern.search(path):
-                        yield pa.RecordBatch.from_pylist(parse(text, repository, path), schema=_ARROW)
+                        rows = parse(text, repository, path)
+                        if lossy and path.endswith(".cs"):
+                            rows = [*rows, {"repository": repository, "path": path, "sort": "diagnostic", "id": "csharp.lossy_encoding", "evidence": path}]
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return run
 

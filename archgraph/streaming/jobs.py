@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,17 +28,21 @@ def debounce(changes: DataFrame, quiet: str = QUIET, by: tuple[str, ...] = ()) -
 
 
 def debounce_capped(changes: DataFrame, quiet: str = QUIET, most: str = MOST, by: tuple[str, ...] = ()) -> DataFrame:
-    """As ``debounce`` over a table, with bursts cut where they have lasted ``most``.
+    """As ``debounce`` over a table, but a burst also ends where it has lasted ``most``; the next change then starts another.
 
-    Bursts first, by gaps; inside one, each span of ``most`` from its start is a run of its
-    own. ``run, started, changes`` of each.
+    Bursts first, by gaps, in a window; inside one a fold over its times, which are one
+    row's, finds the cuts. ``burst, run, started, changes`` of each.
     """
     order = Window.partitionBy(*by).orderBy("ts", "source") if by else Window.orderBy("ts", "source")
-    gap = (F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order)) > _milliseconds(quiet)).cast("int")
+    gap = (F.timestamp_diff("MILLISECOND", F.lag("ts").over(order), "ts") > _milliseconds(quiet)).cast("int")
     marked = changes.withColumn("burst", F.sum(F.coalesce(gap, F.lit(0))).over(order))
-    whole = Window.partitionBy(*by, "burst")
-    marked = marked.withColumn("run", F.floor((F.unix_millis("ts") - F.min(F.unix_millis("ts")).over(whole)) / _milliseconds(most)))
-    return marked.groupBy(*by, "burst", "run").agg(F.min("ts").alias("started"), F.count("*").alias("changes"))
+    times = marked.groupBy(*by, "burst").agg(F.sort_array(F.collect_list("ts")).alias("times"))
+    cut = f"""aggregate(times, cast(array() as array<struct<started: {dict(changes.dtypes)['ts']}, changes: bigint>>), (runs, t) ->
+        if(size(runs) > 0 and timestampdiff(MILLISECOND, element_at(runs, -1).started, t) < {_milliseconds(most)},
+            concat(slice(runs, 1, size(runs) - 1), array(named_struct('started', element_at(runs, -1).started, 'changes', element_at(runs, -1).changes + 1))),
+            concat(runs, array(named_struct('started', t, 'changes', 1L)))))"""
+    runs = times.select(*by, "burst", F.posexplode(F.expr(cut)).alias("run", "x"))
+    return runs.select(*by, "burst", "run", "x.started", "x.changes")
 
 
 def accept_current(results: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -70,6 +72,3 @@ def watch(spark, root: str, pattern: str = "*", max_files: int = 1000) -> DataFr
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(root)
     return files.select(F.col("modificationTime").alias("ts"), F.col("path").alias("source"))
 
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", text)

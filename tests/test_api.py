@@ -29,6 +29,46 @@ def test_index_query_and_reindex(spark, tmp_path, capsys):
     assert workspace.inspect("calls").count() == 1 and "Physical Plan" in workspace.explain()
 
 
+def test_index_across_repositories(spark, tmp_path, capsys):
+    """A call from Elixir over a contract to Rust, and what can't be bound, through a store."""
+    from test_frameworks import ELIXIR, SERVER
+
+    for name, path, text in (("srv", "src/main.rs", SERVER), ("shop", "lib/s.ex", ELIXIR.replace("Stub.get_price(channel, 1)", "Stub.get_price(channel, 1)\n    Pricing.V1.Pricing.Stub.lost_call(channel, 1)")), ("api", "p.proto", 'syntax = "proto3"; package pricing.v1; message P {} service Pricing { rpc GetPrice (P) returns (P); }')):
+        (tmp_path / name / path).parent.mkdir(parents=True)
+        (tmp_path / name / path).write_text(text)
+    workspace = api.Workspace(spark, f"file://{tmp_path}/store")
+    assert workspace.index({r: f"file://{tmp_path}/{r}" for r in ("api", "shop", "srv")})["revision"] == 1
+    client, server = "repo://shop/elixir/Shop.Prices/fetch/1", "repo://srv/rust/main/impl/Pricing-for-Svc/get_price"
+    found = workspace.trace(client, server)
+    assert [r.entity for r in found.entries.orderBy("hops").collect()] == [client, "grpc://pricing.v1.Pricing/GetPrice", server]
+    assert [(r.relation, r.step) for r in found.edges.orderBy("step").collect()] == [("calls_rpc", 1), ("implemented_by", 2)]
+    assert client in {r.entity for r in workspace.impact("proto-method://pricing.v1.Pricing/GetPrice").entries.collect()}
+    assert [(r.code, r.repository, r.path, r.detail) for r in workspace.diagnostics().collect()] == [("grpc.contract_unmatched", "shop", "lib/s.ex", "pricing.v1.Pricing/LostCall")]
+    assert api.main(["--store", f"file://{tmp_path}/store", "context", client, "--verbose"]) == 0
+    assert "warning grpc.contract_unmatched shop lib/s.ex:" in capsys.readouterr().out
+
+
+def test_plugins(spark):
+    import pytest
+
+    from archgraph import plugins
+
+    registry = plugins.builtin()
+    with pytest.raises(plugins.DuplicateId):
+        registry.install(plugins.Plugin("baseline", "3"))
+    with pytest.raises(plugins.DuplicateId):
+        registry.install(plugins.Plugin("other", "1", (plugins.BaselineAnalyzer(),)))
+    with pytest.raises(KeyError):
+        registry.activate(["nowhere"])
+    with pytest.raises(plugins.DuplicateId):
+        registry.activate(["baseline", "baseline"])
+    one = registry.activate(["baseline"]).identity()
+    registry.install(plugins.Plugin("extra", "1"))
+    assert registry.activate(["extra", "baseline"]).identity() == registry.activate(["baseline", "extra"]).identity() != one == registry.activate(["baseline"]).identity()
+    with pytest.raises(ValueError):
+        registry.activate(["extra"]).analyze(spark.createDataFrame([], "repository string, path string, content binary"))
+
+
 def test_rendering(spark):
     rows = [("repo://r/rust/a", "calls", "rust-call://g", "a.rs:1", 1.0, "ast"), ("rust-call://g", "calls_rpc", "grpc://S/M", "g.rs:2", 1.0, "ast")]
     g = graph.Graph(spark.createDataFrame(rows, EDGE))

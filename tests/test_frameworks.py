@@ -52,8 +52,8 @@ def test_nestjs_and_absinthe():
 
 def test_registrations_and_lifecycle():
     assert [(r["service"], r["target"]) for r in frameworks.dotnet_di("services.AddScoped<App.IStore, Store>(); // .AddScoped<A, B>()", "r", "p.cs")] == [("IStore", "Store")]
-    rows = frameworks.unity_lifecycle("public class P : MonoBehaviour { void Start() { } void Other() { } }", "r", "P.cs")
-    assert [(r["local_symbol"], r["target"]) for r in rows] == [("unity://UnityEngine.MonoBehaviour/Start", "repo://r/csharp/default/P.cs/P/Start()")]
+    rows = frameworks.unity_lifecycle("public class P : MonoBehaviour {\n IEnumerator Start() { }\n int Update() { }\n void Awake(int x) { }\n void OnTriggerEnter() { } }", "r", "P.cs")
+    assert [(r["sort"], r["parent"], r["method"] if "method" in r else None, r["target"]) for r in rows] == [("base", "P", None, "MonoBehaviour"), ("lifecycle", "P", "Start", "repo://r/csharp/default/P.cs/P/Start()")]
 
 
 def test_bridge_from_elixir_to_rust(spark):
