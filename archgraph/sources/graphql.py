@@ -315,7 +315,7 @@ def expand_fragments(facts: DataFrame) -> DataFrame:
 
     # A fragment's name holds within its repository.
     spreads = facts.where("sort = 'spread'").select("repository", "from_id", F.col("id").alias("fragment"), F.col("to_id").alias("prefix"), "evidence")
-    bodies = facts.where("sort = 'fragment'").groupBy("repository", F.col("id").alias("fragment")).agg(F.min_by(F.struct(F.col("kind").alias("on_type"), "metadata"), "evidence").alias("body")).select("repository", "fragment", "body.*")
+    bodies = facts.where("sort = 'fragment'").groupBy("repository", F.col("id").alias("fragment")).agg(F.min(F.struct(F.col("kind").alias("on_type"), "metadata")).alias("body")).select("repository", "fragment", "body.*")
     inner = bodies.select("repository", "fragment", F.explode(F.regexp_extract_all("metadata", F.lit(r"\.\.\. (\w+)"), 1)).alias("inner")).where("inner <> 'on'")
     reached = fixpoint(
         spreads.select("repository", "from_id", "fragment", "evidence"),
