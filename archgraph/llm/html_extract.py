@@ -10,13 +10,16 @@ short ones too, but for those inside boilerplate elements.
 
 Defined cases: a null or empty page gives the empty text; a page that is cut off keeps the
 text before the cut, without the unfinished tag; a page of one short line keeps it;
-repeated pages give repeated rows; other columns of the input pass through no further.
+repeated pages give repeated rows; very long and very deep pages take time in proportion, as
+what elements hold is summed once from the inside out; other columns of the input pass through
+no further, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -75,14 +78,20 @@ UNFINISHED = re.compile(r"<(?=[A-Za-z/!?])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "noise", "marks", "marked", "header", "heading", "link")
+    """An element. ``order`` counts elements in page order, so that a parent comes before what is inside it."""
 
-    def __init__(self, tag: str, parent: "_Node | None", noise: bool, marks: frozenset[str], header: bool) -> None:
-        self.tag, self.parent, self.noise, self.header = tag, parent, noise, header
+    __slots__ = ("tag", "parent", "order", "noise", "marks", "marked", "header", "heading", "link", "article", "main", "in_article")
+
+    def __init__(self, tag: str, parent: "_Node | None", order: int, noise: bool, marks: frozenset[str], header: bool) -> None:
+        self.tag, self.parent, self.order, self.noise, self.header = tag, parent, order, noise, header
         #: Its own noise words, and whether it or an element around it has some.
         self.marks, self.marked = marks, bool(marks) or (parent is not None and parent.marked)
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
         self.link = tag == "a" or (parent is not None and parent.link)
+        #: The outermost article and main around it, and whether one without noise words is.
+        self.article = parent.article if parent is not None and parent.article is not None else self if tag == "article" else None
+        self.main = parent.main if parent is not None and parent.main is not None else self if tag == "main" else None
+        self.in_article = (parent is not None and parent.in_article) or (tag in ("article", "main") and not marks)
 
 
 class _Lines(HTMLParser):
@@ -90,7 +99,10 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [_Node("#root", None, False, frozenset(), False)]
+        self.nodes = [_Node("#root", None, 0, False, frozenset(), False)]
+        self.stack = [self.nodes[0]]
+        #: How many elements of each tag are open.
+        self.open: Counter[str] = Counter()
         self.lines: list[tuple[str, int, int, _Node]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -102,7 +114,16 @@ class _Lines(HTMLParser):
             self.lines.append((text, self.tags, self.linked, self.at or self.stack[-1]))
         self.parts, self.tags, self.linked, self.at = [], 0, 0, None
 
+    def cut(self, i: int) -> None:
+        """Close the open elements from place ``i`` on."""
+        for node in self.stack[i:]:
+            self.open[node.tag] -= 1
+        del self.stack[i:]
+
     def inside(self, tags: frozenset[str] | set[str], stop: set[str] = frozenset()) -> int:
+        """The place of the innermost open element of these tags, if none of ``stop`` is inside it; else 0."""
+        if not any(self.open[tag] for tag in tags):
+            return 0
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i].tag
             if tag in tags:
@@ -157,19 +178,22 @@ class _Lines(HTMLParser):
             self.parts.append("\n")
         self.tags += 1
         if tag in CLOSES_P and (i := self.inside({"p"}, {"td", "th", "button", "object"})):
-            del self.stack[i:]
+            self.cut(i)
         if tag in SIBLINGS and (i := self.inside(*SIBLINGS[tag])):
             if tag == "tr":
                 i = self.inside({"tr"}, SIBLINGS[tag][1]) or i
-            del self.stack[i:]
+            self.cut(i)
         if tag in VOID:
             return
         if tag == "body" and (i := self.inside({"head"})):
-            del self.stack[i:]
+            self.cut(i)
         top = self.stack[-1]
         known = {k: v or "" for k, v in attrs}
         noise = top.noise or tag in NOT_CONTENT or self.noisy(tag, known)
-        self.stack.append(_Node(tag, top, noise, self.marks(tag, known), top.header or tag == "header"))
+        node = _Node(tag, top, len(self.nodes), noise, self.marks(tag, known), top.header or tag == "header")
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -183,7 +207,7 @@ class _Lines(HTMLParser):
                 self.parts.append("\n")
             return
         if i := self.inside({tag}):
-            del self.stack[i:]
+            self.cut(i)
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
@@ -213,21 +237,21 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, window, mode="full")[radius:-radius] / weight
 
 
-def _outermost(node: _Node, tag: str) -> _Node | None:
-    found = None
-    while node is not None:
-        if node.tag == tag:
-            found = node
-        node = node.parent
-    return found
+def _held(nodes: list[_Node], own: list[float]) -> list[float]:
+    """What each element holds with all inside it; ``own`` by its own lines."""
+    held = own[:]
+    for node in reversed(nodes[1:]):
+        held[node.parent.order] += held[node.order]
+    return held
 
 
-def _within(node: _Node, regions: list[_Node]) -> bool:
-    while node is not None:
-        if any(node is x for x in regions):
-            return True
-        node = node.parent
-    return False
+def _down(nodes: list[_Node], first, step) -> list:
+    """A value for each element from its parent's: ``step(parent's value, element)``."""
+    out = [first] * len(nodes)
+    out[0] = step(first, nodes[0])
+    for node in nodes[1:]:
+        out[node.order] = step(out[node.parent.order], node)
+    return out
 
 
 #: A container holds most of the voted text from this share on.
@@ -249,15 +273,18 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> st
     lines = [x for x in parser.lines if not x[3].noise]
     if not lines:
         return ""
+    nodes = parser.nodes
     voters = _voters(lines, sigma, strength)
     if any(x[3].marked for x in lines):
-        lines = _unmarked(lines, voters)
+        lines = _unmarked(nodes, lines, voters)
         if not lines:
             return ""
         voters = _voters(lines, sigma, strength)
-    regions = _vote(lines, voters)
+    regions = _vote(nodes, lines, voters)
     semantic = regions[0].tag in ("article", "main")
-    inside = [_within(x[3], regions) for x in lines]
+    chosen = {x.order for x in regions}
+    within = _down(nodes, False, lambda above, node: above or node.order in chosen)
+    inside = [within[x[3].order] for x in lines]
     content = [i for i, x in enumerate(inside) if x and voters[i]]
     kept = []
     for i, (text, _, linked, node) in enumerate(lines):
@@ -281,7 +308,7 @@ def _voters(lines: list[tuple[str, int, int, _Node]], sigma: float, strength: fl
     return voters
 
 
-def _unmarked(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[tuple[str, int, int, _Node]]:
+def _unmarked(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[tuple[str, int, int, _Node]]:
     """The lines without those in elements that class or id mark as boilerplate.
 
     A mark counts for nothing on an element that wraps the page: one with at least half of
@@ -292,63 +319,52 @@ def _unmarked(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> l
     text in articles together (or of the voted text, without any), as a page builder's blocks
     do, marks no boilerplate on that page.
     """
-    total = in_articles = 0
-    held: dict[int, list] = {}  # marked element: voted text, voted lines, text in articles, element
-    paths, of_voters, of_article = [], [], []
-    for (text, _, linked, node), voted in zip(lines, voters):
-        path, article, weight = [], False, int(voted) * len(text)
-        while node is not None:
-            article = article or (node.tag in ("article", "main") and not node.marks)
-            if node.marks:
-                path.append(node)
-            node = node.parent
-        paths.append(path)
-        of_voters.append(weight)
-        of_article.append(article * max(0, len(text) - linked))
-        total += weight
-        in_articles += of_article[-1]
-        for x in path:
-            entry = held.setdefault(id(x), [0, 0, 0, x])
-            entry[0] += weight
-            entry[1] += int(voted)
-            entry[2] += of_article[-1]
+    voted, blocks, articles = ([0] * len(nodes) for _ in range(3))
+    for (text, _, linked, node), vote in zip(lines, voters):
+        voted[node.order] += int(vote) * len(text)
+        blocks[node.order] += int(vote)
+        articles[node.order] += node.in_article * max(0, len(text) - linked)
+    total, in_articles = sum(voted), sum(articles)
+    weights = articles if in_articles else voted
+    held, held_blocks, held_articles = (_held(nodes, x) for x in (voted, blocks, articles))
     lifted = set()
-    for key, (all_, blocks, of_articles, x) in held.items():
-        if in_articles and of_articles >= 0.5 * in_articles:
-            lifted.add(key)
-        elif x.marks & DISCUSSION_WORDS:
-            if not in_articles and all_ >= 0.9 * total:
-                lifted.add(key)
-        elif all_ >= 0.5 * total if not in_articles else all_ >= MOST * total and blocks > 2:
-            lifted.add(key)
+    for node in nodes:
+        k = node.order
+        if not node.marks:
+            continue
+        if in_articles and held_articles[k] >= 0.5 * in_articles:
+            lifted.add(k)
+        elif node.marks & DISCUSSION_WORDS:
+            if not in_articles and held[k] >= 0.9 * total:
+                lifted.add(k)
+        elif held[k] >= 0.5 * total if not in_articles else held[k] >= MOST * total and held_blocks[k] > 2:
+            lifted.add(k)
+    words = _down(nodes, NO_MARKS, lambda above, node: above if not node.marks or node.order in lifted else above | node.marks)
     shares: dict[str, int] = {}
-    for path, weight in zip(paths, of_article if in_articles else of_voters):
-        if weight:
-            for word in {w for x in path if id(x) not in lifted for w in x.marks}:
+    for node in nodes:
+        if weight := weights[node.order]:
+            for word in words[node.order]:
                 shares[word] = shares.get(word, 0) + weight
     layout = {w for w, share in shares.items() if w not in DISCUSSION_WORDS and share >= 0.5 * (in_articles or total)}
-    return [line for line, path in zip(lines, paths) if all(id(x) in lifted or x.marks <= layout for x in path)]
+    stays = _down(nodes, True, lambda above, node: above and (not node.marks or node.order in lifted or node.marks <= layout))
+    return [line for line in lines if stays[line[3].order]]
 
 
-def _vote(lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
+def _vote(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
     """The content region: articles beside each other, or else one element."""
-    total = sum(len(x[0]) for x, voted in zip(lines, voters) if voted)
-    held: dict[int, list] = {}
-    for (text, _, _, node), voted in zip(lines, voters):
-        chain = []
-        while node is not None:
-            if node.tag in REGION or node.tag == "#root":
-                chain.append(node)
-            node = node.parent
-        for depth, found in enumerate(reversed(chain)):
-            held.setdefault(id(found), [0, depth, found])[0] += voted * len(text)
-    smallest = max((x for x in held.values() if x[0] >= MOST * total), key=lambda x: (x[1], x[0]))[2]
-    if (article := _outermost(smallest, "article")) is not None:
+    own = [0] * len(nodes)
+    for (text, _, _, node), vote in zip(lines, voters):
+        own[node.order] += int(vote) * len(text)
+    held = _held(nodes, own)
+    # Those that hold most stand inside each other: the last in page order is the innermost.
+    smallest = [x for x in nodes if (x.tag in REGION or x.parent is None) and held[x.order] >= MOST * held[0]][-1]
+    if (article := smallest.article) is not None:
         # Its siblings are parts of the same text: those in its main element, else in its parent.
-        scope = [_outermost(article, "main") or article.parent]
-        found = {id(x): x for _, _, _, node in lines if (x := _outermost(node, "article")) is not None and _within(x, scope)}
+        scope = (article.main or article.parent).order
+        within = _down(nodes, False, lambda above, node: above or node.order == scope)
+        found = {x[3].article.order: x[3].article for x in lines if x[3].article is not None and within[x[3].article.order]}
         return list(found.values())
-    return [_outermost(smallest, "main") or smallest]
+    return [smallest.main or smallest]
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

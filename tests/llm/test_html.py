@@ -1,3 +1,9 @@
+import random
+import time
+
+import numpy as np
+
+from archgraph.llm import html_extract
 from archgraph.llm.html_extract import extract_pages, main_text
 
 BODY = "".join(f"<p>Sentence number {i} of the article has enough words to look like text, and then some more.</p>" for i in range(6))
@@ -116,3 +122,78 @@ def test_linked_headings_and_lines_between_content_stay():
     got = main_text(f"<body><div class=entry><header><h1>The title</h1><div>By someone</div></header>{BODY}</div></body>")
     assert got == "The title\n" + expected()
     assert main_text(f"<body><div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><h1>Title</h1>{BODY}</div></body>") == "Title\n" + expected()
+
+
+def slow_region(lines, voters):
+    """The content region by walking each line's ancestors."""
+    up = lambda node: [node, *(up(node.parent) if node.parent is not None else [])]
+    total = sum(len(x[0]) for x, voted in zip(lines, voters) if voted)
+    chains = [up(x[3]) for x in lines]
+    every = {id(n): n for c in chains for n in c if n.tag in html_extract.REGION or n.parent is None}
+    held = {k: sum(len(x[0]) for x, c, voted in zip(lines, chains, voters) if voted and any(m is n for m in c)) for k, n in every.items()}
+    most = [n for k, n in every.items() if held[k] >= 0.7 * total]
+    smallest = max(most, key=lambda n: len(up(n)))
+    outermost = lambda n, tag: ([x for x in up(n) if x.tag == tag] or [None])[-1]
+    if (article := outermost(smallest, "article")) is not None:
+        scope = outermost(article, "main") or article.parent
+        found = [outermost(x[3], "article") for x in lines]
+        return {id(a) for a in found if a is not None and any(m is scope for m in up(a))}
+    return {id(outermost(smallest, "main") or smallest)}
+
+
+def random_page(rnd):
+    out, open_ = [], []
+    for _ in range(rnd.randint(5, 60)):
+        kind = rnd.random()
+        if kind < 0.4:
+            tag = rnd.choice(["div", "section", "article", "main", "ul", "li", "table", "td", "header", "a"])
+            out.append(f"<{tag}{rnd.choice(['', '', ' class=widget', ' id=comments', ' class=ad', ' class=has-sidebar'])}>")
+            open_.append(tag)
+        elif kind < 0.6 and open_:
+            out.append(f"</{open_.pop(rnd.randrange(len(open_)) if rnd.random() < 0.2 else -1)}>")
+        else:
+            out.append(f"<{rnd.choice(['p', 'h2', 'div', 'p'])}>{'word ' * rnd.choice([1, 3, 20, 60])}")
+    return "".join(out)
+
+
+def test_region_by_brute_force():
+    rnd = random.Random(6)
+    for _ in range(400):
+        parser = html_extract._Lines()
+        parser.feed(random_page(rnd))
+        parser.close()
+        parser.flush()
+        lines = [x for x in parser.lines if not x[3].noise]
+        if not lines:
+            continue
+        voters = html_extract._voters(lines, 1.0, 1.0)
+        assert {id(x) for x in html_extract._vote(parser.nodes, lines, voters)} == slow_region(lines, voters)
+        # What elements hold, and which marks reach a line.
+        own = [0] * len(parser.nodes)
+        for x in lines:
+            own[x[3].order] += 1
+        held = html_extract._held(parser.nodes, own)
+        for node in parser.nodes:
+            inside = 0
+            for x in lines:
+                at = x[3]
+                while at is not None:
+                    inside += at is node
+                    at = at.parent
+            assert held[node.order] == inside
+
+
+def test_clusters_decide_the_region(monkeypatch):
+    """A page whose text is less than half of its characters: without the clusters, the tags would win."""
+    tags = "".join(f"<span>tag number {i}</span><br><i>x</i><div>{i} posts</div>" for i in range(90))
+    page = f"<body><div><div>{tags}</div></div><div><div><h1>Title</h1>{BODY}</div></div></body>"
+    assert main_text(page) == "Title\n" + expected()
+    monkeypatch.setattr(html_extract, "_voters", lambda lines, sigma, strength: np.ones(len(lines), dtype=bool))
+    assert main_text(page) != "Title\n" + expected()
+
+
+def test_deep_pages_take_linear_time():
+    for piece in ("<div><p>w</p>", "<div class=ad><p>w", "<li><div>w", "<article><p>w</p>"):
+        began = time.process_time()
+        main_text("<body>" + piece * 10_000)
+        assert time.process_time() - began < 6
