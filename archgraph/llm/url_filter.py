@@ -5,8 +5,12 @@ For all other pages the host's labelled outcomes decide, shrunk level by level t
 beta-binomial priors: the suffix's rate towards the overall rate, the registered domain's
 towards the suffix's, the host's towards the domain's. A prior's strength at a level
 follows from the intra-class correlation of the labelled outcomes there (the ANOVA
-estimator), so levels whose members differ shrink little and alike ones much. A page is
-blocked where the lower bound of its host's posterior bad rate is above ``block_rate``.
+estimator), so levels whose members differ shrink little and alike ones much.
+
+A page is blocked where its host is bad beyond doubt: the 5 per cent quantile of the host's
+beta posterior is above ``lift`` times the overall rate of bad outcomes, which is
+what the labels say of any page. So the bound moves with the labels, and where hosts are all
+alike none is blocked.
 
 A page's outcome is the label of the document its path names (``/lang/number``): bad
 where its quality is 0 or it is toxic.
@@ -14,15 +18,18 @@ where its quality is 0 or it is toxic.
 Defined cases: a null url, or one without ``://``, has an empty host and path and stands
 for a host of its own; unlabelled hosts have their domain's rate; without any label the
 overall rate is one half with little weight, and nothing is blocked; repeated labels of
-a document count once, as bad if any is.
+a document count once, as bad if any is; repeated pages are judged each, and each counts as an
+outcome; an empty table gives no rows; very long urls are matched whole; other columns pass through no further.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER
+from ._common import LOWER, UPPER, materialize
 
 #: (host suffix, path prefix, verdict)
 RULES = (
@@ -34,9 +41,10 @@ RULES = (
 )
 #: Public suffixes of two labels; all others count as one label. A parameter, not a full list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn")
-BLOCK_RATE = 0.5
-#: Standard deviations below the posterior mean: a one-sided bound of about 95 per cent.
-BOUND = 1.645
+#: How many times the overall bad rate a host's posterior bound must exceed.
+LIFT = 1.0
+#: The normal deviate of the bound's 5 per cent.
+BOUND = 1.6448536269514722
 #: The prior's strength is held between these, for levels with too few labels to tell.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
@@ -86,8 +94,16 @@ def _strength(level: DataFrame) -> DataFrame:
     )
 
 
+def beta_quantile(a: str, b: str) -> str:
+    """SQL for the 5 per cent quantile of a beta distribution (Abramowitz and Stegun, 26.5.22); shapes under 0.6 count as 0.6."""
+    p, q = f"(1 / (2 * greatest({a}, 0.6D) - 1))", f"(1 / (2 * greatest({b}, 0.6D) - 1))"
+    h, c = f"(2 / ({p} + {q}))", (BOUND * BOUND - 3) / 6
+    w = f"({BOUND}D * sqrt({h} + {c}D) / {h} - ({q} - {p}) * ({c + 5 / 6}D - 2 / (3 * {h})))"
+    return f"{a} / ({a} + {b} * exp(2 * {w}))"
+
+
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``host, bad_rate, bad_lower`` from ``host, n, k`` (outcomes and bad ones of each host, one row each)."""
+    """``host, bad_rate, bad_lower, overall`` from ``host, n, k`` (outcomes and bad ones of each host, one row each)."""
     labels = "size(split(host, '[.]'))"
     two = ", ".join(_quoted(x) for x in TWO_LABEL_SUFFIXES)
     hosts = outcomes.selectExpr("host", "n", "k", f"if(substring_index(host, '.', -2) in ({two}) and {labels} > 2, 2, 1) as width")
@@ -100,12 +116,12 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     s = s.selectExpr("suffix", "(k + strength * rate) / (n + strength) as suffix_rate")
     d = domains.crossJoin(F.broadcast(_strength(domains))).join(s, "suffix")
     d = d.selectExpr("domain", "(k + strength * suffix_rate) / (n + strength) as domain_rate")
-    h = hosts.crossJoin(F.broadcast(_strength(hosts))).join(d, "domain")
-    h = h.selectExpr("host", "k + strength * domain_rate as a", "n - k + strength * (1 - domain_rate) as b")
-    return h.selectExpr("host", "a / (a + b) as bad_rate", f"a / (a + b) - {BOUND}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bad_lower")
+    h = hosts.crossJoin(F.broadcast(_strength(hosts))).join(d, "domain").crossJoin(F.broadcast(overall))
+    h = h.selectExpr("host", "rate as overall", "k + strength * domain_rate as a", "n - k + strength * (1 - domain_rate) as b")
+    return h.selectExpr("host", "a / (a + b) as bad_rate", f"{beta_quantile('a', 'b')} as bad_lower", "overall")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, lift: float = LIFT) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_lower`` for each page.
 
     Labels meet pages by document; outcomes are summed by host, with map-side partial sums,
@@ -120,16 +136,17 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, block_rate: flo
     # Pages that name no document have nothing to join; they only add their host.
     outcomes = pairs.where("document is not null").join(labelled, F.col("document") == F.col("labelled_doc")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     hosts = parsed.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
-    outcomes = hosts.union(outcomes).groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # One row a host: a table, as each level above is summed from it.
+    outcomes = materialize(hosts.union(outcomes).groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")
     name, verdict = rule_expressions(rules)
-    judged = parsed.join(host_reputation(outcomes), "host", "left")
+    judged = parsed.join(materialize(host_reputation(outcomes), "reputation"), "host", "left")
     return judged.selectExpr(
         "page_id", "host", "path", f"{name} as rule",
-        f"coalesce({verdict}, if(bad_lower > {float(block_rate)}D, 'block', 'allow')) as verdict", "bad_rate", "bad_lower",
+        f"coalesce({verdict}, if(bad_lower > {float(lift)}D * overall, 'block', 'allow')) as verdict", "bad_rate", "bad_lower",
     )
 
 
-def oracle_sql(rules=RULES, block_rate: float = BLOCK_RATE) -> str:
+def oracle_sql(rules=RULES, lift: float = LIFT) -> str:
     """DuckDB SQL for page_id, host, path, rule and verdict of ``judge_urls``."""
     pattern = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
     ranked = sorted(rules, key=lambda r: -len(r[0] + r[1]))
@@ -158,5 +175,5 @@ def oracle_sql(rules=RULES, block_rate: float = BLOCK_RATE) -> str:
         d as (select domain, (k + {strength("domains")} * s.rate) / (n + {strength("domains")}) as rate from domains join s using (suffix)),
         h as (select host, k + {strength("split_")} * d.rate as a, n - k + {strength("split_")} * (1 - d.rate) as b from split_ join d using (domain))
         select page_id, host, path, {name} as rule, coalesce({ruled},
-            case when a / (a + b) - {BOUND}::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {float(block_rate)}::double then 'block' else 'allow' end) as verdict
+            case when {re.sub(r"([0-9.]+)D", r"cast(\1 as double)", beta_quantile("a", "b"))} > {float(lift)}::double * (select (coalesce(sum(k), 0) + 1.0::double) / (coalesce(sum(n), 0) + 2.0::double) from suffixes) then 'block' else 'allow' end) as verdict
         from parsed join h using (host)"""

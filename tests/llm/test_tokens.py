@@ -1,5 +1,6 @@
 """Token files, packing, counts, URL verdicts and the pipeline on small tables."""
 
+import random
 import zlib
 
 import numpy as np
@@ -124,6 +125,38 @@ def test_reputation_shrinks(spark):
     assert all(r.bad_lower < r.bad_rate for r in rows.values())
 
 
+def test_beta_quantile(spark):
+    rng = np.random.default_rng(1)
+    for a, b in ((0.8, 3.0), (2.0, 2.0), (5.0, 40.0), (90.0, 10.0), (400.0, 1200.0)):
+        got = spark.sql(f"select {url_filter.beta_quantile(f'{a}D', f'{b}D')} as q").first().q
+        assert abs(got - np.quantile(rng.beta(a, b, 200_000), 0.05)) < 0.012
+
+
+def test_reputation_on_held_out_labels(spark):
+    """Hosts of two kinds; labels of every other page are held out."""
+    rnd, pages, labels, bad = random.Random(2), [], [], {}
+    for h in range(40):
+        for _ in range(60):
+            n = len(pages)
+            bad[n] = rnd.random() < (0.7 if h % 4 == 0 else 0.05)
+            pages.append((n, f"https://h{h}.site{h % 8}.test/en/{n}"))
+            if n % 2:
+                labels.append((n, int(not bad[n]), 0))
+    found = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ()).collect()
+    held_out = [r for r in found if r.page_id % 2 == 0]
+    blocked = {r.page_id for r in held_out if r.verdict == "block"}
+    wrong = [r.page_id for r in held_out if bad[r.page_id]]
+    assert sum(x in blocked for x in wrong) >= 0.75 * len(wrong), "bad pages of bad hosts go"
+    assert all(int(r.host[1:].split(".")[0]) % 4 == 0 for r in held_out if r.page_id in blocked), "no other host is blocked"
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, start long, host string")
+    assert token_output.tokens_round(docs).collect() == [] and token_counts.count_tokens(docs, f"file://{tmp_path}/cache").collect() == [] and packing.pack(docs).collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, host string, rule string")
+    assert url_filter.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from archgraph.llm import exact_dedup, quality, simhash
