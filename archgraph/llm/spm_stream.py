@@ -22,7 +22,10 @@ before each word and around each line feed. Words recur, and their ids are looke
 a bounded memo; a vocabulary with other pieces is searched as one stream.
 
 Defined cases: a null text is empty, and has no ids; any other text has a space in front;
-U+2581 in a text is a space, so such a text decodes to one with spaces instead.
+U+2581 in a text is a space, so such a text decodes to one with spaces instead; rows that
+repeat are encoded each; an empty table gives no rows; very long texts without a space take
+time in proportion, as a search holds its window and a bounded piece; other columns pass
+through no further.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 MEMO_ENTRIES = 500_000
 #: How much worse than the worst piece a character without pieces is.
 UNKNOWN_PENALTY = 10.0
-#: Longer texts are merged as a stream.
-DIRECT = 64
+#: Longer texts are merged as a stream, which is fed so many characters at a time.
+DIRECT, PIECE = 64, 1024
 NEVER = float("-inf")
 
 
@@ -279,7 +282,11 @@ class Encoder:
     def _search(self, text: str) -> bytes:
         if self.merges and len(text) <= DIRECT:
             return array("i", self.search.direct(text)).tobytes()
-        return array("i", self.search.feed(text) + self.search.finish()).tobytes()
+        out = array("i")
+        for at in range(0, len(text), PIECE):  # the search holds a window and one piece, however long the text
+            out.extend(self.search.feed(text[at : at + PIECE]))
+        out.extend(self.search.finish())
+        return out.tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:

@@ -89,6 +89,39 @@ def test_query_gives_the_library_s_ids_of_a_bpe_model():
             assert coder.encode(text).tolist() == library.encode(text)
 
 
+def test_long_texts_without_spaces_take_a_window_and_linear_time(vocabulary):
+    import time
+
+    from archgraph.llm.spm_stream import StreamingMerges, encoder
+
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("etaoinsrhdlu") for _ in range(160_000))
+    stream, got = StreamingMerges(vocabulary), []
+    for at in range(0, 20_000, 100):
+        got += stream.feed(text[at : at + 100])
+        assert len(stream.text) <= 100 + 8 * vocabulary.max_len
+    widest = stream.widest
+    got += stream.finish()
+    assert widest <= 8 * vocabulary.max_len
+    coder = encoder("piece_bpe_32k.model")
+    seconds = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        ids = coder.encode(text[:n])
+        seconds.append(time.process_time() - began)
+        assert coder.decode(ids) == text[:n]
+    assert seconds[1] < 20 * seconds[0], seconds
+
+
+def test_empty_table_and_repeated_rows(spark):
+    from archgraph.llm.spm_stream import encode_documents
+
+    schema = "doc_id long, text string, n_tokens string"
+    assert encode_documents(spark.createDataFrame([], schema)).collect() == []
+    got = sorted((r.doc_id or 0, r.n_chars, r.n_tokens > 0, r.round_trip) for r in encode_documents(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "x")], schema)).collect())
+    assert got == [(0, 0, False, True), (1, 3, True, True), (1, 3, True, True)]
+
+
 def test_streaming_merges_equal_direct_ones_and_commit():
     from archgraph.llm.spm_stream import StreamingMerges, merged
 
