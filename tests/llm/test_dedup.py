@@ -300,6 +300,47 @@ def test_rule_statistics():
     assert quality.base_failed(9, 0) and not quality.base_failed(10, 2) and quality.base_failed(10, 3)
 
 
+def test_forest_by_definition():
+    """Scores by walking each tree row by row, and the threshold by trying all."""
+    rng = np.random.default_rng(3)
+    rows = rng.random((120, 3)) ** 2
+    forest = quality.IsolationForest.grow(rows, rows.min(axis=0), rows.max(axis=0), 9, 32, 1)
+
+    def average(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def path(row, at):
+        depth = 0
+        while forest.feature[at] >= 0:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.value[at] else forest.right[at]
+            depth += 1
+        left = forest.depth[at] - depth  # what a leaf of several rows adds
+        assert any(abs(left - average(n)) < 1e-9 for n in range(33))
+        return forest.depth[at]
+
+    probes = np.vstack([rows[:20], [[5.0, 5.0, 5.0], [-1.0, 0.5, 0.5]]])
+    want = [2.0 ** -(np.mean([path(r, root) for root in forest.roots]) / average(32)) for r in probes]
+    assert np.allclose(forest.score(probes), want)
+    for seed in range(20):
+        r = random.Random(seed)
+        scores = np.array([r.choice([0.3, 0.4, 0.5, 0.6, r.random()]) for _ in range(80)])
+        bad = np.array([r.random() < 0.3 for _ in range(80)])
+        for loss in (0.0, 0.02, 0.2):
+            got = quality.calibrate(scores, bad, loss)
+            spare = int(loss * (~bad).sum())
+            fits = [t for t in np.unique(np.concatenate([scores, [1.0]])) if (scores[~bad] > t).sum() <= spare]
+            assert (scores[~bad] > got).sum() <= spare
+            assert (scores[bad] > got).sum() == max((scores[bad] > t).sum() for t in fits)
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    rnd = random.Random(5)
+    rows = [(i, words(rnd, 40, 5000) if i % 3 else " ".join(f"x{k}###" for k in range(40))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    one, many = (quality.fit(make(spark, x), labels) for x in (rows, rows * 5))
+    assert np.array_equal(one.value, many.value) and one.threshold == many.threshold
+
+
 def test_forest_rejects_what_is_labelled_bad_and_keeps_the_rest(spark):
     rnd = random.Random(3)
     rows, labels = [], []
