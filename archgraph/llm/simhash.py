@@ -164,11 +164,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` but those that aren't their group's smallest doc_id, with all columns.
 
-    What goes is listed by id, and removed by an anti-join: only ids pass the groups' shuffles.
-    Rows without an id stay.
+    What goes is listed by id in a table, and removed by an anti-join: only ids pass the
+    groups' shuffles, and the table's size is known, so that texts move only where Spark finds
+    the ids too many to broadcast. Rows without an id stay.
     """
     found = materialize(near_duplicates(docs, max_bits), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
-    gone = gone.join(stays, gone._gone == stays._stays, "left_anti").distinct()
+    gone = materialize(gone.join(stays, gone._gone == stays._stays, "left_anti").distinct(), "gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone._gone, "left_anti")
