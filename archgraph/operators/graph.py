@@ -30,9 +30,9 @@ class Graph:
         return rules.direct_edges(self.states, self.overrides, self.revision)
 
     def direct_table(self) -> DataFrame:
-        """The direct edges as a table in the shared folder, made once for a graph: its revision never changes."""
+        """The direct edges, perhaps repeated, as a table in the shared folder, made once for a graph: its revision never changes."""
         if self._direct is None:
-            self._direct = materialize(self.direct(), "direct")
+            self._direct = materialize(rules.direct_edges(self.states, self.overrides, self.revision, distinct=False), "direct")
         return self._direct
 
     def effective(self) -> DataFrame:

@@ -27,18 +27,21 @@ def override_edges(overrides: DataFrame) -> DataFrame:
     return overrides.select("from_id", "relation", F.col("resolved_to").alias("to_id"), "evidence", "confidence", "provenance")
 
 
-def _union(states: DataFrame, overrides: DataFrame | None, revision: DataFrame | None) -> DataFrame:
+def _union(states: DataFrame, overrides: DataFrame | None, revision: DataFrame | None, distinct: bool = True) -> DataFrame:
     out = masked(states, overrides).select(*EDGE_COLUMNS)
     if overrides is not None:
         out = out.union(override_edges(overrides).select(*EDGE_COLUMNS))
     if revision is not None:
         out = out.union(revision.select(*EDGE_COLUMNS))
-    return out.distinct()
+    return out.distinct() if distinct else out
 
 
-def direct_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None) -> DataFrame:
-    """Edges that can be traversed: dependencies of the states but those overridden, the overrides, and all edges of the revision."""
-    return _union(dependency_edges(states), overrides, revision)
+def direct_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """Edges that can be traversed: dependencies of the states but those overridden, the overrides, and all edges of the revision.
+
+    Searches and merges don't mind repeated edges; without ``distinct`` none of them is shuffled.
+    """
+    return _union(dependency_edges(states), overrides, revision, distinct)
 
 
 def effective_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None) -> DataFrame:
