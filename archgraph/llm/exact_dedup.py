@@ -40,20 +40,9 @@ def digests(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(map_columns(_digests, pa.schema([("doc_id", pa.int64()), ("sha", pa.binary())])), "doc_id long, sha binary")
 
 
-def misra_gries(items, counters: int) -> dict:
-    """Frequent items of a stream with at most ``counters`` entries; each count is short by at most n / (counters + 1)."""
-    held: dict = {}
-    for item in items:
-        if item in held:
-            held[item] += 1
-        elif len(held) < counters:
-            held[item] = 1
-        else:
-            held = {k: v - 1 for k, v in held.items() if v > 1}
-    return held
-
-
 def _summaries(counters: int, at: int):
+    """For ``mapInArrow``: the frequent items of column ``at`` with at most ``counters`` entries; each count is short by at most n / (counters + 1)."""
+
     def run(batches):
         held: dict = {}
         for batch in batches:
@@ -86,8 +75,8 @@ def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of ``docs``.
 
     Defined cases: null texts equal empty ones; of rows that share both text and largest
-    doc_id one is kept; null ids are smaller than any; an empty table gives no rows; other
-    columns pass through no further.
+    doc_id one is kept; null ids are smaller than any; an empty table gives no rows; very
+    long texts are hashed whole; other columns pass through no further, whatever their names.
     """
     hashed = materialize(digests(docs), "digests")
     winners = _winners(hashed, counters)

@@ -9,7 +9,8 @@
    range's end. That rest is cut into powers of two, which need none either.
 
 Defined cases: a null text is empty and has the end id only; a document longer than a
-sequence is in several; rows with one doc_id are packed each; empty tables give no rows.
+sequence is in several; rows with one doc_id are packed each; empty tables give no rows;
+other columns pass through no further, whatever their names.
 """
 
 from __future__ import annotations

@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Defined cases: null texts are empty; texts without words share the fingerprint zero
     and are linked like any other; rows with one id and different texts belong to the
     components of both texts' fingerprints, which stay apart; null ids never are a
-    component's id unless all its ids are null. Other columns pass through no further.
+    component's id unless all its ids are null; an empty table gives no rows; very long texts
+    are hashed whole; other columns pass through no further, whatever their names.
     """
     found = materialize(fingerprints(docs), "fingerprints")
     fps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

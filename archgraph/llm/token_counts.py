@@ -12,7 +12,9 @@ Distinct misses are an aggregate with a map-side part, so a text that a third of
 share reaches the encoder once. Concurrent writers may append a digest twice, with the
 same count: reading takes one.
 
-Defined cases: null ids and repeated rows are counted each; the empty text has 0 tokens.
+Defined cases: null ids and repeated rows are counted each; the empty text has 0 tokens;
+very long texts are encoded whole; an empty table gives no rows; other columns pass through no
+further, whatever their names.
 """
 
 from __future__ import annotations

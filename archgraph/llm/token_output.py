@@ -7,7 +7,8 @@ store Spark can write. Each image knows how many ids its range holds before it;
 before each range are a running sum over one number for each range, on the driver.
 
 Defined cases: null texts are empty, and still have the end id; rows with one doc_id are
-ordered by their text; null ids come first; empty tables give no rows.
+ordered by their text; null ids come first; empty tables give no rows;
+very long texts are encoded whole; other columns pass through no further, whatever their names.
 """
 
 from __future__ import annotations

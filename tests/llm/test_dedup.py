@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -127,8 +128,12 @@ def test_misra_gries_keeps_every_frequent_item():
     rnd = random.Random(9)
     for _ in range(50):
         items = [rnd.choice("aaaabbbcdefghij") for _ in range(300)]
-        held = exact_dedup.misra_gries(items, 3)
-        assert len(held) <= 3 and all(x in held for x in set(items) if items.count(x) > 300 / 4)
+        at = [0, *sorted(rnd.sample(range(1, 300), 4)), 300]
+        batches = [pa.record_batch([pa.array([x.encode() for x in items[a:b]])], names=["sha"]) for a, b in zip(at, at[1:])]
+        (found,) = exact_dedup._summaries(3, 0)(iter(batches))
+        held = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+        assert len(held) <= 3 and all(x.encode() in held for x in set(items) if items.count(x) > 300 / 4)
+        assert all(items.count(x.decode()) - 300 / 4 <= n <= items.count(x.decode()) for x, n in held.items())
 
 
 def test_empty_tables(spark):
