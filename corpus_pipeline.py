@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
 documents; what a stage rejects is gone for the later ones.
+
+Defined cases: a document with a null or empty text fails the quality rules; of rows that share
+an id and a text one stays, and rows that share an id only are documents of their own; rows
+without an id are equal to others by their text only; ties stay with the largest id of equal
+texts, and the smallest of near ones; an empty table gives no pieces; columns beside those of
+documents go with their rows up to packing.
 """
 
 from __future__ import annotations
