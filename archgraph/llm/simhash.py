@@ -23,6 +23,13 @@ Dense groups. Fingerprints are made distinct first, so that copies count once. T
 key's members are tied to the key's smallest fingerprint where that is a verified link
 (one aggregate, one join), and pairs already tied to one leader are no longer emitted:
 the links emitted stay close to a spanning forest, while no link between groups is lost.
+Where filed and looking members of a key are more than ``PART`` times ``PART`` pairs, both
+are dealt out over a grid of cells, one task's work each, and the members of the key's most
+frequent leader never meet among themselves.
+
+Size. Keys of 24 bits meet by chance too: n distinct fingerprints make about 75 * n ** 2 / 2 ** 24
+comparisons of two longs, spread evenly. Up to some 10 ** 9 distinct fingerprints these cost less
+than the hashing of the texts; far beyond, segments should be cut wider than a Golay word.
 """
 
 from __future__ import annotations
@@ -43,6 +50,8 @@ MAX_BITS = 4
 #: (lowest bit, bits) of the three segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Members of a key that one cell of its grid takes from each side.
+PART = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -122,10 +131,37 @@ def _keyed(role: str):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _dense(filed: DataFrame, sought: DataFrame, part: int) -> DataFrame:
+    """``key, p, q, most`` of each key with more pairs than a cell's: parts of its filed and looking members, and their most frequent leader."""
+    roles = filed.selectExpr("key", "leader", "1L as f", "0L as s").union(sought.selectExpr("key", "leader", "0L as f", "1L as s"))
+    large = roles.groupBy("key").agg(F.sum("f").alias("f"), F.sum("s").alias("s")).where(f"f * s > {part * part}L")
+    large = materialize(large.selectExpr("key", f"cast(ceil(f / {part}) as bigint) as p", f"cast(ceil(s / {part}) as bigint) as q"), "dense")
+    counts = roles.join(large, "key").groupBy("key", "p", "q", "leader").agg(F.sum(F.expr("f + s")).alias("n"))
+    return materialize(counts.groupBy("key", "p", "q").agg(F.expr("max_by(leader, struct(n, leader))").alias("most")), "dense-keys")
+
+
+def _meetings(labelled: DataFrame, part: int) -> DataFrame:
+    """``a, b, leader_a, leader_b``, joined by key and cell, of all that meet under a key by different leaders.
+
+    Cell 2 * (i * q + j) + c holds the filed members of part i and the looking ones of part j;
+    those looking with the most frequent leader are at c = 1, where only filed members with
+    other leaders go. All members of a key that isn't dense are in cell 0.
+    """
+    filed, sought = (labelled.mapInArrow(_keyed(role), "key long, fp long, leader long") for role in ("filed", "sought"))
+    dense = _dense(filed, sought, part)
+    into = "transform(sequence(0L, q - 1), j -> 2 * (pmod(xxhash64(fp), p) * q + j))"
+    into = f"case when p is null then array(0L) when leader = most then {into} else flatten(transform({into}, x -> array(x, x + 1))) end"
+    outof = "case when p is null then array(0L) else transform(sequence(0L, p - 1), i -> 2 * (i * q + pmod(xxhash64(fp), q)) + if(leader = most, 1, 0)) end"
+    a = filed.join(dense, "key", "left").selectExpr("key", "fp as a", "leader as leader_a", f"explode({into}) as cell")
+    b = sought.join(dense, "key", "left").selectExpr("key", "fp as b", "leader as leader_b", f"explode({outof}) as cell")
+    return a.join(b, ["key", "cell"])
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, part: int = PART) -> DataFrame:
     """``a, b``: verified links that connect whatever links of distinct fingerprints connect.
 
-    ``fps`` has a long column fp, each value once.
+    ``fps`` has a long column fp, each value once. ``part`` bounds the work of one cell, and
+    changes no result.
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the segments find links of at most {MAX_BITS} bits")
@@ -138,9 +174,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # in their label, which costs an emitted link but never loses one.
     tied = stars.groupBy("a").agg(F.min("b").alias("leader")).withColumnRenamed("a", "fp")
     labelled = materialize(fps.join(tied, "fp", "left").selectExpr("fp", "coalesce(leader, fp) as leader"), "labelled")
-    filed = labelled.mapInArrow(_keyed("filed"), "key long, fp long, leader long").selectExpr("key", "fp as a", "leader as leader_a")
-    sought = labelled.mapInArrow(_keyed("sought"), "key long, fp long, leader long").selectExpr("key", "fp as b", "leader as leader_b")
-    across = filed.join(sought, "key").where(f"a > b and {near} and leader_a <> leader_b").select("a", "b").distinct()
+    across = _meetings(labelled, part).where(f"a > b and {near} and leader_a <> leader_b").select("a", "b").distinct()
     return stars.union(across)
 
 

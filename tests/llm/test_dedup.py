@@ -71,7 +71,8 @@ def test_near_duplicates(spark):
     assert len({*got.values()}) < len(fps)
 
 
-def test_links_of_a_dense_group(spark):
+@pytest.mark.parametrize("part", [2, 16, simhash.PART])
+def test_links_of_a_dense_group(spark, part):
     rng = np.random.default_rng(2)
     fps = {int(rng.integers(0, 1 << 63)) for _ in range(300)}
     for c in list(fps)[:4]:
@@ -81,7 +82,7 @@ def test_links_of_a_dense_group(spark):
                 x ^= 1 << int(b)
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()
+    got = components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), part=part)).collect()
     root = {x: x for x in signed}
 
     def find(x):
@@ -98,6 +99,16 @@ def test_links_of_a_dense_group(spark):
     assert {r.node: r.root for r in got} == {x: find(x) for x in signed if x not in alone}
 
 
+def test_cells_meet_every_pair_once(spark):
+    """Whatever the grid, members of a key meet as often as without one, but for those of its most frequent leader."""
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 1 << 63))
+    fps = sorted({centre ^ (1 << int(b)) ^ (1 << int(c)) for b in range(0, 40, 3) for c in range(1, 40, 5)} | {int(x) for x in rng.integers(0, 1 << 63, 50)})
+    labelled = spark.createDataFrame([(x, centre if k % 3 else x) for k, x in enumerate(fps)], "fp long, leader long")
+    dense, single = ([tuple(r) for r in simhash._meetings(labelled, p).where("leader_a <> leader_b").select("key", "a", "b").collect()] for p in (3, 1 << 20))
+    assert sorted(dense) == sorted(single) and len(single) > 5000
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
