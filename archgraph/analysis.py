@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import ids
-from .operators import resolve
+from .operators import modules, resolve
 from .plans.shared import materialize
 from .schema import DIAGNOSTIC
 from .sources import frameworks, graphql, languages, manifests, protobuf
@@ -31,11 +31,12 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
     schema = materialize(graphql.analyze(files), "schema")
     proto = materialize(protobuf.proto_sources(files), "contracts")
     found = materialize(frameworks.recognize(files, recognizers), "recognized") if recognizers else None
-    edges = materialize(languages.edges(code).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
+    settled, receivers = modules.resolve_modules(code, files)
+    edges = materialize(modules.settle(languages.edges(code), settled).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
     entities = languages.entities(code).unionByName(graphql.entities(schema)).unionByName(protobuf.entities(proto))
     definitions = entities.where("kind = 'callable'").select(ids.repository(F.col("id")).alias("repository"), "id").where("repository is not null")
     overrides = resolve.unique_name_overrides(edges, definitions)
-    diagnostics = languages.diagnostics(code).select("repository", "code", "severity", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("detail"))
+    diagnostics = languages.diagnostics(code).select("repository", "code", "severity", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("detail")).union(receivers.select(*DIAGNOSTIC.names))
     if found is None:
         return Analysis(edges, entities.distinct(), edges.where("false"), overrides, diagnostics)
     fields = schema.where("sort = 'field_type'").select("repository", F.col("from_id").alias("parent"), F.col("kind").alias("field"), F.concat(F.lit("graphql-field://"), "from_id", F.lit("/"), "kind").alias("id")).distinct()

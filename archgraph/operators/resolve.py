@@ -176,10 +176,10 @@ def base_types(extends: DataFrame) -> DataFrame:
 def reexport_origins(exports: DataFrame, reexports: DataFrame) -> DataFrame:
     """``file, name, origin_file, origin_name``: where an exported name is defined, through re-exports and stars.
 
-    ``exports``: file, name. ``reexports``: file, name, source_file, source_name; a name of
-    ``*`` passes on every name but default.
+    ``exports``: file, name, and origin_name where a definition has another one. ``reexports``:
+    file, name, source_file, source_name; a name of ``*`` passes on every name but default.
     """
-    seed = exports.selectExpr("file", "name", "file as origin_file", "name as origin_name")
+    seed = exports.selectExpr("file", "name", "file as origin_file", "origin_name" if "origin_name" in exports.columns else "name as origin_name")
     named = reexports.where("name <> '*'").selectExpr("file as f", "name as n", "source_file", "source_name")
     star = reexports.where("name = '*'").selectExpr("file as f", "source_file")
 

@@ -221,3 +221,25 @@ def index_workspace_edges(spark, sf_dir):
 
     rows = G.frame(spark, sf_dir, _WORKSPACE).select("repository", "path", F.encode("text", "utf-8").alias("content"))
     return analyze_workspace(rows).bound.select("from_id", "relation", "to_id", "evidence", "confidence")
+
+
+#: Modules that reach a definition through a re-export, and one of another repository's package.
+_MODULES = " union all ".join(
+    (
+        "select 'web' as repository, concat('src/m', n_nationkey, '.ts') as path, concat('import {{ f as g }} from \"./lib', n_nationkey, '\";\nimport * as ns from \"@acme/kit/x', n_nationkey, '\";\nexport function run() {{ g(); ns.h(); }}\n') as text from {nation}",
+        "select 'web', concat('src/lib', n_nationkey, '.ts'), concat('export {{ f }} from \"./deep', n_nationkey, '\";\n') from {nation}",
+        "select 'web', concat('src/deep', n_nationkey, '.ts'), 'export function f() {{ return 1; }}\n' from {nation}",
+        "select 'kit', concat('x', n_nationkey, '.ts'), 'export const h = () => 1;\n' from {nation}",
+        "select 'kit', 'package.json', '{{\"name\": \"@acme/kit\"}}' from {region} where r_regionkey = 0",
+    )
+)
+
+
+@query("""with c as (select concat('repo://web/typescript/src/m', n_nationkey, '.ts/run') as from_id, n_nationkey as n, concat('src/m', n_nationkey, '.ts:3') as evidence, 1.0::double as confidence from nation)
+    select from_id, concat('repo://web/typescript/src/deep', n, '.ts/f') as to_id, evidence, confidence from c
+    union all select from_id, concat('repo://kit/typescript/x', n, '.ts/h'), evidence, confidence from c""")
+def typescript_module_calls(spark, sf_dir):
+    from .analysis import analyze_workspace
+
+    rows = G.frame(spark, sf_dir, _MODULES).select("repository", "path", F.encode("text", "utf-8").alias("content"))
+    return analyze_workspace(rows, ()).edges.where("relation = 'calls'").select("from_id", "to_id", "evidence", "confidence")

@@ -283,9 +283,37 @@ _TS_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?
 _TS_WORDS = frozenset("if for while switch catch function return typeof await super constructor import new delete void in of class else do".split())
 
 
-def typescript_imports(text: str) -> Iterator[tuple[str, str, str]]:
+_TS_EXPORT = re.compile(
+    r"\bexport\s+(?:(default)\s+(?:(?:async\s+|abstract\s+)*(?:function\s*\*?|class|interface|enum)\s+)?([A-Za-z_$][\w$]*)"
+    r"|(?:(?:declare|abstract|async|const(?=\s+enum))\s+)*(?:class|interface|enum|namespace|function\s*\*?|const|let|var|type)\s+([A-Za-z_$][\w$]*)"
+    r"|(?:type\s+)?\{([^}]*)\}(?:\s*from\s*(['\"])([^'\"]+)\5)?|(?:type\s+)?\*\s*from\s*(['\"])([^'\"]+)\7)"
+)
+
+
+def typescript_exports(text: str, clean: str) -> Iterator[tuple[str, str, str | None]]:
+    """(exported name, local name, source or None) of each export; ``*`` for all of a source's. ``clean`` is the text without comments and strings."""
+    for m in _TS_EXPORT.finditer(text):
+        if clean[m.start()] != "e":
+            continue  # in a comment or string
+        if m[1]:
+            if m[2] not in _TS_WORDS | {"async"}:
+                yield "default", m[2], None
+        elif m[3]:
+            yield m[3], m[3], None
+        elif m[8]:
+            yield "*", "*", m[8]
+        else:
+            for item in re.sub(r"//[^\n]*|/\*.*?\*/", "", m[4], flags=re.S).split(","):
+                local, _, name = item.strip().removeprefix("type ").partition(" as ")
+                if local.strip():
+                    yield (name or local).strip(), local.strip(), m[6]
+
+
+def typescript_imports(text: str, clean: str | None = None) -> Iterator[tuple[str, str, str]]:
     """(local name, source, imported name) of each import; ``default`` and ``*`` as names of those."""
     for m in _TS_IMPORT.finditer(text):
+        if clean is not None and clean[m.start()] != "i":
+            continue  # in a comment or string
         if m[1]:
             yield m[1], m[5], "default"
         if m[2]:
@@ -349,8 +377,10 @@ def typescript_facts(text: str, repository: str, path: str) -> list[dict]:
             target = f"{language}-call://{m[3]}"
         if target != owner[-1] or receiver:
             facts.edge(owner[-1], "calls", target, line, confidence=1.0 if target.startswith("repo://") else 0.6)
-    for name, origin, imported in typescript_imports(text):
+    for name, origin, imported in typescript_imports(text, clean):
         facts.rows.append({"sort": "import", "id": name, "kind": imported, "from_id": module, "to_id": origin, "evidence": path})
+    for name, named, origin in typescript_exports(text, clean):
+        facts.rows.append({"sort": "export", "id": name, "kind": named, "from_id": module, "to_id": origin, "evidence": path})
     return facts.finish()
 
 

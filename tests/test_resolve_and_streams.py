@@ -82,3 +82,28 @@ def test_jobs_coalesce_and_drop_stale_results(spark, tmp_path):
 
     jobs.run_jobs(spark.readStream.schema(schema).parquet(str(data)), handle, str(tmp_path / "check")).awaitTermination(60)
     assert sorted(done) == [("a", "f2"), ("b", "f1")]
+
+
+def test_typescript_modules(spark):
+    from archgraph.analysis import analyze_workspace
+
+    sources = {
+        ("web", "tsconfig.base.json"): '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["src/lib/*"]}}}',
+        ("web", "tsconfig.json"): '{"extends": "./tsconfig.base"}',
+        ("web", "src/app.ts"): """import go, { helper as h } from './lib'; import * as ns from '@lib/math'; import { Tax, shared } from "@acme/kit/tax";
+            // import { fake } from './lib/math'
+            export function run(x) { h(); go(); ns.add(1); Tax.rate(); shared(); x.unknown(); new Local(); Local.make(); fake(); }
+            class Local { static make() { return 1; } }""",
+        ("web", "src/lib/index.ts"): "export { add as helper } from './math';\nexport * from './math';\nimport { start } from './start';\nexport { start as default };",
+        ("web", "src/lib/math.ts"): "export const add = (a) => a;\nexport default function other() {}",
+        ("web", "src/lib/start.d.ts"): "export function start() {}",
+        ("kit", "pkg/package.json"): '{"name": "@acme/kit", "exports": {"./*": {"import": "./lib/*.js", "default": "./lib/*.ts"}}}',
+        ("kit", "pkg/lib/tax.ts"): "export class Tax { static rate() { return 2; } }\nfunction hidden() {}\nexport { hidden as shared };",
+    }
+    files = spark.createDataFrame([(r, p, t.encode()) for (r, p), t in sources.items()], "repository string, path string, content binary")
+    found = analyze_workspace(files, ())
+    run, web, kit = "repo://web/typescript/src/app.ts/run", "repo://web/typescript/src/", "repo://kit/typescript/pkg/lib/tax.ts/"
+    got = {(r.to_id, r.confidence) for r in found.edges.where("relation = 'calls'").collect() if r.from_id == run}
+    exact = {web + "lib/math.ts/add", web + "lib/start.d.ts/start", kit + "Tax/rate", kit + "hidden", web + "app.ts/Local", web + "app.ts/Local/make"}
+    assert got == {(x, 1.0) for x in exact} | {("typescript-method://x/unknown", 0.6), ("typescript-call://fake", 0.6)}
+    assert [(r.code, r.path, r.line, r.detail) for r in found.diagnostics.collect()] == [("typescript.receiver_resolution_incomplete", "src/app.ts", 3, "1 unresolved receiver calls")]
