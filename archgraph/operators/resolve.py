@@ -163,6 +163,45 @@ def best_overloads(calls: DataFrame, candidates: DataFrame) -> DataFrame:
     return ranked.where("n = 1").select("call_id", "name", "target", "score")
 
 
+def csharp_calls(code: DataFrame) -> DataFrame:
+    """``calls`` edges of C# calls that fit exactly one method of the repository.
+
+    A plain or ``this`` call means a method of the caller's type, a constructor one of the
+    named type, and another member one of the type its receiver is declared as or names, of
+    their bases, or an extension of the declared type. Each is an equality join on the
+    method's name and its owner.
+    """
+    simple = lambda id_: F.element_at(F.split(id_, "/"), -1)
+    qualified = lambda id_: F.regexp_extract(id_, r"\.cs/(.*)$", 1)
+    described = F.from_json("provenance", "types array<string>, optional int, extension boolean")
+    methods = code.where("sort = 'method'").select("repository", F.col("kind").alias("name"), F.col("id").alias("target"), F.col("from_id").alias("type"), described.alias("d"))
+    owner = F.array(F.concat(F.lit("q:"), qualified(F.col("type"))), F.concat(F.lit("s:"), simple(F.col("type"))), F.when(F.col("d.extension"), F.concat(F.lit("x:"), F.col("d.types")[0])))
+    filed = methods.select("repository", "name", "target", "d", F.explode(F.array_compact(owner)).alias("owner"))
+    calls = code.where("sort = 'call'").select(
+        "repository", F.col("id").alias("name"), "kind", "from_id", F.col("relation").alias("receiver"), F.col("to_id").alias("declared"), "evidence",
+        F.from_json("provenance", "array<string>").alias("arguments"), F.md5(F.concat_ws("\n", "from_id", "id", "kind", "relation", "to_id", "evidence", "provenance")).alias("call_id"),
+    ).distinct()
+    own = F.concat(F.lit("q:"), qualified(F.regexp_replace("from_id", r"/[^/]*\([^()]*\)$", "")))
+    inside = calls.where("kind = 'direct' or kind = 'member' and receiver = 'this'").select("call_id", "repository", "name", own.alias("owner"))
+    made = calls.where("kind = 'constructor'").select("call_id", "repository", "name", F.concat(F.lit("s:"), "name").alias("owner"))
+    # What a receiver may stand for: its declared type and the type it names, and the bases of both.
+    member = calls.where("kind = 'member' and receiver <> 'this'")
+    stands = member.select("call_id", "repository", "name", F.col("declared").alias("type"), F.lit(True).alias("typed")).where("type <> ''")
+    stands = stands.union(member.select("call_id", "repository", "name", F.substring_index("receiver", ".", -1), F.lit(False)))
+    bases = code.where("sort = 'base'").select(F.concat("repository", F.lit("\n"), simple(F.col("id"))).alias("from_id"), F.concat("repository", F.lit("\n"), "to_id").alias("to_id")).distinct()
+    inherited = base_types(bases).select(*(F.element_at(F.split(c, "\n"), k).alias(n) for c, k, n in (("from_id", 1, "repository"), ("from_id", 2, "type"), ("to_id", 2, "base"))))
+    wide = stands.union(stands.join(inherited, ["repository", "type"]).select("call_id", "repository", "name", F.col("base").alias("type"), "typed"))
+    through = wide.select("call_id", "repository", "name", F.explode(F.array_compact(F.array(F.concat(F.lit("s:"), "type"), F.when(F.col("typed"), F.concat(F.lit("x:"), "type"))))).alias("owner"))
+    met = inside.union(made).union(through).join(filed, ["repository", "name", "owner"]).join(calls.select("call_id", "kind"), "call_id")
+    # An extension's first parameter is the receiver.
+    shift = F.when(F.col("d.extension") & (F.col("kind") == "member"), 1).otherwise(0)
+    types = F.slice(F.col("d.types"), shift + 1, F.size("d.types"))
+    fits = met.select(F.col("call_id").alias("name"), "target", types.alias("parameters"), F.col("d.optional").alias("optional")).distinct()
+    best = best_overloads(calls.selectExpr("call_id", "call_id as name", "arguments"), fits)
+    found = calls.join(best.select("call_id", "target"), "call_id")
+    return found.select("from_id", F.lit("calls").alias("relation"), F.col("target").alias("to_id"), "evidence", F.lit(EXACT).alias("confidence"), F.lit("ast").alias("provenance")).distinct()
+
+
 def visible_assemblies(references: DataFrame) -> DataFrame:
     """Each assembly with all it sees: itself and its transitive project references."""
     return all_pairs_closure(references, reflexive=True)

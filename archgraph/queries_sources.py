@@ -243,3 +243,20 @@ def typescript_module_calls(spark, sf_dir):
 
     rows = G.frame(spark, sf_dir, _MODULES).select("repository", "path", F.encode("text", "utf-8").alias("content"))
     return analyze_workspace(rows, ()).edges.where("relation = 'calls'").select("from_id", "to_id", "evidence", "confidence")
+
+
+_CS_USE = "concat('repo://acme/r/csharp/default/src/Use', n_nationkey, '.cs/App/Use', n_nationkey, '/Run(C', n_nationkey, ')')"
+_CS_OF = "concat('repo://acme/r/csharp/default/src/C', n_nationkey, '.cs/App/C', n_nationkey, "
+
+
+@query(f"""select {_CS_USE} as from_id, {_CS_OF}'/Add(string)') as to_id, concat('src/Use', n_nationkey, '.cs:4') as evidence from nation
+    union all select {_CS_USE}, {_CS_OF}'/Add(int,int)'), concat('src/Use', n_nationkey, '.cs:5') from nation""")
+def csharp_calls(spark, sf_dir):
+    """Overloads by their arguments' number and types, through a declared receiver."""
+    from .operators import resolve
+
+    types = "concat('namespace App;\\npublic class C', n_nationkey, ' {{\\n  public void Add(string s) {{ }}\\n  public void Add(int a, int b) {{ }}\\n}}\\n')"
+    uses = "concat('namespace App;\\npublic class Use', n_nationkey, ' {{\\n  public void Run(C', n_nationkey, ' c) {{\\n    c.Add(\"x\");\\n    c.Add(1, 2); c.Add(); }}\\n}}\\n')"
+    text = f"select 'acme/r' as repository, concat('src/C', n_nationkey, '.cs') as path, {types} as text from {{nation}} union all select 'acme/r', concat('src/Use', n_nationkey, '.cs'), {uses} from {{nation}}"
+    rows = G.frame(spark, sf_dir, text).select("repository", "path", F.encode("text", "utf-8").alias("content"))
+    return resolve.csharp_calls(languages.analyze(rows)).select("from_id", "to_id", "evidence")

@@ -7,6 +7,7 @@ reported as ``<language>.parse_recovery``, and the file yields no facts.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -408,6 +409,67 @@ def csharp_parameters(text: str) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
+_CS_CALL = re.compile(r"(?<![\w.])(new\s+)?((?:\w+\s*\??\.\s*)*)(\w+)\s*(?:<[\w, .<>?\[\]]*>)?\s*\(")
+_CS_LOCAL = re.compile(r"(?<![\w.])([A-Za-z_][\w.]*(?:<[\w, .<>?\[\]]*>)?(?:\[\])?\??)\s+([A-Za-z_]\w*)\s*(?:=\s*(?:new\s+([\w.]+(?:<[\w, .<>?\[\]]*>)?)|\(([\w.]+)\)\s*\w)?|;)")
+
+
+def _simple(type_: str) -> str:
+    return type_.rstrip("?").split("<", 1)[0].rsplit(".", 1)[-1]
+
+
+def _body(clean: str, at: int, pairs: dict[int, int]) -> int:
+    """Where the body that begins at ``at``, a block or an arrow's expression, ends."""
+    at += len(clean[at:]) - len(clean[at:].lstrip())
+    if clean.startswith("{", at):
+        return pairs[at]
+    depth = 0
+    for i in range(at, len(clean)):
+        depth += (clean[i] in "([{") - (clean[i] in ")]}")
+        if clean[i] == ";" and depth <= 0:
+            return i
+    return len(clean)
+
+
+def _arguments(text: str, clean: str, at: int) -> list[str]:
+    """The argument expressions of the call whose bracket opens at ``at``."""
+    out, depth, start = [], 0, at + 1
+    for i in range(at, len(clean)):
+        c = clean[i]
+        if c in ")]}":
+            depth -= 1
+        if depth == 1 and c == "," or depth == 0:
+            if part := text[start:i].strip() if i > at else "":
+                out.append(re.sub(r"^(?:\w+\s*:(?!:)\s*|(?:ref|out|in)\s+)", "", part))
+            start = i + 1
+        if c in "([{":
+            depth += 1
+        if depth == 0:
+            break
+    return out
+
+
+def _csharp_calls(text: str, clean: str, pairs: dict[int, int], path: str, methods: list[tuple[int, int, str, list]]) -> Iterator[dict]:
+    """Calls of each method: name, kind, the receiver and its declared type, and the types of arguments, as far as declarations tell."""
+    for begin, end, id_, parameters in methods:
+        inner = [(b, e) for b, e, other, _ in methods if begin < b and e <= end and other != id_]
+        known = {name: type_ for type_, name, *_ in parameters}
+        for m in _CS_LOCAL.finditer(clean, begin, end):
+            type_ = m[3] or m[4] or m[1]
+            if type_ != "var" and m[1] not in _CS_WORDS:
+                known.setdefault(m[2], type_)
+        for m in _CS_CALL.finditer(clean, begin, end):
+            if m[3] in _CS_WORDS or any(b <= m.start() < e for b, e in inner):
+                continue
+            receiver = re.sub(r"[\s?]", "", m[2]).rstrip(".")
+            if clean[: m.start()].rstrip().endswith((".", ".?")) and not m[1]:
+                continue  # a member of what another call returned
+            types = [known.get(x) or ("string" if x.startswith('"') else None) for x in _arguments(text, clean, m.end() - 1)]
+            yield {
+                "sort": "call", "id": m[3], "kind": "constructor" if m[1] else "member" if receiver else "direct", "from_id": id_, "relation": receiver,
+                "to_id": _simple(known.get(receiver, "")), "provenance": json.dumps([x and _simple(x) for x in types]), "evidence": f"{path}:{_line(text, m.start())}",
+            }
+
+
 def csharp_facts(text: str, repository: str, path: str, assembly: str = "default") -> list[dict]:
     facts, clean = Facts(repository, path), blank_cs(text)
     pairs = _blocks(clean)
@@ -435,6 +497,7 @@ def csharp_facts(text: str, repository: str, path: str, assembly: str = "default
         for base in (m[6] or "").split(","):
             if name := re.sub(r"<.*", "", base.strip(), flags=re.S).split(".")[-1]:
                 facts.rows.append({"sort": "base", "id": id_, "kind": m[4], "to_id": name, "evidence": f"{path}:{_line(text, m.start())}"})
+    methods: list[tuple[int, int, str, list]] = []
     for begin, end, type_id in types:
         for m in _CS_METHOD.finditer(clean, begin, end):
             inner = max((b for b in pairs if b < m.start(3) < pairs[b]), default=-1)
@@ -444,6 +507,10 @@ def csharp_facts(text: str, repository: str, path: str, assembly: str = "default
             id_ = f"{type_id}/{m[3]}({','.join(t for t, *_ in parameters)})"
             facts.entity(id_, "callable")
             facts.edge(type_id, "defines", id_, _line(text, m.start(3)))
+            methods.append((m.end(), _body(clean, m.end(), pairs), id_, parameters))
+            described = {"types": [_simple(t) for t, *_ in parameters], "optional": sum(o for *_, o, _ in parameters), "extension": bool(parameters and parameters[0][3])}
+            facts.rows.append({"sort": "method", "id": id_, "kind": m[3], "from_id": type_id, "provenance": json.dumps(described)})
+    facts.rows += _csharp_calls(text, clean, pairs, path, methods)
     return facts.finish()
 
 

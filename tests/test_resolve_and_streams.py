@@ -107,3 +107,44 @@ def test_typescript_modules(spark):
     exact = {web + "lib/math.ts/add", web + "lib/start.d.ts/start", kit + "Tax/rate", kit + "hidden", web + "app.ts/Local", web + "app.ts/Local/make"}
     assert got == {(x, 1.0) for x in exact} | {("typescript-method://x/unknown", 0.6), ("typescript-call://fake", 0.6)}
     assert [(r.code, r.path, r.line, r.detail) for r in found.diagnostics.collect()] == [("typescript.receiver_resolution_incomplete", "src/app.ts", 3, "1 unresolved receiver calls")]
+
+
+def test_csharp_calls(spark):
+    from archgraph.operators import resolve
+    from archgraph.sources import languages
+
+    sources = {
+        "Cart.cs": """namespace Shop;
+            public class Base { public int Size() { return 1; } }
+            public class Cart : Base {
+                public Cart(int n) { Reset(); }
+                void Reset() { }
+                public void Add(string name) { }
+                public void Add(Item item, int n = 1) { this.Reset(); }
+                public static Cart Make() => new Cart(3);
+            }""",
+        "Use.cs": """namespace Shop;
+            public static class More { public static void Twice(this Cart cart, int n) { } }
+            public class Use {
+                public void Run(Item item, Cart cart, Cart other) {
+                    var mine = new Cart(1); // Reset();
+                    cart.Add("x");
+                    cart.Add(item);
+                    mine.Size();
+                    Cart.Make();
+                    other.Twice(2);
+                    cart.Add(a, b, c);
+                    cart.Add(unknown);
+                    Missing();
+                    string s = "cart.Size()";
+                }
+            }""",
+    }
+    files = spark.createDataFrame([("r", p, t.encode()) for p, t in sources.items()], "repository string, path string, content binary")
+    got = {(r.from_id.rsplit("/", 2)[-2] + "/" + r.from_id.rsplit("/", 1)[-1], r.to_id.split(".cs/Shop/")[1], r.evidence) for r in resolve.csharp_calls(languages.analyze(files)).collect()}
+    run = "Use/Run(Item,Cart,Cart)"
+    assert got == {
+        ("Cart/Cart(int)", "Cart/Reset()", "Cart.cs:4"), ("Cart/Add(Item,int)", "Cart/Reset()", "Cart.cs:7"), ("Cart/Make()", "Cart/Cart(int)", "Cart.cs:8"),
+        (run, "Cart/Cart(int)", "Use.cs:5"), (run, "Cart/Add(string)", "Use.cs:6"), (run, "Cart/Add(Item,int)", "Use.cs:7"), (run, "Base/Size()", "Use.cs:8"),
+        (run, "Cart/Make()", "Use.cs:9"), (run, "More/Twice(Cart,int)", "Use.cs:10"),
+    }
