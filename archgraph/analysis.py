@@ -32,10 +32,10 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
     proto = materialize(protobuf.proto_sources(files), "contracts")
     found = materialize(frameworks.recognize(files, recognizers), "recognized") if recognizers else None
     settled, receivers = modules.resolve_modules(code, files)
-    edges = materialize(modules.settle(languages.edges(code), settled).unionByName(resolve.csharp_calls(code)).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
+    edges = materialize(modules.settle(languages.edges(code), settled.union(resolve.elixir_calls(code))).unionByName(resolve.csharp_calls(code)).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
     entities = languages.entities(code).unionByName(graphql.entities(schema)).unionByName(protobuf.entities(proto))
     definitions = entities.where("kind = 'callable'").select(ids.repository(F.col("id")).alias("repository"), "id").where("repository is not null")
-    overrides = resolve.unique_name_overrides(edges, definitions)
+    overrides = resolve.unique_name_overrides(edges, definitions).union(resolve.elixir_modules(edges))
     diagnostics = languages.diagnostics(code).select("repository", "code", "severity", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("detail")).union(receivers.select(*DIAGNOSTIC.names))
     if found is None:
         return Analysis(edges, entities.distinct(), edges.where("false"), overrides, diagnostics)

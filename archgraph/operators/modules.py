@@ -139,4 +139,4 @@ def settle(edges: DataFrame, settled: DataFrame) -> DataFrame:
     """``edges`` with the calls that ``settled`` names pointed at what they call."""
     keys = ["from_id", "relation", "to_id", "evidence"]
     out = edges.join(settled.distinct(), keys, "left")
-    return out.select("from_id", "relation", F.coalesce("resolved", "to_id").alias("to_id"), "evidence", F.when(F.col("resolved").isNotNull(), EXACT).otherwise(F.col("confidence")).alias("confidence"), "provenance")
+    return out.select("from_id", "relation", F.coalesce("resolved", "to_id").alias("to_id"), "evidence", F.when(F.col("resolved").startswith("repo://"), EXACT).otherwise(F.col("confidence")).alias("confidence"), "provenance")

@@ -163,6 +163,35 @@ def best_overloads(calls: DataFrame, candidates: DataFrame) -> DataFrame:
     return ranked.where("n = 1").select("call_id", "name", "target", "score")
 
 
+def elixir_modules(edges: DataFrame) -> DataFrame:
+    """Overrides of references to Elixir modules that exactly one definition of the workspace bears the name of."""
+    symbol = F.regexp_extract("to_id", "/elixir/([^/]*)$", 1)
+    alone = only_value(edges.where("relation = 'defines'").select(symbol.alias("name"), F.col("to_id").alias("id")).where("name <> ''"), ["name"], "id", "resolved_to")
+    asked = edges.where("relation in ('implements', 'imports', 'requires', 'uses') and to_id like 'elixir-module://%'").withColumn("name", F.regexp_replace("to_id", "^elixir-module://", ""))
+    return asked.join(alone, "name").select("from_id", "relation", F.col("to_id").alias("unresolved_to"), "resolved_to", "evidence", F.lit(EXACT).alias("confidence"), F.lit("ast").alias("provenance")).distinct()
+
+
+def elixir_calls(code: DataFrame) -> DataFrame:
+    """``from_id, relation, to_id, evidence, resolved`` of Elixir calls: by module and arity, and local ones through the one import that takes them.
+
+    What such an import's module doesn't define in the repository is named as a call of that module.
+    """
+    code = code.where(F.col("path").rlike(r"\.exs?$"))
+    symbol = lambda c: F.regexp_extract(c, "^.*/elixir/(.*)$", 1)
+    known = code.where("relation = 'defines'").select("repository", symbol("to_id").alias("symbol"), F.col("to_id").alias("id")).where("instr(symbol, '/') > 0")
+    known = only_value(known, ["repository", "symbol"], "id", "resolved")
+    keys = ["repository", "from_id", "relation", "to_id", "evidence"]
+    calls = code.where("relation = 'calls' and to_id like 'elixir-call://%'").select(*keys, F.regexp_replace("to_id", "^elixir-call://", "").alias("symbol")).distinct()
+    remote = calls.where("size(split(symbol, '/')) > 2").join(known, ["repository", "symbol"]).select(*keys[1:], "resolved")
+    taken = code.where("sort = 'import'").select("repository", F.col("from_id").alias("scope"), F.col("id").alias("module"), F.from_json("provenance", "only array<string>, except array<string>").alias("f")).distinct()
+    # An import holds in a whole module or in one function.
+    scopes = F.explode(F.array("from_id", F.regexp_replace("from_id", "/[^/]*/[^/]*$", ""))).alias("scope")
+    local = calls.where("size(split(symbol, '/')) = 2").select(*keys, "symbol", scopes).join(taken, ["repository", "scope"])
+    local = local.where("(f.only is null or array_contains(f.only, symbol)) and not array_contains(f.except, symbol)").withColumn("symbol", F.concat("module", F.lit("/"), "symbol"))
+    imported = only_value(local, keys, "symbol", "symbol").join(known, ["repository", "symbol"], "left")
+    return remote.union(imported.select(*keys[1:], F.coalesce("resolved", F.concat(F.lit("elixir-call://"), "symbol")).alias("resolved")))
+
+
 def csharp_calls(code: DataFrame) -> DataFrame:
     """``calls`` edges of C# calls that fit exactly one method of the repository.
 

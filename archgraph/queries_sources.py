@@ -260,3 +260,17 @@ def csharp_calls(spark, sf_dir):
     text = f"select 'acme/r' as repository, concat('src/C', n_nationkey, '.cs') as path, {types} as text from {{nation}} union all select 'acme/r', concat('src/Use', n_nationkey, '.cs'), {uses} from {{nation}}"
     rows = G.frame(spark, sf_dir, text).select("repository", "path", F.encode("text", "utf-8").alias("content"))
     return resolve.csharp_calls(languages.analyze(rows)).select("from_id", "to_id", "evidence")
+
+
+@query("""select concat('repo://a/elixir/App.U', n_nationkey, '/run/1') as from_id, concat('repo://a/elixir/App.T', n_nationkey, x) as to_id, concat('lib/u', n_nationkey, '.ex:', line) as evidence, 1.0::double as confidence
+    from nation, (values ('/trim/1', 4), ('/upper/1', 5)) v(x, line)
+    union all select concat('repo://a/elixir/App.U', n_nationkey, '/run/1'), 'elixir-call://pad/1', concat('lib/u', n_nationkey, '.ex:6'), 0.6 from nation""")
+def elixir_calls(spark, sf_dir):
+    """Calls by module and arity, and through an import that takes some functions."""
+    from .analysis import analyze_workspace
+
+    uses = "concat('defmodule App.U', n_nationkey, ' do\\n  import App.T', n_nationkey, ', only: [trim: 1]\\n  def run(x) do\\n    trim(x)\\n    App.T', n_nationkey, '.upper(x)\\n    pad(x)\\n  end\\nend\\n')"
+    defines = "concat('defmodule App.T', n_nationkey, ' do\\n  def trim(x), do: x\\n  def upper(x), do: x\\n  def pad(x), do: x\\nend\\n')"
+    text = f"select 'a' as repository, concat('lib/u', n_nationkey, '.ex') as path, {uses} as text from {{nation}} union all select 'a', concat('lib/t', n_nationkey, '.ex'), {defines} from {{nation}}"
+    rows = G.frame(spark, sf_dir, text).select("repository", "path", F.encode("text", "utf-8").alias("content"))
+    return analyze_workspace(rows, ()).edges.where("relation = 'calls'").select("from_id", "to_id", "evidence", "confidence")

@@ -175,6 +175,21 @@ def _arity(text: str, at: int) -> tuple[int, int, int]:
     return 0, 0, len(text)
 
 
+_EX_HEAD = re.compile(r"\b(?:defp?|defdelegate|defmacrop?)$")
+_EX_FILTER = re.compile(r"\s*,\s*(only|except):\s*(?:\[([^\]]*)\]|:(\w+))")
+
+
+def _import_filter(clean: str, at: int) -> dict[str, list[str] | None]:
+    """What an import takes: ``only`` these (null: all) ``except`` those, as name/arity."""
+    found = {"only": None, "except": []}
+    while m := _EX_FILTER.match(clean, at):
+        names = [f"{name}/{n}" for name, n in re.findall(r"(\w+[?!]?):\s*(\d+)", m[2] or "")]
+        if m[3] != "functions":  # of macros nothing is called
+            found[m[1]] = names
+        at = m.end()
+    return found
+
+
 def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
     facts, clean = Facts(repository, path), blank_elixir(text)
     source = f"repo://{repository}/elixir-source/{path}"
@@ -233,6 +248,12 @@ def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
                 aliases[m[9] or m[8].split(".")[-1]] = m[8]
             else:
                 use({"import": "imports", "require": "requires", "use": "uses"}[m[7]], m[8], m.start())
+                if m[7] == "import" and module():
+                    # Inside a function an import holds there, else in the module.
+                    scope = next((v for k, v in reversed(stack) if k in ("function", "module")), None)
+                    head = m[8].split(".")[0]
+                    row = {"sort": "import", "id": aliases.get(head, head) + m[8][len(head) :], "from_id": scope if str(scope).startswith(base) else f"{base}{scope}"}
+                    facts.rows.append(row | {"provenance": json.dumps(_import_filter(clean, m.end())), "evidence": f"{path}:{_line(text, m.start())}"})
         elif m[10]:
             use("implements", m[11], m.start())
         elif m[12]:
@@ -257,6 +278,8 @@ def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
             continue
         _, n, _ = _arity(clean, m.end() - 1)
         before = clean[: m.start()].rstrip()
+        if _EX_HEAD.search(before[-12:]):
+            continue  # the head of a definition
         n += before.endswith("|>")
         owner = spans[k][1]
         here = owner[len(base) :].rsplit("/", 2)[0]

@@ -148,3 +148,45 @@ def test_csharp_calls(spark):
         (run, "Cart/Cart(int)", "Use.cs:5"), (run, "Cart/Add(string)", "Use.cs:6"), (run, "Cart/Add(Item,int)", "Use.cs:7"), (run, "Base/Size()", "Use.cs:8"),
         (run, "Cart/Make()", "Use.cs:9"), (run, "More/Twice(Cart,int)", "Use.cs:10"),
     }
+
+
+def test_elixir_calls(spark):
+    from archgraph.analysis import analyze_workspace
+
+    sources = {
+        ("a", "lib/u.ex"): """defmodule App.Users do
+  import App.Text, only: [trim: 1,
+    pad: 2]
+  alias App.Text, as: T
+  use Other.Web
+  def run(x) do
+    trim(x)
+    neg(x)
+    T.upper(x)
+  end
+  def scoped(x) do
+    import App.More
+    Unknown.go(x)
+    more(x)
+  end
+end
+defmodule App.Sums do
+  import App.Math, except: [neg: 1]
+  def both(x), do: add(neg(x), 1)
+end
+""",
+        ("a", "lib/t.ex"): "defmodule App.Text do\n  def trim(x), do: x\n  def upper(x), do: x\nend\ndefmodule App.Math do\n  def add(a, b), do: a\n  def neg(a), do: a\nend\n",
+        ("b", "lib/w.ex"): "defmodule Other.Web do\n  def trim(x), do: x\nend\n",
+    }
+    files = spark.createDataFrame([(r, p, t.encode()) for (r, p), t in sources.items()], "repository string, path string, content binary")
+    found = analyze_workspace(files, ())
+    got = {(r.from_id.split("/elixir/")[1], r.to_id, r.evidence, r.confidence) for r in found.edges.where("relation = 'calls'").collect()}
+    here, users = "repo://a/elixir/", "App.Users/run/1"
+    assert got == {
+        (users, here + "App.Text/trim/1", "lib/u.ex:7", 1.0), (users, here + "App.Text/upper/1", "lib/u.ex:9", 1.0),
+        (users, "elixir-call://neg/1", "lib/u.ex:8", 0.6), ("App.Users/scoped/1", "elixir-call://Unknown/go/1", "lib/u.ex:13", 0.6),
+        ("App.Users/scoped/1", "elixir-call://App.More/more/1", "lib/u.ex:14", 0.6), ("App.Sums/both/1", here + "App.Math/add/2", "lib/u.ex:19", 1.0),
+        ("App.Sums/both/1", "elixir-call://neg/1", "lib/u.ex:19", 0.6),
+    }
+    refs = {(r.relation, r.unresolved_to, r.resolved_to) for r in found.overrides.collect()}
+    assert refs == {("imports", "elixir-module://App.Text", here + "App.Text"), ("imports", "elixir-module://App.Math", here + "App.Math"), ("uses", "elixir-module://Other.Web", "repo://b/elixir/Other.Web")}
