@@ -36,8 +36,8 @@ def without_comments(text):
 
 
 def tsconfigs(files: DataFrame) -> DataFrame:
-    """``repository, path, extends, base_url, paths`` of each tsconfig."""
-    found = _named(files, r"(^|/)tsconfig[^/]*\.json$").withColumn("json", without_comments(F.col("text")))
+    """``repository, path, extends, base_url, paths`` of each tsconfig or jsconfig."""
+    found = _named(files, r"(^|/)(tsconfig|jsconfig)\.([^/]*\.)?json$").withColumn("json", without_comments(F.col("text")))
     return found.select(
         "repository", "path", F.get_json_object("json", "$.extends").alias("extends"), F.get_json_object("json", "$.compilerOptions.baseUrl").alias("base_url"),
         F.from_json(F.get_json_object("json", "$.compilerOptions.paths"), "map<string, array<string>>").alias("paths"),

@@ -97,6 +97,10 @@ def test_typescript_modules(spark):
         ("web", "src/lib/index.ts"): "export { add as helper } from './math';\nexport * from './math';\nimport { start } from './start';\nexport { start as default };",
         ("web", "src/lib/math.ts"): "export const add = (a) => a;\nexport default function other() {}",
         ("web", "src/lib/start.d.ts"): "export function start() {}",
+        ("js", "a/jsconfig.json"): '{"compilerOptions": {"paths": {"~": ["./lib/x"]}}}',
+        ("js", "a/m.js"): "import { f } from '~';\nfunction g() { f(); }",
+        ("js", "m.js"): "import { f } from '~';\nfunction g() { f(); }",
+        ("js", "a/lib/x.jsx"): "export function f() {}",
         ("kit", "pkg/package.json"): '{"name": "@acme/kit", "exports": {"./*": {"import": "./lib/*.js", "default": "./lib/*.ts"}}}',
         ("kit", "pkg/lib/tax.ts"): "export class Tax { static rate() { return 2; } }\nfunction hidden() {}\nexport { hidden as shared };",
     }
@@ -104,6 +108,8 @@ def test_typescript_modules(spark):
     found = analyze_workspace(files, ())
     run, web, kit = "repo://web/typescript/src/app.ts/run", "repo://web/typescript/src/", "repo://kit/typescript/pkg/lib/tax.ts/"
     got = {(r.to_id, r.confidence) for r in found.edges.where("relation = 'calls'").collect() if r.from_id == run}
+    js = {(r.from_id, r.to_id) for r in found.edges.where("relation = 'calls'").collect() if r.from_id.startswith("repo://js/")}
+    assert js == {("repo://js/javascript/a/m.js/g", "repo://js/javascript/a/lib/x.jsx/f"), ("repo://js/javascript/m.js/g", "javascript-call://f")}
     exact = {web + "lib/math.ts/add", web + "lib/start.d.ts/start", kit + "Tax/rate", kit + "hidden", web + "app.ts/Local", web + "app.ts/Local/make"}
     assert got == {(x, 1.0) for x in exact} | {("typescript-method://x/unknown", 0.6), ("typescript-call://fake", 0.6)}
     assert [(r.code, r.path, r.line, r.detail) for r in found.diagnostics.collect()] == [("typescript.receiver_resolution_incomplete", "src/app.ts", 3, "1 unresolved receiver calls")]
