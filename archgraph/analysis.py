@@ -31,17 +31,19 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
     schema = materialize(graphql.analyze(files), "schema")
     proto = materialize(protobuf.proto_sources(files), "contracts")
     found = materialize(frameworks.recognize(files, recognizers), "recognized") if recognizers else None
-    settled, receivers = modules.resolve_modules(code, files)
-    edges = materialize(modules.settle(languages.edges(code), settled.union(resolve.elixir_calls(code))).unionByName(resolve.csharp_calls(code)).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
-    entities = languages.entities(code).unionByName(graphql.entities(schema)).unionByName(protobuf.entities(proto))
+    settled, receivers, imports = modules.resolve_modules(code, files)
+    generated = materialize(resolve.macro_uses(code), "macro-uses")
+    edges = materialize(modules.settle(languages.edges(code), settled.union(resolve.elixir_calls(code))).unionByName(resolve.csharp_calls(code)).unionByName(generated).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
+    given = generated.where("relation = 'defines'").select(F.col("to_id").alias("id"), F.lit("callable").alias("kind"), F.lit("").alias("metadata"))
+    entities = languages.entities(code).unionByName(given).unionByName(graphql.entities(schema)).unionByName(protobuf.entities(proto))
     definitions = entities.where("kind = 'callable'").select(ids.repository(F.col("id")).alias("repository"), "id").where("repository is not null")
     overrides = resolve.unique_name_overrides(edges, definitions).union(resolve.elixir_modules(edges))
     diagnostics = languages.diagnostics(code).select("repository", "code", "severity", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("detail")).union(receivers.select(*DIAGNOSTIC.names))
     if found is None:
         return Analysis(edges, entities.distinct(), edges.where("false"), overrides, diagnostics)
     fields = schema.where("sort = 'field_type'").select("repository", F.col("from_id").alias("parent"), F.col("kind").alias("field"), F.concat(F.lit("graphql-field://"), "from_id", F.lit("/"), "kind").alias("id")).distinct()
-    operations, rpc, unresolved = _grpc(found, protobuf.contract_methods(proto))
-    resolvers = found.where("sort = 'resolver'").select("repository", "field", "parent", F.col("target").alias("resolver"), "evidence")
+    operations, rpc, unresolved = _grpc(found, protobuf.contract_methods(proto), edges)
+    resolvers = frameworks.imported_parents(found)
     # A field of one repository's schema may be resolved in another; where its own schema lacks it, any one schema's will do.
     own = resolve.bind_graphql(resolvers, fields)
     anywhere = resolve.bind_graphql(resolvers.withColumn("repository", F.lit("")), fields.withColumn("repository", F.lit("")))
@@ -54,7 +56,7 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
     prefabs, lost = resolve.prefab_scripts(manifests.unity_prefabs(files).where("kind = 'script'").select("prefab", "guid", "evidence"), manifests.unity_metas(files).select("guid", "path"), scripts)
     stitched = resolve.stitched_fields(graphql.stitches(schema), fields.select("id"))
     bound = rpc.select(*edges.columns)
-    for more in (bound_fields, services, lifecycle, prefabs, stitched):
+    for more in (bound_fields, services, lifecycle, prefabs, stitched, frameworks.message_edges(found), frameworks.embedded_calls(found, imports)):
         bound = bound.union(more.select(*edges.columns))
     place = F.regexp_extract("evidence", r"^(.*?)(?::[0-9]+)?$", 1)
     line = F.regexp_extract("evidence", r":([0-9]+)$", 1).try_cast("long")
@@ -67,8 +69,9 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
         .union(located(unresolved, "code", ids.repository(F.col("local_symbol")), "warning", F.concat("service", F.lit("/"), "method")))
         .union(located(lost, "code", ids.repository(F.col("prefab")), detail=F.col("guid"))).select(*DIAGNOSTIC.names).distinct()
     )
-    return Analysis(edges, entities.union(operations.select("id", "kind", "metadata")).distinct(), bound.distinct(), overrides, diagnostics)
+    documents = found.where("sort = 'document'").select(F.col("target").alias("id"), F.lit("graphql_operation").alias("kind"), F.col("method").alias("metadata"))
+    return Analysis(edges, entities.union(operations.select("id", "kind", "metadata")).union(documents).distinct(), bound.distinct(), overrides, diagnostics)
 
 
-def _grpc(found: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return resolve.resolve_grpc(frameworks.grpc_candidates(found, methods), methods)
+def _grpc(found: DataFrame, methods: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return resolve.resolve_grpc(frameworks.grpc_candidates(found, methods, edges), methods)

@@ -8,11 +8,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ArchgraphError
 from .operators import graph, render
 from .operators.publish import Store
 from .plans.shared import materialize
 from .plugins import Active, builtin
-from .schema import DEFAULT_MAX_HOPS
+from .schema import DEFAULT_MAX_HOPS, DIAGNOSTIC
 from .sources import files as source_files
 
 
@@ -42,6 +43,38 @@ class Workspace:
         facts = {r: (prints[r], edges.where(F.col("_owner") == r).drop("_owner"), entities.where(F.col("_owner") == r).drop("_owner")) for r in names}
         return self.store.publish(view, facts, found.overrides, found.bound, found.diagnostics)
 
+    def register(self, name: str, repositories: dict[str, str]) -> None:
+        """Remember a workspace's repositories by name."""
+        self.store.register(name, repositories)
+
+    def index_registered(self, name: str) -> dict:
+        """Index a registered workspace into the view of its name, alone on the store."""
+        known = self.store.workspaces()
+        if name not in known:
+            raise ArchgraphError("workspace.not_registered", name)
+        with self.store.exclusive(f"index {name}"):
+            return self.index(known[name], name)
+
+    def freshness(self, repositories: dict[str, str], view: str = "main") -> dict:
+        """``revision, stale, dirty_repositories``: which of the repositories differ from what the view holds."""
+        at, identity = self.store.pointer(view), self.plugins.identity()[:16]
+        dirty = []
+        for repository, directory in sorted(repositories.items()):
+            found = source_files.state_fingerprint(source_files.scan(self.spark, directory, repository)).first()
+            if at["inputs"].get(repository) != f"{found.fingerprint if found else 'empty'}-{identity}":
+                dirty.append(repository)
+        return {"revision": at["revision"], "stale": bool(dirty), "dirty_repositories": dirty}
+
+    def relations(self, view: str = "main") -> DataFrame:
+        """``relation, column, type`` of what can be inspected in a view."""
+        rows = [(name, f.name, f.dataType.simpleString()) for name, schema in (*self.store.TABLES.items(), ("diagnostic", DIAGNOSTIC)) for f in schema]
+        return self.spark.createDataFrame(rows, "relation string, column string, type string")
+
+    def grpc_bindings(self, view: str = "main") -> DataFrame:
+        """The view's edges that tie RPC operations to contracts, clients and servers."""
+        found = self.graph(view).effective()
+        return found.where("from_id like 'grpc://%' or to_id like 'grpc://%'").orderBy("from_id", "relation", "to_id")
+
     def diagnostics(self, view: str = "main", limit: int | None = None) -> DataFrame:
         """What the analysis of the view's sources couldn't tell."""
         return self.store.diagnostics(view, limit)
@@ -88,6 +121,18 @@ def main(argv: list[str] | None = None) -> int:
     index = commands.add_parser("index", help="index repositories given as name=directory")
     index.add_argument("repositories", nargs="+")
     index.add_argument("--view", default="main")
+    register = commands.add_parser("register", help="remember a workspace's repositories, given as name=directory")
+    register.add_argument("workspace")
+    register.add_argument("repositories", nargs="+")
+    commands.add_parser("workspaces", help="list registered workspaces")
+    reindex = commands.add_parser("reindex", help="index a registered workspace")
+    reindex.add_argument("workspace")
+    inspect = commands.add_parser("inspect", help="list relations, observations, grpc-bindings or diagnostics of a view")
+    inspect.add_argument("what", choices=("relations", "observations", "grpc-bindings", "diagnostics"))
+    inspect.add_argument("--view", default="main")
+    gc = commands.add_parser("gc", help="delete states that no view of these names holds")
+    gc.add_argument("views", nargs="*", default=["main"])
+    gc.add_argument("--status", action="store_true", help="only list them")
     for kind in ("context", "dependencies", "impact", "trace", "why"):
         one = commands.add_parser(kind)
         one.add_argument("entity")
@@ -110,6 +155,28 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "index":
         print(workspace.index(dict(x.split("=", 1) for x in args.repositories), args.view))
         return 0
+    if args.command == "register":
+        workspace.register(args.workspace, dict(x.split("=", 1) for x in args.repositories))
+        return 0
+    if args.command == "workspaces":
+        for name, repositories in sorted(workspace.store.workspaces().items()):
+            print(name, *(f"{r}={d}" for r, d in sorted(repositories.items())))
+        return 0
+    if args.command == "reindex":
+        print(workspace.index_registered(args.workspace))
+        return 0
+    if args.command == "inspect":
+        rows = {"relations": workspace.relations, "observations": lambda v: workspace.inspect(None, v), "grpc-bindings": workspace.grpc_bindings, "diagnostics": workspace.diagnostics}[args.what](args.view)
+        for row in rows.toLocalIterator():
+            print(*("" if x is None else x for x in row), sep="\t")
+        return 0
+    if args.command == "gc":
+        if args.status:
+            print(*workspace.store.garbage(args.views), sep="\n")
+            return 0
+        with workspace.store.exclusive("gc"):
+            workspace.store.collect_garbage(args.views, progress=lambda done, of: print(f"{done} of {of}"))
+        return 0
     if args.command == "context":
         answer = workspace.context(args.entity, args.view)
     elif args.command in ("trace", "why"):

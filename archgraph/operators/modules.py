@@ -95,8 +95,8 @@ def imported_files(specifiers: DataFrame, files: DataFrame, sources: DataFrame)
     return hits.groupBy(*_SCOPE).agg(F.min_by("file", F.struct("o1", "o2", "o3", "o4")).alias("file"))
 
 
-def resolve_modules(code: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``from_id, relation, to_id, evidence, resolved`` of each call that imports settle, diagnostics of receiver calls left).
+def resolve_modules(code: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``from_id, relation, to_id, evidence, resolved`` of each call that imports settle, diagnostics of receiver calls left, ``file, local, imported, target_file`` of imports).
 
     ``code``: facts of the frontends. ``files``: repository, path, content, for the manifests.
     A called name is what its import binds; a member of ``* as`` is an export of that file; a
@@ -132,7 +132,7 @@ def resolve_modules(code: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     settled = calls.withColumn("resolved", F.expr("case when receiver = '' and imported <> '*' then bound_id when receiver <> '' and imported = '*' then namespace_id else member_id end"))
     settled = materialize(settled.select("repository", "path", "from_id", "relation", "to_id", "evidence", "receiver", "resolved").distinct(), "settled-calls")
     left = settled.where("receiver <> '' and resolved is null").select("repository", "path", F.regexp_extract("evidence", r":([0-9]+)$", 1).try_cast("long").alias("line"))
-    return settled.where("resolved is not null").select("from_id", "relation", "to_id", "evidence", "resolved"), resolve.receiver_diagnostics(left, "typescript.receiver_resolution_incomplete")
+    return settled.where("resolved is not null").select("from_id", "relation", "to_id", "evidence", "resolved"), resolve.receiver_diagnostics(left, "typescript.receiver_resolution_incomplete"), bound
 
 
 def settle(edges: DataFrame, settled: DataFrame) -> DataFrame:

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ArchgraphError
 from ..functions.ids import identity_text
 from ..schema import DIAGNOSTIC, EDGE, EDGE_COLUMNS, ENTITY, OVERRIDE
 
@@ -147,16 +150,20 @@ class Store:
         """Replace the pointer, if it still is what was read."""
         if self.pointer(view) != expected:
             raise Stale(f"view {view} has moved on")
-        folder = self._path(f"{self.root}/views")
-        self.fs.mkdirs(folder)
-        temporary = self._path(f"{self.root}/views/.{view}.{uuid.uuid4().hex}")
+        self._replace(f"{self.root}/views/{view}.json", json.dumps(new, sort_keys=True))
+
+    def _replace(self, path: str, text: str) -> None:
+        """Write a file beside ``path``, and rename it to that."""
+        folder, _, name = path.rpartition("/")
+        self.fs.mkdirs(self._path(folder))
+        temporary = self._path(f"{folder}/.{name}.{uuid.uuid4().hex}")
         out = self.fs.create(temporary)
-        out.write(json.dumps(new, sort_keys=True).encode())
+        out.write(text.encode())
         out.close()
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
-        context.rename(temporary, self._path(f"{self.root}/views/{view}.json"), options)
+        context.rename(temporary, self._path(path), options)
 
     def publish(self, view: str, facts: dict[str, tuple[str, DataFrame, DataFrame]], overrides: DataFrame | None = None, extra: DataFrame | None = None, diagnostics: DataFrame | None = None) -> dict:
         """Publish a revision from {repository: (input fingerprint, edges with ordinal, entities)}; returns the counts of changed facts.
@@ -240,19 +247,57 @@ class Store:
     def diagnostics(self, view: str, limit: int | None = None) -> DataFrame:
         """The diagnostics of the view's current revision, in order; at most ``limit``."""
         at = self.pointer(view).get("diagnostic")
-        found = self._read([at] if at else [], DIAGNOSTIC).orderBy("repository", "path", "line", "code", "detail")
-        return found if limit is None else found.limit(limit)
+        from .administration import ordered_diagnostics
+
+        return ordered_diagnostics(self._read([at] if at else [], DIAGNOSTIC), limit)
 
-    def collect_garbage(self, views: list[str], keep: Callable[[str], bool] = lambda s: False) -> list[str]:
-        """Delete the states that no view's pointer names; returns their names."""
+    def garbage(self, views: list[str], limit: int | None = None, keep: Callable[[str], bool] = lambda s: False) -> list[str]:
+        """The states that no view's pointer names, in order; at most ``limit``."""
         live = {s for v in views for s in self.pointer(v)["states"].values()}
         folder = self._path(f"{self.root}/states")
         found = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        gone = sorted(s for s in found if s not in live and not keep(s))
-        for state in gone:
+        return sorted(s for s in found if s not in live and not keep(s))[:limit]
+
+    def collect_garbage(self, views: list[str], keep: Callable[[str], bool] = lambda s: False, progress: Callable[[int, int], None] = lambda done, of: None) -> list[str]:
+        """Delete the states that no view's pointer names; returns their names.
+
+        ``progress`` is told how many are done of how many. What an interrupted collection
+        left is found again by the next.
+        """
+        gone = self.garbage(views, keep=keep)
+        progress(0, len(gone))
+        for done, state in enumerate(gone, 1):
             self.fs.delete(self._path(f"{self.root}/states/{state}"), True)
+            progress(done, len(gone))
         return gone + self._sweep_revisions(views)
 
+    @contextmanager
+    def exclusive(self, operation: str) -> Iterator[None]:
+        """Hold the store's lock, a file that only one writer can create, for one operation; a second one is refused."""
+        lock = self._path(f"{self.root}/.lock")
+        try:
+            out = self.fs.create(lock, False)
+        except Py4JJavaError as e:
+            raise ArchgraphError("scheduler.unavailable", f"{operation} must wait for {self._read_text(str(lock)) or 'another operation'}") from e
+        try:
+            out.write(operation.encode())
+            out.close()
+            yield
+        finally:
+            self.fs.delete(lock, False)
+
+    def workspaces(self) -> dict[str, dict[str, str]]:
+        """Registered workspaces: name to {repository: directory}."""
+        try:
+            return json.loads(self._read_text(f"{self.root}/workspaces.json") or "{}")
+        except json.JSONDecodeError as e:
+            raise ArchgraphError("workspace.registry_failed", str(e)) from e
+
+    def register(self, name: str, repositories: dict[str, str]) -> None:
+        """Add or replace a workspace; the registry is replaced as a whole, by a rename."""
+        with self.exclusive(f"register {name}"):
+            self._replace(f"{self.root}/workspaces.json", json.dumps(self.workspaces() | {name: repositories}, sort_keys=True))
+
     def _sweep_revisions(self, views: list[str]) -> list[str]:
         """Delete the folders of revisions that no view's pointer names; returns their names."""
         gone = []

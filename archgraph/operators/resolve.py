@@ -192,6 +192,71 @@ def elixir_calls(code: DataFrame) -> DataFrame:
     return remote.union(imported.select(*keys[1:], F.coalesce("resolved", F.concat(F.lit("elixir-call://"), "symbol")).alias("resolved")))
 
 
+def macro_uses(code: DataFrame) -> DataFrame:
+    """Generated edges of Elixir modules that use another's ``__using__``: what it defines, calls and implements there.
+
+    The macro's module is the only one of its name in the repository; what a module defines
+    itself it isn't given again.
+    """
+    made = code.where("sort in ('using_defines', 'using_calls', 'using_implements')").select("repository", "path", "sort", F.col("id").alias("macro"), F.col("kind").alias("function"), F.col("to_id").alias("target"), "evidence")
+    made = made.join(only_value(made, ["macro"], "path", "path"), ["macro", "path"])
+    uses = code.where("sort = 'edge' and relation = 'uses' and to_id like 'elixir-module://%'")
+    uses = uses.select("repository", F.col("from_id").alias("module"), F.concat(F.lit("repo://"), "repository", F.lit("/elixir/"), F.regexp_replace("to_id", "^elixir-module://", "")).alias("macro")).distinct()
+    met = uses.join(made.drop("repository", "path"), "macro")
+    own = code.where("sort = 'edge' and relation = 'defines'").select(F.col("from_id").alias("module"), F.col("to_id").alias("id")).distinct()
+    given = met.where("sort = 'using_defines'").withColumn("id", F.concat("module", F.lit("/"), "function")).join(own, ["module", "id"], "left_anti")
+    # Where two macros give one function, the one of the smaller evidence does.
+    given = given.groupBy("module", "id", "function").agg(F.min(F.struct("evidence", "macro")).alias("x")).select("module", "id", "function", "x.*")
+    edge = lambda source, relation, target, confidence: (source.alias("from_id"), F.lit(relation).alias("relation"), target.alias("to_id"), "evidence", confidence.alias("confidence"), F.lit("generated").alias("provenance"))
+    defines = given.select(*edge(F.col("module"), "defines", F.col("id"), F.lit(EXACT)))
+    calls = met.where("sort = 'using_calls'").join(given.select("module", "macro", "function", "id"), ["module", "macro", "function"])
+    known = own.select("id").union(given.select("id")).distinct().withColumnRenamed("id", "known")
+    local = F.when(~F.col("target").contains("://"), F.concat("module", F.lit("/"), "target"))
+    calls = calls.withColumn("local", local).join(known, F.col("local") == F.col("known"), "left")
+    to = F.coalesce("known", F.when(F.col("local").isNotNull(), F.concat(F.lit("elixir-call://"), "target")).otherwise(F.col("target")))
+    called = calls.select(*edge(F.col("id"), "calls", to, F.when(F.col("known").isNotNull(), EXACT).otherwise(INFERRED)))
+    implements = met.where("sort = 'using_implements'").select(*edge(F.col("module"), "implements", F.col("target"), F.lit(EXACT)))
+    return defines.union(called).union(implements).distinct()
+
+
+#: Kinds of compiler events that are calls, and the relations of those that name a module. Fixed values.
+EVENT_CALLS = ("imported_function", "imported_macro", "local_function", "local_macro", "remote_function", "remote_macro")
+EVENT_RELATIONS = {"import": "imports", "require": "requires", "alias": "uses", "alias_expansion": "uses", "alias_reference": "uses", "struct_expansion": "uses"}
+
+
+def compiler_observations(events: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, entities) of a compiler's events.
+
+    ``events``: ordinal, repository, kind, file, line, caller_module, caller_function
+    (name/arity), target, function (name/arity), from_macro, definitions (array of
+    name/arity, of a module's event). ``sources``: repository, path. Events outside the
+    sources are no evidence; of a module's events the last counts; a caller without module is its file.
+    """
+    placed = events.join(sources.selectExpr("repository", "path as file").distinct(), ["repository", "file"], "left_semi")
+    modules = placed.where("kind = 'module' and target is not null").groupBy("repository", "target").agg(F.max_by("definitions", "ordinal").alias("definitions"))
+    module_id = lambda m: F.concat(F.lit("repo://"), "repository", F.lit("/elixir/"), m)
+    callables = modules.select("repository", F.col("target").alias("module"), F.explode("definitions").alias("function")).distinct()
+    entities = modules.select(module_id("target").alias("id"), F.lit("namespace").alias("kind"), F.lit("").alias("metadata"))
+    entities = entities.union(callables.select(F.concat(module_id("module"), F.lit("/"), "function"), F.lit("callable"), F.lit("")))
+    kind = F.col("kind")
+    relation = F.when(kind.isin(*EVENT_CALLS), "calls")
+    for name, value in EVENT_RELATIONS.items():
+        relation = relation.when(kind == name, value)
+    rows = placed.withColumn("relation", relation).where("relation is not null")
+    caller = F.when(F.col("caller_module").isNull(), F.concat(F.lit("repo://"), "repository", F.lit("/elixir-source/"), "file")).otherwise(F.concat(module_id("caller_module"), F.coalesce(F.concat(F.lit("/"), "caller_function"), F.lit(""))))
+    callee = F.when(kind.isin("local_function", "local_macro"), F.col("caller_module")).otherwise(F.col("target"))
+    rows = rows.withColumn("from_id", caller).withColumn("module", F.when(F.col("relation") == "calls", callee).otherwise(F.col("target"))).where("module is not null")
+    rows = rows.join(callables.withColumn("defined", F.lit(True)), ["repository", "module", "function"], "left")
+    rows = rows.join(modules.select("repository", F.col("target").alias("module"), F.lit(True).alias("here")), ["repository", "module"], "left")
+    called = F.when(F.col("defined"), F.concat(module_id("module"), F.lit("/"), "function")).otherwise(F.concat(F.lit("elixir-call://"), "module", F.lit("/"), "function"))
+    named = F.when(F.col("here"), module_id("module")).when(F.col("module").startswith(":"), F.concat(F.lit("erlang-module://"), F.ltrim("module", F.lit(":")))).otherwise(F.concat(F.lit("elixir-module://"), "module"))
+    place = F.concat("file", F.when(F.coalesce("line", F.lit(0)) == 0, "").otherwise(F.concat(F.lit(":"), F.col("line").cast("string"))))
+    macro = F.coalesce("from_macro", F.lit(False))
+    evidence = F.concat(place, F.lit(" (compiler "), "kind", F.when(macro, " via macro expansion").otherwise(""), F.lit(")"))
+    to = F.when(F.col("relation") == "calls", called).otherwise(named)
+    return rows.select("from_id", "relation", to.alias("to_id"), evidence.alias("evidence"), F.when(macro, INFERRED).otherwise(EXACT).alias("confidence"), F.lit("compiler").alias("provenance")).distinct(), entities
+
+
 def csharp_calls(code: DataFrame) -> DataFrame:
     """``calls`` edges of C# calls that fit exactly one method of the repository.
 

@@ -455,4 +455,4 @@ def region_closure(spark, sf_dir):
     return all_pairs_closure(G.frame(spark, sf_dir, "select concat('c', n_nationkey) as from_id, concat('c', n_regionkey) as to_id from {nation}"))
 
 
-from . import queries_resolve, queries_sources  # noqa: E402, F401 (they register theirs)
+from . import queries_resolve, queries_sources, queries_workspace  # noqa: E402, F401 (they register theirs)

@@ -4,6 +4,9 @@ Each reads one file and yields rows for a resolver of ``operators/resolve.py``:
 
 - ``grpc``: local symbol, role, service, method (resolve_grpc, once joined to the contracts' cardinalities)
 - ``resolver``: field, parent, resolver (bind_graphql)
+- ``generated_client``: as grpc, for those that are called (used_clients); ``message``: generated types and their contracts
+- ``document`` and ``argument``: embedded operations by constant, and what callables pass on (embedded_calls)
+- ``field_import``: objects whose fields another one imports (imported_parents)
 - ``registration``: service, implementation (register_services)
 - ``lifecycle`` and ``base``: methods by message, and types' bases (lifecycle_edges)
 """
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import languages
+from . import graphql, languages
 from .languages import blank_cs, blank_elixir, blank_rust, blank_ts
 
 FACTS = "repository string, path string, sort string, local_symbol string, role string, service string, method string, field string, parent string, target string, evidence string, confidence double"
@@ -93,16 +96,21 @@ def elixir_grpc(text: str, repository: str, path: str) -> list[dict]:
 
 
 def elixir_absinthe(text: str, repository: str, path: str) -> list[dict]:
-    """Fields resolved by a captured function: ``resolve &Mod.fun/3`` inside ``object :name`` or a root."""
+    """Fields resolved by a captured function: ``resolve &Mod.fun/3`` inside ``object :name`` or a root; and the objects whose fields another one imports."""
     clean, out = blank_elixir(text), []
-    objects = [(m.start(), pascal(m[1] or m[2])) for m in re.finditer(r"\bobject\s+:(\w+)|^\s*(query|mutation|subscription)\s+do\b", clean, re.M)]
+    objects = [(m.start(), m[1] or m[2]) for m in re.finditer(r"\bobject\s+:(\w+)|^\s*(query|mutation|subscription)\s+do\b", clean, re.M)]
     fields = [(m.start(), m[1]) for m in re.finditer(r"\bfield\s*\(?\s*:(\w+)", clean)]
     for m in re.finditer(r"\bresolve\s*\(?\s*&([\w.]+)\.(\w+[?!]?)/(\d)", clean):
         field = next((n for s, n in reversed(fields) if s <= m.start()), None)
-        parent = next((n for s, n in reversed(objects) if s <= m.start()), None)
+        owner = next((n for s, n in reversed(objects) if s <= m.start()), None)
+        parent = owner and pascal(owner)
         if field:
             head, *rest = field.split("_")
-            out.append({"sort": "resolver", "field": head + "".join(x.title() for x in rest), "parent": parent, "target": f"repo://{repository}/elixir/{m[1]}/{m[2]}/{m[3]}", "evidence": f"{path}:{_line(text, m.start())}"})
+            out.append({"sort": "resolver", "local_symbol": owner, "field": head + "".join(x.title() for x in rest), "parent": parent, "target": f"repo://{repository}/elixir/{m[1]}/{m[2]}/{m[3]}", "evidence": f"{path}:{_line(text, m.start())}"})
+    for m in re.finditer(r"\bimport_fields\s*\(?\s*:(\w+)", clean):
+        owner = next((n for s, n in reversed(objects) if s <= m.start()), None)
+        if owner:
+            out.append({"sort": "field_import", "parent": pascal(owner), "target": m[1], "evidence": f"{path}:{_line(text, m.start())}"})
     return out
 
 
@@ -142,6 +150,54 @@ def nestjs(text: str, repository: str, path: str) -> list[dict]:
     return out
 
 
+def ts_proto(text: str, repository: str, path: str) -> list[dict]:
+    """Generated RPC clients: methods of ``XClientImpl`` by the request they send, those of ``XClient`` by the file's package; and message types, which are both interface and constant."""
+    if "protobufPackage" not in text and "ServiceName" not in text:
+        return []
+    clean, rows, out = blank_ts(text), languages.typescript_facts(text, repository, path), []
+    constants = {m[1]: m[3] for m in re.finditer(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(['\"])([^'\"]+)\2", text)}
+    kinds = {r["id"]: r["kind"] for r in rows if r["sort"] == "entity"}
+    for m in re.finditer(r"\bthis\.rpc\.request\s*\(\s*[^,()]+,\s*['\"](\w+)['\"]", text):
+        line = _line(text, m.start())
+        symbol = _owner(rows, line)
+        found = symbol and re.search(r"/(\w+)ClientImpl/\w+$", symbol)
+        if found and (service := constants.get(f"{found[1]}ServiceName")):
+            out.append({"sort": "generated_client", "local_symbol": symbol, "service": service, "method": m[1], "evidence": f"{path}:{line}", "confidence": 1.0})
+    package = constants.get("protobufPackage")
+    if package is None:
+        return out
+    for r in rows:
+        if r["sort"] == "edge" and r["relation"] == "defines" and kinds.get(r["to_id"]) == "callable" and (m := re.search(r"/(\w+)Client/(\w+)$", r["to_id"])):
+            out.append({"sort": "generated_client", "local_symbol": r["to_id"], "service": f"{package}.{m[1]}", "method": m[2][:1].upper() + m[2][1:], "evidence": r["evidence"], "confidence": 1.0})
+    if languages.generated_typescript(text, path):
+        both = set(re.findall(r"^\s*export\s+interface\s+([A-Za-z]\w*)", clean, re.M)) & set(re.findall(r"^\s*export\s+const\s+([A-Za-z]\w*)", clean, re.M))
+        for name in sorted(x for x in both if "_" not in x):
+            out.append({"sort": "message", "local_symbol": f"repo://{repository}/typescript/{path}/{name}", "target": f"proto-type://{package}.{name}", "evidence": path, "confidence": 1.0})
+    return out
+
+
+def ts_graphql(text: str, repository: str, path: str) -> list[dict]:
+    """Embedded documents: constants bound to tagged templates, with each operation in them, and the names that callables pass as arguments."""
+    clean, out = blank_ts(text), []
+    module = f"repo://{repository}/{'javascript' if path.endswith(('.js', '.jsx')) else 'typescript'}/{path}"
+    here = set()
+    for m in re.finditer(r"\bconst\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:gql|graphql)\s*\(?\s*(?:/\*\s*GraphQL\s*\*/\s*)?`([^`]*)`", text):
+        if clean[m.start()] != "c":
+            continue  # in a comment or string
+        here.add(m[1])
+        for r in graphql.document_facts(re.sub(r"\$\{[^}]*\}", "", m[2]), repository, path):
+            if r["sort"] == "entity" and r["kind"] == "graphql_operation":
+                out.append({"sort": "document", "local_symbol": f"{module}/{m[1]}", "target": r["id"], "method": r["metadata"], "evidence": f"{path}:{_line(text, m.start())}"})
+    names = here | {local for local, _, imported in languages.typescript_imports(text, clean) if imported != "*"}
+    if not names:
+        return out
+    rows = languages.typescript_facts(text, repository, path)
+    for m in re.finditer(r"[(,]\s*([A-Za-z_$][\w$]*)\s*(?=[,)])", clean):
+        if m[1] in names and (symbol := _owner(rows, line := _line(text, m.start(1)))):
+            out.append({"sort": "argument", "local_symbol": symbol, "field": m[1], "target": module, "evidence": f"{path}:{line}"})
+    return out
+
+
 def _after(clean: str, at: int) -> int:
     """The end of a decorator's brackets."""
     depth = 0
@@ -178,7 +234,7 @@ def unity_lifecycle(text: str, repository: str, path: str) -> list[dict]:
 
 RECOGNIZERS: dict[str, tuple[str, Callable[[str, str, str], list[dict]]]] = {
     "rust.tonic": (r"\.rs$", rust_tonic), "elixir.grpc": (r"\.exs?$", elixir_grpc), "elixir.absinthe": (r"\.exs?$", elixir_absinthe),
-    "typescript.nestjs": (r"\.tsx?$", nestjs), "csharp.dotnet-di": (r"\.cs$", dotnet_di), "csharp.unity": (r"\.cs$", unity_lifecycle),
+    "typescript.nestjs": (r"\.tsx?$", nestjs), "typescript.ts-proto": (r"\.tsx?$", ts_proto), "typescript.graphql": (r"\.(ts|tsx|js|jsx)$", ts_graphql), "csharp.dotnet-di": (r"\.cs$", dotnet_di), "csharp.unity": (r"\.cs$", unity_lifecycle),
 }
 
 
@@ -197,15 +253,49 @@ def recognize(files: DataFrame, names: tuple[str, ...] = tuple(RECOGNIZERS)) ->
     return files.where(F.col("path").rlike(wanted)).select("repository", "path", "content").mapInArrow(run, FACTS)
 
 
-def grpc_candidates(facts: DataFrame, methods: DataFrame) -> DataFrame:
-    """``schema.GRPC_CANDIDATE`` rows: direct ones, and Elixir's by service module; a short service name is the only contract's that ends with it."""
-    direct = facts.where("sort = 'grpc'").select("local_symbol", "role", "service", "method", "evidence", "confidence")
+def imported_parents(facts: DataFrame) -> DataFrame:
+    """``facts``' resolvers, with each object that imports their own one's fields as parent, else their own. One row for each parent."""
+    imports = facts.where("sort = 'field_import'").selectExpr("repository", "target as local_symbol", "parent as _parent").distinct()
+    resolvers = facts.where("sort = 'resolver'").select("repository", "local_symbol", "field", "parent", F.col("target").alias("resolver"), "evidence")
+    return resolvers.join(imports, ["repository", "local_symbol"], "left").select("repository", "field", F.coalesce("_parent", "parent").alias("parent"), "resolver", "evidence")
+
+
+def used_clients(generated: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of generated clients' methods (local_symbol and more) those that something else calls."""
+    calls = edges.where("relation = 'calls' and from_id <> to_id").select(F.col("to_id").alias("local_symbol")).distinct()
+    return generated.join(calls, "local_symbol", "left_semi")
+
+
+def message_edges(facts: DataFrame) -> DataFrame:
+    """``binds_contract`` edges from generated message types to their contracts."""
+    return facts.where("sort = 'message'").select(F.col("local_symbol").alias("from_id"), F.lit("binds_contract").alias("relation"), F.col("target").alias("to_id"), "evidence", "confidence", F.lit("generated").alias("provenance")).distinct()
+
+
+def embedded_calls(facts: DataFrame, bound: DataFrame) -> DataFrame:
+    """``calls_graphql`` edges from callables to the operations of the documents they pass on: the file's own, else an imported one.
+
+    ``bound``: file, local, imported, target_file of all imports.
+    """
+    documents = facts.where("sort = 'document'").select(F.col("local_symbol").alias("document"), F.col("target").alias("to_id")).distinct()
+    passed = facts.where("sort = 'argument'").select("local_symbol", F.col("field").alias("local"), F.col("target").alias("file"), "evidence")
+    named = passed.join(bound.where("imported <> '*'").select("file", "local", F.concat("target_file", F.lit("/"), "imported").alias("other")), ["file", "local"], "left")
+    named = named.withColumn("own", F.concat("file", F.lit("/"), "local")).join(documents.select(F.col("document").alias("own"), F.lit(True).alias("here")).distinct(), "own", "left")
+    met = named.withColumn("document", F.when(F.col("here"), F.col("own")).otherwise(F.col("other"))).join(documents, "document")
+    return met.select(F.col("local_symbol").alias("from_id"), F.lit("calls_graphql").alias("relation"), "to_id", "evidence", F.lit(1.0).alias("confidence"), F.lit("ast").alias("provenance")).distinct()
+
+
+def grpc_candidates(facts: DataFrame, methods: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``schema.GRPC_CANDIDATE`` rows: direct ones, generated clients that ``edges`` call, and Elixir's by service module; a short service name is the only contract's that ends with it."""
+    direct = facts.where("sort = 'grpc'").select("local_symbol", "role", "service", "method", "evidence", "confidence", F.lit("ast").alias("provenance"))
+    if edges is not None:
+        made = used_clients(facts.where("sort = 'generated_client'"), edges)
+        direct = direct.union(made.select("local_symbol", F.lit("client"), "service", "method", "evidence", "confidence", F.lit("generated")).distinct())
     modules = facts.where("sort = 'service_module'").selectExpr("local_symbol as module", "service as full").distinct()
     used = facts.where("sort in ('server_function', 'stub_call')").withColumn("module", F.when(F.col("sort") == "stub_call", F.concat("target", F.lit(".Service"))).otherwise(F.col("target")))
-    elixir = used.join(modules, "module").select("local_symbol", F.when(F.col("sort") == "stub_call", "client").otherwise("server").alias("role"), F.col("full").alias("service"), "method", "evidence", "confidence")
+    elixir = used.join(modules, "module").select("local_symbol", F.when(F.col("sort") == "stub_call", "client").otherwise("server").alias("role"), F.col("full").alias("service"), "method", "evidence", "confidence", F.lit("ast").alias("provenance"))
     known = methods.select("service").distinct()
     short = known.groupBy(F.substring_index("service", ".", -1).alias("short")).agg(F.min("service").alias("only"), F.count("*").alias("n")).where("n = 1")
     both = direct.union(elixir)
     named = both.join(known.withColumn("exact", F.lit(True)), "service", "left").join(short, F.col("service") == F.col("short"), "left").withColumn("service", F.when(F.col("exact"), F.col("service")).otherwise(F.coalesce("only", "service")))
     cardinality = methods.groupBy("service", "method").agg(F.min("cardinality").alias("cardinality"))
-    return named.join(cardinality, ["service", "method"], "left").select("local_symbol", "role", "service", "method", F.coalesce("cardinality", F.lit("unary")).alias("cardinality"), "evidence", "confidence", F.lit("ast").alias("provenance"))
+    return named.join(cardinality, ["service", "method"], "left").select("local_symbol", "role", "service", "method", F.coalesce("cardinality", F.lit("unary")).alias("cardinality"), "evidence", "confidence", "provenance")

@@ -72,6 +72,28 @@ def _blocks(text: str) -> dict[int, int] | None:
     return None if stack else pairs
 
 
+def _recovered(text: str) -> tuple[str, dict[int, int] | None, list[int]]:
+    """(text, pairs of braces, places of errors): top-level units that a stray closing brace ends are blanked.
+
+    A brace that is never closed is missing syntax, whose place nothing tells: pairs then are None.
+    """
+    depth, start, errors, out = 0, 0, [], list(text)
+    for m in re.finditer(r"[{};]", text):
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == ";":
+            start = m.end() if depth == 0 else start
+        elif depth:
+            depth -= 1
+            start = m.end() if depth == 0 else start
+        else:
+            errors.append(m.start())
+            out[start : m.end()] = re.sub(r"[^\n]", " ", text[start : m.end()])
+            start = m.end()
+    clean = "".join(out)
+    return clean, _blocks(clean), errors
+
+
 def _opening(text: str, at: int, stops: str = ";") -> int:
     """The first brace after ``at`` outside round and square brackets, or -1 if the declaration ends first."""
     depth = 0
@@ -97,9 +119,11 @@ _RUST_WORDS = frozenset("if while for match return loop in fn move let as else u
 
 def rust_facts(text: str, repository: str, path: str) -> list[dict]:
     facts, clean = Facts(repository, path), blank_rust(text)
-    pairs = _blocks(clean)
+    clean, pairs, errors = _recovered(clean)
     if pairs is None:
         return facts.failed("rust.parse_recovery")
+    for at in errors:
+        facts.diagnostic("rust.parse_recovery", _line(text, at))
     module = re.sub(r"\.rs$", "", re.sub(r"(^|/)src/", r"\1", path))
     source = f"repo://{repository}/rust/{module}"
     facts.entity(source, "namespace")
@@ -230,10 +254,17 @@ def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
         elif m[5]:
             here = module()
             if here is None or m[5].startswith("defmacro"):
-                pending = ("macro", None)
+                pending = ("using" if m[6] == "__using__" else "macro", None)
                 continue
             after = m.end()
             least, most, end = _arity(clean, after) if clean[after : after + 1] == "(" else (0, 0, after)
+            if any(k == "using" for k, _ in stack):
+                # Functions that a module gets which uses this one.
+                for n in range(least, most + 1):
+                    facts.rows.append({"sort": "using_defines", "id": base + here, "kind": f"{m[6]}/{n}", "evidence": f"{path}:{_line(text, m.start())}"})
+                pending = ("block", None)
+                spans.append((end, f"using:{here}/{m[6]}/{most}"))
+                continue
             for n in range(least, most + 1):
                 id_ = f"{base}{here}/{m[6]}/{n}"
                 if id_ not in functions:
@@ -255,7 +286,11 @@ def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
                     row = {"sort": "import", "id": aliases.get(head, head) + m[8][len(head) :], "from_id": scope if str(scope).startswith(base) else f"{base}{scope}"}
                     facts.rows.append(row | {"provenance": json.dumps(_import_filter(clean, m.end())), "evidence": f"{path}:{_line(text, m.start())}"})
         elif m[10]:
-            use("implements", m[11], m.start())
+            if module() and any(k == "using" for k, _ in stack):
+                head, _, tail = m[11].partition(".")
+                facts.rows.append({"sort": "using_implements", "id": base + str(module()), "to_id": f"elixir-module://{'.'.join(x for x in (aliases.get(head, head), tail) if x)}", "evidence": f"{path}:{_line(text, m.start())}"})
+            else:
+                use("implements", m[11], m.start())
         elif m[12]:
             stack.append(pending or ("block", None))
             pending = None
@@ -282,6 +317,12 @@ def elixir_facts(text: str, repository: str, path: str) -> list[dict]:
             continue  # the head of a definition
         n += before.endswith("|>")
         owner = spans[k][1]
+        if owner.startswith("using:"):
+            within, name, arity = owner.removeprefix("using:").rsplit("/", 2)
+            head, _, tail = (m[1] or "").partition(".")
+            full = ".".join(x for x in (aliases.get(head, head), tail) if x)
+            facts.rows.append({"sort": "using_calls", "id": base + within, "kind": f"{name}/{arity}", "to_id": f"elixir-call://{full}/{m[2]}/{n}" if full else f"{m[2]}/{n}", "evidence": f"{path}:{_line(text, m.start())}"})
+            continue
         here = owner[len(base) :].rsplit("/", 2)[0]
         calls.append((owner, _line(text, m.start()), m[1], m[2], n))
         if m[1]:
@@ -348,12 +389,20 @@ def typescript_imports(text: str, clean: str | None = None) -> Iterator[tuple[st
                 yield (local or name).strip(), m[5], name.strip()
 
 
+def generated_typescript(text: str, path: str) -> bool:
+    """Whether a file was generated, by its name or its first 20 lines."""
+    head = "\n".join(text.split("\n", 20)[:20]).lower()
+    return bool(re.search(r"\.(generated|gen)\.\w+$", path)) or any(x in head for x in ("@generated", "generated by", "do not edit"))
+
+
 def typescript_facts(text: str, repository: str, path: str) -> list[dict]:
     language = "javascript" if path.endswith((".js", ".jsx")) else "typescript"
     facts, clean = Facts(repository, path), blank_ts(text)
-    pairs = _blocks(clean)
+    clean, pairs, errors = _recovered(clean)
     if pairs is None:
         return facts.failed("typescript.parse_recovery")
+    for at in errors:
+        facts.diagnostic("typescript.parse_recovery", _line(text, at))
     source, module = f"repo://{repository}/{language}-source/{path}", f"repo://{repository}/{language}/{path}"
     for id_ in (source, module):
         facts.entity(id_, "namespace")
@@ -495,9 +544,11 @@ def _csharp_calls(text: str, clean: str, pairs: dict[int, int], path: str, metho
 
 def csharp_facts(text: str, repository: str, path: str, assembly: str = "default") -> list[dict]:
     facts, clean = Facts(repository, path), blank_cs(text)
-    pairs = _blocks(clean)
+    clean, pairs, errors = _recovered(clean)
     if pairs is None:
         return facts.failed("csharp.parse_recovery")
+    for at in errors:
+        facts.diagnostic("csharp.parse_recovery", _line(text, at))
     source, root = f"repo://{repository}/csharp-source/{assembly}/{path}", f"repo://{repository}/csharp/{assembly}/{path}"
     facts.entity(source, "namespace")
     scopes: list[tuple[int, int, str]] = []
