@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .errors import ArchgraphError
 from .operators import graph, render
 from .operators.publish import Store
-from .plans.shared import materialize
+from .plans.shared import materialize, scratch
 from .plugins import Active, builtin
 from .schema import DEFAULT_MAX_HOPS, DIAGNOSTIC
 from .sources import files as source_files
@@ -36,6 +36,10 @@ class Workspace:
         at = self.store.pointer(view)
         if at["inputs"] == prints and at["revision"]:
             return {"revision": at["revision"], "skipped": True}
+        with scratch(self.spark):
+            return self._publish(view, files, names, prints)
+
+    def _publish(self, view: str, files: DataFrame, names: list[str], prints: dict[str, str]) -> dict:
         found = self.plugins.analyze(files)
         # Facts that name no repository (schemas, contracts) belong to the first one.
         owned = lambda rows, c: materialize(rows.withColumn("_owner", F.coalesce(_owner(F.col(c), names), F.lit(names[0]))), "owned")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +35,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/archgraph/{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables that each open scratch deletes, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside are deleted at its end, but for those that are ``kept``: these belong to the scratch around it, if any.
+
+    Nothing that outlives it may read the others; what is kept is written by then, and needs none of them.
+    """
+    made: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def materialize(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder, and read it back.
 
     The files survive lost executors, a later step never repeats the work above it, and
@@ -40,5 +64,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    scratches = _OPEN.get()[: -1 if kept else None]
+    if scratches:
+        scratches[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,8 +4,11 @@ import subprocess
 
 import pytest
 
-from archgraph import api
+from archgraph import api, plugins
+from archgraph.analysis import Analysis
 from archgraph.errors import ArchgraphError
+from archgraph.operators import modules
+from archgraph.schema import DIAGNOSTIC, EDGE, OVERRIDE
 from archgraph.sources import frameworks, git, languages
 
 PROTO_TS = """// Code generated by a plugin. DO NOT EDIT
@@ -42,23 +45,31 @@ def test_stray_braces_cost_their_unit_only():
         assert [r["sort"] for r in parse(text.replace("lost() }", "lost() {"), "r", path)] == ["diagnostic"]
 
 
-def test_embedded_documents_across_files(spark, tmp_path):
-    root = tmp_path / "web"
-    root.mkdir()
-    (root / "docs.ts").write_text("export const ME = gql`query Me { me }`;\n")
-    (root / "use.ts").write_text("import { ME } from './docs';\nexport function load() { return client.query(ME); }\n")
-    workspace = api.Workspace(spark, f"file://{tmp_path}/store")
-    workspace.index({"web": f"file://{root}"})
-    found = workspace.inspect("calls_graphql").collect()
+def test_embedded_documents_across_files(spark):
+    rows = [("docs.ts", "export const ME = gql`query Me { me }`;\n"), ("use.ts", "import { ME } from './docs';\nexport function load() { return client.query(ME); }\n")]
+    files = spark.createDataFrame([("web", path, bytearray(text.encode())) for path, text in rows], "repository string, path string, content binary")
+    bound = modules.resolve_modules(languages.analyze(files), files)[2]
+    found = frameworks.embedded_calls(frameworks.recognize(files, ("typescript.graphql",)), bound).collect()
     assert [(r.from_id, r.to_id, r.evidence) for r in found] == [("repo://web/typescript/use.ts/load", "graphql-operation://Me", "use.ts:2")]
 
 
+class RustOnly(plugins.WorkspaceAnalyzer):
+    id, version = "rust", "1"
+
+    def analyze(self, files):
+        code = languages.analyze(files, ("rust",))
+        none = lambda schema: files.sparkSession.createDataFrame([], schema)
+        return Analysis(languages.edges(code), languages.entities(code), none(EDGE), none(OVERRIDE), none(DIAGNOSTIC))
+
+
 def test_registry_lock_freshness_and_garbage(spark, tmp_path, capsys):
     root = tmp_path / "code"
     root.mkdir()
     (root / "main.rs").write_text("fn main() { helper(); }\nfn helper() {}\n")
     store, here = f"file://{tmp_path}/store", {"acme/app": f"file://{root}"}
-    workspace = api.Workspace(spark, store)
+    registry = plugins.builtin()
+    registry.install(plugins.Plugin("rust", "1", (RustOnly(),)))
+    workspace = api.Workspace(spark, store, registry.activate(["rust"]))
     with pytest.raises(ArchgraphError, match="workspace.not_registered"):
         workspace.index_registered("app")
     assert api.main(["--store", store, "register", "app", f"acme/app=file://{root}"]) == 0
