@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_columns, materialize, slices
+from ._common import map_columns, materialize, scratch, slices
 from .components import connected_components
 from .golay import codeword_index, near_indices
 
@@ -188,9 +188,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     are hashed whole; other columns pass through no further, whatever their names.
     """
     found = materialize(fingerprints(docs), "fingerprints")
-    fps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(fps, max_bits)).withColumnRenamed("node", "fp")
-    rooted = materialize(fps.join(roots, "fp", "left").selectExpr("fp", "least", "coalesce(root, fp) as root"), "rooted")
+    with scratch(docs.sparkSession):
+        fps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = connected_components(links(fps, max_bits)).withColumnRenamed("node", "fp")
+        rooted = materialize(fps.join(roots, "fp", "left").selectExpr("fp", "least", "coalesce(root, fp) as root"), "rooted", kept=True)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = rooted.join(smallest, "root").select("fp", "component_id")
     return found.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -203,8 +204,9 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     groups' shuffles, and the table's size is known, so that texts move only where Spark finds
     the ids too many to broadcast. Rows without an id stay.
     """
-    found = materialize(near_duplicates(docs, max_bits), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
-    gone = materialize(gone.join(stays, gone._gone == stays._stays, "left_anti").distinct(), "gone")
+    with scratch(docs.sparkSession):
+        found = materialize(near_duplicates(docs, max_bits), "groups")
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
+        gone = materialize(gone.join(stays, gone._gone == stays._stays, "left_anti").distinct(), "gone", kept=True)
     return docs.join(gone, docs["doc_id"].cast("long") == gone._gone, "left_anti")
