@@ -298,15 +298,32 @@ def document_facts(text: str, repository: str, path: str) -> list[dict]:
     return _Schema(repository, path).read(text)
 
 
+#: Facts are handed on in batches of about so many, whatever number a file has.
+BATCH_FACTS = 10_000
+
+
+def _batch(facts: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.get(f.name) for x in facts], f.type) for f in _ARROW], schema=_ARROW)
+
+
 def _run(batches):
     for batch in batches:
+        facts = []
         for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            yield pa.RecordBatch.from_pylist(document_facts(bytes(content or b"").decode("utf-8", "replace"), repository, path), schema=_ARROW)
+            facts += document_facts(bytes(content or b"").decode("utf-8", "replace"), repository, path)
+            if len(facts) >= BATCH_FACTS:
+                yield _batch(facts)
+                facts = []
+        if facts:
+            yield _batch(facts)
 
 
 def analyze(files: DataFrame) -> DataFrame:
-    """Facts (``FACTS``) of the GraphQL files among rows repository, path, content."""
-    return files.where(F.col("path").rlike(r"\.(graphql|gql)$")).select("repository", "path", "content").mapInArrow(_run, FACTS)
+    """Facts (``FACTS``) of the GraphQL files among rows repository, path, content.
+
+    Files are dealt out by name first, as reading them costs far more than moving them, and many small ones may lie in few partitions.
+    """
+    return files.where(F.col("path").rlike(r"\.(graphql|gql)$")).select("repository", "path", "content").repartition("repository", "path").mapInArrow(_run, FACTS)
 
 
 def expand_fragments(facts: DataFrame) -> DataFrame:
@@ -329,7 +346,10 @@ def expand_fragments(facts: DataFrame) -> DataFrame:
 def selection_edges(facts: DataFrame) -> DataFrame:
     """``selects`` edges from operations to fields, and from fields to nested ones, by each path's types."""
     from ..plans.fixpoint import fixpoint
+    from ..plans.shared import materialize
 
+    # Each round reads them again, and files shall be parsed once.
+    facts = materialize(facts.where("sort in ('field_type', 'select', 'spread', 'fragment')").select("repository", "sort", "id", "kind", "metadata", "from_id", "to_id", "evidence"), "selections")
     types = facts.where("sort = 'field_type'").select(F.col("from_id").alias("owner"), F.col("kind").alias("field"), F.col("to_id").alias("type")).distinct()
     selections = expand_fragments(facts).select(F.col("from_id").alias("operation"), F.col("to_id").alias("path"), F.col("id").alias("field"), "evidence")
     # A path's type follows from its parent path's, one field at a time.

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,29 @@ def test_graphql(spark):
     assert [r.path for r in facts.where("sort = 'diagnostic'").collect()] == ["bad.graphql"]
 
 
+def test_graphql_files_are_parsed_once(spark, tmp_path):
+    """However many rounds the selections' types take, and in batches of many files' facts."""
+    depth, log = 5, str(tmp_path / "log")
+    schema = "type Query { f0: T0 } " + " ".join(f"type T{k} {{ f{k + 1}: T{k + 1} }}" for k in range(depth))
+    operation = "query Q { " + " { ".join(f"f{k}" for k in range(depth)) + " }" * depth
+    files = spark.createDataFrame([("r", "s.graphql", bytearray(schema.encode())), ("r", "q.graphql", bytearray(operation.encode()))], "repository string, path string, content binary")
+
+    def logged(batches):
+        for batch in batches:
+            with open(log, "a") as out:
+                out.writelines(f"{x}\n" for x in batch.column("path").to_pylist())
+            yield batch
+
+    facts = graphql.analyze(files.coalesce(1).mapInArrow(logged, files.schema))
+    got = {(r.from_id, r.to_id) for r in graphql.selection_edges(facts).collect()}
+    ids = ["graphql-operation://Q", "graphql-field://Query/f0", *(f"graphql-field://T{k}/f{k + 1}" for k in range(depth - 1))]
+    assert got == set(zip(ids, ids[1:]))
+    assert sorted(open(log).read().split()) == ["q.graphql", "s.graphql"]
+    batch = pa.RecordBatch.from_pydict({"repository": ["r"] * 30, "path": [f"{k}.graphql" for k in range(30)], "content": [schema.encode()] * 30})
+    each = len(graphql.document_facts(schema, "r", "s"))
+    assert [x.num_rows for x in graphql._run(iter([batch]))] == [30 * each]
+
+
 def test_scan_fingerprints_and_analysis(spark, tmp_path):
     root = tmp_path / "build" / "repo"
     for name, text in {"src/lib.rs": "fn a() { b(); } fn b() {}", "node_modules/x.js": "f()", "lib/m.ex": "defmodule M do\nend", "README.md": "no"}.items():
