@@ -1,17 +1,16 @@
 """Quality rules on whole texts, and an isolation forest over their statistics.
 
-``rule_statistics`` computes the base statistics of a text. An isolation forest grown on a
-bounded sample of labelled rows gives each document a mean path length over random splits:
-anomalous statistics are cut off early. The threshold on the anomaly score is calibrated
-on the labelled rows: of all thresholds that lose at most ``max_clean_loss`` of the rows
-with quality 1, the one that rejects the most rows with quality 0.
-
-The sample is the one bounded thing here: ``sample_rows`` labelled rows (20,000), those
-with the smallest hash of doc_id. All other steps read every row and whole texts.
+``rule_statistics`` computes the base statistics of a text. An isolation forest gives each
+document a mean path length over random splits: anomalous statistics are cut off early.
+Splits are drawn over the box of the labelled rows' statistics; how many good rows each part
+of it holds is counted over all labelled rows, and so are the box and the threshold on the
+anomaly score: of all thresholds that lose at most ``max_clean_loss`` of the rows with
+quality 1, the one that rejects the most rows with quality 0. Nothing is sampled or capped:
+rows stay in DataFrames, and the driver gets a box, one count for each leaf, and histograms.
 
 Defined cases: a null text has no words, and fails the base rules as an empty one does;
 rows with repeated ids are judged one by one, and the
-sample has one of them; other columns, whatever their names, pass through ``keep_good`` only; without labelled rows, or with labels of one
+forest counts one of them; other columns, whatever their names, pass through ``keep_good`` only; without labelled rows, or with labels of one
 kind only, there is nothing to calibrate, and the base rules decide alone; null labels
 are ignored.
 """
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import materialize, slices
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -106,53 +105,88 @@ class IsolationForest:
     threshold: float = 1.0
 
     @classmethod
-    def grow(cls, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, subsample: int, seed: int) -> "IsolationForest":
-        """Trees over the box from ``low`` to ``high``, each on its own subsample of ``rows``.
+    def plant(cls, low: np.ndarray, high: np.ndarray, trees: int, limit: int, seed: int) -> "IsolationForest":
+        """Trees of random splits over the box from ``low`` to ``high``, ``limit`` deep, that know no rows yet.
 
-        Splits are uniform over a node's part of the box, not over the rows in it: a part
-        that holds no row becomes a leaf at once, so that rows outside the support of
-        ``rows`` end on short paths.
+        Splits are uniform over a node's part of the box, not over the rows in it, so they
+        need no rows. Children stand behind their parents; ``depth`` is each node's level.
         """
         rng = np.random.default_rng(seed)
-        size = min(subsample, len(rows))
-        limit = max(1, math.ceil(math.log2(max(2, size))))
         out: dict[str, list] = {k: [] for k in ("feature", "value", "left", "right", "depth")}
 
-        def node(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
+        def node(low: np.ndarray, high: np.ndarray, depth: int) -> int:
             at = len(out["feature"])
-            for k, v in (("feature", -1), ("value", 0.0), ("left", at), ("right", at), ("depth", depth + _average_path(len(part)))):
+            for k, v in (("feature", -1), ("value", 0.0), ("left", at), ("right", at), ("depth", float(depth))):
                 out[k].append(v)
             open_ = np.flatnonzero(high > low)
-            if depth >= limit or len(part) < 2 or not len(open_):
+            if depth >= limit or not len(open_):
                 return at
             k = int(rng.choice(open_))
             cut = float(rng.uniform(low[k], high[k]))
-            below = part[:, k] <= cut
             upper, lower = high.copy(), low.copy()
             upper[k] = lower[k] = cut
             out["feature"][at], out["value"][at] = k, cut
-            out["left"][at] = node(part[below], low, upper, depth + 1)
-            out["right"][at] = node(part[~below], lower, high, depth + 1)
+            out["left"][at] = node(low, upper, depth + 1)
+            out["right"][at] = node(lower, high, depth + 1)
             return at
 
-        roots = [node(rows[rng.choice(len(rows), size, replace=False)], low, high, 0) for _ in range(trees)]
-        arrays = {k: np.array(v) for k, v in out.items()}
-        return cls(**arrays, roots=np.array(roots), normal=_average_path(size) or 1.0)
+        roots = [node(low, high, 0) for _ in range(trees)]
+        return cls(**{k: np.array(v) for k, v in out.items()}, roots=np.array(roots), normal=1.0)
+
+    def settle(self, counts: np.ndarray, size: int) -> "IsolationForest":
+        """The planted trees with ``counts`` rows in their leaves, ``size`` in each tree.
+
+        A part that holds no two rows becomes a leaf at once, so that rows outside the
+        support of those counted end on short paths.
+        """
+        held = counts.copy()
+        for at in range(len(held) - 1, -1, -1):
+            if self.feature[at] >= 0:
+                held[at] = held[self.left[at]] + held[self.right[at]]
+        out: dict[str, list] = {k: [] for k in ("feature", "value", "left", "right", "depth")}
+
+        def node(at: int) -> int:
+            new = len(out["feature"])
+            inner = self.feature[at] >= 0 and held[at] >= 2
+            depth = self.depth[at] + (0.0 if inner else _average_path(int(held[at])))
+            for k, v in (("feature", int(self.feature[at]) if inner else -1), ("value", float(self.value[at]) if inner else 0.0), ("left", new), ("right", new), ("depth", float(depth))):
+                out[k].append(v)
+            if inner:
+                out["left"][new] = node(int(self.left[at]))
+                out["right"][new] = node(int(self.right[at]))
+            return new
+
+        roots = [node(int(root)) for root in self.roots]
+        return IsolationForest(**{k: np.array(v) for k, v in out.items()}, roots=np.array(roots), normal=_average_path(size) or 1.0)
+
+    @classmethod
+    def grow(cls, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, subsample: int, seed: int) -> "IsolationForest":
+        """Trees over the box from ``low`` to ``high``, each on its own subsample of ``rows``, or on all of them if there are no more."""
+        rng = np.random.default_rng([seed, 1])
+        size = min(subsample, len(rows))
+        planted = cls.plant(low, high, trees, max(1, math.ceil(math.log2(max(2, size)))), seed)
+        counts = np.zeros(len(planted.feature), dtype=np.int64)
+        for root in planted.roots:
+            np.add.at(counts, planted.leaves(root, rows[rng.choice(len(rows), size, replace=False)]), 1)
+        return planted.settle(counts, size)
+
+    def leaves(self, root: int, rows: np.ndarray) -> np.ndarray:
+        """The leaf of the tree at ``root`` in which each row ends."""
+        which = np.arange(len(rows))
+        at = np.full(len(rows), root)
+        while True:
+            k = self.feature[at]
+            inner = k >= 0
+            if not inner.any():
+                return at
+            go = rows[which, np.maximum(k, 0)] <= self.value[at]
+            at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly score of each row, in (0, 1): 2 ** -(mean path length / mean path of a random search)."""
         total = np.zeros(len(rows))
-        which = np.arange(len(rows))
         for root in self.roots:
-            at = np.full(len(rows), root)
-            while True:
-                k = self.feature[at]
-                inner = k >= 0
-                if not inner.any():
-                    break
-                go = rows[which, np.maximum(k, 0)] <= self.value[at]
-                at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
-            total += self.depth[at]
+            total += self.depth[self.leaves(root, rows)]
         return 2.0 ** (-total / len(self.roots) / self.normal)
 
 
@@ -167,71 +201,145 @@ def calibrate(scores: np.ndarray, bad: np.ndarray, max_clean_loss: float) -> flo
     return float((at + above[0]) / 2) if len(above) else 1.0
 
 
-def labelled_sample(labels: DataFrame, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` ids with their quality, by the smallest hash of the id; repeated ids are one."""
-    return (
+def _labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bad`` and ``FEATURES`` of each labelled id whose row passes the base rules; of rows that repeat an id, the one with the least statistics stands for it."""
+    ids = (
         labels.where("doc_id is not null and quality is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.min(F.col("quality").cast("int")).alias("_quality"))
-        .orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample_rows)
+        .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     )
+    rows = measured.select("doc_id", F.struct("base_failed", *FEATURES).alias("x")).join(ids, F.col("doc_id") == F.col("label_id"))
+    of_id = rows.groupBy("label_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    return of_id.where("not x.base_failed").select((F.col("quality") == 0).alias("bad"), *(F.col(f"x.{k}").alias(k) for k in FEATURES))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in FEATURES])
+
+
+def _leaf_counts(good: DataFrame, planted: IsolationForest) -> np.ndarray:
+    """How many rows end in each leaf: counted in each task, then added up; the driver gets one row a leaf that has any."""
+
+    def run(batches):
+        counts = np.zeros(len(planted.feature), dtype=np.int64)
+        for batch in batches:
+            rows = _matrix(batch)
+            for root in planted.roots:
+                counts += np.bincount(planted.leaves(root, rows), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["leaf", "n"])
+
+    found = good.select(*FEATURES).mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(planted.feature), dtype=np.int64)
+    counts[found.column("leaf").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
 
+#: Parts of a range that are counted at once in the search for a rank.
+BINS = 1024
 
-def _sample_statistics(batches):
-    for part in slices(batches):
-        found = [rule_statistics(x) for x in part.column(0).to_pylist()]
-        arrays = [pa.array([f[k] for _, f in found], pa.float64()) for k in range(len(FEATURES))]
-        failed = pa.array([base_failed(b[0], b[4]) for b, _ in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), failed, *arrays], names=["id", "quality", "failed", *FEATURES])
 
+def nth_largest(values: DataFrame, n: int) -> float:
+    """The value that ``n`` rows of the one column ``x`` stand above in order, exactly: ranges are counted and narrowed until one value is left."""
+    low, high = values.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        at = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        rows = values.where(F.col("x").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for r in sorted(rows, key=lambda r: -r.bin):
+            if n < r.n:
+                low, high = r.low, r.high
+                break
+            n -= r.n
+    return low
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, trees: int = 128, subsample: int = 256, max_clean_loss: float = 0.005, seed: int = 7) -> IsolationForest | None:
-    """Grow and calibrate a forest on the bounded labelled sample; None where labels don't allow it.
 
-    The sample's ids are at most ``sample_rows`` rows of two numbers, so they are broadcast;
-    the driver gets that many rows of ``FEATURES``. Trees grow on the sample's good rows
-    that pass the base rules, and so isolate what differs from them.
+def _calibrated(scores: DataFrame, n_good: int, max_clean_loss: float) -> float:
+    """``calibrate`` over rows score, bad."""
+    at = nth_largest(scores.where("not bad").select(F.col("score").alias("x")), int(max_clean_loss * n_good))
+    above = scores.where("bad").where(F.col("score") > at).agg(F.min("score")).first()[0]
+    return 1.0 if above is None else (at + above) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 128, depth: int = 8, max_clean_loss: float = 0.005, seed: int = 7) -> IsolationForest | None:
+    """Grow and calibrate a forest on all labelled rows; None where labels don't allow it.
+
+    Trees of ``depth`` levels count the good rows that pass the base rules, and so isolate what differs from them.
     """
-    ids = labelled_sample(labels, sample_rows)
-    picked = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("string").alias("_text"))
-    rows = picked.join(F.broadcast(ids), F.col("_doc_id") == F.col("_label_id")).select("_text", "_doc_id", "_quality")
-    schema = "id long, quality int, failed boolean, " + ", ".join(f"{k} double" for k in FEATURES)
-    # Of rows that repeat an id, the one with the least statistics stands for it, so that there are no more rows than ids.
-    of_id = rows.mapInArrow(_sample_statistics, schema).groupBy("id").agg(F.min(F.struct("quality", "failed", *FEATURES)).alias("x"))
-    found = of_id.select("x.*").toArrow()
-    table = np.column_stack([found.column(k).to_numpy() for k in FEATURES]) if found.num_rows else np.zeros((0, len(FEATURES)))
-    quality = np.array(found.column("quality").to_pylist(), dtype=np.int64)
-    passed = ~np.array(found.column("failed").to_pylist(), dtype=bool)
-    order = np.lexsort((*table.T, quality)) if len(table) else np.zeros(0, dtype=int)
-    table, quality, passed = table[order], quality[order], passed[order]
-    table, bad = table[passed], quality[passed] == 0
-    if bad.all() or not bad.any():
+    return fit_measured(_measure(docs), labels, trees, depth, max_clean_loss, seed)
+
+
+def fit_measured(measured: DataFrame, labels: DataFrame, trees: int = 128, depth: int = 8, max_clean_loss: float = 0.005, seed: int = 7) -> IsolationForest | None:
+    """``fit`` on the rows of ``measure``."""
+    rows = materialize(_labelled(measured, labels), "labelled")
+    box = rows.agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"), *(f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in FEATURES)).first()
+    if not box.n_bad or not box.n_good:
         return None
-    forest = IsolationForest.grow(table[~bad], table.min(axis=0), table.max(axis=0), trees, subsample, seed)
-    forest.threshold = calibrate(forest.score(table), bad, max_clean_loss)
+    low, high = (np.array([box[f"{f}_{k}"] for k in FEATURES]) for f in ("min", "max"))
+    planted = IsolationForest.plant(low, high, trees, depth, seed)
+    forest = planted.settle(_leaf_counts(rows.where("not bad"), planted), box.n_good)
+
+    def scored(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(_matrix(batch)), pa.float64()), batch.column("bad")], names=["score", "bad"])
+
+    scores = materialize(rows.mapInArrow(scored, "score double, bad boolean"), "label-scores")
+    forest.threshold = _calibrated(scores, box.n_good, max_clean_loss)
     return forest
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly_score double, kept boolean"
 
 
-def judge(texts: list[str | None], forest: IsolationForest | None) -> list[pa.Array]:
-    """The columns of ``COLUMNS`` for these texts."""
+#: What is measured of a row before any forest: its id, the base statistics and the forest's features.
+MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{k} double" for k in FEATURES)
+
+
+def _measured(texts: list[str | None]) -> list[pa.Array]:
+    """The columns of ``MEASURED`` behind the id, for these texts."""
     found = [rule_statistics(x) for x in texts]
-    failed = np.array([base_failed(b[0], b[4]) for b, _ in found], dtype=bool)
-    scores = forest.score(np.array([f for _, f in found])) if forest is not None and found else np.zeros(len(found))
-    kept = ~failed & (scores <= (forest.threshold if forest is not None else 1.0))
-    return [*(pa.array([b[k] for b, _ in found], pa.int64()) for k in range(5)), pa.array(failed), pa.array(scores), pa.array(kept)]
+    return [
+        *(pa.array([b[k] for b, _ in found], pa.int64()) for k in range(len(BASE))), pa.array([base_failed(b[0], b[4]) for b, _ in found], pa.bool_()),
+        *(pa.array([f[k] for _, f in found], pa.float64()) for k in range(len(FEATURES))),
+    ]
 
 
-def apply_rules(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
-    """One row per row of ``docs``: doc_id and ``COLUMNS``. A map, without a shuffle."""
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
+def _verdict(failed: pa.Array, rows: np.ndarray, forest: IsolationForest | None) -> list[pa.Array]:
+    """anomaly_score and kept."""
+    scores = forest.score(rows) if forest is not None else np.zeros(len(rows))
+    kept = ~failed.to_numpy(zero_copy_only=False) & (scores <= (forest.threshold if forest is not None else 1.0))
+    return [pa.array(scores), pa.array(kept)]
+
+
+def _measure(docs: DataFrame) -> DataFrame:
+    """``MEASURED`` of each row of ``docs``. A map, without a shuffle."""
+    names = [x.split()[0] for x in MEASURED.split(", ")]
 
     def run(batches):
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), *judge(part.column(1).to_pylist(), forest)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *_measured(part.column(1).to_pylist())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEASURED)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """``MEASURED`` of each row of ``docs``, as a table: texts are read once, and what follows moves numbers only."""
+    return materialize(_measure(docs), "measured")
+
+
+def rate(measured: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """One row per row of ``measure``: doc_id and ``COLUMNS``. A map, without a shuffle."""
+    names = ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {COLUMNS}")
+    def run(batches):
+        for batch in batches:
+            given = [batch.column(k) for k in range(2 + len(BASE))]
+            yield pa.RecordBatch.from_arrays([*given, *_verdict(given[-1], _matrix(batch), forest)], names=names)
+
+    return measured.mapInArrow(run, f"doc_id long, {COLUMNS}")
+
+
+def apply_rules(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """One row per row of ``docs``: doc_id and ``COLUMNS``. A map, without a shuffle."""
+    return rate(_measure(docs), forest)
 
 
 def keep_good(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
@@ -241,6 +349,8 @@ def keep_good(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            yield part.filter(judge(part.column(at).to_pylist(), forest)[-1])
+            found = _measured(part.column(at).to_pylist())
+            rows = np.column_stack([x.to_numpy(zero_copy_only=False) for x in found[-len(FEATURES) :]])
+            yield part.filter(_verdict(found[len(BASE)], rows, forest)[-1])
 
     return docs.mapInArrow(run, schema)

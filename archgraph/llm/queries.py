@@ -13,8 +13,8 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.apply_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    measured = quality.measure(table(spark, sf_dir, "documents"))
+    return quality.rate(measured, quality.fit_measured(measured, table(spark, sf_dir, "labels")))
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

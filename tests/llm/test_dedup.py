@@ -357,6 +357,41 @@ def test_repeated_ids_are_one_row_of_the_sample(spark):
     assert np.array_equal(one.value, many.value) and one.threshold == many.threshold
 
 
+def test_forest_counts_every_labelled_row(spark):
+    """Leaves, box and threshold are those of all labelled rows, by brute force; none is sampled."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(x + "#" * (i % 7 == 0) * rnd.randint(0, 3) for x in words(rnd, rnd.randint(12, 40), 300).split())) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    forest = quality.fit(make(spark, rows), labels)
+    found = [quality.rule_statistics(x) for _, x in rows]
+    passed = np.array([not quality.base_failed(b[0], b[4]) for b, _ in found])
+    table, bad = np.array([f for _, f in found])[passed], np.array([i % 7 == 0 for i, _ in rows])[passed]
+    good = table[~bad]
+    average = quality._average_path
+    assert forest.normal == average(len(good))
+    for root in forest.roots[:8]:
+        at, level = [int(root)], {int(root): 0}
+        while at:
+            x = at.pop()
+            if forest.feature[x] >= 0:
+                for child in (int(forest.left[x]), int(forest.right[x])):
+                    level[child] = level[x] + 1
+                    at.append(child)
+        ends = forest.leaves(root, good)
+        for x in level:
+            if forest.feature[x] < 0:
+                assert abs(forest.depth[x] - level[x] - average(int((ends == x).sum()))) < 1e-9
+    assert forest.threshold == quality.calibrate(forest.score(table), bad, 0.005)
+
+
+def test_nth_largest(spark):
+    rnd = random.Random(4)
+    for values in ([0.25], [0.5] * 7, [rnd.choice([0.1, 0.1 + 2**-56, 0.7, rnd.random()]) for _ in range(400)]):
+        frame = spark.createDataFrame([(x,) for x in values], "x double")
+        for n in {0, len(values) // 3, len(values) - 1}:
+            assert quality.nth_largest(frame, n) == sorted(values, reverse=True)[n]
+
+
 def test_forest_rejects_what_is_labelled_bad_and_keeps_the_rest(spark):
     rnd = random.Random(3)
     rows, labels = [], []
