@@ -15,7 +15,8 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
 3. Each key's filed lines are tied to the key's smallest line where that is a verified link:
    one aggregate and one join. Lines tied to one leader are linked already, and never meet
    again, so a dense group of near copies costs a star and not all its pairs.
-4. What is left meets under its keys. Where several lines are filed under a key, the lines
+4. What is left meets under its keys: what lines look under is joined with a table of one row
+   for each key that lines are filed under, and only what meets another line is written. Where several lines are filed under a key, the lines
    of its most frequent leader meet only the others', filed lines are dealt out by salts,
    and the join itself compares them. Other pairs, made distinct, fetch their lines in one
    look at all.
@@ -94,7 +95,7 @@ def places(max_edits: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -> DataFrame:
-    """``h, leader, filed, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
+    """``h, filed, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
 
     A line looks under the keys it is filed under too. One small expression over a generator
     of places, which compiles well. Lines of under ``min_chars`` are cut into fewer segments;
@@ -109,13 +110,15 @@ def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -
     short_edits = min(SHORT_EDITS, max_edits)
     short, long_ = table(short_edits), table(max_edits)
     rows = f"if(n < {min_chars}, {short}, if(n >= {min_chars + short_edits}, {long_}, concat({short}, {long_})))"
-    each = lines.select("h", "leader", "line", "n", F.expr(f"inline({rows})"))
+    each = lines.select("h", "line", "n", F.expr(f"inline({rows})"))
     each = each.where(f"if(n - delta >= {min_chars}, edits = {max_edits}, edits = {short_edits} and n - delta >= {SHORT_CHARS})" if short_edits < max_edits else f"n - delta >= {min(SHORT_CHARS, min_chars)}")
     (begin, length), (short_begin, short_length) = (placed(x, "delta", "i") for x in (max_edits, short_edits))
     is_short = f"n - delta < {min_chars}"
-    each = each.selectExpr("h", "leader", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
+    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
     each = each.where("start >= 1 and start + size - 1 <= n")
-    return each.selectExpr("h", "leader", "filed", "xxhash64(i, n - delta, substring(line, start, size)) as key")
+    # Of a line without wider characters the bytes are cut out, which needs no count of those before them.
+    part = "if(octet_length(line) = n, substring(cast(line as binary), start, size), cast(substring(line, start, size) as binary))"
+    return each.selectExpr("h", "filed", f"xxhash64(i, n - delta, {part}) as key")
 
 
 def allowed(a: str, b: str, max_edits: int, min_chars: int) -> str:
@@ -226,22 +229,27 @@ def _near(pairs: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) ->
 
 
 def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    # Each key's filed lines are tied to its leader, the one with the smallest hash.
-    own = _keys(lines.withColumn("leader", F.expr("cast(null as bigint)")), max_edits, min_chars, all_=False).select("key", "h")
-    shared = materialize(own.groupBy("key").agg(F.min("h").alias("hb"), F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    ties = materialize(own.join(shared, "key").where("h <> hb").selectExpr("h as ha", "hb").distinct(), "ties")
+    # How many lines are filed under a key, and the one with the smallest hash: its leader.
+    own = _keys(lines, max_edits, min_chars, all_=False)
+    filed = materialize(own.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")), "filed-keys")
+    # Each key is met by at most one row there, so this join gives no more rows than lines have
+    # keys, and few: of a key with one filed line those of other lines, and all of the others.
+    hits = _keys(lines, max_edits, min_chars).join(filed.hint("shuffle_hash"), "key").where("n > 1 or h <> least")
+    hits = materialize(hits.select("key", "n", "h", "least", "filed"), "hits")
+    # The lines filed under one key are tied to its leader.
+    ties = materialize(hits.where("n > 1 and filed and h <> least").selectExpr("h as ha", "least as hb").distinct(), "ties")
     stars = materialize(_near(ties, _texts(lines, ties.selectExpr("ha as h").union(ties.select("hb"))), max_edits, min_chars), "stars")
     # A leader tied to a smaller one keeps that tie: it and its members then differ in their
     # leader, which costs a pair that meets again, and loses none.
-    tied = stars.groupBy("ha").agg(F.min("hb").alias("leader"))
-    led = lines.join(tied, F.col("h") == F.col("ha"), "left").select("h", "leader", "line", "n")
-    keys = materialize(_keys(led, max_edits, min_chars), "keys")
-    # A null leader is the line itself, and most are.
-    a, b = ((f"h as h{x}", f"coalesce(leader, h) as l{x}") for x in "ab")
-    ordered = "least(ha, hb) as ha", "greatest(ha, hb) as hb"
-    single = keys.where("filed").join(shared, "key", "left_anti").selectExpr("key", *a)
-    met = materialize(single.join(keys.selectExpr("key", *b), "key").where("la <> lb and ha <> hb").selectExpr(*ordered).distinct(), "met")
-    rows = materialize(keys.join(shared, "key").selectExpr("key", "n", "h", "coalesce(leader, h) as leader", "filed"), "shared-rows")
+    tied = materialize(stars.groupBy("ha").agg(F.min("hb").alias("leader")).withColumnRenamed("ha", "tied"), "tied")
+
+    def led(rows: DataFrame, h: str, leader: str) -> DataFrame:
+        """With the leader of ``h``, which is the line itself for most."""
+        return rows.join(tied, F.col(h) == F.col("tied"), "left").withColumn(leader, F.coalesce("leader", h)).select(*rows.columns, leader)
+
+    single = hits.where("n = 1").selectExpr("least(h, least) as ha", "greatest(h, least) as hb").distinct()
+    met = materialize(led(led(single, "ha", "la"), "hb", "lb").where("la <> lb").select("ha", "hb"), "met")
+    rows = materialize(led(hits.where("n > 1").select("key", "n", "h", "filed"), "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows")
     texts = _texts(lines, met.selectExpr("ha as h").union(met.select("hb")).union(rows.select("h")))
     near = _near(met, texts, max_edits, min_chars).select("a", "b").union(_near_under_shared(rows, texts, max_edits, min_chars))
     return materialize(stars.select("a", "b").union(near), "line-links")

@@ -293,6 +293,24 @@ def test_lines_under_hot_keys(spark):
     assert classes(lines, got) == classes(lines, want)
 
 
+def test_keys_that_nothing_meets_are_not_written(spark, monkeypatch):
+    """What unlike lines look under is joined as it is made; tables hold at most the keys they are filed under."""
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(200)]
+    wide = lines[0][:30] + "\u00e9" + lines[0][31:]  # its first and last segments are those of a line without wider characters
+    written, write = {}, line_dedup.materialize
+
+    def counted(frame, label, *more):
+        out = write(frame, label, *more)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    links = {frozenset(map(bytes, r)) for r in line_dedup.line_links(make(spark, [(0, "\n".join([*lines, wide]))])).collect()}
+    assert links == {frozenset(hashlib.md5(x.encode()).digest() for x in (lines[0], wide))}
+    assert max(written.values()) <= (line_dedup.MAX_EDITS + 1) * (len(lines) + 1)
+
+
 def test_lines_of_rows_with_one_id(spark):
     rows = [(1, "the very first line of them all\nand this other unrelated line too"), (1, "a line that stands nowhere else\nthe very first line of them all"), (None, "the very first line of them all\nwhat a null id holds"), (2, "what a null id holds!"), (2, "what a null id holds!")]
     docs = make(spark, rows)
