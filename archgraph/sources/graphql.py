@@ -348,19 +348,21 @@ def selection_edges(facts: DataFrame) -> DataFrame:
     from ..plans.fixpoint import fixpoint
     from ..plans.shared import materialize
 
-    # Each round reads them again, and files shall be parsed once.
+    # Each round reads all of these again: files shall be parsed once, and rows made distinct once.
     facts = materialize(facts.where("sort in ('field_type', 'select', 'spread', 'fragment')").select("repository", "sort", "id", "kind", "metadata", "from_id", "to_id", "evidence"), "selections")
     types = facts.where("sort = 'field_type'").select(F.col("from_id").alias("owner"), F.col("kind").alias("field"), F.col("to_id").alias("type")).distinct()
-    selections = expand_fragments(facts).select(F.col("from_id").alias("operation"), F.col("to_id").alias("path"), F.col("id").alias("field"), "evidence")
+    types = materialize(types, "field-types")
+    selections = materialize(expand_fragments(facts).select(F.col("from_id").alias("operation"), F.col("to_id").alias("path"), F.col("id").alias("field"), "evidence"), "distinct-selections")
     # A path's type follows from its parent path's, one field at a time.
     roots = selections.where(~F.col("path").contains("/")).select("operation", "path", F.regexp_replace("path", "[<>]", "").alias("type")).distinct()
-    child = selections.select(F.col("operation").alias("op"), F.col("path").alias("parent"), F.col("field").alias("step")).distinct()
+    child = materialize(selections.select(F.col("operation").alias("op"), F.col("path").alias("parent"), F.col("field").alias("step")).distinct(), "steps")
+    inline = materialize(_inline(selections), "inline-fragments")
 
     t = types.selectExpr("owner", "field as step", "type as next")
     typed = fixpoint(
         roots,
         lambda new: new.join(child, (new.operation == child.op) & (new.path == child.parent)).join(t, (F.col("type") == t.owner) & (child.step == t.step)).select("operation", F.concat("path", F.lit("/"), child.step).alias("path"), F.col("next").alias("type"))
-        .union(_inline(new, selections)),
+        .union(new.join(inline, (new.operation == inline.op2) & (new.path == inline.outer)).select("operation", F.col("path2").alias("path"), F.col("type2").alias("type"))),
         ["operation", "path"], "selection types",
     )
     found = selections.join(typed, ["operation", "path"]).select("operation", "path", "field", "evidence", F.concat(F.lit("graphql-field://"), "type", F.lit("/"), "field").alias("to_id"))
@@ -371,11 +373,10 @@ def selection_edges(facts: DataFrame) -> DataFrame:
     return out.distinct().select(*EDGE_COLUMNS)
 
 
-def _inline(new: DataFrame, selections: DataFrame) -> DataFrame:
-    """Inline fragments name their type in the path."""
-    inner = selections.select("operation", "path").distinct().where(F.col("path").rlike(r"/<\w+>$"))
-    own = inner.select(F.col("operation").alias("op2"), F.regexp_replace("path", r"/<\w+>$", "").alias("outer"), F.col("path").alias("path2"), F.regexp_extract("path", r"<(\w+)>$", 1).alias("type2"))
-    return new.join(own, (new.operation == own.op2) & (new.path == own.outer)).select("operation", F.col("path2").alias("path"), F.col("type2").alias("type"))
+def _inline(selections: DataFrame) -> DataFrame:
+    """Inline fragments name their type in the path: ``op2, outer, path2, type2``."""
+    inner = selections.select("operation", "path").where(F.col("path").rlike(r"/<\w+>$")).distinct()
+    return inner.select(F.col("operation").alias("op2"), F.regexp_replace("path", r"/<\w+>$", "").alias("outer"), F.col("path").alias("path2"), F.regexp_extract("path", r"<(\w+)>$", 1).alias("type2"))
 
 
 def edges(facts: DataFrame) -> DataFrame:
