@@ -30,13 +30,17 @@ def seeds(spark: SparkSession, *nodes) -> DataFrame:
     return spark.createDataFrame([(x,) for x in nodes], "node " + ("string" if isinstance(nodes[0], str) else "long"))
 
 
-def fixpoint(seed: DataFrame, step, keys: list[str], label: str = "fixpoint", max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """All rows that ``step(new rows)`` derives from ``seed``, each key once (the first round that finds it wins)."""
+def fixpoint(seed: DataFrame, step, keys: list[str], label: str = "fixpoint", max_rounds: int = MAX_ROUNDS, hint: str | None = None) -> DataFrame:
+    """All rows that ``step(new rows)`` derives from ``seed``, each key once (the first round that finds it wins).
+
+    ``hint`` says how to join with what is known, where its size in files doesn't tell its size in memory.
+    """
     frontier = materialize(seed.dropDuplicates(keys), label)
     known = [frontier]
     for _ in range(max_rounds):
         found = step(frontier).dropDuplicates(keys)
-        new = found.join(union_all([x.select(*keys) for x in known]), keys, "left_anti")
+        before = union_all([x.select(*keys) for x in known])
+        new = found.join(before.hint(hint) if hint else before, keys, "left_anti")
         frontier = materialize(new, label)
         if frontier.isEmpty():
             return union_all(known)

@@ -358,18 +358,19 @@ def selection_edges(facts: DataFrame) -> DataFrame:
     child = materialize(selections.select(F.col("operation").alias("op"), F.col("path").alias("parent"), F.col("field").alias("step")).distinct(), "steps")
     inline = materialize(_inline(selections), "inline-fragments")
 
-    t = types.selectExpr("owner", "field as step", "type as next")
+    # Names that are alike take far less room in files than in memory, so no join here may go by file sizes and broadcast.
+    t = types.selectExpr("owner", "field as step", "type as next").hint("merge")
     typed = fixpoint(
         roots,
-        lambda new: new.join(child, (new.operation == child.op) & (new.path == child.parent)).join(t, (F.col("type") == t.owner) & (child.step == t.step)).select("operation", F.concat("path", F.lit("/"), child.step).alias("path"), F.col("next").alias("type"))
-        .union(new.join(inline, (new.operation == inline.op2) & (new.path == inline.outer)).select("operation", F.col("path2").alias("path"), F.col("type2").alias("type"))),
-        ["operation", "path"], "selection types",
+        lambda new: new.join(child.hint("merge"), (new.operation == child.op) & (new.path == child.parent)).join(t, (F.col("type") == t.owner) & (child.step == t.step)).select("operation", F.concat("path", F.lit("/"), child.step).alias("path"), F.col("next").alias("type"))
+        .union(new.join(inline.hint("merge"), (new.operation == inline.op2) & (new.path == inline.outer)).select("operation", F.col("path2").alias("path"), F.col("type2").alias("type"))),
+        ["operation", "path"], "selection types", hint="merge",
     )
-    found = selections.join(typed, ["operation", "path"]).select("operation", "path", "field", "evidence", F.concat(F.lit("graphql-field://"), "type", F.lit("/"), "field").alias("to_id"))
+    found = selections.join(typed.hint("merge"), ["operation", "path"]).select("operation", "path", "field", "evidence", F.concat(F.lit("graphql-field://"), "type", F.lit("/"), "field").alias("to_id"))
     known = types.select(F.concat(F.lit("graphql-field://"), "owner", F.lit("/"), "field").alias("to_id")).distinct()
-    found = found.join(known, "to_id", "left_semi")
+    found = found.join(known.hint("merge"), "to_id", "left_semi")
     parent = found.select("operation", F.concat("path", F.lit("/"), "field").alias("path"), F.col("to_id").alias("parent_id")).distinct()
-    out = found.join(parent, ["operation", "path"], "left").select(F.coalesce("parent_id", "operation").alias("from_id"), F.lit("selects").alias("relation"), "to_id", "evidence", F.lit(1.0).alias("confidence"), F.lit("ast").alias("provenance"))
+    out = found.join(parent.hint("merge"), ["operation", "path"], "left").select(F.coalesce("parent_id", "operation").alias("from_id"), F.lit("selects").alias("relation"), "to_id", "evidence", F.lit(1.0).alias("confidence"), F.lit("ast").alias("provenance"))
     return out.distinct().select(*EDGE_COLUMNS)
 
 
