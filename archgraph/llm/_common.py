@@ -49,6 +49,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows that are worth a file of their own in a table of the shared folder.
+ROWS_A_FILE = 20_000
+
+
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than about ``rows`` rows are worth, however many a shuffle has.
+
+    On a local store Hadoop starts a process for each file and folder that it makes.
+    """
+    parts = 1 + rows // ROWS_A_FILE
+    return df.coalesce(parts) if parts < shuffle_partitions(df.sparkSession) else df
+
+
 #: Rows and bytes handed to Python code at once: texts may be long, so both are bounded.
 SLICE_ROWS, SLICE_BYTES = 2048, 3_000_000
 #: Tokenizing gains by larger slices: a word is looked up once in each.

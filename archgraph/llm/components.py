@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import in_few_files, materialize
 
 MAX_ROUNDS = 60
 
@@ -35,7 +35,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, both.a == least.u).where("b > a").selectExpr("b as a", "m as b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as u", "m")
         joined = large.join(least, large.a == least.u)
-        edges = materialize(joined.where("b <> m").selectExpr("b as a", "m as b").union(least.select("u", "m")).distinct(), "edges")
+        stars = joined.where("b <> m").selectExpr("b as a", "m as b").union(least.select("u", "m")).distinct()
+        # At most two rows for each link of the round before.
+        edges = materialize(in_few_files(stars, 2 * before[0]), "edges")
         after = _sum(edges)
         if after == before:
             break

@@ -18,8 +18,8 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
 4. What is left meets under its keys: what lines look under is joined with a table of one row
    for each key that lines are filed under, and only what meets another line is written. Where several lines are filed under a key, the lines
    of its most frequent leader meet only the others', filed lines are dealt out by salts,
-   and the join itself compares them. Other pairs, made distinct, fetch their lines in one
-   look at all.
+   and the join itself compares them. Other pairs are made distinct. All these steps fetch
+   their lines from one table, made in one look at all.
 5. Pairs are compared by the counts of letters, which an edit hardly changes; then common
    ends are stripped, and a banded bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
    of the band is one step on two bit vectors of 2 * max_edits + 1 bits. The first columns
@@ -40,7 +40,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialize, shared_path, shuffle_partitions
+from ._common import fresh, in_few_files, materialize, shared_path, shuffle_partitions
 from .components import connected_components
 
 MAX_EDITS = 2
@@ -218,7 +218,7 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
 
 def _texts(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """``h, id, line, bag`` of the lines with a hash ``h`` in ``asked``, in one look at all."""
-    return materialize(asked.distinct().hint("shuffle_hash").join(lines, "h").select("h", "id", "line", F.expr(letter_bag("line")).alias("bag")), "texts")
+    return asked.distinct().hint("shuffle_hash").join(lines, "h").select("h", "id", "line", F.expr(letter_bag("line")).alias("bag"))
 
 
 def _near(pairs: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
@@ -229,30 +229,37 @@ def _near(pairs: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) ->
 
 
 def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    # Tables of rows that a few keys of each line give take a few files for few lines.
+    n_lines = lines.count()
+
+    def table(rows: DataFrame, label: str) -> DataFrame:
+        return materialize(in_few_files(rows, n_lines), label)
+
     # How many lines are filed under a key, and the one with the smallest hash: its leader.
     own = _keys(lines, max_edits, min_chars, all_=False)
-    filed = materialize(own.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")), "filed-keys")
+    filed = table(own.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")), "filed-keys")
     # Each key is met by at most one row there, so this join gives no more rows than lines have
     # keys, and few: of a key with one filed line those of other lines, and all of the others.
     hits = _keys(lines, max_edits, min_chars).join(filed.hint("shuffle_hash"), "key").where("n > 1 or h <> least")
-    hits = materialize(hits.select("key", "n", "h", "least", "filed"), "hits")
+    hits = table(hits.select("key", "n", "h", "least", "filed"), "hits")
+    # The lines that any step below compares, in one look at all.
+    texts = table(_texts(lines, hits.select("h").union(hits.select("least"))), "texts")
     # The lines filed under one key are tied to its leader.
-    ties = materialize(hits.where("n > 1 and filed and h <> least").selectExpr("h as ha", "least as hb").distinct(), "ties")
-    stars = materialize(_near(ties, _texts(lines, ties.selectExpr("ha as h").union(ties.select("hb"))), max_edits, min_chars), "stars")
+    ties = hits.where("n > 1 and filed and h <> least").selectExpr("h as ha", "least as hb").distinct()
+    stars = materialize(_near(ties, texts, max_edits, min_chars), "stars")
     # A leader tied to a smaller one keeps that tie: it and its members then differ in their
     # leader, which costs a pair that meets again, and loses none.
-    tied = materialize(stars.groupBy("ha").agg(F.min("hb").alias("leader")).withColumnRenamed("ha", "tied"), "tied")
+    tied = table(stars.groupBy("ha").agg(F.min("hb").alias("leader")).withColumnRenamed("ha", "tied"), "tied")
 
     def led(rows: DataFrame, h: str, leader: str) -> DataFrame:
         """With the leader of ``h``, which is the line itself for most."""
         return rows.join(tied, F.col(h) == F.col("tied"), "left").withColumn(leader, F.coalesce("leader", h)).select(*rows.columns, leader)
 
     single = hits.where("n = 1").selectExpr("least(h, least) as ha", "greatest(h, least) as hb").distinct()
-    met = materialize(led(led(single, "ha", "la"), "hb", "lb").where("la <> lb").select("ha", "hb"), "met")
-    rows = materialize(led(hits.where("n > 1").select("key", "n", "h", "filed"), "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows")
-    texts = _texts(lines, met.selectExpr("ha as h").union(met.select("hb")).union(rows.select("h")))
+    met = led(led(single, "ha", "la"), "hb", "lb").where("la <> lb").select("ha", "hb")
+    rows = table(led(hits.where("n > 1").select("key", "n", "h", "filed"), "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows")
     near = _near(met, texts, max_edits, min_chars).select("a", "b").union(_near_under_shared(rows, texts, max_edits, min_chars))
-    return materialize(stars.select("a", "b").union(near), "line-links")
+    return stars.select("a", "b").union(near)
 
 
 def _near_under_shared(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
@@ -290,7 +297,7 @@ def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     class_ = linked.groupBy("root").agg(F.min(F.struct("first", "id")).alias("x"))
     stays = linked.select("id", "root").join(class_, "root").selectExpr("id", "x.first as first", "id = x.id as exact")
     stays = stays.union(each.join(roots, "id", "left_anti").where("n > 1").selectExpr("id", "first", "true as exact"))
-    later = found.join(materialize(stays, "stays"), "id").where("not (doc_id <=> first.doc_id and version = first.version and line_no = first.line_no)")
+    later = found.join(stays, "id").where("not (doc_id <=> first.doc_id and version = first.version and line_no = first.line_no)")
     return later.select("doc_id", "version", "line_no", "exact")
 
 

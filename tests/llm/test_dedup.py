@@ -311,6 +311,31 @@ def test_keys_that_nothing_meets_are_not_written(spark, monkeypatch):
     assert max(written.values()) <= (line_dedup.MAX_EDITS + 1) * (len(lines) + 1)
 
 
+def test_few_links_make_few_files(spark, monkeypatch):
+    """Lines are looked up once, what one step reads is no table, and few rows are one file, however many partitions a shuffle has."""
+    rnd = random.Random(13)
+    lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(60)]
+    chain = ["".join("z" * (j < k) + lines[0][j] * (j >= k) for j in range(60)) for k in range(20)]
+    lines += chain + [x[:-1] for x in lines[:40]]
+    files: dict[str, list[int]] = {}
+    for module in (line_dedup, components):
+
+        def counted(frame, label, *more, write=module.materialize):
+            out = write(frame, label, *more)
+            files.setdefault(label, []).append(len(out.inputFiles()))
+            return out
+
+        monkeypatch.setattr(module, "materialize", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        decided = line_dedup.deduplicate_lines(make(spark, list(enumerate(lines)))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = duckdb.sql("with t as (select unnest(?) as x) select a.x, b.x from t a join t b on a.x < b.x and abs(length(a.x) - length(b.x)) <= 2 and levenshtein(a.x, b.x) <= 2", params=[list(set(lines))]).fetchall()
+    assert len(want) > 60 and sum(r.n_kept for r in decided) == len(classes(sorted(set(lines)), want))
+    assert {x: n for x, n in files.items() if x not in ("links", "occurrences", "lines-once", "described", "stars")} == {x: [1] for x in ("filed-keys", "hits", "texts", "tied", "shared-rows")} | {"edges": [1] * len(files["edges"])}
+
+
 def test_lines_of_rows_with_one_id(spark):
     rows = [(1, "the very first line of them all\nand this other unrelated line too"), (1, "a line that stands nowhere else\nthe very first line of them all"), (None, "the very first line of them all\nwhat a null id holds"), (2, "what a null id holds!"), (2, "what a null id holds!")]
     docs = make(spark, rows)
