@@ -49,6 +49,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of a table's files that one sorted range should hold.
+RANGE_BYTES = 64_000_000
+
+
+def ranges_of(rows: DataFrame) -> int:
+    """In how many ranges to sort ``rows`` of a table: by the size of its files, and at least as many as a shuffle has."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(rows.sparkSession), -(-size // RANGE_BYTES))
+
+
 #: Rows that are worth a file of their own in a table of the shared folder.
 ROWS_A_FILE = 20_000
 

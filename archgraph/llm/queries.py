@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, spm_stream, token_counts, token_output, url_filter
+from . import exact_dedup, fill_middle, html_extract, line_dedup, packing, prefix_trie, quality, simhash, spm_stream, token_counts, token_output, trie_bpe, url_filter
 from ._common import shared_path, table
 
 
@@ -51,11 +51,23 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_stream.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lookaround_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_owned_suffix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_main_text, op2_quality_forest, op3_simhash_golay, op4_exact_dedup, op5_line_edit_join, op6_simple8b_tokens,
-        op7_url_reputation, op8_hilbert_packing, op9_token_counts, op10_streaming_viterbi,
+        op7_url_reputation, op8_hilbert_packing, op9_token_counts, op10_streaming_viterbi, op11_lookaround_fim, op12_owned_suffix_trie, op13_trie_bpe,
     )
 }
 
@@ -68,4 +80,6 @@ ORACLE_SQL = {
             doc_id = max(doc_id) over (partition by text_sha256) as kept, text_sha256
         from t""",
     "op7_url_reputation": url_filter.oracle_sql(),
+    "op11_lookaround_fim": fill_middle.oracle_sql(),
+    "op12_owned_suffix_trie": prefix_trie.oracle_sql(),
 }
