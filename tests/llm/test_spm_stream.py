@@ -122,8 +122,57 @@ def test_empty_table_and_repeated_rows(spark):
     assert got == [(0, 0, False, True), (1, 3, True, True), (1, 3, True, True)]
 
 
+def merged(scores, text):
+    """Plain merging: the best scored neighbours first, of equal ones the leftmost."""
+    parts = list(text)
+    while True:
+        best, at = max(((scores.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(float("-inf"), 0))
+        if best == float("-inf"):
+            return parts
+        parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+
+
+def test_every_chunk_is_searched_and_committed_on_the_way(sf_dir, monkeypatch):
+    """All different chunks of given documents go through the search itself, whose window stays small."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pq = pytest.importorskip("pyarrow.parquet")
+    from archgraph.llm import spm_stream
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    coder = Encoder(Vocabulary.load(path), merges=True)
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()
+    streamed, widest, commits = [], [], []
+    plain_stream, plain_end = Encoder._stream, spm_stream.StreamingMerges._reset
+    monkeypatch.setattr(Encoder, "_stream", lambda self, text: streamed.append(text) or plain_stream(self, text))
+    monkeypatch.setattr(spm_stream.StreamingMerges, "_reset", lambda self, last: (widest.append(self.widest), commits.append(self.commits), plain_end(self, last))[2])
+    for text in texts:
+        assert coder.encode(text).tolist() == library.encode(text)
+    chunks = {c for t in texts if t for c in spm_stream.CHUNK.findall(SPACE + t.replace(" ", SPACE))}
+    assert coder.search.started == sum(map(len, streamed)) == sum(map(len, chunks))
+    assert sum(commits) > len(chunks) and max(widest) <= 6 * coder.vocabulary.max_len
+
+
+def test_one_path_is_left_at_each_place():
+    """Of the pieces that end at a place exactly one stays apart from what is before it."""
+    from archgraph.llm.spm_stream import MergeOrder
+
+    rnd = random.Random(9)
+    names = ["ab", "aba", "bab", "aab", "bb", "abab", "ba", "aa", "bbb"]
+    for _ in range(200):
+        scores = dict(zip(names, (-float(x) for x in rnd.sample(range(20), len(names)))))
+        order = MergeOrder(scores)
+        text = "".join(rnd.choice("ab") for _ in range(40))
+        last = {0: ""}
+        for end in range(1, len(text) + 1):
+            found = [p for p in ["a", "b", *names] if text.endswith(p, 0, end) and order.apart(last[end - len(p)], p)]
+            assert len(found) == 1
+            last[end] = found[0]
+            assert merged(scores, text[:end])[-1] == found[0]
+
+
 def test_streaming_merges_equal_direct_ones_and_commit():
-    from archgraph.llm.spm_stream import StreamingMerges, merged
+    from archgraph.llm.spm_stream import StreamingMerges
 
     rnd = random.Random(7)
     names = ["ab", "aba", "bab", "aab", "bb", "abab", "ba", "aa", "bbb"]
