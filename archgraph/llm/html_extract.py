@@ -2,13 +2,15 @@
 
 The standard library's streaming parser turns a page into *lines*, one for each block of
 text. Each line has a text-to-tag ratio (its characters over the tags inside it, with
-linked text discounted). The ratios, smoothed by a Gaussian along the page, are clustered
-by a threshold; the clusters vote for the page's content region: the smallest container
-that holds most of the voted text, widened to the ``article`` around it and that one's
-sibling articles, else to the ``main`` around it. The region's lines are the main text,
-short ones too, but for those inside boilerplate elements.
-
-Defined cases: a null or empty page gives the empty text; a page that is cut off keeps the
+linked text discounted; none inside menus, footers and their like). The logarithms of the ratios, smoothed by a Gaussian along
+the page, are clustered by a threshold, a share of the page's highest value: so a line counts by
+what stands around it, and a short one among menus is none of a cluster. Each run of lines above it is
+a cluster, and its region is the smallest container that holds it, widened to the ``article`` around it and that one's
+sibling articles, else to the ``main`` around it. The main text is what the regions of all clusters hold, short lines
+too, with the headings before them; nothing goes because other text is more. Inside, elements and words that mark boilerplate
+exclude, and do nothing else.
+
+Defined cases: a page inside one form keeps its text; a null or empty page gives the empty text; a page that is cut off keeps the
 text before the cut, without the unfinished tag; a page of one short line keeps it;
 repeated pages give repeated rows; very long and very deep pages take time in proportion, as
 what elements hold is summed once from the inside out; other columns of the input pass through
@@ -39,7 +41,7 @@ BLOCK = frozenset(
 #: Elements whose text is never main text.
 NOT_CONTENT = frozenset(
     "head title script style noscript template iframe object embed svg math canvas audio video map nav footer aside"
-    " form button select textarea datalist dialog menu search fieldset label".split()
+    " button select textarea datalist dialog menu search fieldset label".split()
 )
 #: Containers that can be a region.
 REGION = frozenset("article main section div td body html".split())
@@ -61,6 +63,8 @@ NOISE_WORDS = frozenset(
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations widget"
     " widgets pagination pager skip copyright disclaimer hidden complementary contentinfo".split()
 )
+#: The mark of a form, which is boilerplate as its fields are, unless the page stands in it.
+FORM = "form"
 #: Those whose elements may hold most of a page's text and still be none of its main text.
 DISCUSSION_WORDS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
 #: Words that an article or main is marked by.
@@ -190,7 +194,8 @@ class _Lines(HTMLParser):
         top = self.stack[-1]
         known = {k: v or "" for k, v in attrs}
         noise = top.noise or tag in NOT_CONTENT or self.noisy(tag, known)
-        node = _Node(tag, top, len(self.nodes), noise, self.marks(tag, known), top.header or tag == "header")
+        marks = self.marks(tag, known)
+        node = _Node(tag, top, len(self.nodes), noise, marks | {FORM} if tag == "form" else marks, top.header or tag == "header")
         self.nodes.append(node)
         self.stack.append(node)
         self.open[tag] += 1
@@ -254,62 +259,68 @@ def _down(nodes: list[_Node], first, step) -> list:
     return out
 
 
-#: A container holds most of the voted text from this share on.
+#: A marked element with an article outside wraps the page from this share of the voted text on.
 MOST = 0.7
+#: The Gaussian's width in lines, and the threshold as a share of the highest smoothed value.
+SIGMA, SHARE = 2.0, 0.78
 
 
-def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> str:
-    """The main text of one page: its blocks joined by line feeds.
-
-    ``sigma`` is the Gaussian's width in lines; ``strength`` scales the threshold, the
-    standard deviation of the smoothed ratios.
-    """
+def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
+    """The main text of one page: its blocks joined by line feeds."""
     if not html:
         return ""
     parser = _Lines()
     parser.feed(complete(html))
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[3].noise]
-    if not lines:
+    every, nodes = parser.lines, parser.nodes
+    kept = [i for i, x in enumerate(every) if not x[3].noise]
+    if not kept:
         return ""
-    nodes = parser.nodes
-    voters = _voters(lines, sigma, strength)
-    if any(x[3].marked for x in lines):
-        lines = _unmarked(nodes, lines, voters)
-        if not lines:
+    voters = _voters(every, kept, sigma, share)
+    if any(every[i][3].marked for i in kept):
+        stays = _unmarked(nodes, [every[i] for i in kept], voters[kept])
+        kept = [i for i, x in zip(kept, stays) if x]
+        if not kept:
             return ""
-        voters = _voters(lines, sigma, strength)
-    regions = _vote(nodes, lines, voters)
-    semantic = regions[0].tag in ("article", "main")
+        voters = _voters(every, kept, sigma, share)
+    lines, voters = [every[i] for i in kept], voters[kept]
+    regions = _regions(nodes, lines, voters)
+    semantic = any(x.tag in ("article", "main") for x in regions)
+    header = any(x.header for x in regions)
     chosen = {x.order for x in regions}
     within = _down(nodes, False, lambda above, node: above or node.order in chosen)
     inside = [within[x[3].order] for x in lines]
+    for i in range(len(lines) - 2, -1, -1):
+        # Headings before a region are its headings, but for those of a header outside.
+        inside[i] = inside[i] or (inside[i + 1] and lines[i][3].heading and not lines[i][3].header)
     content = [i for i, x in enumerate(inside) if x and voters[i]]
-    kept = []
+    out = []
     for i, (text, _, linked, node) in enumerate(lines):
         if not inside[i]:
             continue
-        if node.header and not node.heading and not regions[0].header:
+        if node.header and not node.heading and not header:
             continue  # a header inside the region keeps its headings only
         if not semantic and linked > 0.6 * len(text) and not node.heading and not content[0] <= i <= content[-1]:
             continue  # a menu before or after the content
-        kept.append(text)
-    return "\n".join(kept)
-
-
-def _voters(lines: list[tuple[str, int, int, _Node]], sigma: float, strength: float) -> np.ndarray:
-    """Which lines are in a cluster of high smoothed ratios."""
-    ratios = np.array([max(0, len(text) - 2 * linked) / max(1, tags) for text, tags, linked, _ in lines])
-    smoothed = smooth(ratios, sigma)
-    voters = smoothed > min(strength * float(smoothed.std()), 0.999 * float(smoothed.max()))
-    if not voters.any():
-        voters[:] = True
+        out.append(text)
+    return "\n".join(out)
+
+
+def _voters(every: list[tuple[str, int, int, _Node]], kept: list[int], sigma: float, share: float) -> np.ndarray:
+    """Which lines are in a cluster of high smoothed ratios; those that aren't ``kept`` count as tags."""
+    ratios = np.zeros(len(every))
+    for i in kept:
+        text, tags, linked, _ = every[i]
+        ratios[i] = max(0, len(text) - 2 * linked) / max(1, tags)
+    smoothed = smooth(np.log1p(ratios), sigma)
+    voters = np.zeros(len(every), dtype=bool)
+    voters[kept] = smoothed[kept] >= share * smoothed[kept].max()
     return voters
 
 
-def _unmarked(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[tuple[str, int, int, _Node]]:
-    """The lines without those in elements that class or id mark as boilerplate.
+def _unmarked(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[bool]:
+    """Which lines are not in elements that class or id mark as boilerplate, or in forms.
 
     A mark counts for nothing on an element that wraps the page: one with at least half of
     the text in articles and mains, or of the voted text. With an article outside, it must
@@ -347,24 +358,43 @@ def _unmarked(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], vote
                 shares[word] = shares.get(word, 0) + weight
     layout = {w for w, share in shares.items() if w not in DISCUSSION_WORDS and share >= 0.5 * (in_articles or total)}
     stays = _down(nodes, True, lambda above, node: above and (not node.marks or node.order in lifted or node.marks <= layout))
-    return [line for line in lines if stays[line[3].order]]
-
-
-def _vote(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
-    """The content region: articles beside each other, or else one element."""
-    own = [0] * len(nodes)
-    for (text, _, _, node), vote in zip(lines, voters):
-        own[node.order] += int(vote) * len(text)
-    held = _held(nodes, own)
-    # Those that hold most stand inside each other: the last in page order is the innermost.
-    smallest = [x for x in nodes if (x.tag in REGION or x.parent is None) and held[x.order] >= MOST * held[0]][-1]
-    if (article := smallest.article) is not None:
-        # Its siblings are parts of the same text: those in its main element, else in its parent.
-        scope = (article.main or article.parent).order
-        within = _down(nodes, False, lambda above, node: above or node.order == scope)
-        found = {x[3].article.order: x[3].article for x in lines if x[3].article is not None and within[x[3].article.order]}
-        return list(found.values())
-    return [smallest.main or smallest]
+    return [stays[line[3].order] for line in lines]
+
+
+def _regions(nodes: list[_Node], lines: list[tuple[str, int, int, _Node]], voters: np.ndarray) -> list[_Node]:
+    """The content regions: of each run of voted lines the smallest container around it, or the article or main around that."""
+    # What is inside an element comes right after it in page order, up to here.
+    ends = list(range(len(nodes)))
+    for node in reversed(nodes[1:]):
+        ends[node.parent.order] = max(ends[node.parent.order], ends[node.order])
+    found: dict[int, _Node] = {}
+    scopes: set[int] = set()
+    at = 0
+    while at < len(lines):
+        if not voters[at]:
+            at += 1
+            continue
+        until = at
+        while until + 1 < len(lines) and voters[until + 1]:
+            until += 1
+        orders = [x[3].order for x in lines[at : until + 1]]
+        node, last = nodes[min(orders)], max(orders)
+        while ends[node.order] < last or (node.order not in found and node.tag not in REGION and node.parent is not None):
+            node = node.parent
+        if (article := node.article) is not None:
+            # Its siblings are parts of the same text: those in its main element, else in its parent.
+            scopes.add((article.main or article.parent).order)
+            node = article
+        elif node.main is not None:
+            node = node.main
+        found[node.order] = node
+        at = until + 1
+    if scopes:
+        within = _down(nodes, False, lambda above, node: above or node.order in scopes)
+        for x in lines:
+            if x[3].article is not None and within[x[3].article.order]:
+                found[x[3].article.order] = x[3].article
+    return list(found.values())
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
