@@ -53,10 +53,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 RANGE_BYTES = 64_000_000
 
 
+#: As many as a bucketed table may have.
+MOST_RANGES = 100_000
+
+
 def ranges_of(rows: DataFrame) -> int:
-    """In how many ranges to sort ``rows`` of a table: by the size of its files, and at least as many as a shuffle has."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(rows.sparkSession), -(-size // RANGE_BYTES))
+    """Into how many ranges or buckets to deal ``rows``: by the size of the tables they come from, and at least as many as a shuffle has."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 62)  # Spark's default for a size it doesn't know is above that
+    return max(shuffle_partitions(rows.sparkSession), min(MOST_RANGES, -(-size // RANGE_BYTES)))
+
+
+#: Keys with more than this part of all rows are looked up by a broadcast: so many at most.
+PARTS = 1024
+
+
+def look_up(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has each key once and says by ``weight`` how many rows look it up.
+
+    Keys of more than a part of ``total`` rows are broadcast, ``PARTS`` of them at most; so no
+    other key's rows outweigh a task.
+    """
+    heavy = F.col(weight) * PARTS > total
+    columns = [c for c in known.columns if c not in (*keys, weight)]
+    most = known.where(heavy).select(*keys, F.struct(*columns).alias("_heavy"))
+    rest = known.where(~heavy).select(*keys, F.struct(*columns).alias("_light"))
+    first = rows.join(F.broadcast(most), keys, "left")
+    found, others = first.where("_heavy is not null"), first.where("_heavy is null").drop("_heavy")
+    light = others.join(rest, keys, "left")
+    return found.select(*rows.columns, "_heavy.*").union(light.select(*rows.columns, "_light.*"))
 
 
 #: Rows that are worth a file of their own in a table of the shared folder.

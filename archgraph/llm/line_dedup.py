@@ -16,10 +16,14 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
    one aggregate and one join. Lines tied to one leader are linked already, and never meet
    again, so a dense group of near copies costs a star and not all its pairs.
 4. What is left meets under its keys: what lines look under is joined with a table of one row
-   for each key that lines are filed under, and only what meets another line is written. Where several lines are filed under a key, the lines
-   of its most frequent leader meet only the others', filed lines are dealt out by salts,
-   and the join itself compares them. Other pairs are made distinct. All these steps fetch
-   their lines from one table, made in one look at all.
+   for each key that lines are filed under, and only what meets another line is written. Where several
+   lines are filed under a key, those of one leader never meet each other, so the lines that aren't of the key's most
+   frequent leader are what costs. Up to ``BOUND`` of them under a key meet all of its lines.
+   Under any other key, as the words of a template make it, the *rest* of each line,
+   without the segment that they share, is cut into ``max_edits + 1`` segments again, and
+   lines meet under key and segment of the rest only; and so on until keys tell the lines apart. (Two
+   lines within ``max_edits`` that agree on a segment at one of its allowed places are so on their rests.)
+   A rest of up to ``max_edits`` code points is filed under each of them.
 5. Pairs are compared by the counts of letters, which an edit hardly changes; then common
    ends are stripped, and a banded bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
    of the band is one step on two bit vectors of 2 * max_edits + 1 bits. The first columns
@@ -27,7 +31,8 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
 6. Links become classes (components.py); occurrences join their class, and all but the
    first are to be removed.
 
-Defined cases: null texts are one empty line; lines without a character other than white
+Defined cases: very long lines and texts are cut and compared whole; lines of one template, however many, are
+compared only where parts of what the template leaves open agree; null texts are one empty line; lines without a character other than white
 space are never judged, and stay; rows with one doc_id and different texts are different
 documents, told apart by the text's hash, and rows that are alike in both are one; null ids sort
 first; an empty table gives no rows; other columns pass through no further, whatever their names.
@@ -40,7 +45,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, in_few_files, materialize, shared_path, shuffle_partitions
+from ._common import fresh, in_few_files, look_up, materialize, ranges_of, shared_path
 from .components import connected_components
 
 MAX_EDITS = 2
@@ -71,8 +76,10 @@ def bags_near(a: str, b: str, max_edits: int) -> str:
     return f"bit_count({a} ^ {b}) <= {2 * max_edits}"
 
 
-#: Lines that are filed under one key are dealt out in parts of about this size.
-PART = 64
+#: So many lines of a key meet all others under it; a key with more is told apart by the rests of its lines.
+BOUND = 16
+#: Rows of a key that such lines meet in one task.
+PART = 1024
 
 
 def placed(max_edits: int, delta: str, i: str) -> tuple[str, str]:
@@ -94,31 +101,52 @@ def places(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _place_table(max_edits: int, all_: bool = True) -> str:
+    """SQL for an array of the places at which lines are filed, and unless not ``all_`` of the others under which they look."""
+    filed = [(0, i, 0) for i in range(1, max_edits + 2)]
+    rows = [(*p, True) for p in filed] + [(*p, False) for p in places(max_edits) if all_ and p not in filed]
+    return "array(" + ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()}, 'edits', {max_edits})" for d, i, s, f in rows) + ")"
+
+
+#: A place as one number: what ``_placed_at`` reads back.
+PLACE = "cast((((edits * 8 + delta) * 16 + i) * 32 + shift + 16) * 2 + cast(filed as int) as int)"
+FILED = "place % 2 = 1"
+_PLACED_AT = tuple(f"cast({x} as int) as {name}" for x, name in (("place div 8192", "edits"), ("place div 1024 % 8", "delta"), ("place div 64 % 16", "i"), ("place div 2 % 32 - 16", "shift"))) + (f"{FILED} as filed",)
+
+
+def _cut(edits: str) -> tuple[str, str]:
+    """SQL for (start, size) of the place (delta, i, shift) of a line of ``n`` code points."""
+    start, size = placed(int(edits), "delta", "i")
+    return f"{start} + shift", size
+
+
+def _by_edits(max_edits: int) -> tuple[str, str]:
+    """As ``_cut``, by a column ``edits`` of those that lines are allowed."""
+    allowed_ = sorted({min(SHORT_EDITS, max_edits), max_edits})
+    cuts = [_cut(str(x)) for x in allowed_]
+    if len(cuts) == 1:
+        return cuts[0]
+    return tuple(f"if(edits = {allowed_[0]}, {few}, {many})" for few, many in zip(*cuts))
+
+
 def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -> DataFrame:
-    """``h, filed, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
+    """``h, place, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
 
     A line looks under the keys it is filed under too. One small expression over a generator
     of places, which compiles well. Lines of under ``min_chars`` are cut into fewer segments;
     one that is a little longer looks among them.
     """
-
-    def table(edits: int) -> str:
-        filed = [(0, i, 0) for i in range(1, edits + 2)]
-        rows = [(*p, True) for p in filed] + [(*p, False) for p in places(edits) if all_ and p not in filed]
-        return "array(" + ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()}, 'edits', {edits})" for d, i, s, f in rows) + ")"
-
     short_edits = min(SHORT_EDITS, max_edits)
-    short, long_ = table(short_edits), table(max_edits)
+    short, long_ = _place_table(short_edits, all_), _place_table(max_edits, all_)
     rows = f"if(n < {min_chars}, {short}, if(n >= {min_chars + short_edits}, {long_}, concat({short}, {long_})))"
     each = lines.select("h", "line", "n", F.expr(f"inline({rows})"))
     each = each.where(f"if(n - delta >= {min_chars}, edits = {max_edits}, edits = {short_edits} and n - delta >= {SHORT_CHARS})" if short_edits < max_edits else f"n - delta >= {min(SHORT_CHARS, min_chars)}")
-    (begin, length), (short_begin, short_length) = (placed(x, "delta", "i") for x in (max_edits, short_edits))
-    is_short = f"n - delta < {min_chars}"
-    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"if({is_short}, {short_begin}, {begin}) + shift as start", f"if({is_short}, {short_length}, {length}) as size")
+    start, size = _by_edits(max_edits)
+    each = each.selectExpr("h", "line", "n", "delta", "i", f"{PLACE} as place", f"{start} as start", f"{size} as size")
     each = each.where("start >= 1 and start + size - 1 <= n")
     # Of a line without wider characters the bytes are cut out, which needs no count of those before them.
     part = "if(octet_length(line) = n, substring(cast(line as binary), start, size), cast(substring(line, start, size) as binary))"
-    return each.selectExpr("h", "filed", f"xxhash64(i, n - delta, {part}) as key")
+    return each.selectExpr("h", "place", f"xxhash64(i, n - delta, {part}) as key")
 
 
 def allowed(a: str, b: str, max_edits: int, min_chars: int) -> str:
@@ -200,8 +228,8 @@ def verified(pairs: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
 
 def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``a, b``: the MD5 digests of different lines that are near; they connect whatever all such pairs connect."""
-    if min_chars <= max_edits:
-        raise ValueError("lines that can be near need more characters than edits")
+    if not 0 <= max_edits < min(min_chars, 8):
+        raise ValueError("lines that can be near need more characters than edits, of which there are 7 at most")
     long_ = occurrences(docs).where(F.char_length("line") >= min(SHORT_CHARS, min_chars))
     hashed = long_.select(F.xxhash64("line").alias("h"), F.struct(F.unhex(F.md5("line")).alias("id"), F.col("line")).alias("x"))
     # Two lines with one 64-bit hash both stay.
@@ -209,7 +237,7 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
     distinct = distinct.select("h", F.explode(F.expr("if(low.id = high.id, array(low), array(low, high))")).alias("x")).select("h", "x.id", "x.line", F.char_length("x.line").alias("n"))
     # Bucketed by the hash as the shuffle left it, so that lines are looked up without moving them again.
     name = f"archgraph_lines_{uuid.uuid4().hex}"
-    distinct.write.bucketBy(shuffle_partitions(docs.sparkSession), "h").option("path", shared_path(docs.sparkSession, "lines")).option("compression", "zstd").saveAsTable(name)
+    distinct.write.bucketBy(ranges_of(docs), "h").option("path", shared_path(docs.sparkSession, "lines")).option("compression", "zstd").saveAsTable(name)
     try:
         return _links_of(docs.sparkSession.table(name), max_edits, min_chars)
     finally:
@@ -218,6 +246,7 @@ def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
 
 def _texts(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """``h, id, line, bag`` of the lines with a hash ``h`` in ``asked``, in one look at all."""
+    # Buckets are as many as the table's size asks for, and a task's hash table holds the hashes of one.
     return asked.distinct().hint("shuffle_hash").join(lines, "h").select("h", "id", "line", F.expr(letter_bag("line")).alias("bag"))
 
 
@@ -228,58 +257,135 @@ def _near(pairs: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) ->
     return verified(like, max_edits, min_chars).select("ha", "hb", "a", "b")
 
 
-def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    # Tables of rows that a few keys of each line give take a few files for few lines.
-    n_lines = lines.count()
+def _filed(keyed: DataFrame) -> DataFrame:
+    """How many lines are filed under a key, and the one with the smallest hash."""
+    return keyed.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n"))
+
+
+def _tied(stars: list[DataFrame], rows: int) -> DataFrame:
+    """``tied, leader``: of each line that is tied to others, the smallest of them.
+
+    A leader tied to a smaller one keeps that tie: it and its members then differ in their
+    leader, which costs a pair that meets again, and loses none.
+    """
+    every = stars[0]
+    for more in stars[1:]:
+        every = every.union(more)
+    return _table(every.groupBy("ha").agg(F.min("hb").alias("leader")).withColumnRenamed("ha", "tied"), "tied", rows)
+
 
-    def table(rows: DataFrame, label: str) -> DataFrame:
-        return materialize(in_few_files(rows, n_lines), label)
+def _table(frame: DataFrame, label: str, rows: int) -> DataFrame:
+    """A table of what a few keys of each of so many rows give: a task, and a file, for some thousand rows, however many there are."""
+    return materialize(in_few_files(frame, rows), label)
 
-    # How many lines are filed under a key, and the one with the smallest hash: its leader.
-    own = _keys(lines, max_edits, min_chars, all_=False)
-    filed = table(own.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")), "filed-keys")
+
+def _led(rows: DataFrame, tied: DataFrame, h: str, leader: str) -> DataFrame:
+    """With the leader of ``h``, which is the line itself for most."""
+    return rows.join(tied, F.col(h) == F.col("tied"), "left").withColumn(leader, F.coalesce("leader", h)).select(*rows.columns, leader)
+
+
+def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    n_lines = lines.count()
+    filed = _table(_filed(_keys(lines, max_edits, min_chars, all_=False)), "filed-keys", n_lines)
     # Each key is met by at most one row there, so this join gives no more rows than lines have
     # keys, and few: of a key with one filed line those of other lines, and all of the others.
-    hits = _keys(lines, max_edits, min_chars).join(filed.hint("shuffle_hash"), "key").where("n > 1 or h <> least")
-    hits = table(hits.select("key", "n", "h", "least", "filed"), "hits")
+    hits = _keys(lines, max_edits, min_chars).join(filed, "key").where("n > 1 or h <> least")
+    hits = _table(hits.select("key", "n", "h", "least", "place"), "hits", n_lines)
     # The lines that any step below compares, in one look at all.
-    texts = table(_texts(lines, hits.select("h").union(hits.select("least"))), "texts")
-    # The lines filed under one key are tied to its leader.
-    ties = hits.where("n > 1 and filed and h <> least").selectExpr("h as ha", "least as hb").distinct()
-    stars = materialize(_near(ties, texts, max_edits, min_chars), "stars")
-    # A leader tied to a smaller one keeps that tie: it and its members then differ in their
-    # leader, which costs a pair that meets again, and loses none.
-    tied = table(stars.groupBy("ha").agg(F.min("hb").alias("leader")).withColumnRenamed("ha", "tied"), "tied")
-
-    def led(rows: DataFrame, h: str, leader: str) -> DataFrame:
-        """With the leader of ``h``, which is the line itself for most."""
-        return rows.join(tied, F.col(h) == F.col("tied"), "left").withColumn(leader, F.coalesce("leader", h)).select(*rows.columns, leader)
-
-    single = hits.where("n = 1").selectExpr("least(h, least) as ha", "greatest(h, least) as hb").distinct()
-    met = led(led(single, "ha", "la"), "hb", "lb").where("la <> lb").select("ha", "hb")
-    rows = table(led(hits.where("n > 1").select("key", "n", "h", "filed"), "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows")
-    near = _near(met, texts, max_edits, min_chars).select("a", "b").union(_near_under_shared(rows, texts, max_edits, min_chars))
-    return stars.select("a", "b").union(near)
-
-
-def _near_under_shared(rows: DataFrame, texts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """``a, b`` of the near lines that meet under keys with several filed lines, by different leaders.
-
-    The join's own condition compares them: first letters, then by edit distance, so that
-    pairs which are many and not near are neither written nor moved.
+    texts = _table(_texts(lines, hits.select("h").union(hits.select("least"))), "texts", n_lines)
+    search = _Search(texts, max_edits, min_chars)
+    hot = search.compare(search.meet(hits.withColumn("filed", F.expr(FILED)), n_lines), n_lines)
+    if hot is not None:
+        # The first rests are cut from the lines themselves.
+        asked = hot.join(texts.select("h", "line"), "h").selectExpr("key", "h", "line", "char_length(line) as n", *_PLACED_AT)
+        start, size = _by_edits(max_edits)
+        hot = asked.selectExpr("key", "h", "filed", "delta", "edits", "line as rest", f"{start} as start", f"{size} as size")
+    while hot is not None:
+        rests = hot.selectExpr("key", "h", "filed", "delta", "edits", "concat(substring(rest, 1, start - 1), substring(rest, start + size)) as rest")
+        keyed = materialize(_rest_keys(rests, max_edits), "rest-keys")
+        n_keyed = keyed.count()
+        # Here, too, a key is met by one row at most.
+        filed = _table(_filed(keyed.where("filed")).withColumn("weight", F.col("n")), "filed-rests", n_keyed)
+        met = _table(look_up(keyed, filed, ["key"], "weight", n_keyed).where("n > 1 or h <> least"), "rest-hits", n_keyed)
+        hot = search.compare(search.meet(met, n_keyed), n_keyed)
+    return search.links()
+
+
+class _Search:
+    """What has been found: ``stars``, of lines to the smallest of a key, and ``near``, other links."""
+
+    def __init__(self, texts: DataFrame, max_edits: int, min_chars: int) -> None:
+        self.texts, self.max_edits, self.min_chars = texts, max_edits, min_chars
+        self.stars: list[DataFrame] = []
+        self.near: list[DataFrame] = []
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        return _near(pairs.distinct(), self.texts, self.max_edits, self.min_chars)
+
+    def meet(self, hits: DataFrame, n_rows: int) -> DataFrame:
+        """Tie the lines under a key with several filed ones to the smallest of these, and compare those that meet one line only.
+
+        Returns the rows under keys with several filed lines, with their leaders.
+        """
+        # Also those that look under it: of rests that are too short to tell them apart all are near to the smallest.
+        ties = hits.where("n > 1 and h <> least").selectExpr("h as ha", "least as hb")
+        self.stars.append(materialize(self._near(ties), "stars"))
+        tied = _tied(self.stars, n_rows)
+        single = hits.where("n = 1").selectExpr("least(h, least) as ha", "greatest(h, least) as hb").distinct()
+        self.near.append(self._near(_led(_led(single, tied, "ha", "la"), tied, "hb", "lb").where("la <> lb").select("ha", "hb")))
+        return _table(_led(hits.where("n > 1").drop("n", "least"), tied, "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows", n_rows)
+
+    def compare(self, rows: DataFrame, n_rows: int) -> DataFrame | None:
+        """Compare the lines that meet under keys with few lines apart from one leader's.
+
+        Returns the rows of the other keys, or none if there are no such.
+        """
+        by_leader = rows.groupBy("key", "leader").agg(F.count("*").alias("m"), F.count_if("filed").alias("f"))
+        keys = by_leader.groupBy("key").agg(F.sum("m").alias("m"), F.max_by("leader", F.struct("m", "leader")).alias("most"), F.max("m").alias("top"), F.sum("f").alias("f"))
+        # Lines of one leader never need to meet.
+        keys = keys.where("m > top and f > 0").selectExpr("key", "m", "m as weight", "most", f"m - top > {BOUND} as hot")
+        known = look_up(rows, _table(keys, "described", n_rows), ["key"], "weight", rows.count()).where("hot is not null")
+        known = _table(known, "described", n_rows)
+        salts = f"cast(ceil(m / {PART}) as int)"
+        cool = known.where("not hot")
+        one = cool.where("leader <> most").selectExpr("key", f"explode(sequence(0, {salts} - 1)) as salt", "h as h1", "leader as l1", "filed as f1")
+        other = cool.selectExpr("key", f"cast(pmod(h, {salts}) as int) as salt", "h as h2", "leader as l2", "filed as f2")
+        pairs = one.hint("merge").join(other, ["key", "salt"]).where("(f1 or f2) and l1 <> l2")
+        self.near.append(self._near(pairs.selectExpr("least(h1, h2) as ha", "greatest(h1, h2) as hb")))
+        hot = known.where("hot").drop("m", "most", "hot", "leader")
+        return None if hot.isEmpty() else hot
+
+    def links(self) -> DataFrame:
+        """``a, b`` of all links."""
+        out = self.stars[0].select("a", "b")
+        for more in [*self.stars[1:], *self.near]:
+            out = out.union(more.select("a", "b"))
+        return out
+
+
+def _rest_keys(rests: DataFrame, max_edits: int) -> DataFrame:
+    """``key, h, filed, delta, edits, rest, start, size``: what the rests of lines under a key are filed and looked for under.
+
+    ``delta`` is by how much a rest is longer than those that are filed under its key. A filed
+    rest of up to ``edits`` code points has a segment for each: a longer one that is near keeps some of them.
     """
-    counts = rows.groupBy("key", "leader").agg(F.count("*").alias("m"))
-    most = counts.groupBy("key").agg(F.max_by("leader", "m").alias("most"))
-    known = rows.join(texts, "h").join(most, "key")
-    known = materialize(known.selectExpr("key", "h", "id", "line", "bag", "leader", "filed", "leader <> most as rare", f"cast(ceil(n / {PART}) as int) as salts"), "described")
-    a, b = (tuple(f"{c} as {c}_{x}" for c in ("h", "id", "line", "bag", "leader", "rare")) for x in "ab")
-    filed = known.where("filed").selectExpr("key", "cast(pmod(h, salts) as int) as salt", *a)
-    sought = known.selectExpr("key", "explode(sequence(0, salts - 1)) as salt", *b)
-    near = f"leader_a <> leader_b and h_a <> h_b and {bags_near('bag_a', 'bag_b', max_edits)} and {within('line_a', 'line_b', max_edits, min_chars)}"
-    # Two lines of the most frequent leader never need to meet: one of a pair is rare.
-    one = filed.where("rare_a").join(sought, ["key", "salt"]).where(near)
-    other = filed.where("not rare_a").join(sought.where("rare_b"), ["key", "salt"]).where(near)
-    return one.union(other).selectExpr("id_a as a", "id_b as b")
+    tables = {e: [(d, _places_of(e, d)) for d in range(e + 1)] for e in sorted({min(SHORT_EDITS, max_edits), max_edits})}
+    kind = "array<struct<i: int, shift: int>>"
+    cases = " ".join(f"when edits = {e} and delta = {d} then {rows}" for e, found in tables.items() for d, rows in found)
+    each = rests.selectExpr("*", "char_length(rest) as n")
+    far = each.where("n - delta > edits").selectExpr("*", f"inline(cast(case {cases} end as {kind}))")
+    start, size = _by_edits(max_edits)
+    far = far.selectExpr("key", "h", "filed and shift = 0 as filed", "delta", "edits", "rest", "n", "i", f"{start} as start", f"{size} as size").where("start >= 1 and start + size - 1 <= n")
+    close = each.where("n - delta <= edits and n > delta").selectExpr("*", "explode(sequence(1, n - delta)) as i").selectExpr("*", "explode(sequence(1, n)) as start")
+    close = close.selectExpr("key", "h", "filed and start = i as filed", "delta", "edits", "rest", "n", "i", "cast(start as int) as start", "1 as size")
+    # Nothing is left of a filed rest: all lines under its key are one line and its neighbours.
+    none = each.where("n = delta").selectExpr("key", "h", "filed", "delta", "edits", "rest", "n", "0 as i", "1 as start", "0 as size")
+    out = far.union(close).union(none)
+    return out.selectExpr("xxhash64(key, i, n - delta, substring(rest, start, size)) as key", "h", "filed", "delta", "edits", "rest", "start", "size")
+
+
+def _places_of(max_edits: int, delta: int) -> str:
+    return "array(" + ", ".join(f"named_struct('i', {i}, 'shift', {s})" for d, i, s in places(max_edits) if d == delta) + ")"
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

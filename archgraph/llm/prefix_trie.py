@@ -46,15 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, ranges_of, slices
+from ._common import look_up, materialize, ranges_of, slices
 
 #: Conversations come in blocks of so many ids that share the first one's turns, of which up to ``SHARED - 1`` are taken.
 BLOCK, SHARED = 5, 9
 #: Prefixes are polynomials of digests modulo a prime.
 PRIME, FACTOR = (1 << 127) - 1, 0x5BD1E995C2B2AE3D27D4EB4F165667B1
 ROOT = (0).to_bytes(16, "big")
-#: Keys with more than this part of all rows are looked up by a broadcast: so many at most.
-PARTS = 1024
 #: Ids that are joined to one text.
 IDS_A_BLOCK = 4096
 
@@ -233,22 +231,6 @@ def paths(conversations: DataFrame) -> DataFrame:
     return materialize(raw.mapInArrow(_settle(carried), "conv_id long, depth long, above binary, prefix binary, bytes long, before long"), "paths")
 
 
-def look_up(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
-    """``rows`` with the columns of ``known``, which has each key once and says by ``weight`` how many rows look it up.
-
-    Keys of more than a part of ``total`` rows are broadcast, ``PARTS`` of them at most; so no
-    other key's rows outweigh a task.
-    """
-    heavy = F.col(weight) * PARTS > total
-    columns = [c for c in known.columns if c not in (*keys, weight)]
-    most = known.where(heavy).select(*keys, F.struct(*columns).alias("_heavy"))
-    rest = known.where(~heavy).select(*keys, F.struct(*columns).alias("_light"))
-    first = rows.join(F.broadcast(most), keys, "left")
-    found, others = first.where("_heavy is not null"), first.where("_heavy is null").drop("_heavy")
-    light = others.join(rest, keys, how)
-    return found.select(*rows.columns, "_heavy.*").union(light.select(*rows.columns, "_light.*"))
-
-
 def _blocks(batches):
     """Ids of conversations that end at a node, sorted, joined to texts of a bounded number of ids."""
     key, first, held = None, None, []

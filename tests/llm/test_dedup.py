@@ -293,6 +293,35 @@ def test_lines_under_hot_keys(spark):
     assert classes(lines, got) == classes(lines, want)
 
 
+def test_lines_of_one_template_meet_where_their_rests_agree(spark, monkeypatch):
+    """Under a template's key the rests are cut again: few comparisons a line, and no exploded side is broadcast."""
+    rnd, letters = random.Random(14), "abcdefghijklmnopqrstuvwxyz0123456789"
+    lines = ["Posted on the board by user " + "".join(rnd.choice(letters) for _ in range(50)) for _ in range(1700)]
+    lines += ["The count of this week's visitors is %06d in all of them" % rnd.randrange(10**6) for _ in range(250)]  # near by chance, too
+    for i in range(0, 150, 3):
+        near = list(lines[i])
+        for _ in range(rnd.choice([1, 2])):
+            at = rnd.randrange(0, len(near))
+            near[at : at + 1] = rnd.choice([[], ["#"], [near[at], "#"]])
+        lines.append("".join(near))
+    lines = sorted(set(lines))
+    want = duckdb.sql("with t as (select unnest(?) as x) select a.x, b.x from t a join t b on a.x < b.x and abs(length(a.x) - length(b.x)) <= 2 and levenshtein(a.x, b.x) <= 2", params=[lines]).fetchall()
+    compared, plans, plain = [], [], line_dedup._near
+
+    def counted(pairs, *more):
+        plans.append(pairs._jdf.queryExecution().toString())
+        compared.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_near", counted)
+    digests = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = [tuple(sorted((digests[bytes(r.a)], digests[bytes(r.b)]))) for r in line_dedup.line_links(make(spark, list(enumerate(lines)))).collect()]
+    assert set(got) <= set(want) and classes(lines, got) == classes(lines, want)
+    assert len(want) > 100 and sum(compared) < 50 * len(lines)
+    salted = [x.split("== Physical Plan ==")[1] for x in plans if "salt" in x]
+    assert salted and all("SortMergeJoin" in x for x in salted)
+
+
 def test_keys_that_nothing_meets_are_not_written(spark, monkeypatch):
     """What unlike lines look under is joined as it is made; tables hold at most the keys they are filed under."""
     rnd = random.Random(12)
