@@ -11,29 +11,60 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import rules
-from ..plans.fixpoint import Levels, closure, least_path, levels, seeds
+from ..plans.adjacency import Adjacency, Direction
+from ..plans.fixpoint import MAX_ROUNDS, Levels, closure, least_path, levels, seeds
 from ..plans.shared import materialize
 from ..schema import DEFAULT_MAX_HOPS, EDGE_COLUMNS
 
 
 @dataclass
 class Graph:
-    """A view at one revision. ``revision`` edges hold whatever their relation."""
+    """A view at one revision. ``revision`` edges hold whatever their relation.
+
+    With an ``adjacency`` of the view's effective edges, what is at a node is read from there.
+    """
 
     states: DataFrame
     overrides: DataFrame | None = None
     revision: DataFrame | None = None
     entities: DataFrame | None = None
-    _direct: DataFrame | None = None
+    adjacency: Adjacency | None = None
+    _links: DataFrame | None = None
+
+    def clustered(self, root: str | None = None) -> "Graph":
+        """This graph with an adjacency, in the shared folder or at ``root``."""
+        built = Adjacency.build(rules.marked_edges(self.states, self.overrides, self.revision), root)
+        return Graph(self.states, self.overrides, self.revision, self.entities, built)
 
     def direct(self) -> DataFrame:
         return rules.direct_edges(self.states, self.overrides, self.revision)
 
-    def direct_table(self) -> DataFrame:
-        """The direct edges, perhaps repeated, as a table in the shared folder, made once for a graph: its revision never changes."""
-        if self._direct is None:
-            self._direct = materialize(rules.direct_edges(self.states, self.overrides, self.revision, distinct=False), "direct")
-        return self._direct
+    def links(self) -> DataFrame:
+        """``from_id, relation, to_id`` of the direct edges, perhaps repeated, as a table made once for a graph: its revision never changes."""
+        if self._links is None:
+            direct = rules.direct_edges(self.states, self.overrides, self.revision, distinct=False)
+            self._links = materialize(direct.select("from_id", "relation", "to_id"), "links")
+        return self._links
+
+    def forward(self) -> DataFrame | Direction:
+        """The pairs along which dependencies are walked."""
+        return self.links().select("from_id", "to_id") if self.adjacency is None else self.adjacency.forward
+
+    def backward(self) -> DataFrame | Direction:
+        """The pairs along which an impact is walked."""
+        return self.links().selectExpr("to_id as from_id", "from_id as to_id") if self.adjacency is None else self.adjacency.backward
+
+    def at(self, end: str, nodes: DataFrame) -> DataFrame:
+        """The direct edges whose ``end`` is a ``node`` of ``nodes``, perhaps repeated."""
+        if self.adjacency is not None:
+            return self.adjacency.around(end, nodes).where("direct").select(*EDGE_COLUMNS)
+        direct = rules.direct_edges(self.states, self.overrides, self.revision, distinct=False)
+        return direct.join(nodes.select(F.col("node").alias(end)), end, "left_semi").select(*EDGE_COLUMNS)
+
+    def links_to(self, nodes: DataFrame) -> DataFrame:
+        """``from_id, relation, to_id`` of the direct edges that end at a ``node`` of ``nodes``."""
+        found = self.links().join(nodes.select(F.col("node").alias("to_id")), "to_id", "left_semi") if self.adjacency is None else self.at("to_id", nodes)
+        return found.select("from_id", "relation", "to_id")
 
     def effective(self) -> DataFrame:
         return rules.effective_edges(self.states, self.overrides, self.revision)
@@ -85,6 +116,23 @@ def with_edge_ids(merged: DataFrame) -> DataFrame:
     return numbered.select(*merged.columns, F.concat(F.lit("e"), place).alias("edge_id"))
 
 
+def with_ids_among(few: DataFrame, every: DataFrame) -> DataFrame:
+    """``few`` merged edges, such as a path's, with the ids that they have among ``every`` edge: each one's place by count.
+
+    An id is one more than the number of smaller edges, so none is sorted or written: each edge
+    falls between two of the few, and those in between are counted.
+    """
+    rank = ids.relation_rank(F.col("relation")).alias("rank")
+    marks = few.select("from_id", "to_id", rank).collect()  # of a path's edges
+    x = F.struct("from_id", "to_id", rank)
+    upto = sum(((F.struct(F.lit(m.from_id).alias("from_id"), F.lit(m.to_id).alias("to_id"), F.lit(m.rank).alias("rank")) <= x).cast("int") for m in marks), F.lit(0))
+    counts = every.select("from_id", "to_id", "relation").distinct().groupBy(upto.alias("at")).agg(F.count("*").alias("n")).collect()  # one row more than marks
+    place = F.lit(1)
+    for r in counts:
+        place = place + F.when(upto > r.at, r.n).otherwise(0)
+    return few.withColumn("edge_id", F.concat(F.lit("e"), place.cast("string")))
+
+
 def describe(nodes: DataFrame, edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """``id, kind, metadata, name, repository, origin, test`` for each ``node``.
 
@@ -122,7 +170,10 @@ def result_kind(kind, metadata):
 
 def context(graph: Graph, root: str) -> Answer:
     """All edges at an entity, structural ones too."""
-    edges = graph.effective().where((F.col("from_id") == root) | (F.col("to_id") == root))
+    if graph.adjacency is None:
+        edges = graph.effective().where((F.col("from_id") == root) | (F.col("to_id") == root))
+    else:
+        edges = graph.adjacency.at("from_id", [root]).union(graph.adjacency.at("to_id", [root])).drop("direct").distinct()
     spark = edges.sparkSession
     ends = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
 
@@ -144,11 +195,6 @@ def _answer(graph: Graph, start: str, edges: Callable[[], DataFrame], found: Lev
     return Answer(entries, inside, lambda merged: describe(found.reached, merged, graph.entities), found.truncated)
 
 
-def _leaving(direct: DataFrame, reached: DataFrame) -> DataFrame:
-    """The edges that start at a reached node."""
-    return direct.join(reached.selectExpr("node as from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS)
-
-
 def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
     """What an entity depends on, with distances.
 
@@ -157,10 +203,10 @@ def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) ->
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = graph.direct_table()
-    start_ = seeds(direct.sparkSession, start)
-    found = levels(direct, start_, max_hops)
-    return _answer(graph, start, lambda: _leaving(direct, closure(direct, start_) if found.truncated else found.reached), found)
+    pairs = graph.forward()
+    start_ = seeds(pairs.sparkSession, start)
+    found = levels(pairs, start_, max_hops)
+    return _answer(graph, start, lambda: graph.at("from_id", closure(pairs, start_) if found.truncated else found.reached), found)
 
 
 def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -168,21 +214,31 @@ def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer
 
     An implementation edge of the revision, ``grpc://... implemented_by ...``, is taken with
     its operation, but adds nothing to the closure; in the distances such an edge is walked
-    forward instead of backward.
+    forward instead of backward. Where the closure has no such edge, its own levels are the distances.
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = graph.direct_table()
-    spark = direct.sparkSession
-    reached = closure(direct.selectExpr("to_id as from_id", "from_id as to_id"), seeds(spark, start))
-    taken = direct.join(reached.withColumnRenamed("node", "to_id"), "to_id", "left_semi").select(*EDGE_COLUMNS)
+    pairs = graph.backward()
+    spark = pairs.sparkSession
+    every = levels(pairs, seeds(spark, start), MAX_ROUNDS).reached
+    reached = every.select("node")
     forward = "relation = 'implemented_by' and startswith(from_id, 'grpc://')"
-    if graph.revision is not None:
-        rpc = graph.revision.where(forward)
-        taken = taken.union(_leaving(rpc, reached)).distinct()
-    steps = taken.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id")
+    rpc = None if graph.revision is None else graph.revision.where(forward)
+    leaving = lambda: rpc.join(reached.selectExpr("node as from_id"), "from_id", "left_semi").select(*EDGE_COLUMNS)
+
+    def taken() -> DataFrame:
+        found = graph.at("to_id", reached)
+        return found if rpc is None else found.union(leaving()).distinct()
+
+    links = graph.links_to(reached)
+    if rpc is not None:
+        links = links.union(leaving().select("from_id", "relation", "to_id"))
+    if links.where(forward).isEmpty():
+        beyond = every.where(F.col("hops") > max_hops)
+        return _answer(graph, start, taken, Levels(every.where(F.col("hops") <= max_hops), not beyond.isEmpty()))
+    steps = links.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id")
     steps = materialize(steps.distinct(), "steps")
-    return _answer(graph, start, lambda: taken, levels(steps, seeds(spark, start), max_hops))
+    return _answer(graph, start, taken, levels(steps, seeds(spark, start), max_hops))
 
 
 def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -193,22 +249,23 @@ def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HO
     """
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
-    direct = graph.direct_table()
-    spark = direct.sparkSession
+    pairs = graph.forward()
+    spark = pairs.sparkSession
     if source == target:
         nodes = seeds(spark, source)
-        none = lambda: merge_edges(direct.where("false")).withColumn("edge_id", F.lit("")).withColumn("step", F.lit(0))
+        none = lambda: merge_edges(graph.direct().where("false")).withColumn("edge_id", F.lit("")).withColumn("step", F.lit(0))
         return Answer(nodes.select(F.col("node").alias("entity"), F.lit(0).alias("hops")), none, lambda merged: describe(nodes, merged, graph.entities))
-    found = least_path(direct, source, target, max_hops)
+    found = least_path(pairs, source, target, max_hops)
     steps = found.path.select(F.posexplode("nodes").alias("hops", "entity"))
 
     def edges() -> DataFrame:
-        merged = with_edge_ids(merge_edges(_leaving(direct, closure(direct, seeds(spark, source)))))
         # A path has at most max_hops steps.
         hops = steps.withColumn("next", F.lead("entity").over(Window.orderBy("hops"))).where("next is not null")
+        merged = merge_edges(graph.at("from_id", hops.select(F.col("entity").alias("node"))))
         joined = merged.join(hops, (merged.from_id == hops.entity) & (merged.to_id == hops.next))
         first = Window.partitionBy("from_id", "to_id").orderBy(ids.relation_rank(F.col("relation")))
-        return joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*merged.columns, (F.col("hops") + 1).alias("step"))
+        path = joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*merged.columns, (F.col("hops") + 1).alias("step"))
+        return with_ids_among(path, graph.at("from_id", closure(pairs, seeds(spark, source))))
 
     nodes = steps.select(F.col("entity").alias("node")).union(seeds(spark, source, target)).distinct()
     return Answer(steps.select("entity", "hops"), edges, lambda path: describe(nodes, path, graph.entities), found.truncated)

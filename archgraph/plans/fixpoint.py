@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adjacency import INLINE, Direction
 from .shared import materialize
 
 MAX_ROUNDS = 10_000
@@ -71,12 +72,13 @@ def small(spark: SparkSession, type_: str, **columns: list) -> DataFrame:
 class Search:
     """Breadth-first levels along ``pairs`` (from_id, to_id) from ``start`` (node).
 
-    Up to ``HELD`` nodes, a level is one job that returns its new nodes, and nothing is
+    Of pairs that are clustered, a level reads the buckets of its nodes, or joins without moving the edges. Up to ``HELD`` nodes, a level is one job that returns its new nodes, and nothing is
     written. A larger search goes on over tables in the shared folder.
     """
 
-    def __init__(self, pairs: DataFrame, start: DataFrame) -> None:
-        self.pairs = pairs.select("from_id", "to_id")
+    def __init__(self, pairs: DataFrame | Direction, start: DataFrame) -> None:
+        self.clustered = pairs if isinstance(pairs, Direction) else None
+        self.pairs = pairs.pairs() if isinstance(pairs, Direction) else pairs.select("from_id", "to_id")
         self.spark, self.type = pairs.sparkSession, dict(start.dtypes)["node"]
         self.hop = 0
         first = start.select("node").distinct().limit(HELD + 1).collect()
@@ -97,6 +99,8 @@ class Search:
 
     def _beyond(self) -> DataFrame:
         """What the last level leads to; in a large search without what is known."""
+        if self.clustered is not None and self.held is not None and len(self.last) <= INLINE:
+            return self.clustered.pairs_of(self.last).select(F.col("to_id").alias("node")).distinct()
         last = self._frame(self.last) if self.held is not None else self.frontier
         found = self.pairs.join(last, self.pairs.from_id == last.node, "left_semi").select(F.col("to_id").alias("node")).distinct()
         return found if self.held is not None else found.join(union_all([x.select("node") for x in self.known]), "node", "left_anti")
@@ -135,7 +139,7 @@ class Search:
         return small(self.spark, self.type, node=list(self.held), hops=list(self.held.values()))
 
 
-def levels(pairs: DataFrame, start: DataFrame, max_hops: int) -> Levels:
+def levels(pairs: DataFrame | Direction, start: DataFrame, max_hops: int) -> Levels:
     """Breadth-first distances along ``pairs`` (from_id, to_id) from ``start`` (node), up to ``max_hops``."""
     if max_hops <= 0:
         raise ValueError("max_hops must be positive")
@@ -146,7 +150,7 @@ def levels(pairs: DataFrame, start: DataFrame, max_hops: int) -> Levels:
     return Levels(search.reached(), search.more())
 
 
-def closure(pairs: DataFrame, start: DataFrame) -> DataFrame:
+def closure(pairs: DataFrame | Direction, start: DataFrame) -> DataFrame:
     """Nodes reachable along ``pairs`` from ``start``, itself included."""
     return levels(pairs, start, MAX_ROUNDS).reached.select("node")
 
@@ -170,19 +174,24 @@ class Path:
     truncated: bool
 
 
-def least_path(pairs: DataFrame, source: str, target: str, max_hops: int) -> Path:
+def least_path(pairs: DataFrame | Direction, source: str, target: str, max_hops: int) -> Path:
     """Of the shortest paths of at most ``max_hops``, the one with the smallest node sequence.
 
     Each level keeps one path a node, the smallest; a longer path's smallest prefix is its
     parent's smallest path, so no other is ever needed.
     """
     spark = pairs.sparkSession
-    pairs = pairs.select("from_id", "to_id")
+    clustered = pairs if isinstance(pairs, Direction) else None
+    pairs = pairs.pairs() if isinstance(pairs, Direction) else pairs.select("from_id", "to_id")
     none = small(spark, "string", nodes=[])
     last, known_names, hop = {source: [source]}, {source}, 0
     while hop < max_hops:
-        at = F.broadcast(small(spark, "string", node=list(last)))  # of at most HELD rows
-        steps = pairs.join(at, pairs.from_id == at.node).select("from_id", "to_id").distinct().limit(HELD + 1).collect()
+        if clustered is not None and len(last) <= INLINE:
+            leaving = clustered.pairs_of(list(last))
+        else:
+            at = F.broadcast(small(spark, "string", node=list(last)))  # of at most HELD rows
+            leaving = pairs.join(at, pairs.from_id == at.node).select("from_id", "to_id")
+        steps = leaving.distinct().limit(HELD + 1).collect()
         if len(steps) > HELD or len(known_names) + len(steps) > HELD:
             break
         found: dict[str, list[str]] = {}

@@ -49,6 +49,16 @@ def effective_edges(states: DataFrame, overrides: DataFrame | None = None, revis
     return _union(states, overrides, revision)
 
 
+def marked_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None) -> DataFrame:
+    """The effective edges, perhaps repeated, with ``direct``: whether they can be traversed."""
+    out = masked(states, overrides).select(*EDGE_COLUMNS, F.col("relation").isin(*DEPENDENCY).alias("direct"))
+    if overrides is not None:
+        out = out.union(override_edges(overrides).select(*EDGE_COLUMNS, F.lit(True)))
+    if revision is not None:
+        out = out.union(revision.select(*EDGE_COLUMNS, F.lit(True)))
+    return out
+
+
 def selected_states(observations: DataFrame, view_states: DataFrame) -> DataFrame:
     """The observations of a view's states; ``view_states`` has one row for each repository."""
     return observations.join(view_states.select("state").distinct(), "state", "left_semi").drop("state")

@@ -35,6 +35,31 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/archgraph/{uuid.uuid4().hex}/{label}"
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> bool:
+    """Give a folder its name, unless that is taken."""
+    files, place = _place(spark, path)
+    target = _place(spark, to)[1]
+    if files.exists(target):
+        return False
+    return files.rename(place, target)
+
+
 #: Paths of the tables that each open scratch deletes, the innermost last.
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
@@ -52,8 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.reset(token)
         for path in made:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            delete_path(spark, path.rpartition("/")[0])
 
 
 def materialize(df: DataFrame, label: str, kept: bool = False) -> DataFrame:

@@ -134,6 +134,23 @@ def impact_rpc_rule(spark, sf_dir):
     return graph.impact(supply(spark, sf_dir, True, True), "proto-method://Part/7").entries
 
 
+@query(_impact("supplier/9"))
+def clustered_impact(spark, sf_dir):
+    """Over edges that are clustered both ways: each level reads the buckets of its nodes."""
+    return graph.impact(supply(spark, sf_dir, True, True).clustered(), "supplier/9").entries
+
+
+@query(f"{_DIRECT_REC}, {_bfs('d', chr(39) + 'order/39' + chr(39), 32)} select node as entity, hops from reached where hops > 0")
+def clustered_dependencies(spark, sf_dir):
+    return graph.dependencies(supply(spark, sf_dir, True, True).clustered(), "order/39").entries
+
+
+@query(f"{_CONTEXT.replace('part/12', 'nation/3')} select * from m")
+def clustered_context(spark, sf_dir):
+    found = graph.context(supply(spark, sf_dir, True, True).clustered(), "nation/3")
+    return found.edges.select("from_id", "to_id", "relation", "confidence", _evidence_text(F.col("evidence")).alias("evidence"))
+
+
 def _trace_sql(graph_sql: str, edges: str, source: str, target: str, most: int) -> str:
     return (
         f"{graph_sql}, {_bfs(edges, chr(39) + source + chr(39), most)}, "

@@ -11,11 +11,13 @@ from archgraph.operators.graph import Graph
 from archgraph.plans import rules
 from archgraph.schema import DEPENDENCY, EDGE, OVERRIDE, RELATIONS
 
+#: A kiosk's order reserves stock by RPC and tells a printer by a topic; both ways end in one ledger.
 SEED = [
-    ("web/CheckoutPage", "uses", "web/CheckoutQuery", "CheckoutPage.tsx:12"), ("web/CheckoutQuery", "selects", "graphql/Query.checkout", "CheckoutQuery.graphql:2"),
-    ("graphql/Query.checkout", "resolved_by", "bff/CheckoutResolver.checkout", "schema.ex:41"), ("bff/CheckoutResolver.checkout", "calls", "rpc/Pricing.GetPrice", "checkout_resolver.ex:28"),
-    ("rpc/Pricing.GetPrice", "implemented_by", "pricing/get_price", "pricing.proto:9"), ("pricing/get_price", "publishes", "topic/pricing.updated", "get_price.rs:18"),
-    ("topic/pricing.updated", "consumed_by", "cache/update_price", "consumer.rs:7"),
+    ("kiosk/OrderForm", "uses", "kiosk/orderHook", "OrderForm.vue:8"), ("kiosk/orderHook", "calls_graphql", "graphql/Mutation.placeOrder", "hook.ts:5"),
+    ("graphql/Mutation.placeOrder", "resolved_by", "kitchen/OrderResolver.place", "schema.graphql:14"), ("kitchen/OrderResolver.place", "calls", "rpc/Stock.Reserve", "order_resolver.rb:31"),
+    ("kitchen/OrderResolver.place", "publishes", "topic/orders.placed", "order_resolver.rb:36"), ("rpc/Stock.Reserve", "implemented_by", "stock/reserve", "stock.proto:22"),
+    ("topic/orders.placed", "consumed_by", "printer/on_order", "printer.go:11"), ("stock/reserve", "calls", "stock/ledger", "reserve.go:40"),
+    ("printer/on_order", "calls", "stock/ledger", "printer.go:19"),
 ]
 
 
@@ -33,28 +35,32 @@ def seed(spark):
 
 
 def test_seed_impact(seed):
-    found = graph.impact(seed, "rpc/Pricing.GetPrice")
-    assert hops(found)["web/CheckoutPage"] == 4 and "pricing/get_price" not in hops(found) and not found.truncated
-    short = graph.impact(seed, "rpc/Pricing.GetPrice", 1)
-    assert hops(short) == {"bff/CheckoutResolver.checkout": 1} and short.truncated
+    found = graph.impact(seed, "rpc/Stock.Reserve")
+    assert hops(found) == {"kitchen/OrderResolver.place": 1, "graphql/Mutation.placeOrder": 2, "kiosk/orderHook": 3, "kiosk/OrderForm": 4} and not found.truncated
+    assert hops(graph.impact(seed, "stock/ledger"))["kitchen/OrderResolver.place"] == 3
+    short = graph.impact(seed, "rpc/Stock.Reserve", 1)
+    assert hops(short) == {"kitchen/OrderResolver.place": 1} and short.truncated
     with pytest.raises(ValueError):
-        graph.impact(seed, "rpc/Pricing.GetPrice", 0)
+        graph.impact(seed, "rpc/Stock.Reserve", 0)
 
 
 def test_seed_context_and_views(spark, seed):
-    assert graph.context(seed, "rpc/Pricing.GetPrice").edges.count() == 2
-    feature = Graph(edges(spark, [("rpc/Pricing.GetPrice", "implemented_by", "pricing/get_price_v2", "pricing.proto:9")]))
-    assert [r.to_id for r in graph.context(feature, "rpc/Pricing.GetPrice").edges.collect()] == ["pricing/get_price_v2"]
+    assert graph.context(seed, "kitchen/OrderResolver.place").edges.count() == 3
+    feature = Graph(edges(spark, [("rpc/Stock.Reserve", "implemented_by", "stock/reserve_batch", "stock.proto:22")]))
+    assert [r.to_id for r in graph.context(feature, "rpc/Stock.Reserve").edges.collect()] == ["stock/reserve_batch"]
     unknown = graph.context(seed, "nowhere")
     assert unknown.edges.collect() == [] and [r.id for r in unknown.nodes.collect()] == ["nowhere"]
 
 
 def test_seed_trace(seed):
-    found = graph.trace(seed, "web/CheckoutPage", "cache/update_price")
+    found = graph.trace(seed, "kiosk/OrderForm", "stock/ledger")
     path = [r.entity for r in found.entries.orderBy("hops").collect()]
-    assert path == [SEED[0][0], *(r[2] for r in SEED)]
+    # Of the two ways the one through the RPC is the smaller sequence.
+    assert path == ["kiosk/OrderForm", "kiosk/orderHook", "graphql/Mutation.placeOrder", "kitchen/OrderResolver.place", "rpc/Stock.Reserve", "stock/reserve", "stock/ledger"]
     rows = found.edges.orderBy("step").collect()
-    assert [(r.from_id, r.to_id) for r in rows] == list(zip(path, path[1:])) and len({r.edge_id for r in rows}) == 7
+    assert [(r.from_id, r.to_id) for r in rows] == list(zip(path, path[1:]))
+    every = {(r.from_id, r.to_id): r.edge_id for r in graph.with_edge_ids(graph.merge_edges(seed.direct())).collect()}
+    assert {(r.from_id, r.to_id): r.edge_id for r in rows}.items() <= every.items()
     assert {r.id for r in found.nodes.collect()} == set(path)
 
 
@@ -150,3 +156,51 @@ def test_masking_needs_all_four_columns(spark):
     over = spark.createDataFrame([("a", "calls", "b", "c", "x:1", 0.6, "ast")], OVERRIDE)
     rows = [("a", "calls", "b", "x:1"), ("a", "calls", "b", "x:2"), ("a", "uses", "b", "x:1"), ("a", "calls", "z", "x:1")]
     assert rules.masked(edges(spark, rows), over).count() == 3
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clustered_graphs_answer_alike(spark):
+    rnd = random.Random(21)
+    names = [f"n{i}" for i in range(40)] + [f"grpc://S/M{i}" for i in range(6)]
+    rows = sorted({(rnd.choice(names), rnd.choice(["calls", "uses", "defines", "implemented_by"]), rnd.choice(names), f"f:{rnd.randrange(9)}") for _ in range(160)})
+    hub = [("hub", "calls", f"leaf{i}", "h:1") for i in range(300)]
+    over = spark.createDataFrame([(*rows[0][:3], "n1", rows[0][3], 0.6, "unique_name_heuristic")], OVERRIDE)
+    plain = Graph(edges(spark, rows + hub), over, edges(spark, [("grpc://S/M1", "implemented_by", "n7", "p:1"), ("n3", "calls_rpc", "grpc://S/M1", "p:2")]))
+    built = plain.clustered()
+    for name in ("n1", "n7", "grpc://S/M1", "hub", "leaf7", "nowhere"):
+        assert hops(graph.impact(built, name)) == hops(graph.impact(plain, name))
+        assert hops(graph.dependencies(built, name)) == hops(graph.dependencies(plain, name))
+        key = lambda answer: sorted((r.edge_id, r.from_id, r.to_id, r.relation, r.confidence) for r in answer.edges.collect())
+        assert key(graph.context(built, name)) == key(graph.context(plain, name))
+    assert key(graph.trace(built, "n1", "n7")) == key(graph.trace(plain, "n1", "n7"))
+    assert key(graph.dependencies(built, "n3", 2)) == key(graph.dependencies(plain, "n3", 2))
+
+
+def test_a_level_reads_the_buckets_of_its_nodes_and_moves_no_edges(spark):
+    from archgraph.plans.adjacency import Adjacency
+    from archgraph.plans.fixpoint import seeds
+
+    rows = [(f"a{i}", "calls", f"b{i % 50}", f"x:{i}") for i in range(2000)] + [("hub", "calls", f"b{i}", "h:1") for i in range(3000)]
+    built = Graph(edges(spark, rows)).clustered().adjacency
+    for level in (built.backward.pairs_of(["b7"]), built.forward.pairs_of(["a1", "a2"])):
+        plan = spark._jvm.PythonSQLUtils.explainString(level.distinct()._jdf.queryExecution(), "formatted")
+        assert "Exchange" not in plan and f"out of {built.buckets}" in plan and f"SelectedBucketsCount: {built.buckets} out" not in plan
+    assert built.backward.pairs_of(["b7"]).count() == 41
+    # A frontier that is too large to be broadcast comes to the edges' buckets; the edges stay.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = built.around("from_id", seeds(spark, *(f"a{i}" for i in range(1500))))
+        plan = plan_of(joined)
+        assert joined.count() == 1500 and plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    again = Adjacency.open(spark, built.root)
+    assert again.buckets == built.buckets and Adjacency.open(spark, built.root + "x") is None
+    # The hub's edges are several files of one bucket.
+    files = [f for f in built.table("from_id").where("from_id = 'hub'").inputFiles()]
+    assert len(files) > built.buckets
