@@ -25,39 +25,42 @@ class Workspace:
         self.plugins = plugins or builtin().activate(["baseline"])
 
     def index(self, repositories: dict[str, str], view: str = "main") -> dict:
-        """Scan, analyze, resolve and publish {repository: directory}; unchanged input under unchanged plugins is skipped."""
-        files = None
-        for repository, directory in repositories.items():
-            found = source_files.scan(self.spark, directory, repository)
-            files = found if files is None else files.unionByName(found)
-        names, identity = list(repositories), self.plugins.identity()[:16]
-        known = {r.repository: r.fingerprint for r in source_files.state_fingerprint(files).collect()}  # one row a repository
-        prints = {r: f"{known.get(r, 'empty')}-{identity}" for r in names}
-        at = self.store.pointer(view)
-        if at["inputs"] == prints and at["revision"]:
-            return {"revision": at["revision"], "skipped": True}
-        with scratch(self.spark):
-            return self._publish(view, files, names, prints)
-
-    def _publish(self, view: str, files: DataFrame, names: list[str], prints: dict[str, str]) -> dict:
-        found = self.plugins.analyze(files)
+        """Scan, analyze, resolve and publish {repository: directory}, alone on the store; unchanged input under unchanged plugins is skipped."""
+        operation = f"index {view}"
+        with self.store.exclusive(operation):
+            files = None
+            for repository, directory in repositories.items():
+                found = source_files.scan(self.spark, directory, repository)
+                files = found if files is None else files.unionByName(found)
+            names, identity = list(repositories), self.plugins.identity()[:16]
+            known = {r.repository: r.fingerprint for r in source_files.state_fingerprint(files).collect()}  # one row a repository
+            prints = {r: f"{known.get(r, 'empty')}-{identity}" for r in names}
+            at = self.store.pointer(view)
+            if at["inputs"] == prints and at["revision"]:
+                return {"revision": at["revision"], "skipped": True}
+            with scratch(self.spark):
+                return self._publish(view, files, prints, operation)
+
+    def _publish(self, view: str, files: DataFrame, prints: dict[str, str], operation: str) -> dict:
+        found, names = self.plugins.analyze(files), list(prints)
         # Facts that name no repository (schemas, contracts) belong to the first one.
         owned = lambda rows, c: materialize(rows.withColumn("_owner", F.coalesce(_owner(F.col(c), names), F.lit(names[0]))), "owned")
         edges, entities = owned(found.edges.withColumn("ordinal", F.col("evidence")), "from_id"), owned(found.entities, "id")
-        facts = {r: (prints[r], edges.where(F.col("_owner") == r).drop("_owner"), entities.where(F.col("_owner") == r).drop("_owner")) for r in names}
-        return self.store.publish(view, facts, found.overrides, found.bound, found.diagnostics)
+        self.store.lease.renew(operation, self.store.LEASE)
+        out = self.store.publish_owned(view, prints, edges, entities, found.overrides, found.bound, found.diagnostics)
+        self.store.cluster(view)
+        return out
 
     def register(self, name: str, repositories: dict[str, str]) -> None:
         """Remember a workspace's repositories by name."""
         self.store.register(name, repositories)
 
     def index_registered(self, name: str) -> dict:
-        """Index a registered workspace into the view of its name, alone on the store."""
+        """Index a registered workspace into the view of its name."""
         known = self.store.workspaces()
         if name not in known:
             raise ArchgraphError("workspace.not_registered", name)
-        with self.store.exclusive(f"index {name}"):
-            return self.index(known[name], name)
+        return self.index(known[name], name)
 
     def freshness(self, repositories: dict[str, str], view: str = "main") -> dict:
         """``revision, stale, dirty_repositories``: which of the repositories differ from what the view holds."""
@@ -134,8 +137,8 @@ def main(argv: list[str] | None = None) -> int:
     inspect = commands.add_parser("inspect", help="list relations, observations, grpc-bindings or diagnostics of a view")
     inspect.add_argument("what", choices=("relations", "observations", "grpc-bindings", "diagnostics"))
     inspect.add_argument("--view", default="main")
-    gc = commands.add_parser("gc", help="delete states that no view of these names holds")
-    gc.add_argument("views", nargs="*", default=["main"])
+    gc = commands.add_parser("gc", help="delete states that no view holds")
+    gc.add_argument("views", nargs="*", help="all views count, whether named here or not")
     gc.add_argument("--status", action="store_true", help="only list them")
     for kind in ("context", "dependencies", "impact", "trace", "why"):
         one = commands.add_parser(kind)
@@ -176,10 +179,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "gc":
         if args.status:
-            print(*workspace.store.garbage(args.views), sep="\n")
+            print(*workspace.store.garbage(), sep="\n")
             return 0
         with workspace.store.exclusive("gc"):
-            workspace.store.collect_garbage(args.views, progress=lambda done, of: print(f"{done} of {of}"))
+            workspace.store.collect_garbage(progress=lambda done, of: print(f"{done} of {of}"))
         return 0
     if args.command == "context":
         answer = workspace.context(args.entity, args.view)

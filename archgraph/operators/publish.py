@@ -1,25 +1,33 @@
 """Publication of repository states as immutable revisions of a view.
 
-A revision is a directory of Parquet tables; one pointer file for each view names the
-current one, and is replaced by an atomic rename. Readers resolve the pointer once and so
-see one revision; a write that fails leaves the pointer as it was. States are keyed by
+A revision is a directory of Parquet tables and one file in its view's log, under the number
+that follows the revision it was made from. Such a file is created whole or not at all, and
+by one writer only; so of two that start from one revision the second is ``Stale``, and nothing is lost.
+Readers take the largest number once and so see one revision; a write that fails leaves the log as it was. States are keyed by
 their content, and a state that exists is not written again.
+
+Garbage is claimed before it is deleted. A publisher says that it is in flight before it looks at claims, and takes no
+state that is claimed; a claim waits for the publishers that were in flight when it was made, and what
+a view names by then stays. So no state goes between its writing, or its reuse, and its revision.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from functools import reduce
+from urllib.parse import quote, unquote
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ArchgraphError
 from ..functions.ids import identity_text
+from ..plans.adjacency import Adjacency
 from ..schema import DIAGNOSTIC, EDGE, EDGE_COLUMNS, ENTITY, OVERRIDE
+from ..errors import ArchgraphError
+from .files import Files, Flights, Lease, Log, Stale
 
 
 def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -114,95 +122,104 @@ def validate_entities(entities: DataFrame) -> DataFrame:
     return entities.where(~(F.col("kind").isin(*ENTITY_KINDS) & good))
 
 
-class Stale(RuntimeError):
-    """A result was made for inputs that are no longer current."""
-
-
 class Store:
     """Views and their revisions under one directory of any Hadoop file system."""
 
     TABLES = {"observation": EDGE, "entity": ENTITY, "override": OVERRIDE}
+    #: Seconds that a lock is held, and that a publication may take.
+    LEASE, FLIGHT = 900, 6 * 3600
+    #: Log entries of a view that stay, and paths that are deleted before a claim is written anew.
+    ENTRIES, BATCH = 100, 100
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.jvm = spark.sparkContext._jvm
-        self.fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.files = Files(spark, root)
+        self.lease, self.flights = Lease(self.files), Flights(self.files)
 
-    def _path(self, text: str):
-        return self.jvm.org.apache.hadoop.fs.Path(text)
+    def _log(self, view: str) -> Log:
+        return Log(self.files, f"views/{quote(view, safe='')}")
 
-    def _read_text(self, path: str) -> str | None:
-        place = self._path(path)
-        if not self.fs.exists(place):
-            return None
-        stream = self.fs.open(place)
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+    def views(self) -> list[str]:
+        return [unquote(x) for x in self.files.names("views")]
 
     def pointer(self, view: str) -> dict:
         """The view's current revision: revision, states (by repository), inputs, version."""
-        found = self._read_text(f"{self.root}/views/{view}.json")
-        return json.loads(found) if found else {"revision": 0, "states": {}, "inputs": {}, "enrichments": {}}
+        log = self._log(view)
+        return log.load(log.last()) or {"revision": 0, "states": {}, "inputs": {}, "enrichments": {}}
 
-    def _swap(self, view: str, expected: dict, new: dict) -> None:
-        """Replace the pointer, if it still is what was read."""
-        if self.pointer(view) != expected:
+    def _append(self, view: str, before: dict, after: dict) -> None:
+        """Add the revision that follows ``before``; ``Stale`` if another one did."""
+        self.lease.check()
+        if not self._log(view).append(before["revision"], after):
             raise Stale(f"view {view} has moved on")
-        self._replace(f"{self.root}/views/{view}.json", json.dumps(new, sort_keys=True))
-
-    def _replace(self, path: str, text: str) -> None:
-        """Write a file beside ``path``, and rename it to that."""
-        folder, _, name = path.rpartition("/")
-        self.fs.mkdirs(self._path(folder))
-        temporary = self._path(f"{folder}/.{name}.{uuid.uuid4().hex}")
-        out = self.fs.create(temporary)
-        out.write(text.encode())
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
-        context.rename(temporary, self._path(path), options)
 
     def publish(self, view: str, facts: dict[str, tuple[str, DataFrame, DataFrame]], overrides: DataFrame | None = None, extra: DataFrame | None = None, diagnostics: DataFrame | None = None) -> dict:
-        """Publish a revision from {repository: (input fingerprint, edges with ordinal, entities)}; returns the counts of changed facts.
+        """Publish a revision from {repository: (input fingerprint, edges with ordinal, entities)}; returns the counts of changed facts."""
+
+        def owned(k: int) -> DataFrame | None:
+            frames = [x[k].withColumn("_owner", F.lit(r)) for r, x in facts.items()]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
-        A state is its facts' digest; an existing one is reused. With the same states and no
-        overrides or extra edges the revision's data is only a new pointer.
+        return self.publish_owned(view, {r: x[0] for r, x in facts.items()}, owned(1), owned(2), overrides, extra, diagnostics)
+
+    def publish_owned(self, view: str, inputs: dict[str, str], edges: DataFrame | None, entities: DataFrame | None, overrides: DataFrame | None = None, extra: DataFrame | None = None, diagnostics: DataFrame | None = None) -> dict:
+        """Publish a revision of the repositories {name: input fingerprint} from facts with an ``_owner``; returns the counts of changed facts.
+
+        A state is its facts' digest; an existing one is reused. All repositories are validated, digested and
+        written together, so the number of jobs doesn't grow with them. With the same states and no
+        overrides or extra edges the revision's data is only a new log entry.
         """
-        before = self.pointer(view)
-        old = self.observations(before)
-        states, inputs = {}, {}
-        for repository, (fingerprint_, edges, entities) in facts.items():
-            bad = validate_entities(entities).limit(1).collect()
-            if bad:
-                raise ValueError(f"{bad[0].id} has the kind {bad[0].kind!r} with the metadata {bad[0].metadata!r}")
-            if "ordinal" in edges.columns:
-                edges = last_wins(edges, ["from_id", "relation", "to_id"], "ordinal")
-            edges = edges.select(*EDGE_COLUMNS)
-            digest = [fingerprint(x, x.columns).collect() for x in (edges, entities)]
-            state = f"{repository}-{fingerprint_}-" + "-".join(x[0][0][:16] if x else "empty" for x in digest)
-            state = "".join(c if c.isalnum() or c in "-_." else "_" for c in state)
-            states[repository], inputs[repository] = state, fingerprint_
-            if not self.fs.exists(self._path(f"{self.root}/states/{state}/entity/_SUCCESS")):
-                edges.write.mode("overwrite").parquet(f"{self.root}/states/{state}/observation")
-                entities.select("id", "kind", "metadata").write.mode("overwrite").parquet(f"{self.root}/states/{state}/entity")
-        revision = before["revision"] + 1
-        after = before | {"revision": revision, "states": states, "inputs": inputs}
-        # Enrichments whose input is unchanged are carried forward as they are.
-        after["enrichments"] = {k: v for k, v in before["enrichments"].items() if inputs.get(v["repository"]) == v["input"]}
-        folder = f"{self.root}/revisions/{view}/{revision}-{uuid.uuid4().hex}"
-        for name, frame, schema in (("override", overrides, OVERRIDE), ("extra", extra, EDGE), ("diagnostic", diagnostics, DIAGNOSTIC)):
-            after[name] = None
-            if frame is not None:
-                after[name] = f"{folder}/{name}"
-                frame.select(*schema.names).write.parquet(after[name])
-        new = self.observations(after)
-        counts = diff(old, new, ["from_id", "relation", "to_id"], ["evidence", "confidence", "provenance"]).first().asDict()
-        self._swap(view, before, after)
+        with self.flights.flight(self.FLIGHT) as flight:
+            before = self.pointer(view)
+            old = self.observations(before)
+            states = self._write_states(inputs, edges, entities) if inputs else {}
+            revision = before["revision"] + 1
+            after = before | {"revision": revision, "states": states, "inputs": inputs}
+            # Enrichments whose input is unchanged are carried forward as they are.
+            after["enrichments"] = {k: v for k, v in before["enrichments"].items() if inputs.get(v["repository"]) == v["input"]}
+            folder = f"{self.root}/revisions/{quote(view, safe='')}/{revision}-{uuid.uuid4().hex}"
+            for name, frame, schema in (("override", overrides, OVERRIDE), ("extra", extra, EDGE), ("diagnostic", diagnostics, DIAGNOSTIC)):
+                after[name] = None
+                if frame is not None:
+                    after[name] = f"{folder}/{name}"
+                    frame.select(*schema.names).write.parquet(after[name])
+            counts = diff(old, self.observations(after), ["from_id", "relation", "to_id"], ["evidence", "confidence", "provenance"]).first().asDict()
+            self.flights.check(flight)
+            self._append(view, before, after)
         return counts | {"revision": revision}
 
+    def _write_states(self, inputs: dict[str, str], edges: DataFrame, entities: DataFrame) -> dict[str, str]:
+        """The state of each repository; those that aren't there yet are written, each as a whole."""
+        bad = validate_entities(entities).limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0].id} has the kind {bad[0].kind!r} with the metadata {bad[0].metadata!r}")
+        if "ordinal" in edges.columns:
+            edges = last_wins(edges, ["_owner", "from_id", "relation", "to_id"], "ordinal")
+        tables = {"observation": edges.select("_owner", *EDGE_COLUMNS), "entity": entities.select("_owner", "id", "kind", "metadata")}
+        # One row for each repository.
+        digests = [{r["_owner"]: r.fingerprint for r in fingerprint(x, [c for c in x.columns if c != "_owner"], ["_owner"]).collect()} for x in tables.values()]
+        claimed, states = self.claimed(), {}
+        for repository, fingerprint_ in inputs.items():
+            state = f"{repository}-{fingerprint_}-" + "-".join(x[repository][:16] if repository in x else "empty" for x in digests)
+            state = "".join(c if c.isalnum() or c in "-_." else "_" for c in state)
+            states[repository] = f"{state}-{uuid.uuid4().hex[:8]}" if f"states/{state}" in claimed else state
+        new = {r: s for r, s in states.items() if not self.files.exists(f"states/{s}")}
+        if new:
+            made = f"states/.{uuid.uuid4().hex}"
+            names = F.broadcast(self.spark.createDataFrame(list(new.items()), "_owner string, _state string"))  # one row for each repository
+            for name, table in tables.items():
+                table.join(names, "_owner").drop("_owner").write.partitionBy("_state").parquet(f"{self.root}/{made}/{name}")
+            for state in set(new.values()):
+                for name in tables:
+                    part = f"{made}/{name}/_state={state}"
+                    if self.files.exists(part):
+                        self.files.rename(part, f"{made}/whole/{state}/{name}")
+                    else:  # a repository without such facts
+                        self.files.fs.mkdirs(self.files.path(f"{made}/whole/{state}/{name}"))
+                self.files.rename(f"{made}/whole/{state}", f"states/{state}")
+            self.files.delete(made)
+        return states
+
     def enrich(self, view: str, repository: str, analyzer: str, input_fingerprint: str, version: str, overrides: DataFrame, edges: DataFrame | None = None) -> int:
         """Publish one analyzer's result for a repository as a new revision, if the repository still has the input it was made for.
 
@@ -213,17 +230,19 @@ class Store:
         for made in (overrides, edges):
             if made is not None and (out := escapes_target(made, repository).limit(1).collect()):
                 raise ValueError(f"{out[0].from_id} is not of {repository}")
-        before = self.pointer(view)
-        if before["inputs"].get(repository) != input_fingerprint:
-            raise Stale(f"{repository} is no longer at {input_fingerprint}")
-        revision = before["revision"] + 1
-        owner = f"{len(analyzer)}:{analyzer}{repository}"
-        base = f"{self.root}/revisions/{view}/{revision}-{uuid.uuid4().hex}"
-        overrides.select(*OVERRIDE.names).write.parquet(f"{base}/override")
-        if edges is not None:
-            edges.select(*EDGE_COLUMNS).write.parquet(f"{base}/edge")
-        entry = {"repository": repository, "analyzer": analyzer, "version": version, "input": input_fingerprint, "override": f"{base}/override", "edge": f"{base}/edge" if edges is not None else None}
-        self._swap(view, before, before | {"revision": revision, "enrichments": before["enrichments"] | {owner: entry}})
+        with self.flights.flight(self.FLIGHT) as flight:
+            before = self.pointer(view)
+            if before["inputs"].get(repository) != input_fingerprint:
+                raise Stale(f"{repository} is no longer at {input_fingerprint}")
+            revision = before["revision"] + 1
+            owner = f"{len(analyzer)}:{analyzer}{repository}"
+            base = f"{self.root}/revisions/{quote(view, safe='')}/{revision}-{uuid.uuid4().hex}"
+            overrides.select(*OVERRIDE.names).write.parquet(f"{base}/override")
+            if edges is not None:
+                edges.select(*EDGE_COLUMNS).write.parquet(f"{base}/edge")
+            entry = {"repository": repository, "analyzer": analyzer, "version": version, "input": input_fingerprint, "override": f"{base}/override", "edge": f"{base}/edge" if edges is not None else None}
+            self.flights.check(flight)
+            self._append(view, before, before | {"revision": revision, "enrichments": before["enrichments"] | {owner: entry}})
         return revision
 
     def _read(self, paths: list[str], schema) -> DataFrame:
@@ -235,14 +254,26 @@ class Store:
     def entities(self, pointer: dict) -> DataFrame:
         return self._read([f"{self.root}/states/{s}/entity" for s in pointer["states"].values()], ENTITY)
 
+    def _adjacency(self, at: dict) -> str:
+        """Where the clustered edges of a revision lie: revisions with the same facts share them."""
+        facts = [sorted(at["states"].values()), at.get("override"), at.get("extra"), sorted((x["override"], x["edge"] or "") for x in at["enrichments"].values())]
+        return f"adjacency/{hashlib.sha256(json.dumps(facts).encode()).hexdigest()[:32]}"
+
+    def cluster(self, view: str) -> None:
+        """Cluster the current revision's edges both ways, unless they are."""
+        with self.flights.flight(self.FLIGHT):
+            path = self._adjacency(self.pointer(view))
+            if not self.files.exists(path):
+                self.graph(view).clustered(f"{self.root}/{path}")
+
     def graph(self, view: str):
-        """The view's graph at its current revision; the pointer is read once."""
+        """The view's graph at its current revision, which is looked up once; with clustered edges, if it has such."""
         from .graph import Graph
 
         at = self.pointer(view)
         overrides = [x["override"] for x in at["enrichments"].values()] + ([at["override"]] if at.get("override") else [])
         edges = [x["edge"] for x in at["enrichments"].values() if x["edge"]] + ([at["extra"]] if at.get("extra") else [])
-        return Graph(self.observations(at), self._read(overrides, OVERRIDE) if overrides else None, self._read(edges, EDGE) if edges else None, self.entities(at))
+        return Graph(self.observations(at), self._read(overrides, OVERRIDE) if overrides else None, self._read(edges, EDGE) if edges else None, self.entities(at), Adjacency.open(self.spark, f"{self.root}/{self._adjacency(at)}"))
 
     def diagnostics(self, view: str, limit: int | None = None) -> DataFrame:
         """The diagnostics of the view's current revision, in order; at most ``limit``."""
@@ -251,66 +282,79 @@ class Store:
 
         return ordered_diagnostics(self._read([at] if at else [], DIAGNOSTIC), limit)
 
-    def garbage(self, views: list[str], limit: int | None = None, keep: Callable[[str], bool] = lambda s: False) -> list[str]:
-        """The states that no view's pointer names, in order; at most ``limit``."""
-        live = {s for v in views for s in self.pointer(v)["states"].values()}
-        folder = self._path(f"{self.root}/states")
-        found = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        return sorted(s for s in found if s not in live and not keep(s))[:limit]
+    def _live(self) -> set[str]:
+        """What any view's current revision names."""
+        out = set()
+        for view in self.views():
+            at = self.pointer(view)
+            out |= {f"states/{s}" for s in at["states"].values()} | {self._adjacency(at)}
+            named = [at.get(k) for k in ("override", "extra", "diagnostic")] + [x[k] for x in at["enrichments"].values() for k in ("override", "edge")]
+            out |= {x.removeprefix(f"{self.root}/").rpartition("/")[0] for x in named if x}
+        return out
+
+    def _unnamed(self, keep: Callable[[str], bool] = lambda s: False) -> list[str]:
+        """Paths of states, revisions and clustered edges that no view names."""
+        live = self._live()
+        found = [f"states/{s}" for s in self.files.names("states") if not keep(s)] + [f"adjacency/{a}" for a in self.files.names("adjacency")]
+        found += [f"revisions/{v}/{r}" for v in self.files.names("revisions") for r in self.files.names(f"revisions/{v}")]
+        return [x for x in found if x not in live]
+
+    def garbage(self, views: list[str] = (), limit: int | None = None, keep: Callable[[str], bool] = lambda s: False) -> list[str]:
+        """The states that no view's current revision names, in order; at most ``limit``. All views of the store count, those in ``views`` or not."""
+        return sorted(x.removeprefix("states/") for x in self._unnamed(keep) if x.startswith("states/"))[:limit]
 
-    def collect_garbage(self, views: list[str], keep: Callable[[str], bool] = lambda s: False, progress: Callable[[int, int], None] = lambda done, of: None) -> list[str]:
-        """Delete the states that no view's pointer names; returns their names.
+    def claimed(self) -> set[str]:
+        """What is to be deleted, and must not be taken."""
+        return {x for name in self.files.names("gc") for x in (self.files.load(f"gc/{name}") or {"paths": []})["paths"]}
 
-        ``progress`` is told how many are done of how many. What an interrupted collection
-        left is found again by the next.
+    def collect_garbage(self, views: list[str] = (), keep: Callable[[str], bool] = lambda s: False, progress: Callable[[int, int], None] = lambda done, of: None) -> list[str]:
+        """Claim what no view names, and delete what is claimed and has waited for its publishers; returns the names of what went.
+
+        ``progress`` is told how many states are done of how many. A claim that must wait, or that an interrupted collection
+        left, is taken up by the next one.
         """
-        gone = self.garbage(views, keep=keep)
-        progress(0, len(gone))
-        for done, state in enumerate(gone, 1):
-            self.fs.delete(self._path(f"{self.root}/states/{state}"), True)
-            progress(done, len(gone))
-        return gone + self._sweep_revisions(views)
-
-    @contextmanager
-    def exclusive(self, operation: str) -> Iterator[None]:
-        """Hold the store's lock, a file that only one writer can create, for one operation; a second one is refused."""
-        lock = self._path(f"{self.root}/.lock")
-        try:
-            out = self.fs.create(lock, False)
-        except Py4JJavaError as e:
-            raise ArchgraphError("scheduler.unavailable", f"{operation} must wait for {self._read_text(str(lock)) or 'another operation'}") from e
-        try:
-            out.write(operation.encode())
-            out.close()
-            yield
-        finally:
-            self.fs.delete(lock, False)
+        claimed = self.claimed()
+        if new := [x for x in self._unnamed(keep) if x not in claimed]:
+            name = f"gc/{uuid.uuid4().hex}.json"
+            self.files.create(name, {"paths": new, "waits_for": []})
+            # Whoever set out before the claim was there is in flight now; whoever comes later sees it.
+            self.files.replace(name, {"paths": new, "waits_for": self.flights.now()})
+        flying = set(self.flights.now())
+        claims = {n: self.files.load(f"gc/{n}") for n in self.files.names("gc")}
+        ripe = {n: c["paths"] for n, c in claims.items() if c and not flying & set(c["waits_for"])}
+        total, done, gone = sum(x.startswith("states/") for paths in ripe.values() for x in paths), 0, []
+        progress(0, total)
+        for name, paths in sorted(ripe.items()):
+            for at in range(0, len(paths), self.BATCH):
+                live = self._live()
+                for path in paths[at : at + self.BATCH]:
+                    if path not in live:
+                        self.files.delete(path)
+                        gone.append(path.removeprefix("states/"))
+                    if path.startswith("states/"):
+                        done += 1
+                        progress(done, total)
+                self.files.replace(f"gc/{name}", {"paths": paths[at + self.BATCH :], "waits_for": []})
+            self.files.delete(f"gc/{name}")
+        for view in self.views():
+            self._log(view).trim(self.ENTRIES)
+        return sorted(gone)
+
+    def exclusive(self, operation: str):
+        """Hold the store's lock for one operation; a second one is refused until it ends, or its time is over."""
+        return self.lease.hold(operation, self.LEASE)
 
     def workspaces(self) -> dict[str, dict[str, str]]:
         """Registered workspaces: name to {repository: directory}."""
         try:
-            return json.loads(self._read_text(f"{self.root}/workspaces.json") or "{}")
+            return self.files.load("workspaces.json") or {}
         except json.JSONDecodeError as e:
             raise ArchgraphError("workspace.registry_failed", str(e)) from e
 
     def register(self, name: str, repositories: dict[str, str]) -> None:
         """Add or replace a workspace; the registry is replaced as a whole, by a rename."""
         with self.exclusive(f"register {name}"):
-            self._replace(f"{self.root}/workspaces.json", json.dumps(self.workspaces() | {name: repositories}, sort_keys=True))
-
-    def _sweep_revisions(self, views: list[str]) -> list[str]:
-        """Delete the folders of revisions that no view's pointer names; returns their names."""
-        gone = []
-        for view in views:
-            at = self.pointer(view)
-            named = [at.get(k) for k in ("override", "extra", "diagnostic")] + [x[k] for x in at["enrichments"].values() for k in ("override", "edge")]
-            live = {self._path(x).getParent().getName() for x in named if x}
-            folder = self._path(f"{self.root}/revisions/{view}")
-            for x in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
-                if x.getPath().getName() not in live:
-                    self.fs.delete(x.getPath(), True)
-                    gone.append(f"{view}/{x.getPath().getName()}")
-        return sorted(gone)
+            self.files.replace("workspaces.json", self.workspaces() | {name: repositories})
 
 
 def next_revision(revisions: DataFrame) -> DataFrame:
