@@ -15,6 +15,7 @@ from .plans.shared import materialize, scratch
 from .plugins import Active, builtin
 from .schema import DEFAULT_MAX_HOPS, DIAGNOSTIC
 from .sources import files as source_files
+from .sources import trees
 
 
 class Workspace:
@@ -33,7 +34,7 @@ class Workspace:
                 found = source_files.scan(self.spark, directory, repository)
                 files = found if files is None else files.unionByName(found)
             names, identity = list(repositories), self.plugins.identity()[:16]
-            known = {r.repository: r.fingerprint for r in source_files.state_fingerprint(files).collect()}  # one row a repository
+            known = {r.repository: r.fingerprint for r in trees.tree_fingerprint(files).collect()}  # one row a repository
             prints = {r: f"{known.get(r, 'empty')}-{identity}" for r in names}
             at = self.store.pointer(view)
             if at["inputs"] == prints and at["revision"]:
@@ -67,7 +68,7 @@ class Workspace:
         at, identity = self.store.pointer(view), self.plugins.identity()[:16]
         dirty = []
         for repository, directory in sorted(repositories.items()):
-            found = source_files.state_fingerprint(source_files.scan(self.spark, directory, repository)).first()
+            found = trees.tree_fingerprint(source_files.scan(self.spark, directory, repository)).first()
             if at["inputs"].get(repository) != f"{found.fingerprint if found else 'empty'}-{identity}":
                 dirty.append(repository)
         return {"revision": at["revision"], "stale": bool(dirty), "dirty_repositories": dirty}
