@@ -37,10 +37,14 @@ def debounce_capped(changes: DataFrame, quiet: str = QUIET, most: str = MOST, by
     gap = (F.timestamp_diff("MILLISECOND", F.lag("ts").over(order), "ts") > _milliseconds(quiet)).cast("int")
     marked = changes.withColumn("burst", F.sum(F.coalesce(gap, F.lit(0))).over(order))
     times = marked.groupBy(*by, "burst").agg(F.sort_array(F.collect_list("ts")).alias("times"))
-    cut = f"""aggregate(times, cast(array() as array<struct<started: {dict(changes.dtypes)['ts']}, changes: bigint>>), (runs, t) ->
-        if(size(runs) > 0 and timestampdiff(MILLISECOND, element_at(runs, -1).started, t) < {_milliseconds(most)},
-            concat(slice(runs, 1, size(runs) - 1), array(named_struct('started', element_at(runs, -1).started, 'changes', element_at(runs, -1).changes + 1))),
-            concat(runs, array(named_struct('started', t, 'changes', 1L)))))"""
+    kind = dict(changes.dtypes)["ts"]
+    run = f"struct<started: {kind}, changes: bigint>"
+    # A run is added to the list when it is over, so that a change costs no copy of the list.
+    cut = f"""aggregate(times, named_struct('runs', cast(array() as array<{run}>), 'open', cast(null as {run})),
+        (s, t) -> if(s.open is not null and timestampdiff(MILLISECOND, s.open.started, t) < {_milliseconds(most)},
+            named_struct('runs', s.runs, 'open', named_struct('started', s.open.started, 'changes', s.open.changes + 1)),
+            named_struct('runs', if(s.open is null, s.runs, concat(s.runs, array(s.open))), 'open', named_struct('started', t, 'changes', 1L))),
+        s -> concat(s.runs, array(s.open)))"""
     runs = times.select(*by, "burst", F.posexplode(F.expr(cut)).alias("run", "x"))
     return runs.select(*by, "burst", "run", "x.started", "x.changes")
 
