@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans import rules
 from ..plans.adjacency import Adjacency, Direction
+from ..plans.deep import deep_closure
 from ..plans.fixpoint import MAX_ROUNDS, Levels, closure, least_path, levels, seeds
 from ..plans.shared import materialize
 from ..schema import DEFAULT_MAX_HOPS, EDGE_COLUMNS
@@ -206,7 +207,12 @@ def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) ->
     pairs = graph.forward()
     start_ = seeds(pairs.sparkSession, start)
     found = levels(pairs, start_, max_hops)
-    return _answer(graph, start, lambda: graph.at("from_id", closure(pairs, start_) if found.truncated else found.reached), found)
+
+    def every() -> DataFrame:
+        """What lies beyond ``max_hops`` may be deep."""
+        return deep_closure(pairs.pairs() if isinstance(pairs, Direction) else pairs, start_)
+
+    return _answer(graph, start, lambda: graph.at("from_id", every() if found.truncated else found.reached), found)
 
 
 def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import testgraph as G
 from .functions import ids
 from .operators import bench_graphs, graph, publish, resolve
-from .plans import rules
+from .plans import deep, rules
 from .plans.fixpoint import all_pairs_closure
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import jobs
@@ -151,6 +151,20 @@ def clustered_context(spark, sf_dir):
     return found.edges.select("from_id", "to_id", "relation", "confidence", _evidence_text(F.col("evidence")).alias("evidence"))
 
 
+#: Eight chains of orders; each hundredth leads to the head of the next chain, some in the first half back into the middle of their own.
+_DEEP = (
+    "select from_id, to_id from (select o_orderkey as from_id, lead(o_orderkey) over (partition by o_orderkey % 8 order by o_orderkey) as to_id from {orders}) t where to_id is not null "
+    "union all select o_orderkey, h.head from {orders} join (select o_orderkey % 8 as k, min(o_orderkey) as head from {orders} group by o_orderkey % 8) h on h.k = (o_orderkey + 1) % 8 where o_orderkey % 100 = 3 and o_orderkey % 8 < 5"
+)
+
+
+@query(f"with recursive e as ({_DEEP}), r(node) as (select (select min(o_orderkey) from {{orders}} where o_orderkey % 8 = 2) union select e.to_id from r join e on e.from_id = r.node) select node from r")
+def deep_closure_orders(spark, sf_dir):
+    """A closure over chains of thousands of orders in as many rounds as their length has binary digits."""
+    start = G.frame(spark, sf_dir, "select min(o_orderkey) as node from {orders} where o_orderkey % 8 = 2")
+    return deep.deep_closure(G.frame(spark, sf_dir, _DEEP), start)
+
+
 def _trace_sql(graph_sql: str, edges: str, source: str, target: str, most: int) -> str:
     return (
         f"{graph_sql}, {_bfs(edges, chr(39) + source + chr(39), most)}, "

@@ -158,7 +158,7 @@ def state_fingerprints(spark, sf_dir):
 
 
 #: Two inventories of the parts as files: some changed, some only in one.
-_TREE = "select concat('r', p_size % 3) as repository, concat('src/', p_size % 7, '/', p_container, '/f', p_partkey, '.rs') as path, sha2(concat(p_name, {extra}), 256) as digest, p_partkey from {{part}} where {where}"
+_TREE = "select concat('r', p_size % 3) as repository, concat('src/', p_size % 7, '/', p_brand, '/f', p_partkey, '.rs') as path, sha2(concat(p_name, {extra}), 256) as digest, p_partkey from {{part}} where {where}"
 _TREES = tuple(_TREE.format(extra=e, where=w) for e, w in (("''", "p_partkey % 50 <> 3"), ("case when p_partkey % 40 = 7 and p_size % 7 < 3 then 'new' else '' end", "p_partkey % 60 <> 11")))
 _BOTH = "with a as ({}), b as ({}), c as (select coalesce(a.repository, b.repository) as repository, coalesce(a.path, b.path) as path, a.path is not null as old, b.path is not null as new, a.digest is distinct from b.digest as changed from a full join b on a.repository = b.repository and a.path = b.path)".format(*(x.replace("sha2(", "sha256(").replace(", 256)", ")") for x in _TREES))
 
