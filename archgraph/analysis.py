@@ -12,6 +12,7 @@ from .operators import modules, resolve
 from .plans.shared import materialize
 from .schema import DIAGNOSTIC
 from .sources import frameworks, graphql, languages, manifests, protobuf
+from .sources.facts_cache import FactCache
 
 
 @dataclass
@@ -25,12 +26,23 @@ class Analysis:
     diagnostics: DataFrame
 
 
-def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(frameworks.RECOGNIZERS)) -> Analysis:
-    """Facts of rows repository, path, content. Each frontend is one map over its files; resolvers are joins over what those yield."""
-    code = materialize(languages.analyze(files), "code")
-    schema = materialize(graphql.analyze(files), "schema")
+def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(frameworks.RECOGNIZERS), own: dict | None = None, cache: FactCache | None = None) -> Analysis:
+    """Facts of rows repository, path, content. Each frontend is one map over its files; resolvers are joins over what those yield.
+
+    ``own`` are recognizers of plugins, by name; a ``cache`` has the facts of files that were parsed before.
+    """
+
+    def parsed(name: str, pattern: str, parse) -> DataFrame:
+        return materialize(parse(files) if cache is None else cache.facts(files, name, pattern, parse), name)
+
+    own = own or {}
+    code = parsed("code", "|".join(f"(?:{x[0]})" for x in languages.FRONTENDS.values()), languages.analyze)
+    schema = parsed("schema", r"\.(graphql|gql)$", graphql.analyze)
     proto = materialize(protobuf.proto_sources(files), "contracts")
-    found = materialize(frameworks.recognize(files, recognizers), "recognized") if recognizers else None
+    found = None
+    if recognizers or own:
+        patterns = [frameworks.RECOGNIZERS[x][0] for x in recognizers] + [x[0] for x in own.values()]
+        found = parsed("recognized", "|".join(f"(?:{x})" for x in patterns), lambda rows: frameworks.recognize(rows, recognizers, own))
     settled, receivers, imports = modules.resolve_modules(code, files)
     generated = materialize(resolve.macro_uses(code), "macro-uses")
     edges = materialize(modules.settle(languages.edges(code), settled.union(resolve.elixir_calls(code))).unionByName(resolve.csharp_calls(code)).unionByName(generated).unionByName(graphql.edges(schema)).unionByName(graphql.selection_edges(schema)).unionByName(protobuf.edges(proto)), "edges")
@@ -55,7 +67,9 @@ def analyze_workspace(files: DataFrame, recognizers: tuple[str, ...] = tuple(fra
     scripts = entities.where("kind = 'namespace' and id like 'repo://%/csharp/%.cs/%'").select(F.regexp_extract("id", r"/csharp/[^/]*/(.*\.cs)/", 1).alias("path"), "id")
     prefabs, lost = resolve.prefab_scripts(manifests.unity_prefabs(files).where("kind = 'script'").select("prefab", "guid", "evidence"), manifests.unity_metas(files).select("guid", "path"), scripts)
     stitched = resolve.stitched_fields(graphql.stitches(schema), fields.select("id"))
-    bound = rpc.select(*edges.columns)
+    # What a plugin's recognizer says is an edge is one: its role is the relation.
+    said = found.where("sort = 'edge'").select(F.col("local_symbol").alias("from_id"), F.col("role").alias("relation"), F.col("target").alias("to_id"), "evidence", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.lit("ast").alias("provenance"))
+    bound = rpc.select(*edges.columns).union(said.select(*edges.columns))
     for more in (bound_fields, services, lifecycle, prefabs, stitched, frameworks.message_edges(found), frameworks.embedded_calls(found, imports)):
         bound = bound.union(more.select(*edges.columns))
     place = F.regexp_extract("evidence", r"^(.*?)(?::[0-9]+)?$", 1)

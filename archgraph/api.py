@@ -16,6 +16,7 @@ from .plugins import Active, builtin
 from .schema import DEFAULT_MAX_HOPS, DIAGNOSTIC
 from .sources import files as source_files
 from .sources import trees
+from .sources.facts_cache import FactCache
 
 
 class Workspace:
@@ -43,14 +44,15 @@ class Workspace:
                 return self._publish(view, files, prints, operation)
 
     def _publish(self, view: str, files: DataFrame, prints: dict[str, str], operation: str) -> dict:
-        found, names = self.plugins.analyze(files), list(prints)
+        cache = FactCache(self.spark, self.store.root, self.plugins.identity()[:16])
+        found, names = self.plugins.analyze(files, cache), list(prints)
         # Facts that name no repository (schemas, contracts) belong to the first one.
         owned = lambda rows, c: materialize(rows.withColumn("_owner", F.coalesce(_owner(F.col(c), names), F.lit(names[0]))), "owned")
         edges, entities = owned(found.edges.withColumn("ordinal", F.col("evidence")), "from_id"), owned(found.entities, "id")
         self.store.lease.renew(operation, self.store.LEASE)
         out = self.store.publish_owned(view, prints, edges, entities, found.overrides, found.bound, found.diagnostics)
         self.store.cluster(view)
-        return out
+        return out | {"parsed": cache.misses, "cached": cache.hits}
 
     def register(self, name: str, repositories: dict[str, str]) -> None:
         """Remember a workspace's repositories by name."""

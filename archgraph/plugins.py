@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from .analysis import Analysis, analyze_workspace
 from .sources import frameworks
+from .sources.facts_cache import FactCache
 
 
 class WorkspaceAnalyzer(ABC):
@@ -91,11 +92,15 @@ class Active:
         parts = [x for p in self.plugins for x in (p.id, p.version, *(f"{a.id} {a.version}" for a in (*p.analyzers, *p.enrichers)), *sorted(p.recognizers))]
         return hashlib.sha256("".join(f"{len(x.encode())}:{x}" for x in parts).encode()).hexdigest()
 
-    def analyze(self, files: DataFrame) -> Analysis:
-        """All active analyzers' facts together."""
+    def recognizers(self) -> dict:
+        """What plugins recognize besides the built-in analyzer's, by name."""
+        return {name: x for p in self.plugins for name, x in p.recognizers.items() if frameworks.RECOGNIZERS.get(name) is not x}
+
+    def analyze(self, files: DataFrame, cache: FactCache | None = None) -> Analysis:
+        """All active analyzers' facts together; the built-in one runs the plugins' recognizers, too."""
         out = None
         for analyzer in (a for p in self.plugins for a in p.analyzers):
-            found = analyzer.analyze(files)
+            found = analyzer.analyze(files, self.recognizers(), cache) if isinstance(analyzer, BaselineAnalyzer) else analyzer.analyze(files)
             out = found if out is None else Analysis(*(getattr(out, k).unionByName(getattr(found, k)).distinct() for k in ("edges", "entities", "bound", "overrides", "diagnostics")))
         if out is None:
             raise ValueError("no active plugin analyzes files")
@@ -113,8 +118,8 @@ class BaselineAnalyzer(WorkspaceAnalyzer):
     def __init__(self, recognizers: tuple[str, ...] = tuple(frameworks.RECOGNIZERS)) -> None:
         self.recognizers = recognizers
 
-    def analyze(self, files: DataFrame) -> Analysis:
-        return analyze_workspace(files, self.recognizers)
+    def analyze(self, files: DataFrame, own: dict | None = None, cache: FactCache | None = None) -> Analysis:
+        return analyze_workspace(files, self.recognizers, own, cache)
 
 
 def builtin() -> Registry:

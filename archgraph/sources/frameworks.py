@@ -238,9 +238,10 @@ RECOGNIZERS: dict[str, tuple[str, Callable[[str, str, str], list[dict]]]] = {
 }
 
 
-def recognize(files: DataFrame, names: tuple[str, ...] = tuple(RECOGNIZERS)) -> DataFrame:
+def recognize(files: DataFrame, names: tuple[str, ...] = tuple(RECOGNIZERS), own: dict | None = None) -> DataFrame:
     """Rows (``FACTS``) of the chosen recognizers over rows repository, path, content: one map over the files."""
-    chosen = [(re.compile(RECOGNIZERS[x][0]), RECOGNIZERS[x][1]) for x in sorted(names)]
+    every = {x: RECOGNIZERS[x] for x in names} | (own or {})
+    chosen = [(re.compile(every[x][0]), every[x][1]) for x in sorted(every)]
 
     def run(batches):
         for batch in batches:
@@ -249,7 +250,7 @@ def recognize(files: DataFrame, names: tuple[str, ...] = tuple(RECOGNIZERS)) ->
                 rows = [{"repository": repository, "path": path} | r for pattern, find in chosen if pattern.search(path) for r in find(text, repository, path)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    wanted = "|".join(f"(?:{RECOGNIZERS[x][0]})" for x in names)
+    wanted = "|".join(f"(?:{x[0]})" for x in every.values())
     return files.where(F.col("path").rlike(wanted)).select("repository", "path", "content").mapInArrow(run, FACTS)
 
 

@@ -29,6 +29,31 @@ def test_index_query_and_reindex(spark, tmp_path, capsys):
     assert workspace.inspect("calls").count() == 1 and "Physical Plan" in workspace.explain()
 
 
+def test_an_index_parses_changed_files_only_and_runs_recognizers_of_plugins(spark, tmp_path):
+    from archgraph import plugins
+
+    root = tmp_path / "code"
+    (root / "src").mkdir(parents=True)
+    for k in range(8):
+        (root / f"src/m{k}.rs").write_text(f"pub fn f{k}() {{ f{(k + 1) % 8}(); }}\n")
+
+    def notes(text, repository, path):
+        return [{"sort": "edge", "local_symbol": f"repo://{repository}/rust/{path}", "role": "uses", "target": "note://" + line[7:], "evidence": f"{path}:{n}"} for n, line in enumerate(text.splitlines(), 1) if line.startswith("// see ")]
+
+    registry = plugins.builtin()
+    registry.install(plugins.Plugin("notes", "1", recognizers={"notes": (r"\.rs$", notes)}))
+    workspace = api.Workspace(spark, f"file://{tmp_path}/store", registry.activate(["baseline", "notes"]))
+    first = workspace.index({"acme/app": f"file://{root}"})
+    assert first["cached"] == 0 and first["parsed"] == 16  # by the frontend, and by recognizers
+    (root / "src/m3.rs").write_text("// see manual\npub fn f3() { f5(); }\n")
+    second = workspace.index({"acme/app": f"file://{root}"})
+    assert (second["parsed"], second["cached"]) == (2, 14)
+    key = lambda w: sorted((r.from_id, r.relation, r.to_id, r.evidence) for r in w.graph().effective().collect())
+    assert ("repo://acme/app/rust/src/m3.rs", "uses", "note://manual", "src/m3.rs:1") in key(workspace)
+    whole = api.Workspace(spark, f"file://{tmp_path}/other", registry.activate(["baseline", "notes"]))
+    assert whole.index({"acme/app": f"file://{root}"})["parsed"] == 16 and key(whole) == key(workspace)
+
+
 def test_index_across_repositories(spark, tmp_path, capsys):
     """A call from Elixir over a contract to Rust, and what can't be bound, through a store."""
     from test_frameworks import ELIXIR, SERVER
