@@ -19,11 +19,9 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
    for each key that lines are filed under, and only what meets another line is written. Where several
    lines are filed under a key, those of one leader never meet each other, so the lines that aren't of the key's most
    frequent leader are what costs. Up to ``BOUND`` of them under a key meet all of its lines.
-   Under any other key, as the words of a template make it, the *rest* of each line,
-   without the segment that they share, is cut into ``max_edits + 1`` segments again, and
-   lines meet under key and segment of the rest only; and so on until keys tell the lines apart. (Two
-   lines within ``max_edits`` that agree on a segment at one of its allowed places are so on their rests.)
-   A rest of up to ``max_edits`` code points is filed under each of them.
+   Under any other key, as the words of a template make it, lines are filed again, by parts of
+   their counts of letters: of ``2 * max_edits + 2`` parts of the counts' bits two near lines agree on two at least, and
+   meet only there, under the first two that they agree on. What is left are lines that agree on a segment and on most letters.
 5. Pairs are compared by the counts of letters, which an edit hardly changes; then common
    ends are stripped, and a banded bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
    of the band is one step on two bit vectors of 2 * max_edits + 1 bits. The first columns
@@ -32,7 +30,7 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
    first are to be removed.
 
 Defined cases: very long lines and texts are cut and compared whole; lines of one template, however many, are
-compared only where parts of what the template leaves open agree; null texts are one empty line; lines without a character other than white
+compared only where their letters agree, too; null texts are one empty line; lines without a character other than white
 space are never judged, and stay; rows with one doc_id and different texts are different
 documents, told apart by the text's hash, and rows that are alike in both are one; null ids sort
 first; an empty table gives no rows; other columns pass through no further, whatever their names.
@@ -76,10 +74,10 @@ def bags_near(a: str, b: str, max_edits: int) -> str:
     return f"bit_count({a} ^ {b}) <= {2 * max_edits}"
 
 
-#: So many lines of a key meet all others under it; a key with more is told apart by the rests of its lines.
+#: So many lines of a key meet all others under it; a key with more is told apart by letters.
 BOUND = 16
-#: Rows of a key that such lines meet in one task.
-PART = 1024
+#: Rows of a key that others meet in one task.
+PART = 512
 
 
 def placed(max_edits: int, delta: str, i: str) -> tuple[str, str]:
@@ -108,12 +106,6 @@ def _place_table(max_edits: int, all_: bool = True) -> str:
     return "array(" + ", ".join(f"named_struct('delta', {d}, 'i', {i}, 'shift', {s}, 'filed', {str(f).lower()}, 'edits', {max_edits})" for d, i, s, f in rows) + ")"
 
 
-#: A place as one number: what ``_placed_at`` reads back.
-PLACE = "cast((((edits * 8 + delta) * 16 + i) * 32 + shift + 16) * 2 + cast(filed as int) as int)"
-FILED = "place % 2 = 1"
-_PLACED_AT = tuple(f"cast({x} as int) as {name}" for x, name in (("place div 8192", "edits"), ("place div 1024 % 8", "delta"), ("place div 64 % 16", "i"), ("place div 2 % 32 - 16", "shift"))) + (f"{FILED} as filed",)
-
-
 def _cut(edits: str) -> tuple[str, str]:
     """SQL for (start, size) of the place (delta, i, shift) of a line of ``n`` code points."""
     start, size = placed(int(edits), "delta", "i")
@@ -130,7 +122,7 @@ def _by_edits(max_edits: int) -> tuple[str, str]:
 
 
 def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -> DataFrame:
-    """``h, place, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
+    """``h, filed, key``: what each line is filed under, and unless not ``all_`` what else it looks under.
 
     A line looks under the keys it is filed under too. One small expression over a generator
     of places, which compiles well. Lines of under ``min_chars`` are cut into fewer segments;
@@ -142,11 +134,11 @@ def _keys(lines: DataFrame, max_edits: int, min_chars: int, all_: bool = True) -
     each = lines.select("h", "line", "n", F.expr(f"inline({rows})"))
     each = each.where(f"if(n - delta >= {min_chars}, edits = {max_edits}, edits = {short_edits} and n - delta >= {SHORT_CHARS})" if short_edits < max_edits else f"n - delta >= {min(SHORT_CHARS, min_chars)}")
     start, size = _by_edits(max_edits)
-    each = each.selectExpr("h", "line", "n", "delta", "i", f"{PLACE} as place", f"{start} as start", f"{size} as size")
+    each = each.selectExpr("h", "line", "n", "delta", "i", "filed", f"{start} as start", f"{size} as size")
     each = each.where("start >= 1 and start + size - 1 <= n")
     # Of a line without wider characters the bytes are cut out, which needs no count of those before them.
     part = "if(octet_length(line) = n, substring(cast(line as binary), start, size), cast(substring(line, start, size) as binary))"
-    return each.selectExpr("h", "place", f"xxhash64(i, n - delta, {part}) as key")
+    return each.selectExpr("h", "filed", f"xxhash64(i, n - delta, {part}) as key")
 
 
 def allowed(a: str, b: str, max_edits: int, min_chars: int) -> str:
@@ -228,8 +220,8 @@ def verified(pairs: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
 
 def line_links(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``a, b``: the MD5 digests of different lines that are near; they connect whatever all such pairs connect."""
-    if not 0 <= max_edits < min(min_chars, 8):
-        raise ValueError("lines that can be near need more characters than edits, of which there are 7 at most")
+    if not 0 <= max_edits < min_chars:
+        raise ValueError("lines that can be near need more characters than edits")
     long_ = occurrences(docs).where(F.char_length("line") >= min(SHORT_CHARS, min_chars))
     hashed = long_.select(F.xxhash64("line").alias("h"), F.struct(F.unhex(F.md5("line")).alias("id"), F.col("line")).alias("x"))
     # Two lines with one 64-bit hash both stay.
@@ -290,24 +282,11 @@ def _links_of(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     # Each key is met by at most one row there, so this join gives no more rows than lines have
     # keys, and few: of a key with one filed line those of other lines, and all of the others.
     hits = _keys(lines, max_edits, min_chars).join(filed, "key").where("n > 1 or h <> least")
-    hits = _table(hits.select("key", "n", "h", "least", "place"), "hits", n_lines)
+    hits = _table(hits.select("key", "n", "h", "least", "filed"), "hits", n_lines)
     # The lines that any step below compares, in one look at all.
     texts = _table(_texts(lines, hits.select("h").union(hits.select("least"))), "texts", n_lines)
     search = _Search(texts, max_edits, min_chars)
-    hot = search.compare(search.meet(hits.withColumn("filed", F.expr(FILED)), n_lines), n_lines)
-    if hot is not None:
-        # The first rests are cut from the lines themselves.
-        asked = hot.join(texts.select("h", "line"), "h").selectExpr("key", "h", "line", "char_length(line) as n", *_PLACED_AT)
-        start, size = _by_edits(max_edits)
-        hot = asked.selectExpr("key", "h", "filed", "delta", "edits", "line as rest", f"{start} as start", f"{size} as size")
-    while hot is not None:
-        rests = hot.selectExpr("key", "h", "filed", "delta", "edits", "concat(substring(rest, 1, start - 1), substring(rest, start + size)) as rest")
-        keyed = materialize(_rest_keys(rests, max_edits), "rest-keys")
-        n_keyed = keyed.count()
-        # Here, too, a key is met by one row at most.
-        filed = _table(_filed(keyed.where("filed")).withColumn("weight", F.col("n")), "filed-rests", n_keyed)
-        met = _table(look_up(keyed, filed, ["key"], "weight", n_keyed).where("n > 1 or h <> least"), "rest-hits", n_keyed)
-        hot = search.compare(search.meet(met, n_keyed), n_keyed)
+    search.compare(search.meet(hits, n_lines), n_lines)
     return search.links()
 
 
@@ -322,24 +301,24 @@ class _Search:
     def _near(self, pairs: DataFrame) -> DataFrame:
         return _near(pairs.distinct(), self.texts, self.max_edits, self.min_chars)
 
+    def _add(self, pairs: DataFrame) -> None:
+        """Each step's links are a table, so that no plan holds more than one step."""
+        self.near.append(materialize(self._near(pairs), "links"))
+
     def meet(self, hits: DataFrame, n_rows: int) -> DataFrame:
-        """Tie the lines under a key with several filed ones to the smallest of these, and compare those that meet one line only.
+        """Tie the lines filed under a key to its smallest, and compare those that meet one line only.
 
         Returns the rows under keys with several filed lines, with their leaders.
         """
-        # Also those that look under it: of rests that are too short to tell them apart all are near to the smallest.
-        ties = hits.where("n > 1 and h <> least").selectExpr("h as ha", "least as hb")
+        ties = hits.where("n > 1 and filed and h <> least").selectExpr("h as ha", "least as hb")
         self.stars.append(materialize(self._near(ties), "stars"))
         tied = _tied(self.stars, n_rows)
         single = hits.where("n = 1").selectExpr("least(h, least) as ha", "greatest(h, least) as hb").distinct()
-        self.near.append(self._near(_led(_led(single, tied, "ha", "la"), tied, "hb", "lb").where("la <> lb").select("ha", "hb")))
+        self._add(_led(_led(single, tied, "ha", "la"), tied, "hb", "lb").where("la <> lb").select("ha", "hb"))
         return _table(_led(hits.where("n > 1").drop("n", "least"), tied, "h", "led_by").withColumnRenamed("led_by", "leader"), "shared-rows", n_rows)
 
-    def compare(self, rows: DataFrame, n_rows: int) -> DataFrame | None:
-        """Compare the lines that meet under keys with few lines apart from one leader's.
-
-        Returns the rows of the other keys, or none if there are no such.
-        """
+    def compare(self, rows: DataFrame, n_rows: int) -> None:
+        """Compare the lines under keys with several filed lines that differ in their leader."""
         by_leader = rows.groupBy("key", "leader").agg(F.count("*").alias("m"), F.count_if("filed").alias("f"))
         keys = by_leader.groupBy("key").agg(F.sum("m").alias("m"), F.max_by("leader", F.struct("m", "leader")).alias("most"), F.max("m").alias("top"), F.sum("f").alias("f"))
         # Lines of one leader never need to meet.
@@ -351,9 +330,35 @@ class _Search:
         one = cool.where("leader <> most").selectExpr("key", f"explode(sequence(0, {salts} - 1)) as salt", "h as h1", "leader as l1", "filed as f1")
         other = cool.selectExpr("key", f"cast(pmod(h, {salts}) as int) as salt", "h as h2", "leader as l2", "filed as f2")
         pairs = one.hint("merge").join(other, ["key", "salt"]).where("(f1 or f2) and l1 <> l2")
-        self.near.append(self._near(pairs.selectExpr("least(h1, h2) as ha", "greatest(h1, h2) as hb")))
-        hot = known.where("hot").drop("m", "most", "hot", "leader")
-        return None if hot.isEmpty() else hot
+        self._add(pairs.selectExpr("least(h1, h2) as ha", "greatest(h1, h2) as hb"))
+        self._compare_by_letters(known.where("hot").selectExpr("key", "h", "leader", "leader <> most as rare", "filed"))
+
+    def _compare_by_letters(self, rows: DataFrame) -> None:
+        """Compare the lines under a key that agree on two parts of their letters' bits.
+
+        What compares them is the join's own condition, so that pairs which are many and not near are
+        neither written nor moved.
+        """
+        near = f"{bags_near('bag_a', 'bag_b', self.max_edits)} and {within('line_a', 'line_b', self.max_edits, self.min_chars)}"
+        self.near.append(materialize(self._letter_pairs(rows).where(near).selectExpr("id_a as a", "id_b as b"), "links"))
+
+    def _letter_pairs(self, rows: DataFrame) -> DataFrame:
+        """The pairs to compare, each under the first two parts that it agrees on."""
+        masks = _parts(self.max_edits)
+        choices = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y}, 'mask', {masks[x] | masks[y]}L)" for x in range(len(masks)) for y in range(x + 1, len(masks))) + ")"
+        met = rows.join(self.texts.select("h", "bag"), "h").selectExpr("*", f"inline({choices})").selectExpr("xxhash64(key, x, y, bag & mask) as sub", "x", "y", "h", "leader", "rare", "filed")
+        met = materialize(met, "described")
+        groups = met.groupBy("sub").agg(F.count("*").alias("weight"), F.count_if("rare").alias("r"), F.count_if("filed").alias("f"), F.min("leader").alias("low"), F.max("leader").alias("high"))
+        groups = materialize(groups.where("r > 0 and f > 0 and low < high").selectExpr("sub", "weight", "weight as m"), "described")
+        found = look_up(met, groups, ["sub"], "weight", met.count()).where("m is not null")
+        found = materialize(found.join(self.texts, "h").selectExpr("*", f"cast(ceil(m / {PART}) as int) as salts"), "described")
+        a, b = (tuple(f"{c} as {c}_{k}" for c in ("h", "id", "line", "bag", "leader", "rare", "filed")) for k in "ab")
+        one = found.where("rare").selectExpr("sub", "x", "y", "explode(sequence(0, salts - 1)) as salt", *a)
+        other = found.selectExpr("sub", "cast(pmod(h, salts) as int) as salt", *b)
+        # Two rare lines meet twice.
+        once = "(filed_a or filed_b) and leader_a <> leader_b and (not rare_b or h_a < h_b)"
+        agreed = f"filter(sequence(0, {len(masks) - 1}), k -> (bag_a ^ bag_b) & element_at(array({', '.join(f'{m}L' for m in masks)}), k + 1) = 0L)"
+        return one.hint("merge").join(other, ["sub", "salt"]).where(f"{once} and slice({agreed}, 1, 2) = array(x, y)")
 
     def links(self) -> DataFrame:
         """``a, b`` of all links."""
@@ -363,29 +368,14 @@ class _Search:
         return out
 
 
-def _rest_keys(rests: DataFrame, max_edits: int) -> DataFrame:
-    """``key, h, filed, delta, edits, rest, start, size``: what the rests of lines under a key are filed and looked for under.
+def _parts(max_edits: int) -> list[int]:
+    """Masks, as signed longs, of parts of the bits of letter counts: so many that near lines, which differ in few bits, agree on two.
 
-    ``delta`` is by how much a rest is longer than those that are filed under its key. A filed
-    rest of up to ``edits`` code points has a segment for each: a longer one that is near keeps some of them.
+    Counts are dealt out in turn, so that frequent letters are in different parts.
     """
-    tables = {e: [(d, _places_of(e, d)) for d in range(e + 1)] for e in sorted({min(SHORT_EDITS, max_edits), max_edits})}
-    kind = "array<struct<i: int, shift: int>>"
-    cases = " ".join(f"when edits = {e} and delta = {d} then {rows}" for e, found in tables.items() for d, rows in found)
-    each = rests.selectExpr("*", "char_length(rest) as n")
-    far = each.where("n - delta > edits").selectExpr("*", f"inline(cast(case {cases} end as {kind}))")
-    start, size = _by_edits(max_edits)
-    far = far.selectExpr("key", "h", "filed and shift = 0 as filed", "delta", "edits", "rest", "n", "i", f"{start} as start", f"{size} as size").where("start >= 1 and start + size - 1 <= n")
-    close = each.where("n - delta <= edits and n > delta").selectExpr("*", "explode(sequence(1, n - delta)) as i").selectExpr("*", "explode(sequence(1, n)) as start")
-    close = close.selectExpr("key", "h", "filed and start = i as filed", "delta", "edits", "rest", "n", "i", "cast(start as int) as start", "1 as size")
-    # Nothing is left of a filed rest: all lines under its key are one line and its neighbours.
-    none = each.where("n = delta").selectExpr("key", "h", "filed", "delta", "edits", "rest", "n", "0 as i", "1 as start", "0 as size")
-    out = far.union(close).union(none)
-    return out.selectExpr("xxhash64(key, i, n - delta, substring(rest, start, size)) as key", "h", "filed", "delta", "edits", "rest", "start", "size")
-
-
-def _places_of(max_edits: int, delta: int) -> str:
-    return "array(" + ", ".join(f"named_struct('i', {i}, 'shift', {s})" for d, i, s in places(max_edits) if d == delta) + ")"
+    n = 2 * max_edits + 2
+    bits = (sum(3 << 2 * c for c in range(k, 32, n)) for k in range(n))
+    return [x - (1 << 64) if x >> 63 else x for x in bits]
 
 
 def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
