@@ -12,7 +12,7 @@ Defined cases: a null text has no words, and fails the base rules as an empty on
 rows with repeated ids are judged one by one, and the
 forest counts one of them; other columns, whatever their names, pass through ``keep_good`` only; without labelled rows, or with labels of one
 kind only, there is nothing to calibrate, and the base rules decide alone; null labels
-are ignored.
+are ignored; an empty table gives no rows; very long texts are measured whole; of rows whose score is the threshold all stay.
 """
 
 from __future__ import annotations
