@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import ArchgraphError
 from .operators import graph, render
+from .operators.enrichment import Enrichments
 from .operators.publish import Store
 from .plans.shared import materialize, scratch
 from .plugins import Active, builtin
@@ -65,6 +66,16 @@ class Workspace:
             raise ArchgraphError("workspace.not_registered", name)
         return self.index(known[name], name)
 
+    def enrichments(self) -> Enrichments:
+        """The jobs of the active plugins' enrichers."""
+        return Enrichments(self.store, self.plugins.enrichers())
+
+    def enrich(self, view: str = "main") -> dict[str, int]:
+        """Run the active plugins' enrichers for what they haven't seen; returns how many jobs came to which state."""
+        jobs = self.enrichments()
+        jobs.request(view)
+        return jobs.run(view)
+
     def freshness(self, repositories: dict[str, str], view: str = "main") -> dict:
         """``revision, stale, dirty_repositories``: which of the repositories differ from what the view holds."""
         at, identity = self.store.pointer(view), self.plugins.identity()[:16]

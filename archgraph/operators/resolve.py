@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans.fixpoint import all_pairs_closure, fixpoint
+from ..plans.shared import materialize
 from ..schema import EXACT, INFERRED
 
 
@@ -345,6 +346,32 @@ def member_lookup(members: DataFrame, extends: DataFrame) -> DataFrame:
     return chain.join(members.selectExpr("type as base", "name", "target"), "base").groupBy("type", "name").agg(F.min_by("target", "depth").alias("target"))
 
 
+def receiver_types(chains: DataFrame, bindings: DataFrame, fields: DataFrame) -> DataFrame:
+    """``scope, owner, type`` of each receiver chain ``a.b.c`` whose every part has a type.
+
+    ``chains``: scope, owner, parts (array); an owner is a call, or a name whose initial value the chain is, so that
+    another chain of the scope may begin with it. ``bindings``: scope, name, type, one row for each name of a scope that is declared with a type;
+    ``fields``: type, name, target, of members and of what calls return. Rows of the fixpoint are typed prefixes:
+    each is worked out once, so names that are defined by each other end without a type.
+    """
+    chains = materialize(chains.select("scope", "owner", "parts", F.get("parts", F.lit(0)).alias("head")), "chains")
+    sized = chains.select("scope", "owner", "parts")
+    fields = fields.groupBy("type", "name").agg(F.min("target").alias("target"))
+    declared = chains.join(bindings.select("scope", F.col("name").alias("head"), "type"), ["scope", "head"])
+    seed = declared.select("scope", "owner", F.lit(1).alias("k"), "type")
+    waiting = chains.join(bindings.select("scope", F.col("name").alias("head")), ["scope", "head"], "left_anti").select("scope", "owner", "head")
+
+    def step(new: DataFrame) -> DataFrame:
+        at = new.join(sized, ["scope", "owner"])
+        onward = at.where("k < size(parts)").select("scope", "owner", "k", "type", F.get("parts", F.col("k")).alias("name"))
+        onward = onward.join(fields, ["type", "name"]).select("scope", "owner", (F.col("k") + 1).alias("k"), F.col("target").alias("type"))
+        known = at.where("k = size(parts)").select("scope", F.col("owner").alias("head"), "type")
+        return onward.union(known.join(waiting, ["scope", "head"]).select("scope", "owner", F.lit(1).alias("k"), "type"))
+
+    typed = fixpoint(seed, step, ["scope", "owner", "k"], "receivers")
+    return typed.join(sized, ["scope", "owner"]).where("k = size(parts)").select("scope", "owner", "type")
+
+
 def resolve_providers(provides: DataFrame, imports: DataFrame) -> DataFrame:
     """``module, token, target`` where exactly one provider of a token is visible.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EDGE
-from .shared import delete_path, exists, rename_path, shared_path
+from .shared import delete_path, exists, materialize, rename_path, scratch, shared_path
 
 #: Nodes that are looked up by their ids in a filter.
 INLINE = 1000
@@ -54,8 +54,11 @@ class Adjacency:
         root = root or shared_path(spark, "adjacency")
         buckets = buckets or buckets_for(edges)
         made = f"{root}.{uuid.uuid4().hex}"
-        for end in ENDS:
-            _write(edges, f"{made}/{end}", end, buckets)
+        with scratch(spark):
+            edges = materialize(edges.select(*EDGE.names, "direct"), "edges")
+            n_edges = edges.count()
+            for end in ENDS:
+                _write(edges, n_edges, f"{made}/{end}", end, buckets)
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{made}/buckets")
         if not rename_path(spark, made, root):
             delete_path(spark, made)  # another writer made the same
@@ -115,10 +118,10 @@ class Direction:
         return self._pairs(self.adjacency.at(self.start, nodes))
 
 
-def _write(edges: DataFrame, path: str, end: str, buckets: int) -> None:
+def _write(edges: DataFrame, n_edges: int, path: str, end: str, buckets: int) -> None:
     spark = edges.sparkSession
     counts = edges.groupBy(end).agg(F.count("*").alias("_n"))
-    hubs = counts.where(F.col("_n") * buckets > edges.count()).select(end, F.lit(True).alias("_hub"))
+    hubs = counts.where(F.col("_n") * buckets > n_edges).select(end, F.lit(True).alias("_hub"))
     spread = F.when(F.col("_hub"), F.pmod(F.xxhash64(*EDGE.names), F.lit(buckets))).otherwise(0)
     dealt = edges.join(F.broadcast(hubs), end, "left").repartition(buckets, F.pmod(F.hash(end), F.lit(buckets)), spread)  # fewer hubs than buckets
     name = f"archgraph_adjacency_{uuid.uuid4().hex}"

@@ -294,3 +294,26 @@ def selected_states(spark, sf_dir):
     from .plans import rules
 
     return rules.selected_states(G.frame(spark, sf_dir, _OBSERVED), G.frame(spark, sf_dir, _VIEW))
+
+
+#: Types with four fields each; names that are declared, defined by others (some by each other), and calls on chains of up to five parts.
+_FIELDS = "select concat('T', n) as type, concat('f', j) as name, concat('T', (n * 7 + j * 5 + 3) % 40) as target from (select distinct p_size % 40 as n from {part}) a cross join (select 0 as j union all select 1 union all select 2 union all select 3) b where (n + j) % 9 <> 4"
+_BINDINGS = "select distinct concat('s', p_partkey % 20) as scope, concat('v', p_partkey % 60) as name, concat('T', p_partkey % 40) as type from {part} where p_partkey % 3 = 0 and p_partkey <= 60"
+_PARTS = (
+    "select concat('s', p_partkey % 20) as scope, concat('x', p_partkey) as owner, case p_partkey % 8 when 0 then concat('x', p_partkey + 20) when 4 then concat('x', p_partkey - 20) when 1 then concat('x', p_partkey + 20) when 6 then concat('x', p_partkey + 20) else concat('v', p_partkey % 60) end as head, "
+    "p_partkey % 5 as more, concat('f', p_size % 4) as f1, concat('f', p_partkey % 4) as f2, concat('f', (p_size + p_partkey) % 4) as f3, concat('f', p_size % 3) as f4 from {part}"
+)
+
+
+@query(f"""with recursive f as ({_FIELDS}), b as ({_BINDINGS}), c as (select scope, owner, ([head, f1, f2, f3, f4])[1:1 + more] as parts from ({_PARTS})),
+    r(scope, owner, k, type) as (
+        select c.scope, c.owner, 1, b.type from c join b on b.scope = c.scope and b.name = c.parts[1]
+        union select n.scope, n.owner, case when r.k < len(me.parts) then r.k + 1 else 1 end, case when r.k < len(me.parts) then f.target else r.type end
+        from r join c me on me.scope = r.scope and me.owner = r.owner
+            join c n on n.scope = r.scope and ((r.k < len(me.parts) and n.owner = r.owner) or (r.k = len(me.parts) and n.parts[1] = r.owner and not exists (select 1 from b where b.scope = n.scope and b.name = n.parts[1])))
+            left join f on f.type = r.type and f.name = me.parts[r.k + 1] and r.k < len(me.parts)
+        where r.k = len(me.parts) or f.target is not null)
+    select r.scope, r.owner, r.type from r join c using (scope, owner) where r.k = len(c.parts)""")
+def receiver_chains(spark, sf_dir):
+    parts = G.frame(spark, sf_dir, _PARTS).selectExpr("scope", "owner", "slice(array(head, f1, f2, f3, f4), 1, 1 + cast(more as int)) as parts")
+    return resolve.receiver_types(parts, G.frame(spark, sf_dir, _BINDINGS), G.frame(spark, sf_dir, _FIELDS))
