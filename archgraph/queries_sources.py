@@ -158,13 +158,13 @@ def state_fingerprints(spark, sf_dir):
 
 
 #: Two inventories of the parts as files: some changed, some only in one.
-_TREE = "select concat('r', p_size % 3) as repository, concat('src/', p_size % 7, '/', p_brand, '/f', p_partkey, '.rs') as path, sha2(concat(p_name, {extra}), 256) as digest, p_partkey from {{part}} where {where}"
-_TREES = tuple(_TREE.format(extra=e, where=w) for e, w in (("''", "p_partkey % 50 <> 3"), ("case when p_partkey % 40 = 7 and p_size % 7 < 3 then 'new' else '' end", "p_partkey % 60 <> 11")))
-_BOTH = "with a as ({}), b as ({}), c as (select coalesce(a.repository, b.repository) as repository, coalesce(a.path, b.path) as path, a.path is not null as old, b.path is not null as new, a.digest is distinct from b.digest as changed from a full join b on a.repository = b.repository and a.path = b.path)".format(*(x.replace("sha2(", "sha256(").replace(", 256)", ")") for x in _TREES))
+_INVENTORY = "select concat('r', p_size % 3) as repository, concat('src/', p_size % 7, '/', p_brand, '/f', p_partkey, '.rs') as path, sha2(concat(p_name, {extra}), 256) as digest, p_partkey from {{part}} where {where}"
+_INVENTORIES = tuple(_INVENTORY.format(extra=e, where=w) for e, w in (("''", "p_partkey % 50 <> 3"), ("case when p_partkey % 40 = 7 and p_size % 7 < 3 then 'new' else '' end", "p_partkey % 60 <> 11")))
+_BOTH = "with a as ({}), b as ({}), c as (select coalesce(a.repository, b.repository) as repository, coalesce(a.path, b.path) as path, a.path is not null as old, b.path is not null as new, a.digest is distinct from b.digest as changed from a full join b on a.repository = b.repository and a.path = b.path)".format(*(x.replace("sha2(", "sha256(").replace(", 256)", ")") for x in _INVENTORIES))
 
 
 def _trees(spark, sf_dir):
-    return [trees.directory_digests(G.frame(spark, sf_dir, x).select("repository", "path", trees.file_digest(F.col("path"), F.col("digest")).alias("digest"))) for x in _TREES]
+    return [trees.directory_digests(G.frame(spark, sf_dir, x).select("repository", "path", trees.file_digest(F.col("path"), F.col("digest")).alias("digest"))) for x in _INVENTORIES]
 
 
 @query(f"""{_BOTH}, s as (select *, string_split(path, '/') as parts from c), d as (select repository, array_to_string(parts[1:k], '/') as directory, old, new, changed from (select *, unnest(range(0, len(parts))) as k from s) t)
@@ -176,7 +176,7 @@ def changed_directories(spark, sf_dir):
 
 @query(f"{_BOTH} select repository, path, case when not old then 'created' when not new then 'deleted' else 'changed' end as kind from c where changed")
 def inventory_changes(spark, sf_dir):
-    return trees.changed_files(*(G.frame(spark, sf_dir, x) for x in _TREES))
+    return trees.changed_files(*(G.frame(spark, sf_dir, x) for x in _INVENTORIES))
 
 
 _CACHED = "select sha256(concat(p_name, p_partkey)) as sha, concat('v', p_size % 2) as version from part where p_size % 3 = 0"
