@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import graphql, languages
 from .languages import blank_cs, blank_elixir, blank_rust, blank_ts
+from .mapping import batches_of, dealt
 
 FACTS = "repository string, path string, sort string, local_symbol string, role string, service string, method string, field string, parent string, target string, evidence string, confidence double"
 _NAMES = [x.split()[0] for x in FACTS.split(", ")]
@@ -248,10 +249,10 @@ def recognize(files: DataFrame, names: tuple[str, ...] = tuple(RECOGNIZERS), own
             for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 text = bytes(content or b"").decode("utf-8", "replace")
                 rows = [{"repository": repository, "path": path} | r for pattern, find in chosen if pattern.search(path) for r in find(text, repository, path)]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield rows
 
     wanted = "|".join(f"(?:{x[0]})" for x in every.values())
-    return files.where(F.col("path").rlike(wanted)).select("repository", "path", "content").mapInArrow(run, FACTS)
+    return dealt(files.where(F.col("path").rlike(wanted)).select("repository", "path", "content")).mapInArrow(lambda batches: batches_of(run(batches), _ARROW), FACTS)
 
 
 def imported_parents(facts: DataFrame) -> DataFrame:

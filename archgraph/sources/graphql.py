@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_COLUMNS
+from .mapping import batches_of, dealt
 
 FACTS = "repository string, path string, sort string, id string, kind string, metadata string, from_id string, relation string, to_id string, evidence string, confidence double, provenance string"
 _ARROW = pa.schema([(n, pa.float64() if n == "confidence" else pa.string()) for n in (x.split()[0] for x in FACTS.split(", "))])
@@ -298,32 +299,19 @@ def document_facts(text: str, repository: str, path: str) -> list[dict]:
     return _Schema(repository, path).read(text)
 
 
-#: Facts are handed on in batches of about so many, whatever number a file has.
-BATCH_FACTS = 10_000
-
-
-def _batch(facts: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.get(f.name) for x in facts], f.type) for f in _ARROW], schema=_ARROW)
+def _found(batches):
+    for batch in batches:
+        for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            yield document_facts(bytes(content or b"").decode("utf-8", "replace"), repository, path)
 
 
 def _run(batches):
-    for batch in batches:
-        facts = []
-        for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            facts += document_facts(bytes(content or b"").decode("utf-8", "replace"), repository, path)
-            if len(facts) >= BATCH_FACTS:
-                yield _batch(facts)
-                facts = []
-        if facts:
-            yield _batch(facts)
+    return batches_of(_found(batches), _ARROW)
 
 
 def analyze(files: DataFrame) -> DataFrame:
-    """Facts (``FACTS``) of the GraphQL files among rows repository, path, content.
-
-    Files are dealt out by name first, as reading them costs far more than moving them, and many small ones may lie in few partitions.
-    """
-    return files.where(F.col("path").rlike(r"\.(graphql|gql)$")).select("repository", "path", "content").repartition("repository", "path").mapInArrow(_run, FACTS)
+    """Facts (``FACTS``) of the GraphQL files among rows repository, path, content."""
+    return dealt(files.where(F.col("path").rlike(r"\.(graphql|gql)$")).select("repository", "path", "content")).mapInArrow(_run, FACTS)
 
 
 def expand_fragments(facts: DataFrame) -> DataFrame:
