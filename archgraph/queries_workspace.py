@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import testgraph as G
 from .operators import administration, graph, resolve
+from .plans.shared import materialize
 from .queries_sources import _REPO, _edge, _sources
 from .registry import query
 from .sources import frameworks, git, languages
@@ -131,6 +132,11 @@ def compiler_entities(spark, sf_dir):
     return _compiler(spark, sf_dir)[1]
 
 
+def _once(facts):
+    """Facts that several branches of a plan read: each would parse the files again."""
+    return materialize(facts, "facts")
+
+
 _USER = f"{_REPO}, '/elixir/App.User', p_partkey"
 _USING_AT = "'lib/m', p_partkey, '.ex:"
 
@@ -150,7 +156,7 @@ def macro_uses(spark, sf_dir):
         "concat('defmodule App.Base', p_partkey, ' do\\n  defmacro __using__(_opts) do\\n    quote do\\n      @behaviour App.Worker\\n      def run', p_size, '(x), do: helper(own())\\n    end\\n  end\\nend\\n"
         "defmodule App.User', p_partkey, ' do\\n  use App.Base', p_partkey, '\\n  def own() do\\n    1\\n  end\\nend\\n')"
     )
-    return resolve.macro_uses(languages.analyze(_sources(spark, sf_dir, "concat('lib/m', p_partkey, '.ex')", text)))
+    return resolve.macro_uses(_once(languages.analyze(_sources(spark, sf_dir, "concat('lib/m', p_partkey, '.ex')", text))))
 
 
 @query("""select concat('acme/app', p_size % 3) as repository, concat('item', p_size) as field, 'Query' as parent, concat('repo://acme/app', p_size % 3, '/elixir/App.R/get/3') as resolver, concat('lib/s', p_partkey, '.ex:4') as evidence from part
@@ -160,7 +166,7 @@ def imported_parents(spark, sf_dir):
         "concat('defmodule S do\\n object :queries', p_partkey, ' do\\n  field :item_', p_size, ', :t do\\n   resolve &App.R.get/3\\n  end\\n end\\n object :extra', p_partkey, ' do\\n  field :other, :t do\\n   resolve &App.R.other/3\\n  end\\n end\\n"
         " query do\\n  import_fields :queries', p_partkey, '\\n end\\nend\\n')"
     )
-    return frameworks.imported_parents(frameworks.recognize(_sources(spark, sf_dir, "concat('lib/s', p_partkey, '.ex')", text), ("elixir.absinthe",)))
+    return frameworks.imported_parents(_once(frameworks.recognize(_sources(spark, sf_dir, "concat('lib/s', p_partkey, '.ex')", text), ("elixir.absinthe",))))
 
 
 _GENERATED = "select concat('m/C', p_partkey, 'Client/get') as local_symbol, concat('pkg.C', p_size) as service from {part}"
@@ -179,7 +185,7 @@ _TS = f"{_REPO}, '/typescript/src/m', p_partkey, '.ts'"
 def embedded_calls(spark, sf_dir):
     text = "concat('const DOC = gql`query Q', p_partkey, ' { me }`;\\nexport function go', p_size, '() { return client.query(DOC); }\\n')"
     found = frameworks.recognize(_sources(spark, sf_dir, "concat('src/m', p_partkey, '.ts')", text), ("typescript.graphql",))
-    return frameworks.embedded_calls(found, spark.createDataFrame([], "file string, local string, imported string, target_file string"))
+    return frameworks.embedded_calls(_once(found), spark.createDataFrame([], "file string, local string, imported string, target_file string"))
 
 
 _RS = f"{_REPO}, '/rust/m', p_partkey"

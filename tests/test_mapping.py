@@ -26,3 +26,12 @@ def test_facts_of_many_files_make_few_batches():
     assert [(r["path"], r["id"]) for b in batches for r in b.to_pylist()] == want
     assert len(batches) == -(-len(want) // BATCH_FACTS)
     assert list(batches_of(iter([[], []]), schema)) == []
+
+
+@pytest.mark.parametrize("name", ["macro_uses", "imported_parents", "embedded_calls"])
+def test_files_are_parsed_once(spark, sf_dir, name):
+    """Branches of a plan that read the same facts must not each parse the files."""
+    from archgraph import queries_workspace
+
+    plan = getattr(queries_workspace, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Scan parquet" in plan
