@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans.fixpoint import all_pairs_closure, fixpoint
-from ..plans.shared import materialize
+from ..plans.shared import dealt_by, materialize, tasks_for
 from ..schema import EXACT, INFERRED
 
 
@@ -115,8 +115,13 @@ def repository_graph(edges: DataFrame, owners: DataFrame, analyzer: str = "basel
 
 def repository_evidence(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """``from_repository, to_repository, evidence``: each piece of evidence between two repositories, as rows."""
-    tied = edges.join(owners.selectExpr("id as from_id", "repository as from_repository"), "from_id").join(owners.selectExpr("id as to_id", "repository as to_repository"), "to_id")
-    return tied.where("from_repository <> to_repository").select("from_repository", "to_repository", "evidence").distinct()
+    tasks = tasks_for(edges)
+    tied = edges.select("from_id", "to_id", "evidence")
+    for end in ("from_id", "to_id"):
+        owned = owners.selectExpr(f"id as {end}", f"repository as {end.removesuffix('id')}repository")
+        tied = dealt_by(tied, tasks, end).join(dealt_by(owned, tasks, end), end)
+    found = tied.where("from_repository <> to_repository").select("from_repository", "to_repository", "evidence")
+    return dealt_by(found, tasks, *found.columns).distinct()
 
 
 def neighbours(repo_graph: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEPENDENCY, EDGE_COLUMNS
+from .shared import dealt_by, tasks_for
+
+#: What an override names an edge by.
+IDENTITY = ("from_id", "relation", "to_id", "evidence")
 
 
 def dependency_edges(edges: DataFrame) -> DataFrame:
@@ -20,7 +24,8 @@ def masked(edges: DataFrame, overrides: DataFrame | None) -> DataFrame:
     if overrides is None:
         return edges
     gone = overrides.select("from_id", "relation", F.col("unresolved_to").alias("to_id"), "evidence")
-    return edges.join(gone, ["from_id", "relation", "to_id", "evidence"], "left_anti")
+    tasks = tasks_for(edges)
+    return dealt_by(edges, tasks, *IDENTITY).join(dealt_by(gone, tasks, *IDENTITY), list(IDENTITY), "left_anti")
 
 
 def override_edges(overrides: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def _union(states: DataFrame, overrides: DataFrame | None, revision: DataFrame |
         out = out.union(override_edges(overrides).select(*EDGE_COLUMNS))
     if revision is not None:
         out = out.union(revision.select(*EDGE_COLUMNS))
-    return out.distinct() if distinct else out
+    return dealt_by(out, tasks_for(out), *IDENTITY).distinct() if distinct else out
 
 
 def direct_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None, distinct: bool = True) -> DataFrame:

@@ -11,6 +11,28 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the tables that rows come from for one task of a join or an aggregate: edges take some ten times that in memory.
+TASK_BYTES = 16_000_000
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The size of the tables that ``df`` comes from."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 62)  # Spark's default for a size it doesn't know is above that
+
+
+def tasks_for(df: DataFrame) -> int | None:
+    """As many tasks as the tables that ``df`` comes from are worth, if a shuffle has fewer partitions: else a task's rows grow with the input."""
+    tasks = -(-table_bytes(df) // TASK_BYTES)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt_by(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt to ``tasks`` by ``keys``, if any number is given. What joins or groups by these keys then moves no row again."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder driver and executors share: ``spark.checkpoint.dir`` of the session.
 
