@@ -360,11 +360,12 @@ def receiver_types(chains: DataFrame, bindings: DataFrame, fields: DataFrame) ->
     each is worked out once, so names that are defined by each other end without a type.
     """
     chains = materialize(chains.select("scope", "owner", "parts", F.get("parts", F.lit(0)).alias("head")), "chains")
-    sized = chains.select("scope", "owner", "parts")
+    # Names that are alike take far less room in files than in memory, so joins to chains must not go by file sizes and broadcast, through the driver, every round.
+    sized = chains.select("scope", "owner", "parts").hint("merge")
     fields = fields.groupBy("type", "name").agg(F.min("target").alias("target"))
     declared = chains.join(bindings.select("scope", F.col("name").alias("head"), "type"), ["scope", "head"])
     seed = declared.select("scope", "owner", F.lit(1).alias("k"), "type")
-    waiting = chains.join(bindings.select("scope", F.col("name").alias("head")), ["scope", "head"], "left_anti").select("scope", "owner", "head")
+    waiting = chains.join(bindings.select("scope", F.col("name").alias("head")), ["scope", "head"], "left_anti").select("scope", "owner", "head").hint("merge")
 
     def step(new: DataFrame) -> DataFrame:
         at = new.join(sized, ["scope", "owner"])
@@ -373,7 +374,7 @@ def receiver_types(chains: DataFrame, bindings: DataFrame, fields: DataFrame) ->
         known = at.where("k = size(parts)").select("scope", F.col("owner").alias("head"), "type")
         return onward.union(known.join(waiting, ["scope", "head"]).select("scope", "owner", F.lit(1).alias("k"), "type"))
 
-    typed = fixpoint(seed, step, ["scope", "owner", "k"], "receivers")
+    typed = fixpoint(seed, step, ["scope", "owner", "k"], "receivers", hint="merge")
     return typed.join(sized, ["scope", "owner"]).where("k = size(parts)").select("scope", "owner", "type")
 
 

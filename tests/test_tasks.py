@@ -5,6 +5,7 @@ import pytest
 from archgraph import queries
 from archgraph.operators import resolve
 from archgraph.plans import rules, shared
+from archgraph.queries_resolve import receiver_chains
 
 
 @pytest.fixture
@@ -42,3 +43,8 @@ def test_evidence_is_dealt_by_the_size_of_its_tables(spark, tmp_path, tiny_tasks
 
 def test_small_tables_keep_the_partitions_of_a_shuffle(spark, sf_dir):
     assert shared.tasks_for(queries.supply(spark, sf_dir).states) is None
+
+
+def test_receiver_chains_join_without_the_driver(spark, sf_dir):
+    plan = receiver_chains(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
