@@ -44,3 +44,24 @@ def test_rounds_are_logarithmic(spark):
     chain = spark.range(20_000).select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
     found = contract(chain)
     assert found.rounds <= 16 and found.chains.where("head = 0 and place = node").count() == 20_001 and found.joints.isEmpty()
+
+
+def test_rows_that_are_written_grow_with_the_links_only(spark, monkeypatch):
+    from archgraph.plans import deep
+
+    written = []
+
+    def counted(df, label, write=deep.materialize):
+        table = write(df, label)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(deep, "materialize", counted)
+    monkeypatch.setattr(deep, "HELD", 200, raising=False)
+    n = 20_000
+    chain = spark.range(n).select((F.col("id") * 7919 % (n + 1)).alias("from_id"), ((F.col("id") + 1) * 7919 % (n + 1)).alias("to_id"))
+    ring = spark.range(3000).select((F.col("id") + n + 1).alias("from_id"), ((F.col("id") + 1) % 3000 + n + 1).alias("to_id"))
+    found = contract(chain.union(ring))
+    assert sum(written) < 10 * (n + 3000)
+    assert found.chains.count() == n + 1 + 3000 and found.chains.where(f"node <= {n} and head = 0 and node = place * 7919 % {n + 1}").count() == n + 1
+    assert found.chains.where(f"head = {n + 1} and place = node - head").count() == 3000 and found.rings.collect() == [(n + 1,)]
