@@ -18,6 +18,10 @@ from ..plans.shared import materialize
 from ..schema import DEFAULT_MAX_HOPS, EDGE_COLUMNS
 
 
+#: What searches and descriptions of nodes read of an edge.
+LINK = ("from_id", "relation", "to_id", "provenance")
+
+
 @dataclass
 class Graph:
     """A view at one revision. ``revision`` edges hold whatever their relation.
@@ -41,10 +45,10 @@ class Graph:
         return rules.direct_edges(self.states, self.overrides, self.revision)
 
     def links(self) -> DataFrame:
-        """``from_id, relation, to_id`` of the direct edges, perhaps repeated, as a table made once for a graph: its revision never changes."""
+        """``LINK`` columns of the direct edges, perhaps repeated, as a table made once for a graph: its revision never changes."""
         if self._links is None:
             direct = rules.direct_edges(self.states, self.overrides, self.revision, distinct=False)
-            self._links = materialize(direct.select("from_id", "relation", "to_id"), "links")
+            self._links = materialize(direct.select(*LINK), "links")
         return self._links
 
     def forward(self) -> DataFrame | Direction:
@@ -62,10 +66,10 @@ class Graph:
         direct = rules.direct_edges(self.states, self.overrides, self.revision, distinct=False)
         return direct.join(nodes.select(F.col("node").alias(end)), end, "left_semi").select(*EDGE_COLUMNS)
 
-    def links_to(self, nodes: DataFrame) -> DataFrame:
-        """``from_id, relation, to_id`` of the direct edges that end at a ``node`` of ``nodes``."""
-        found = self.links().join(nodes.select(F.col("node").alias("to_id")), "to_id", "left_semi") if self.adjacency is None else self.at("to_id", nodes)
-        return found.select("from_id", "relation", "to_id")
+    def links_at(self, end: str, nodes: DataFrame) -> DataFrame:
+        """``LINK`` columns of the direct edges whose ``end`` is a ``node`` of ``nodes``."""
+        found = self.links().join(nodes.select(F.col("node").alias(end)), end, "left_semi") if self.adjacency is None else self.at(end, nodes)
+        return found.select(*LINK)
 
     def effective(self) -> DataFrame:
         return rules.effective_edges(self.states, self.overrides, self.revision)
@@ -75,12 +79,12 @@ class Answer:
     """``entries``: entity, hops. ``edges``: merged edges among the nodes. ``nodes``: described entities.
 
     Edges and nodes are worked out when first asked for: who reads distances alone doesn't
-    pay for the numbering of edges.
+    pay for the numbering of edges, nor who reads nodes, where their ``links`` are given.
     """
 
-    def __init__(self, entries: DataFrame, edges: Callable[[], DataFrame], nodes: Callable[[DataFrame], DataFrame], truncated: bool = False) -> None:
+    def __init__(self, entries: DataFrame, edges: Callable[[], DataFrame], nodes: Callable[[DataFrame], DataFrame], truncated: bool = False, links: Callable[[], DataFrame] | None = None) -> None:
         self.entries, self.truncated = entries, truncated
-        self._edges, self._nodes = edges, nodes
+        self._edges, self._nodes, self._links = edges, nodes, links
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -88,7 +92,7 @@ class Answer:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._nodes(self.edges)
+        return self._nodes(self.edges if self._links is None else self._links())
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def describe(nodes: DataFrame, edges: DataFrame, entities: DataFrame | None = No
     hints = edges.select("relation", F.col("from_id").alias("id"), F.lit(True).alias("source")).union(edges.select("relation", "to_id", F.lit(False)))
     hints = hints.distinct().withColumn("kind", ids.kind_hint(relation, F.col("source"), here))
     hints = hints.groupBy("id").agg(F.max(F.struct(ids.kind_priority(F.col("kind")).alias("p"), "kind")).alias("hint"))
-    made = edges.where("exists(evidence, e -> e.source_kind = 'generated')") if "array" in dict(edges.dtypes)["evidence"] else edges.where("provenance = 'generated'")
+    made = edges.where("provenance = 'generated'" if "provenance" in edges.columns else "exists(evidence, e -> e.source_kind = 'generated')")
     made = made.where("relation in ('defines', 'field_of')").selectExpr("if(relation = 'defines', to_id, from_id) as id").distinct().withColumn("generated", F.lit(True))
     out = nodes.select(F.col("node").alias("id")).distinct().join(hints, "id", "left").join(made, "id", "left")
     if entities is not None:
@@ -185,15 +189,15 @@ def context(graph: Graph, root: str) -> Answer:
     return Answer(ends.where(F.col("node") != root).select(F.col("node").alias("entity"), F.lit(1).alias("hops")), lambda: with_edge_ids(merge_edges(edges)), nodes)
 
 
-def _answer(graph: Graph, start: str, edges: Callable[[], DataFrame], found: Levels) -> Answer:
-    """An answer whose edges are numbered over all of ``edges()``, and then kept where both ends are reached."""
+def _answer(graph: Graph, start: str, edges: Callable[[], DataFrame], links: Callable[[], DataFrame], found: Levels) -> Answer:
+    """An answer whose edges are numbered over all of ``edges()``, and then kept where both ends are reached; nodes are described by ``links()``, of the same edges."""
 
-    def inside() -> DataFrame:
-        merged = with_edge_ids(merge_edges(edges()))
-        return merged.join(found.reached.selectExpr("node as from_id"), "from_id", "left_semi").join(found.reached.selectExpr("node as to_id"), "to_id", "left_semi")
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.join(found.reached.selectExpr("node as from_id"), "from_id", "left_semi").join(found.reached.selectExpr("node as to_id"), "to_id", "left_semi")
 
     entries = found.reached.where(F.col("node") != start).select(F.col("node").alias("entity"), "hops")
-    return Answer(entries, inside, lambda merged: describe(found.reached, merged, graph.entities), found.truncated)
+    numbered = lambda: inside(with_edge_ids(merge_edges(edges())))
+    return Answer(entries, numbered, lambda rows: describe(found.reached, rows, graph.entities), found.truncated, lambda: inside(links()))
 
 
 def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -212,7 +216,7 @@ def dependencies(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) ->
         """What lies beyond ``max_hops`` may be deep."""
         return deep_closure(pairs.pairs() if isinstance(pairs, Direction) else pairs, start_)
 
-    return _answer(graph, start, lambda: graph.at("from_id", every() if found.truncated else found.reached), found)
+    return _answer(graph, start, lambda: graph.at("from_id", every() if found.truncated else found.reached), lambda: graph.links_at("from_id", found.reached), found)
 
 
 def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:
@@ -236,15 +240,15 @@ def impact(graph: Graph, start: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer
         found = graph.at("to_id", reached)
         return found if rpc is None else found.union(leaving()).distinct()
 
-    links = graph.links_to(reached)
+    links = graph.links_at("to_id", reached)
     if rpc is not None:
-        links = links.union(leaving().select("from_id", "relation", "to_id"))
+        links = links.union(leaving().select(*LINK))
     if links.where(forward).isEmpty():
         beyond = every.where(F.col("hops") > max_hops)
-        return _answer(graph, start, taken, Levels(every.where(F.col("hops") <= max_hops), not beyond.isEmpty()))
+        return _answer(graph, start, taken, lambda: links, Levels(every.where(F.col("hops") <= max_hops), not beyond.isEmpty()))
     steps = links.selectExpr(f"if({forward}, from_id, to_id) as from_id", f"if({forward}, to_id, from_id) as to_id")
     steps = materialize(steps.distinct(), "steps")
-    return _answer(graph, start, taken, levels(steps, seeds(spark, start), max_hops))
+    return _answer(graph, start, taken, lambda: links, levels(steps, seeds(spark, start), max_hops))
 
 
 def trace(graph: Graph, source: str, target: str, max_hops: int = DEFAULT_MAX_HOPS) -> Answer:

@@ -214,3 +214,14 @@ def test_no_task_writes_several_buckets(spark):
         per_file = [r["count"] for r in built.table(end).groupBy(F.input_file_name(), F.pmod(F.hash(end), F.lit(built.buckets))).count().collect()]
         tasks = {re.search(r"part-(\d+)-", f).group(1) for f in built.table(end).inputFiles()}
         assert len(tasks) == len(per_file) == built.buckets and max(per_file) < 2 * len(rows) / built.buckets
+
+
+def test_nodes_are_described_without_numbering_edges(spark, monkeypatch):
+    rows = [("repo://a/b/rust/m/f", "calls", "grpc://S/M"), ("g", "defines", "made"), ("made", "calls", "repo://a/b/rust/m/f"), ("far", "calls", "g")]
+    plain = Graph(edges(spark, [(*r, f"f:{k}") for k, r in enumerate(rows)]).withColumn("provenance", F.expr("if(from_id = 'made', 'generated', 'ast')")))
+    want = [sorted(graph.describe(x.entries.selectExpr("entity as node"), x.edges).collect()) for x in (graph.impact(plain, "grpc://S/M"), graph.dependencies(plain, "far"))]
+    monkeypatch.setattr(graph, "with_edge_ids", None)
+    found = graph.impact(plain, "grpc://S/M"), graph.dependencies(plain, "far")
+    starts = ("grpc://S/M", "far")
+    assert [sorted(x.nodes.where(F.col("id") != s).collect()) for x, s in zip(found, starts)] == want
+    assert graph.impact_groups(found[0]).count() > 0
