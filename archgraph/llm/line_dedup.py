@@ -21,7 +21,8 @@ reach, and of a class the first occurrence, by (doc_id, text, line number), stay
    frequent leader are what costs. Up to ``BOUND`` of them under a key meet all of its lines.
    Under any other key, as the words of a template make it, lines are filed again, by parts of
    their counts of letters: of ``2 * max_edits + 2`` parts of the counts' bits two near lines agree on two at least, and
-   meet only there, under the first two that they agree on. What is left are lines that agree on a segment and on most letters.
+   meet only there, under the first that they agree on, or, where over ``DIRECT`` lines agree on that, under the first two.
+   A line that nothing meets under one part isn't filed any further. What is left are lines that agree on a segment and on most letters.
 5. Pairs are compared by the counts of letters, which an edit hardly changes; then common
    ends are stripped, and a banded bit-parallel Levenshtein (Hyyrö, 2003) over the rest verifies the distance: one column
    of the band is one step on two bit vectors of 2 * max_edits + 1 bits. The first columns
@@ -78,6 +79,8 @@ def bags_near(a: str, b: str, max_edits: int) -> str:
 BOUND = 16
 #: Rows of a key that others meet in one task.
 PART = 512
+#: So many lines of a key that agree on one part of their letters meet all others that do; where more do, they are told apart by a second part.
+DIRECT = 64
 
 
 def placed(max_edits: int, delta: str, i: str) -> tuple[str, str]:
@@ -339,26 +342,39 @@ class _Search:
         What compares them is the join's own condition, so that pairs which are many and not near are
         neither written nor moved.
         """
-        near = f"{bags_near('bag_a', 'bag_b', self.max_edits)} and {within('line_a', 'line_b', self.max_edits, self.min_chars)}"
+        near = within("line_a", "line_b", self.max_edits, self.min_chars)
         self.near.append(materialize(self._letter_pairs(rows).where(near).selectExpr("id_a as a", "id_b as b"), "links"))
 
     def _letter_pairs(self, rows: DataFrame) -> DataFrame:
-        """The pairs to compare, each under the first two parts that it agrees on."""
+        """The pairs whose letters are near, each under the first part that it agrees on, or the first two where that one is frequent.
+
+        A line is filed by one part at a time, and by a second one only where many others agree on the first.
+        """
         masks = _parts(self.max_edits)
-        choices = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y}, 'mask', {masks[x] | masks[y]}L)" for x in range(len(masks)) for y in range(x + 1, len(masks))) + ")"
-        met = rows.join(self.texts.select("h", "bag"), "h").selectExpr("*", f"inline({choices})").selectExpr("xxhash64(key, x, y, bag & mask) as sub", "x", "y", "h", "leader", "rare", "filed")
-        met = materialize(met, "described")
-        groups = met.groupBy("sub").agg(F.count("*").alias("weight"), F.count_if("rare").alias("r"), F.count_if("filed").alias("f"), F.min("leader").alias("low"), F.max("leader").alias("high"))
-        groups = materialize(groups.where("r > 0 and f > 0 and low < high").selectExpr("sub", "weight", "weight as m"), "described")
-        found = look_up(met, groups, ["sub"], "weight", met.count()).where("m is not null")
+        parts = [f"named_struct('part', {k}, 'mask', {m}L)" for k, m in enumerate(masks)]
+        filed = rows.join(self.texts.select("h", "bag"), "h").selectExpr("*", f"inline(array({', '.join(parts[:-1])}))")
+        first = self._grouped(filed.selectExpr("xxhash64(key, part, bag & mask) as sub", "part as x", "h", "bag", "leader", "rare", "filed"))
+        frequent = first.where(f"r > {DIRECT}").selectExpr("*", f"inline(slice(array({', '.join(parts[1:])}), x + 1, {len(masks)}))")
+        second = self._grouped(frequent.selectExpr("xxhash64(sub, part, bag & mask) as sub", "x", "part as y", "h", "bag", "leader", "rare", "filed"))
+        # A pair meets only there where of the parts up to the last one filed by it agrees on those filed by.
+        found = first.where(f"r <= {DIRECT}").selectExpr("sub", "h", "leader", "rare", "filed", "m", "shiftleft(1, x) as agree", "shiftleft(2, x) - 1 as of")
+        found = found.union(second.selectExpr("sub", "h", "leader", "rare", "filed", "m", "shiftleft(1, x) | shiftleft(1, y)", "shiftleft(2, y) - 1"))
         found = materialize(found.join(self.texts, "h").selectExpr("*", f"cast(ceil(m / {PART}) as int) as salts"), "described")
         a, b = (tuple(f"{c} as {c}_{k}" for c in ("h", "id", "line", "bag", "leader", "rare", "filed")) for k in "ab")
-        one = found.where("rare").selectExpr("sub", "x", "y", "explode(sequence(0, salts - 1)) as salt", *a)
+        one = found.where("rare").selectExpr("sub", "agree", "of", "explode(sequence(0, salts - 1)) as salt", *a)
         other = found.selectExpr("sub", "cast(pmod(h, salts) as int) as salt", *b)
         # Two rare lines meet twice.
         once = "(filed_a or filed_b) and leader_a <> leader_b and (not rare_b or h_a < h_b)"
-        agreed = f"filter(sequence(0, {len(masks) - 1}), k -> (bag_a ^ bag_b) & element_at(array({', '.join(f'{m}L' for m in masks)}), k + 1) = 0L)"
-        return one.hint("merge").join(other, ["sub", "salt"]).where(f"{once} and slice({agreed}, 1, 2) = array(x, y)")
+        agreed = " | ".join(f"if((bag_a ^ bag_b) & {m}L = 0L, {1 << k}, 0)" for k, m in enumerate(masks))
+        return one.hint("merge").join(other, ["sub", "salt"]).where(f"{bags_near('bag_a', 'bag_b', self.max_edits)} and {once} and ({agreed}) & of = agree")
+
+    def _grouped(self, filed: DataFrame) -> DataFrame:
+        """The rows under a ``sub`` with a pair that has to meet, with how many rows ``m`` and rare lines ``r`` are there."""
+        filed = materialize(filed, "described")
+        n_filed = filed.count()
+        groups = filed.groupBy("sub").agg(F.count("*").alias("weight"), F.count_if("rare").alias("r"), F.count_if("filed").alias("f"), F.min("leader").alias("low"), F.max("leader").alias("high"))
+        groups = _table(groups.where("r > 0 and f > 0 and low < high").selectExpr("sub", "weight", "weight as m", "r"), "described", n_filed)
+        return _table(look_up(filed, groups, ["sub"], "weight", n_filed).where("m is not null"), "described", n_filed)
 
     def links(self) -> DataFrame:
         """``a, b`` of all links."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -329,6 +330,41 @@ def test_lines_of_one_template_meet_where_their_letters_agree(spark, monkeypatch
     assert salted and all("SortMergeJoin" in x for x in salted)
 
 
+@pytest.mark.parametrize("direct", [2, 64])
+def test_lines_of_one_template_are_filed_by_a_second_part_only_where_many_agree_on_one(spark, monkeypatch, direct):
+    """Each row under a hot key is filed by five parts, not by fifteen pairs of them, and no link is lost, however few lines may meet by one part."""
+    rnd, letters = random.Random(15), "abcdefghijklmnopqrstuvwxyz0123456789"
+    lines = ["Posted on the board by user " + "".join(rnd.choice(letters) for _ in range(50)) for _ in range(600)]
+    base = "Posted on the board by user who has many near copies, and whose name is long."
+    lines += ["".join("#" if j in at else c for j, c in enumerate(base)) for at in (rnd.sample(range(30, len(base)), rnd.choice([1, 2, 3, 4])) for _ in range(150))]
+    for i in range(0, 90, 3):
+        at = rnd.randrange(30, 78)
+        lines.append(lines[i][:at] + rnd.choice(["", "#", "##"]) + lines[i][at + 1 :])
+    lines = sorted(set(lines))
+    want = duckdb.sql("with t as (select unnest(?) as x) select a.x, b.x from t a join t b on a.x < b.x and abs(length(a.x) - length(b.x)) <= 2 and levenshtein(a.x, b.x) <= 2", params=[lines]).fetchall()
+    written, pairs, write = {}, [], line_dedup.materialize
+
+    def counted(frame, label, *more):
+        out = write(frame, label, *more)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    def by_letters(search, rows, plain=line_dedup._Search._letter_pairs):
+        out = plain(search, rows)
+        pairs.extend(out.select("h_a", "h_b", "id_a").collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    monkeypatch.setattr(line_dedup._Search, "_letter_pairs", by_letters)
+    monkeypatch.setattr(line_dedup, "DIRECT", direct, raising=False)
+    digests = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = [tuple(sorted((digests[bytes(r.a)], digests[bytes(r.b)]))) for r in line_dedup.line_links(make(spark, list(enumerate(lines)))).collect()]
+    assert set(got) <= set(want) and classes(lines, got) == classes(lines, want) and len(want) > 100
+    assert max(n for label, n in written.items() if label != "texts") <= 5 * written["shared-rows"]
+    # A pair meets once under each key that it shares, of which there are few.
+    assert pairs and max(Counter((r.h_a, r.h_b) for r in pairs).values()) <= len(line_dedup.places(2))
+
+
 def test_keys_that_nothing_meets_are_not_written(spark, monkeypatch):
     """What unlike lines look under is joined as it is made; tables hold at most the keys they are filed under."""
     rnd = random.Random(12)
