@@ -6,6 +6,7 @@ On them stand a log of revisions, leases with fencing tokens, and publishers in
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -154,7 +155,7 @@ class Lease:
 
     def __init__(self, files: Files, folder: str = "lock", clock=time.time) -> None:
         self.files, self.log, self.folder, self.clock = files, Log(files, folder), folder, clock
-        self.token = 0
+        self.token, self.holder = 0, ("", 0)
 
     def held_by_other(self) -> str | None:
         """What the lock is held for, if it is."""
@@ -166,16 +167,18 @@ class Lease:
 
     @contextmanager
     def hold(self, operation: str, seconds: float) -> Iterator[int]:
-        """Hold the lock; inside an operation of this holder it is held already."""
-        if self.token:
+        """Hold the lock; inside the same operation of the same thread it is held already."""
+        if self.token and self.holder == (operation, threading.get_ident()):
             yield self.token
             return
+        if self.token:
+            raise ArchgraphError("scheduler.unavailable", f"{operation} must wait for {self.holder[0]}")
         number = self.log.last()
         if other := self.held_by_other():
             raise ArchgraphError("scheduler.unavailable", f"{operation} must wait for {other}")
         if not self.log.append(number, {"operation": operation, "until": self.clock() + seconds}):
             raise ArchgraphError("scheduler.unavailable", f"{operation} must wait for another operation")
-        self.token = number + 1
+        self.token, self.holder = number + 1, (operation, threading.get_ident())
         try:
             yield self.token
         finally:

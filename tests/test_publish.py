@@ -138,6 +138,25 @@ def test_a_lock_ends_with_its_time_and_fences_its_holder(spark, store):
         pass
 
 
+def test_a_lock_refuses_other_operations_and_threads_of_its_holder(store):
+    """One store held for an operation isn't free for another one, nor for the same one in another thread."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from archgraph.errors import ArchgraphError
+
+    def hold(operation):
+        with store.exclusive(operation):
+            return store.lease.token
+
+    with store.exclusive("a long one"), ThreadPoolExecutor(1) as pool:
+        assert hold("a long one") == store.lease.token
+        with pytest.raises(ArchgraphError, match="another must wait for a long one"):
+            hold("another")
+        with pytest.raises(ArchgraphError, match="must wait for a long one"):
+            pool.submit(hold, "a long one").result()
+    assert hold("another") > 0
+
+
 def test_garbage_that_a_publisher_takes_up_stays(spark, store, monkeypatch):
     """Collections run between a state's reuse and its revision, and between its writing and its revision."""
     old, new = facts(spark, [("a", "calls", "old", "x:1")]), facts(spark, [("a", "calls", "new", "x:1")])
