@@ -38,7 +38,8 @@ class Graph:
 
     def clustered(self, root: str | None = None) -> "Graph":
         """This graph with an adjacency, in the shared folder or at ``root``."""
-        built = Adjacency.build(rules.marked_edges(self.states, self.overrides, self.revision), root)
+        gone = None if self.overrides is None else rules.gone(self.overrides)
+        built = Adjacency.build(rules.unmasked_edges(self.states, self.overrides, self.revision), root, gone=gone)
         return Graph(self.states, self.overrides, self.revision, self.entities, built)
 
     def direct(self) -> DataFrame:

@@ -19,13 +19,17 @@ def dependency_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("relation").isin(*DEPENDENCY))
 
 
+def gone(overrides: DataFrame) -> DataFrame:
+    """``IDENTITY`` of the edges that overrides replace: same from, relation, unresolved target and evidence."""
+    return overrides.select("from_id", "relation", F.col("unresolved_to").alias("to_id"), "evidence")
+
+
 def masked(edges: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """``edges`` without those that an override replaces: same from, relation, unresolved target and evidence."""
+    """``edges`` without those that an override replaces."""
     if overrides is None:
         return edges
-    gone = overrides.select("from_id", "relation", F.col("unresolved_to").alias("to_id"), "evidence")
     tasks = tasks_for(edges)
-    return dealt_by(edges, tasks, *IDENTITY).join(dealt_by(gone, tasks, *IDENTITY), list(IDENTITY), "left_anti")
+    return dealt_by(edges, tasks, *IDENTITY).join(dealt_by(gone(overrides), tasks, *IDENTITY), list(IDENTITY), "left_anti")
 
 
 def override_edges(overrides: DataFrame) -> DataFrame:
@@ -54,13 +58,16 @@ def effective_edges(states: DataFrame, overrides: DataFrame | None = None, revis
     return _union(states, overrides, revision)
 
 
-def marked_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None) -> DataFrame:
-    """The effective edges, perhaps repeated, with ``direct``: whether they can be traversed."""
-    out = masked(states, overrides).select(*EDGE_COLUMNS, F.col("relation").isin(*DEPENDENCY).alias("direct"))
+def unmasked_edges(states: DataFrame, overrides: DataFrame | None = None, revision: DataFrame | None = None) -> DataFrame:
+    """The effective edges, perhaps repeated, and those that overrides mask: with ``direct``, whether they can be traversed, and ``maskable``, as edges of the states are.
+
+    No row is shuffled for it; who deals the edges out drops ``maskable`` ones that are ``gone``.
+    """
+    out = states.select(*EDGE_COLUMNS, F.col("relation").isin(*DEPENDENCY).alias("direct"), F.lit(True).alias("maskable"))
     if overrides is not None:
-        out = out.union(override_edges(overrides).select(*EDGE_COLUMNS, F.lit(True)))
+        out = out.union(override_edges(overrides).select(*EDGE_COLUMNS, F.lit(True), F.lit(False)))
     if revision is not None:
-        out = out.union(revision.select(*EDGE_COLUMNS, F.lit(True)))
+        out = out.union(revision.select(*EDGE_COLUMNS, F.lit(True), F.lit(False)))
     return out
 
 

@@ -102,6 +102,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path.rpartition("/")[0])
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session that hold inside; in names, ``__`` stands for a dot."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Inside, what a query has shuffled goes at its end; else it lies on the executors' disks until the driver happens to collect its garbage."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def materialize(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder, and read it back.
 
