@@ -36,10 +36,10 @@ class Graph:
     adjacency: Adjacency | None = None
     _links: DataFrame | None = None
 
-    def clustered(self, root: str | None = None) -> "Graph":
-        """This graph with an adjacency, in the shared folder or at ``root``."""
+    def clustered(self, root: str | None = None, first: str = "from_id") -> "Graph":
+        """This graph with an adjacency, in the shared folder or at ``root``. Who walks backward names ``to_id`` as the end to cluster by ``first``."""
         gone = None if self.overrides is None else rules.gone(self.overrides)
-        built = Adjacency.build(rules.unmasked_edges(self.states, self.overrides, self.revision), root, gone=gone)
+        built = Adjacency.build(rules.unmasked_edges(self.states, self.overrides, self.revision), root, gone=gone, first=first)
         return Graph(self.states, self.overrides, self.revision, self.entities, built)
 
     def direct(self) -> DataFrame:
